@@ -380,6 +380,62 @@ def q_fallback(spark, sf):
     return j.select("Route_Type", "Transportation_Mode", "Product_Category", "base_rate", src.alias("source"))
 
 
+
+# ---------------------------------------------------------------- K: route choice
+from keelson.operators import routes as rt  # noqa: E402
+from keelson.plans import oracle_routes as orr  # noqa: E402
+from keelson.sources.ports import ports as port_dim  # noqa: E402
+
+
+def _graphs(spark, sf):
+    f = sc.featured(spark, sf)
+    return (f.select(F.col("Transportation_Mode").alias("mode")).distinct()
+            .crossJoin(f.select(F.col("Product_Category").alias("category")).distinct()))
+
+
+def _edges(spark, sf):
+    return sc._memo(spark, sf, "route_edges",
+                    lambda: rt.route_edges(port_dim(spark), _graphs(spark, sf), sc.featured(spark, sf)))
+
+
+def _totals(spark, sf):
+    def build():
+        e = _edges(spark, sf)
+        best = rt.all_pairs_best(rt.priority_weights(e))
+        return rt.route_totals(best, rt.route_legs(best, e), port_dim(spark))
+    return sc._memo(spark, sf, "route_totals", build)
+
+
+@register("route_edges", orr.edges_sql())
+def q_route_edges(spark, sf):
+    e = _edges(spark, sf)
+    return e.select("mode", "category", "a_port", "b_port", "route_type",
+                    F.round("great_circle_km", 6).alias("great_circle_km"), F.round("distance_km", 6).alias("distance_km"),
+                    F.round("transit_days", 6).alias("transit_days"), "cost_usd", "delay_probability",
+                    "expected_delay_days", "risk_score", "risk_tier")
+
+
+@register("priority_weights", orr.weights_sql())
+def q_priority_weights(spark, sf):
+    return rt.priority_weights(_edges(spark, sf)).select("mode", "category", "priority", "a_port_idx",
+                                                         "b_port_idx", "w")
+
+
+@register("best_routes", orr.best_routes_sql())
+def q_best_routes(spark, sf):
+    t = _totals(spark, sf)
+    return t.select("mode", "category", "priority", "origin", "destination", "route", "hops",
+                    F.round("total_distance_km", 6).alias("total_distance_km"),
+                    F.round("total_cost_usd", 6).alias("total_cost_usd"),
+                    F.round("total_transit_days", 6).alias("total_transit_days"),
+                    F.round("overall_delay_probability", 9).alias("overall_delay_probability"))
+
+
+@register("priority_comparison", orr.compare_sql("Shanghai, CN", "Rotterdam, NL"))
+def q_compare(spark, sf):
+    return rt.compare_priorities(_totals(spark, sf), "Shanghai, CN", "Rotterdam, NL")
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
