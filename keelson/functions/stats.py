@@ -51,24 +51,39 @@ def exact_quantiles(df: DataFrame, specs: dict[str, tuple[str, float]], by: Sequ
             f"_klo{i}": F.floor(pos).cast("bigint"), f"_khi{i}": F.ceil(pos).cast("bigint"),
             f"_fr{i}": pos - F.floor(pos)}).drop(f"_b{i}")
     joined = base.join(stats, by) if by else base.crossJoin(F.broadcast(stats))
-    below = joined.groupBy(*by).agg(*[F.count_if(F.col(f"_x{i}") < F.col(f"_lo{i}")).alias(f"_bl{i}")
-                                      for i in range(len(names))])
-    tags = F.array(*[F.struct(F.lit(i).alias("qi"), F.col(f"_x{i}").alias("x"),
-                              F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
-                     for i in range(len(names))])
+    # one pass: rows below each bracket, plus the nearest value on each side (the sketch is
+    # exact on small groups but picks rank ceil(q*n), which can sit one rank off the
+    # interpolation ranks floor/ceil(q*(n-1)); the neighbours cover that)
+    edge_aggs = []
+    for i in range(len(names)):
+        x, lo, hi = F.col(f"_x{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        edge_aggs += [F.count_if(x < lo).alias(f"_bl{i}"), F.count_if((x >= lo) & (x <= hi)).alias(f"_in{i}"),
+                      F.max(F.when(x < lo, x)).alias(f"_prev{i}"), F.min(F.when(x > hi, x)).alias(f"_next{i}")]
+    edges = joined.groupBy(*by).agg(*edge_aggs)
+    tags = F.array(*[F.struct(F.lit(i).alias("qi"), F.col(f"_x{i}").alias("x"), F.col(f"_lo{i}").alias("lo"),
+                              F.col(f"_hi{i}").alias("hi"), F.col(f"_klo{i}").alias("klo"),
+                              F.col(f"_khi{i}").alias("khi")) for i in range(len(names))])
     cand = joined.select(*by, F.explode(F.filter(tags, lambda t: (t["x"] >= t["lo"]) & (t["x"] <= t["hi"])))
-                         .alias("t")).select(*by, "t.qi", "t.x")
-    cand = cand.join(below, by) if by else cand.crossJoin(below)
+                         .alias("t")).select(*by, "t.qi", "t.x", "t.klo", "t.khi")
+    cand = cand.join(edges, by) if by else cand.crossJoin(F.broadcast(edges))
     bl = F.element_at(F.array(*[F.col(f"_bl{i}") for i in range(len(names))]), F.col("qi") + 1)
     w = Window.partitionBy(*by, "qi").orderBy("x")
     ranked = cand.withColumn("_r", F.row_number().over(w) - 1 + bl)
-    picked = ranked.groupBy(*by, "qi").agg(F.collect_list(F.struct("_r", "x")).alias("_rx"))
-    # _rx holds just the bracket rows of one (group, quantile): bounded by the sketch accuracy.
-    out = stats.join(picked, by, "left") if by else stats.crossJoin(picked)
+    picked = (ranked.where((F.col("_r") == F.col("klo")) | (F.col("_r") == F.col("khi")))
+              .groupBy(*by, "qi").agg(F.max(F.when(F.col("_r") == F.col("klo"), F.col("x"))).alias("_vlo"),
+                                      F.max(F.when(F.col("_r") == F.col("khi"), F.col("x"))).alias("_vhi")))
+    out = stats.join(edges, by) if by else stats.crossJoin(edges)
     cols = []
     for i, name in enumerate(names):
-        sel = F.when(F.col("qi") == i, F.col("_rx"))
-        vlo = F.filter(sel, lambda s: s["_r"] == F.col(f"_klo{i}"))[0]["x"]
-        vhi = F.filter(sel, lambda s: s["_r"] == F.col(f"_khi{i}"))[0]["x"]
-        cols.append(F.max(vlo + F.col(f"_fr{i}") * (vhi - vlo)).alias(name))
-    return out.groupBy(*by).agg(*cols)
+        p = picked.where(F.col("qi") == i).select(*by, F.col("_vlo").alias(f"_vlo{i}"), F.col("_vhi").alias(f"_vhi{i}"))
+        out = out.join(p, by, "left") if by else out.crossJoin(p.unionByName(
+            p.sparkSession.createDataFrame([(None, None)], f"_vlo{i} double, _vhi{i} double")).agg(
+            F.max(f"_vlo{i}").alias(f"_vlo{i}"), F.max(f"_vhi{i}").alias(f"_vhi{i}")))
+
+        def at(k, i=i, which="lo"):
+            return (F.when(k == F.col(f"_bl{i}") - 1, F.col(f"_prev{i}"))
+                    .when(k == F.col(f"_bl{i}") + F.col(f"_in{i}"), F.col(f"_next{i}"))
+                    .otherwise(F.col(f"_v{which}{i}")))
+        vlo, vhi = at(F.col(f"_klo{i}"), which="lo"), at(F.col(f"_khi{i}"), which="hi")
+        cols.append((vlo + F.col(f"_fr{i}") * (vhi - vlo)).alias(name))
+    return out.select(*by, *cols)

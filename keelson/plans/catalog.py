@@ -7,8 +7,6 @@ parquet tables registered as views.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +15,7 @@ from keelson.operators import portfolio as pf
 from keelson.operators import rates, scoring
 from keelson.plans import scored as sc
 from keelson.plans.oracle import pct1, rhe1, with_ctes
-
-Builder = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, tuple[Builder, str | None]] = {}
-
-
-def register(name: str, sql: str | None):
-    def deco(fn: Builder) -> Builder:
-        REGISTRY[name] = (fn, sql)
-        return fn
-    return deco
+from keelson.plans.registry import register
 
 
 # Example facet selection used by the filtered-view queries.
@@ -435,10 +424,3 @@ def q_best_routes(spark, sf):
 def q_compare(spark, sf):
     return rt.compare_priorities(_totals(spark, sf), "Shanghai, CN", "Rotterdam, NL")
 
-
-def queries() -> dict[str, Builder]:
-    return {k: v[0] for k, v in REGISTRY.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
