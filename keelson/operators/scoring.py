@@ -105,16 +105,18 @@ def underwriting_memo(desc: Column, tier: Column, prob: Column, days: Column, hi
     ``hist_rate_pct`` is the tier's historical delay rate in percent (from E4).
     """
     ranked = F.array_sort(contributions, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1)
-                          .when(F.abs(a["value"]) < F.abs(b["value"]), 1).otherwise(0))
+                          .when(F.abs(a["value"]) < F.abs(b["value"]), 1)
+                          .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
     top = F.slice(ranked, 1, top_n)
     up = F.transform(F.filter(top, lambda s: s["value"] > 0), lambda s: clean_feature_label(s["feature"]))
     down = F.transform(F.filter(top, lambda s: s["value"] < 0), lambda s: clean_feature_label(s["feature"]))
     rate_txt = F.when(hist_rate_pct.isNull(), F.lit("n/a")).otherwise(
-        F.concat(F.format_number(hist_rate_pct, 1), F.lit("%")))
+        F.concat(F.format_string("%.1f", round_half_even(hist_rate_pct, 1)), F.lit("%")))
     head = F.format_string(
         "Shipment (%s) is scored in the **%s** risk tier, with a predicted delay probability of %s%% and an "
         "expected delay of %s day(s). Historically, shipments in the %s tier were delayed %s of the time.",
-        desc, F.upper(tier), F.format_number(prob * 100, 1), F.format_number(days, 1), tier, rate_txt)
+        desc, F.upper(tier), F.format_string("%.1f", round_half_even(prob * 100, 1)),
+        F.format_string("%.1f", round_half_even(days, 1)), tier, rate_txt)
     up_txt = F.when(F.size(up) > 0, F.concat(F.lit("Risk is primarily driven up by: "),
                                              F.array_join(up, ", "), F.lit(".")))
     down_txt = F.when(F.size(down) > 0, F.concat(F.lit("Risk is partially offset by: "),

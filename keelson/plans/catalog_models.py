@@ -317,3 +317,96 @@ def q_cluster_map(spark, sf):
     """PCA density per cluster on the filtered rows."""
     s = sc.scored(spark, sf)
     return cl.cluster_map(_clusters(spark, sf), pf.faceted_filter(s, **FACETS))
+
+
+# ---------------------------------------------------------------- explanations (linear stand-in)
+from keelson.operators import explain as xp  # noqa: E402
+from keelson.plans.oracle import pct1  # noqa: E402
+
+_F = FEATURES_NUMERIC
+
+
+def _contrib(spark, sf):
+    return sc._memo(spark, sf, "contrib", lambda: xp.linear_contributions(sc.scored(spark, sf), _F))
+
+
+def _label_sql(expr: str) -> str:
+    return f"replace(replace(replace({expr}, 'num__', ''), 'cat__', ''), '_', ' ')"
+
+
+_CONTRIB_SQL = (
+    ", cstat AS (SELECT " + ", ".join(
+        f"corr(CAST({c} AS DOUBLE), CAST(Is_Delayed AS DOUBLE)) AS c{i}, AVG({c}) AS m{i}, stddev_pop({c}) AS s{i}"
+        for i, c in enumerate(_F)) + " FROM scored),"
+    " contrib AS (" + " UNION ALL ".join(
+        f"SELECT Order_ID, 'num__{c}' AS feature, ROUND(COALESCE(c{i}, 0e0) * ((CAST({c} AS DOUBLE) - m{i})"
+        f" / CASE WHEN s{i} > 0 THEN s{i} ELSE 1e0 END), 9) AS value, CAST({c} AS DOUBLE) AS x FROM scored CROSS JOIN cstat"
+        for i, c in enumerate(_F)) + ")")
+
+
+@register("feature_labels", with_ctes(
+    ", names AS (SELECT * FROM (VALUES " + ", ".join(f"('num__{c}')" for c in _F) + ") AS t(feature)"
+    " UNION ALL SELECT DISTINCT 'cat__Origin_City_' || Origin_City FROM features"
+    " UNION ALL SELECT DISTINCT 'cat__Transportation_Mode_' || Transportation_Mode FROM features)"
+    f" SELECT feature, {_label_sql('feature')} AS label FROM names", "features"))
+def q_feature_labels(spark, sf):
+    """Readable labels for the model's feature names (numeric and one-hot)."""
+    f = sc.featured(spark, sf)
+    names = (spark.createDataFrame([(f"num__{c}",) for c in _F], "feature string")
+             .unionByName(f.select(F.concat(F.lit("cat__Origin_City_"), "Origin_City").alias("feature")).distinct())
+             .unionByName(f.select(F.concat(F.lit("cat__Transportation_Mode_"), "Transportation_Mode")
+                                   .alias("feature")).distinct()))
+    return names.select("feature", scoring.clean_feature_label(F.col("feature")).alias("label"))
+
+
+@register("global_importance", with_ctes(
+    _CONTRIB_SQL + f" SELECT {_label_sql('feature')} AS label, feature, ROUND(AVG(abs(value)), 9) AS mean_abs"
+    " FROM contrib GROUP BY feature ORDER BY mean_abs DESC, feature LIMIT 15"))
+def q_global_importance(spark, sf):
+    g = xp.global_importance(_contrib(spark, sf), 15)
+    return g.select("label", "feature", F.round("mean_abs", 9).alias("mean_abs"))
+
+
+@register("top_drivers", with_ctes(
+    _CONTRIB_SQL + ", r AS (SELECT contrib.*, row_number() OVER (PARTITION BY Order_ID ORDER BY abs(value) DESC,"
+    " feature) AS abs_rank FROM contrib), t AS (SELECT * FROM r WHERE abs_rank <= 10)"
+    " SELECT Order_ID, abs_rank, row_number() OVER (PARTITION BY Order_ID ORDER BY value, feature) AS signed_rank,"
+    f" {_label_sql('feature')} AS label, value FROM t"))
+def q_top_drivers(spark, sf):
+    return xp.top_drivers(_contrib(spark, sf), 10).withColumn("abs_rank", F.col("abs_rank").cast("bigint")) \
+        .withColumn("signed_rank", F.col("signed_rank").cast("bigint"))
+
+
+@register("beeswarm", with_ctes(
+    _CONTRIB_SQL + ", keep AS (SELECT feature FROM contrib GROUP BY feature ORDER BY AVG(abs(value)) DESC, feature"
+    " LIMIT 12), c2 AS (SELECT contrib.* FROM contrib JOIN keep USING (feature)),"
+    " mm AS (SELECT feature, MIN(x) AS lo, MAX(x) AS hi FROM c2 GROUP BY feature)"
+    f" SELECT Order_ID, {_label_sql('c2.feature')} AS label, value,"
+    " ROUND((x - lo) / (hi - lo + 1e-9), 9) AS color_value FROM c2 JOIN mm USING (feature)"))
+def q_beeswarm(spark, sf):
+    return xp.beeswarm(_contrib(spark, sf), 12)
+
+
+_REC = (f"CASE WHEN Risk_Tier IN ('High', 'Severe') THEN '{scoring.REC_HIGH}'"
+        f" WHEN Risk_Tier = 'Medium' THEN '{scoring.REC_MEDIUM}' ELSE '{scoring.REC_LOW}' END")
+
+
+@register("underwriting_memo", with_ctes(
+    _CONTRIB_SQL + ", r AS (SELECT contrib.*, row_number() OVER (PARTITION BY Order_ID ORDER BY abs(value) DESC,"
+    " feature) AS k FROM contrib), t3 AS (SELECT * FROM r WHERE k <= 3),"
+    f" up AS (SELECT Order_ID, string_agg({_label_sql('feature')}, ', ' ORDER BY k) AS u FROM t3 WHERE value > 0 GROUP BY 1),"
+    f" dn AS (SELECT Order_ID, string_agg({_label_sql('feature')}, ', ' ORDER BY k) AS d FROM t3 WHERE value < 0 GROUP BY 1),"
+    " tr AS (SELECT Risk_Tier, CAST(SUM(Is_Delayed) AS DOUBLE) / COUNT(*) * 1e2 AS rate FROM scored GROUP BY 1)"
+    " SELECT s.Order_ID, concat_ws(' ',"
+    " 'Shipment (' || concat_ws(', ', s.Origin_City || ' -> ' || s.Destination_City, s.Transportation_Mode,"
+    " s.Product_Category) || ') is scored in the **' || upper(s.Risk_Tier) || '** risk tier, with a predicted delay"
+    " probability of ' || printf('%.1f', round_even(s.Predicted_Delay_Probability * 1e2 * 1e1, 0) / 1e1)"
+    " || '% and an expected delay of ' || printf('%.1f', round_even(s.Predicted_Delay_Days * 1e1, 0) / 1e1)"
+    " || ' day(s). Historically, shipments in the ' || s.Risk_Tier || ' tier were delayed '"
+    " || COALESCE(printf('%.1f', round_even(tr.rate * 1e1, 0) / 1e1) || '%', 'n/a') || ' of the time.',"
+    " 'Risk is primarily driven up by: ' || up.u || '.', 'Risk is partially offset by: ' || dn.d || '.', "
+    + _REC.replace("Risk_Tier", "s.Risk_Tier") + ") AS memo"
+    " FROM scored s LEFT JOIN up ON s.Order_ID = up.Order_ID LEFT JOIN dn ON s.Order_ID = dn.Order_ID"
+    " LEFT JOIN tr ON s.Risk_Tier = tr.Risk_Tier WHERE s.Risk_Tier IS NOT NULL"))
+def q_memo(spark, sf):
+    return xp.memos(sc.scored(spark, sf), _contrib(spark, sf), pf.tier_calibration(sc.scored(spark, sf)))
