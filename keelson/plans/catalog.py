@@ -424,3 +424,36 @@ def q_best_routes(spark, sf):
 def q_compare(spark, sf):
     return rt.compare_priorities(_totals(spark, sf), "Shanghai, CN", "Rotterdam, NL")
 
+
+
+# ---------------------------------------------------------------- K12: door-to-door
+DOOR_ORIGIN, DOOR_MODE, DOOR_CATEGORY, DOOR_PRIORITY = "Shanghai, CN", "Sea", "Consumer Electronics", "Balanced"
+
+
+def door_to_door(totals: DataFrame, legs: DataFrame) -> DataFrame:
+    """Trunk km (best route from the fixed origin to the arrival port) + road km per delivery.
+
+    Deliveries whose arrival port is the origin itself have no trunk leg (0 km)."""
+    t = totals.where((F.col("origin") == DOOR_ORIGIN) & (F.col("mode") == DOOR_MODE)
+                     & (F.col("category") == DOOR_CATEGORY) & (F.col("priority") == DOOR_PRIORITY)) \
+        .select(F.col("destination").alias("arrival_port"), "total_distance_km")
+    j = legs.where("ok").join(F.broadcast(t), "arrival_port", "left")  # at most 31 trunk rows
+    trunk = F.when(F.col("arrival_port") == DOOR_ORIGIN, F.lit(0.0)).otherwise(F.col("total_distance_km"))
+    return j.select("delivery_id", "arrival_port", F.round(trunk, 6).alias("trunk_km"),
+                    F.round(F.col("distance_km"), 6).alias("road_km"),
+                    F.round(trunk + F.col("distance_km"), 6).alias("door_to_door_km"))
+
+
+@register("door_to_door", orr.with_ctes(orr.BEST_CTES + f"""
+ , trunk AS (SELECT destination AS arrival_port, total_distance_km FROM totals WHERE origin = '{DOOR_ORIGIN}'
+   AND mode = '{DOOR_MODE}' AND category = '{DOOR_CATEGORY}' AND priority = '{DOOR_PRIORITY}'),
+ road AS (SELECT c_custkey AS delivery_id, p.port AS arrival_port, CAST((c_custkey * 37) % 250000 AS DOUBLE) / 1e3 AS road_km
+   FROM customer JOIN ports_dim p ON CAST(c_custkey % 31 AS INTEGER) = p.port_idx WHERE c_custkey % 13 <> 0)
+ SELECT r.delivery_id, r.arrival_port,
+   ROUND(CASE WHEN r.arrival_port = '{DOOR_ORIGIN}' THEN 0e0 ELSE t.total_distance_km END, 6) AS trunk_km,
+   ROUND(r.road_km, 6) AS road_km,
+   ROUND(CASE WHEN r.arrival_port = '{DOOR_ORIGIN}' THEN 0e0 ELSE t.total_distance_km END + r.road_km, 6) AS door_to_door_km
+ FROM road r LEFT JOIN trunk t ON r.arrival_port = t.arrival_port"""))
+def q_door(spark, sf):
+    from keelson.sources import landing, payloads
+    return door_to_door(_totals(spark, sf), payloads.decode_road_legs(landing.road_leg_payloads(spark, sf)))
