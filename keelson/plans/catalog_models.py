@@ -410,3 +410,41 @@ _REC = (f"CASE WHEN Risk_Tier IN ('High', 'Severe') THEN '{scoring.REC_HIGH}'"
     " LEFT JOIN tr ON s.Risk_Tier = tr.Risk_Tier WHERE s.Risk_Tier IS NOT NULL"))
 def q_memo(spark, sf):
     return xp.memos(sc.scored(spark, sf), _contrib(spark, sf), pf.tier_calibration(sc.scored(spark, sf)))
+
+
+# ---------------------------------------------------------------- G12: exact tree contributions
+from keelson.operators import tree_shap  # noqa: E402
+
+
+def _tree_contrib(spark, sf):
+    k = (spark.sparkContext.applicationId, sf, "tree_contrib")
+    if k not in _MODELS:
+        model = _model(spark, sf, "gbt")
+        long, bias = tree_shap.tree_contributions(model, sc.featured(spark, sf))
+        _MODELS[k] = (materialize(long, "tree-contrib"), bias)
+    return _MODELS[k]
+
+
+@register("tree_contributions", None)
+def q_tree_contrib(spark, sf):
+    """Log-odds contribution of every model feature for every shipment."""
+    return _tree_contrib(spark, sf)[0]
+
+
+@register("tree_contribution_additivity", None)
+def q_tree_additivity(spark, sf):
+    """G12 check: bias + sum of contributions equals the model's log-odds margin for every row."""
+    long, bias = _tree_contrib(spark, sf)
+    s = long.groupBy("Order_ID").agg(F.sum("value").alias("_sum"))
+    p = ml.positive_probability(_model(spark, sf, "gbt"), sc.featured(spark, sf).select(
+        "Order_ID", *FEATURES_NUMERIC, *FEATURES_CATEGORICAL), "p")
+    margin = F.log(F.col("p") / (F.lit(1.0) - F.col("p")))
+    j = s.join(p, "Order_ID")
+    return j.agg(F.count(F.lit(1)).alias("rows"), F.lit(bias).alias("bias"),
+                 F.max(F.abs(F.lit(bias) + F.col("_sum") - margin)).alias("max_abs_error"))
+
+
+@register("tree_global_importance", None)
+def q_tree_importance(spark, sf):
+    """G13 over the exact tree contributions (whole table, no sample)."""
+    return xp.global_importance(_tree_contrib(spark, sf)[0], 15)
