@@ -69,3 +69,34 @@ def test_stream_window_stats_equal_batch(spark):
     cols = sorted(want.columns)
     assert got.select(cols).exceptAll(want.select(cols)).count() == 0
     assert want.select(cols).exceptAll(got.select(cols)).count() == 0
+
+
+def test_stream_dedupe_and_alert_sinks(spark):
+    """P7 + P8: one reading per port per bucket; good readings and failures land in two sinks."""
+    from conftest import SMALL
+    from keelson.operators import portfolio as pf
+    from keelson.plans import scored as sc
+    from keelson.sources.landing import port_observations
+    from keelson.streaming.port_stream import alert_sink, one_per_bucket, read_observations
+    obs = port_observations(spark, SMALL).select("event_id", "port_idx", "obs_ts", "wave_height_m",
+                                                 "wind_speed_kmh", "ok", "port")
+    src = tempfile.mkdtemp(prefix="keelson-obs2-")
+    obs.write.mode("overwrite").parquet(src)
+    ck = tempfile.mkdtemp(prefix="keelson-ck2-")
+    q = (one_per_bucket(read_observations(spark, src, 1), "10 minutes").writeStream.format("memory")
+         .queryName("dedup_obs").option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.table("dedup_obs")
+    buckets = obs.select("port", F.window("obs_ts", "10 minutes").start.alias("b")).distinct().count()
+    assert got.count() == buckets
+    assert got.groupBy("port", "bucket").count().where("count > 1").count() == 0
+    out_a, out_f = tempfile.mkdtemp(prefix="keelson-alerts-"), tempfile.mkdtemp(prefix="keelson-failed-")
+    ck2 = tempfile.mkdtemp(prefix="keelson-ck3-")
+    stats = pf.port_statistics(sc.scored(spark, SMALL))
+    q2 = (read_observations(spark, src, 1).writeStream.foreachBatch(alert_sink(stats, out_a + "/a", out_f + "/f"))
+          .option("checkpointLocation", ck2).trigger(availableNow=True).start())
+    q2.awaitTermination(300)
+    a = spark.read.parquet(out_a + "/a")
+    f = spark.read.parquet(out_f + "/f")
+    assert a.count() == obs.where("ok").count() and f.count() == obs.where("not ok").count()
+    assert a.where(F.col("level").isNull()).count() == 0

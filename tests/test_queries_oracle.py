@@ -90,3 +90,13 @@ def test_anomaly_share(spark):
     a = entry.queries()["anomaly_scores"](spark, SMALL)
     n, k = a.count(), a.where("Is_Anomaly").count()
     assert abs(k - 0.05 * n) <= 1
+
+
+def test_tree_contributions_are_additive(spark):
+    r = entry.queries()["tree_contribution_additivity"](spark, SMALL).collect()[0]
+    assert r.rows > 0 and r.max_abs_error < 1e-9
+
+
+def test_model_quality_floor(spark):
+    rows = {r.model: r for r in entry.queries()["delay_model_auc"](spark, SMALL).collect()}
+    assert rows["boosted_trees"].roc_auc > 0.6 and rows["logistic"].roc_auc > 0.6
