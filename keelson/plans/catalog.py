@@ -457,3 +457,27 @@ def door_to_door(totals: DataFrame, legs: DataFrame) -> DataFrame:
 def q_door(spark, sf):
     from keelson.sources import landing, payloads
     return door_to_door(_totals(spark, sf), payloads.decode_road_legs(landing.road_leg_payloads(spark, sf)))
+
+
+# ---------------------------------------------------------------- D3, D4: request-path scoring
+@register("request_scores", with_ctes(REQUESTS_SQL.replace("FROM shipments)", "FROM shipments)", 1) + """,
+rates_req AS (SELECT r.Order_ID, r.External_Risk_Pressure,
+    COALESCE(CASE WHEN cr.n >= 100 THEN cr.rate END, rr.rate, g.rate) AS probability
+  FROM req_features r
+  LEFT JOIN combo_r cr ON r.Route_Type = cr.Route_Type AND r.Transportation_Mode = cr.Transportation_Mode
+       AND r.Product_Category = cr.Product_Category
+  LEFT JOIN route_r rr ON r.Route_Type = rr.Route_Type CROSS JOIN global_r g),
+sc_req AS (SELECT Order_ID, probability, probability * 8e0 AS expected_delay_days,
+    round_even((0.5e0 * probability + 0.3e0 * LEAST(GREATEST(probability * 8e0, 0e0) / 12e0, 1e0)
+      + 0.2e0 * LEAST(External_Risk_Pressure / 0.95e0, 1e0)) * 1e2 * 1e1, 0) / 1e1 AS risk_score FROM rates_req)
+ SELECT Order_ID, probability, expected_delay_days, risk_score,
+   CASE WHEN risk_score < 20 THEN 'Low' WHEN risk_score < 40 THEN 'Medium' WHEN risk_score < 65 THEN 'High'
+        ELSE 'Severe' END AS risk_tier FROM sc_req""", "rates"))
+def q_request_scores(spark, sf):
+    """D3 + D4: hypothetical shipments scored with fixed normalisers and the left-closed tier; the
+    probability is the request combo's fallback historical rate and expected days = 8 x probability."""
+    req = feat.request_features(shipment_requests(spark, sf))
+    p = rates.with_fallback_rate(req, sc.featured(spark, sf), out_col="probability")
+    p = p.withColumn("expected_delay_days", F.col("probability") * F.lit(8.0))
+    return scoring.score_requests(p).select("Order_ID", "probability", "expected_delay_days", "risk_score",
+                                            "risk_tier")

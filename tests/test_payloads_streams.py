@@ -100,3 +100,19 @@ def test_stream_dedupe_and_alert_sinks(spark):
     f = spark.read.parquet(out_f + "/f")
     assert a.count() == obs.where("ok").count() and f.count() == obs.where("not ok").count()
     assert a.where(F.col("level").isNull()).count() == 0
+
+
+def test_export_scored_csv_round_trip(spark):
+    """Filtered scored rows export with a header and read back whole."""
+    from conftest import SMALL
+    from keelson.operators.portfolio import faceted_filter
+    from keelson.plans import scored as sc
+    from keelson.sources.shipments import export_scored
+    df = faceted_filter(sc.scored(spark, SMALL), modes=["Sea"])
+    out = tempfile.mkdtemp(prefix="keelson-export-") + "/csv"
+    export_scored(df, out, fmt="csv")
+    back = spark.read.option("header", True).csv(out)
+    assert back.count() == df.count() and set(back.columns) == set(df.columns)
+    pq = tempfile.mkdtemp(prefix="keelson-export-") + "/pq"
+    export_scored(df, pq)
+    assert spark.read.parquet(pq).count() == df.count()
