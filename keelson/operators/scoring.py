@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.stats import exact_percentiles
+from keelson.functions.stats import exact_quantiles
 from keelson.functions.tiers import portfolio_tier, request_tier
 
 # Score weights and the request-path normalisers (~p99 of training data).
@@ -35,8 +35,7 @@ def portfolio_score(df: DataFrame, p: str = "Predicted_Delay_Probability",
     Adds ``Shipment_Risk_Score`` (1 dp), ``Risk_Score_Tenths`` (exact integer grid
     for order-independent sums) and ``Risk_Tier``.  A zero p99 gives a null score.
     """
-    q = exact_percentiles(df, days, {"_p99_days": 0.99}).crossJoin(
-        exact_percentiles(df, ext, {"_p99_ext": 0.99}))
+    q = exact_quantiles(df, {"_p99_days": (days, 0.99), "_p99_ext": (ext, 0.99)})
     d = df.crossJoin(F.broadcast(q))
     mag = _clip01(F.try_divide(F.col(days).cast("double"), F.col("_p99_days")))
     extn = _clip01(F.try_divide(F.col(ext).cast("double"), F.col("_p99_ext")))
