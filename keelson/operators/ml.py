@@ -131,15 +131,17 @@ def predict_days(model: PipelineModel, df: DataFrame, out: str = "Predicted_Dela
     return s.select(*df.columns, F.greatest(F.col("prediction"), F.lit(0.0)).alias(out))
 
 
-def _score_counts(df: DataFrame, score: str, label: str, buckets: int) -> DataFrame:
-    """Distinct scores with positive/negative counts, a range bucket, and exclusive prefix sums
-    (ascending score).  Prefix sums come from per-bucket totals (tiny) plus a window inside each
-    bucket, so no single task orders the whole table."""
-    g = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    mm = g.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    g = g.crossJoin(F.broadcast(mm)).withColumn(
-        "bucket", F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(buckets - 1), F.floor(
-            (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets))).otherwise(F.lit(0)))
+def _score_counts(df: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
+    """Distinct scores with positive/negative counts and exclusive prefix sums (ascending score).
+
+    Distinct scores are range-partitioned (sampled, balanced boundaries) and the partition
+    id is the bucket, so every bucket holds a similar number of distinct scores whatever their
+    distribution; prefix sums = per-bucket totals (tiny) + a window inside each bucket.
+    """
+    spark = df.sparkSession
+    n = buckets or max(2, 2 * spark.sparkContext.defaultParallelism)
+    g = (df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+         .repartitionByRange(n, score).withColumn("bucket", F.spark_partition_id()))
     bt = g.groupBy("bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select("bucket", F.coalesce(F.sum("bpos").over(wb), F.lit(0)).alias("pos_before_bucket"),
@@ -150,14 +152,14 @@ def _score_counts(df: DataFrame, score: str, label: str, buckets: int) -> DataFr
             .withColumn("pos_below", F.col("pos_before_bucket") + F.coalesce(F.sum("pos").over(wi), F.lit(0))))
 
 
-def roc_auc(df: DataFrame, score: str, label: str = LABEL, buckets: int = 4096) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str = LABEL, buckets: int | None = None) -> DataFrame:
     """ROC-AUC = P(score_pos > score_neg) + 0.5 P(tie) (equals the average-rank formula)."""
     c = _score_counts(df, score, label, buckets)
     return c.agg(((F.sum(F.col("pos") * F.col("neg_below")) + F.lit(0.5) * F.sum(F.col("pos") * F.col("neg")))
                   / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, score: str, label: str = LABEL, buckets: int = 4096) -> DataFrame:
+def average_precision(df: DataFrame, score: str, label: str = LABEL, buckets: int | None = None) -> DataFrame:
     """Step-wise AP = sum over thresholds (descending) of (recall gain) x precision."""
     c = _score_counts(df, score, label, buckets)
     tot = c.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
