@@ -116,3 +116,17 @@ def test_export_scored_csv_round_trip(spark):
     pq = tempfile.mkdtemp(prefix="keelson-export-") + "/pq"
     export_scored(df, pq)
     assert spark.read.parquet(pq).count() == df.count()
+
+
+def test_csv_scan_with_declared_schema(spark):
+    """A1: a landed shipments CSV read with the declared schema (no inference) keeps types and values."""
+    from conftest import SMALL
+    from keelson.plans import scored as sc
+    from keelson.sources.shipments import SHIPMENT_SCHEMA, read_shipments
+    base = sc.base_shipments(spark, SMALL)
+    out = tempfile.mkdtemp(prefix="keelson-csv-") + "/ship"
+    base.write.option("header", True).csv(out)
+    back = read_shipments(spark, out, "csv")
+    assert back.schema == SHIPMENT_SCHEMA
+    cols = [f.name for f in SHIPMENT_SCHEMA.fields if f.name != "Delivery_Status"]
+    assert back.select(cols).exceptAll(base.select(cols)).count() == 0
