@@ -39,9 +39,13 @@ SHIPMENT_COLS = ("Order_ID, Order_Date, Origin_City, Destination_City, Route_Typ
 
 
 # ---------------------------------------------------------------- A, B: scan + features
-@register("shipments_scan", with_ctes(f" SELECT {SHIPMENT_COLS} FROM shipments", "shipments"))
+# Date columns of registered outputs are rendered as ISO 'yyyy-MM-dd' text on both sides so
+# result comparison does not depend on how a client library maps DATE values.
+@register("shipments_scan", with_ctes(
+    " SELECT " + SHIPMENT_COLS.replace("Order_Date,", "strftime(Order_Date, '%Y-%m-%d') AS Order_Date,")
+    + " FROM shipments", "shipments"))
 def q_shipments(spark, sf):
-    return sc.base_shipments(spark, sf)
+    return sc.base_shipments(spark, sf).withColumn("Order_Date", F.date_format("Order_Date", "yyyy-MM-dd"))
 
 
 FEATURE_OUT = ("Order_ID, Delay_Days, Is_Delayed, Order_Month, Order_Quarter, Order_Year, Order_DayOfWeek, "

@@ -65,9 +65,10 @@ def _wx_merged(spark, sf):
     return wx.merge_weather(f, rows, landing.weather_requests(spark))
 
 
-@register("historical_weather_rows", with_ctes(WX_FLAT_SQL + " SELECT * FROM wx", "features"))
+@register("historical_weather_rows", with_ctes(
+    WX_FLAT_SQL + " SELECT * REPLACE (strftime(wx_date, '%Y-%m-%d') AS wx_date) FROM wx", "features"))
 def q_wx_rows(spark, sf):
-    return _wx_rows_ledger(spark, sf)[0]
+    return _wx_rows_ledger(spark, sf)[0].withColumn("wx_date", F.date_format("wx_date", "yyyy-MM-dd"))
 
 
 @register("weather_fetch_ledger", with_ctes(WX_FLAT_SQL + " SELECT * FROM wledger", "features"))
@@ -84,15 +85,19 @@ def q_wx_failures(spark, sf):
 
 
 @register("order_date_ranges", with_ctes(
-    " SELECT 'ALL' AS scope, MIN(Order_Date) AS min_date, MAX(Order_Date) AS max_date FROM features"
-    " UNION ALL SELECT Origin_City, MIN(Order_Date), MAX(Order_Date) FROM features GROUP BY Origin_City", "features"))
+    ", r AS (SELECT 'ALL' AS scope, MIN(Order_Date) AS min_date, MAX(Order_Date) AS max_date FROM features"
+    " UNION ALL SELECT Origin_City, MIN(Order_Date), MAX(Order_Date) FROM features GROUP BY Origin_City)"
+    " SELECT scope, strftime(min_date, '%Y-%m-%d') AS min_date, strftime(max_date, '%Y-%m-%d') AS max_date FROM r",
+    "features"))
 def q_date_ranges(spark, sf):
-    return wx.order_date_ranges(sc.featured(spark, sf))
+    return wx.order_date_ranges(sc.featured(spark, sf)).withColumns({
+        "min_date": F.date_format("min_date", "yyyy-MM-dd"), "max_date": F.date_format("max_date", "yyyy-MM-dd")})
 
 
-@register("weather_join", with_ctes(WX_FLAT_SQL + " SELECT * FROM wmerged", "features"))
+@register("weather_join", with_ctes(
+    WX_FLAT_SQL + " SELECT * REPLACE (strftime(Order_Date, '%Y-%m-%d') AS Order_Date) FROM wmerged", "features"))
 def q_wx_join(spark, sf):
-    return _wx_merged(spark, sf)
+    return _wx_merged(spark, sf).withColumn("Order_Date", F.date_format("Order_Date", "yyyy-MM-dd"))
 
 
 @register("weather_correlation", with_ctes(WX_FLAT_SQL + " SELECT * FROM wtable", "features"))
