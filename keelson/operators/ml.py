@@ -26,22 +26,13 @@ SEED = 42
 
 def feature_stages(numeric=FEATURES_NUMERIC, categorical=FEATURES_CATEGORICAL, out: str = "features") -> list:
     """Categorical index with the unknown slot = number of classes, one-hot, assemble."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc", handleInvalid="keep")
-           for c in categorical]
+    idx = StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__idx" for c in categorical],
+                        stringOrderType="alphabetAsc", handleInvalid="keep")   # one pass for all columns
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=[f"{c}__ohe" for c in categorical],
                         dropLast=True, handleInvalid="keep")
     asm = VectorAssembler(inputCols=list(numeric) + [f"{c}__ohe" for c in categorical], outputCol=out,
                           handleInvalid="keep")
-    return idx + [ohe, asm]
-
-
-def feature_names(model: PipelineModel, numeric=FEATURES_NUMERIC, categorical=FEATURES_CATEGORICAL) -> list[str]:
-    """Names in vector order: num__X and cat__Column_Value (the reference's naming)."""
-    names = [f"num__{c}" for c in numeric]
-    for st in model.stages:
-        if isinstance(st, type(model.stages[0])) and hasattr(st, "labels") and st.getInputCol() in categorical:
-            names += [f"cat__{st.getInputCol()}_{v}" for v in st.labels]
-    return names
+    return [idx, ohe, asm]
 
 
 def category_indices(df: DataFrame, categorical=FEATURES_CATEGORICAL) -> DataFrame:
