@@ -156,15 +156,16 @@ def all_pairs_best(weights: DataFrame, max_rounds: int = 8) -> DataFrame:
                 .select(*[F.col(f"x.{c}") for c in g], F.col("x.src"), F.col("y.dst"),
                         (F.col("x.cost") + F.col("y.cost")).alias("cost"),
                         (F.col("x.hops") + F.col("y.hops")).alias("hops"),
-                        F.concat(F.col("x.path"), F.slice(F.col("y.path"), 2, 1 << 20)).alias("path")))
-        nxt = (best.unionByName(comb).groupBy(*g, "src", "dst")
-               .agg(F.min(F.struct("cost", "hops", "path")).alias("b"))
-               .select(*g, "src", "dst", "b.cost", "b.hops", "b.path"))
+                        F.concat(F.col("x.path"), F.slice(F.col("y.path"), 2, 1 << 20)).alias("path"),
+                        F.lit(1).alias("is_new")))
+        # old rows carry is_new = 0, so an equal candidate keeps the old row and only a strictly
+        # better path marks the pair as changed: convergence is a scan, not a join
+        nxt = (best.withColumn("is_new", F.lit(0)).unionByName(comb).groupBy(*g, "src", "dst")
+               .agg(F.min(F.struct("cost", "hops", "path", "is_new")).alias("b"))
+               .select(*g, "src", "dst", "b.cost", "b.hops", "b.path", "b.is_new"))
         nxt = materialize(nxt, f"routes-r{r}")
-        changed = (nxt.alias("n").join(best.alias("o"), g + ["src", "dst"])
-                   .where((F.col("n.cost") != F.col("o.cost")) | (F.col("n.hops") != F.col("o.hops"))
-                          | (F.col("n.path") != F.col("o.path"))).limit(1).count())
-        best = nxt
+        changed = nxt.where(F.col("is_new") == 1).limit(1).count()
+        best = nxt.drop("is_new")
         if changed == 0:
             break
     return best
