@@ -5,6 +5,8 @@ on given scores, profiles on fixed cluster ids) have DuckDB twins."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from keelson.functions.features import FEATURES_CATEGORICAL, FEATURES_NUMERIC, request_features
@@ -20,7 +22,8 @@ from keelson.plans.materialize import materialize
 from keelson.plans.oracle import with_ctes
 from keelson.plans.registry import register
 
-N_TREES = 30          # registered/bench runs; the reference's 200 is the function default
+# registered/bench runs use 30 trees (KEELSON_GBT_TREES overrides); the fit functions default to 200
+N_TREES = int(os.environ.get("KEELSON_GBT_TREES", "30"))
 _MODELS: dict = {}
 
 

@@ -131,3 +131,37 @@ def test_csv_scan_with_declared_schema(spark):
     assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in SHIPMENT_SCHEMA]
     cols = [f.name for f in SHIPMENT_SCHEMA.fields if f.name != "Delivery_Status"]
     assert back.select(cols).exceptAll(base.select(cols)).count() == 0
+
+
+def test_refresh_stream_append_mode(spark):
+    """P6 in append mode: every emitted window equals its batch twin; only windows the watermark
+    has passed are emitted; a bad interval is refused."""
+    import pytest
+
+    from conftest import SMALL
+    from keelson.operators.conditions import window_stats
+    from keelson.sources.landing import port_observations
+    from keelson.streaming.port_stream import start_refresh_stream
+    obs = port_observations(spark, SMALL).select("event_id", "port_idx", "obs_ts", "wave_height_m",
+                                                 "wind_speed_kmh", "ok", "port")
+    src = tempfile.mkdtemp(prefix="keelson-obs3-") + "/landed"
+    # readings land in time order: three slices, each appended after the previous one
+    lo, hi = obs.agg(F.min("obs_ts"), F.max("obs_ts")).collect()[0]
+    step = (hi - lo) / 3
+    for i in range(3):
+        a, b = lo + step * i, (lo + step * (i + 1) if i < 2 else hi)
+        cond = (F.col("obs_ts") >= F.lit(a)) & ((F.col("obs_ts") < F.lit(b)) if i < 2 else (F.col("obs_ts") <= F.lit(b)))
+        obs.where(cond).coalesce(1).write.mode("append").parquet(src)
+    sink = tempfile.mkdtemp(prefix="keelson-sink-") + "/w"
+    ck = tempfile.mkdtemp(prefix="keelson-ck4-")
+    q = start_refresh_stream(spark, src, sink, ck, "10 minutes", available_now=True)
+    q.awaitTermination(300)
+    got = spark.read.parquet(sink)
+    want = window_stats(obs)
+    cols = sorted(want.columns)
+    assert got.count() > 0
+    assert got.select(cols).exceptAll(want.select(cols)).count() == 0
+    max_ts = obs.agg(F.max("obs_ts")).collect()[0][0]
+    assert got.where(F.col("window_end") > F.lit(max_ts)).count() == 0
+    with pytest.raises(ValueError):
+        start_refresh_stream(spark, src, sink, ck, "7 minutes")
