@@ -108,14 +108,15 @@ def fit_forest(df: DataFrame, n_trees: int = N_TREES, psi: int = PSI, seed: int
     rate = min(1.0, SAMPLE_ROWS / max(n, 1))
     z = _z(df, stats).select(key, *[f"z_{c}" for c in ANOMALY_NUMERIC])
     sample = z.where(md5_uniform(F.col(key), F.lit("iforest"), F.lit(seed)) < F.lit(rate))
-    trees = F.broadcast(spark.range(n_trees).withColumnRenamed("id", "tree_id"))
     # per tree: a Bernoulli pre-selection of ~3 psi sample rows, then its psi smallest hashes
     # (groups of ~3 psi rows; no sort over sample x trees)
     expected_sample = max(1.0, rate * n)
     keep = min(1.0, 3.0 * psi_eff / expected_sample)
     h = xxhash_uniform(F.col(key), F.col("tree_id"), F.lit(seed))
     w = Window.partitionBy("tree_id").orderBy("_h", key)
-    picked = (sample.crossJoin(trees).withColumn("_h", h).where(F.col("_h") < F.lit(keep))
+    per_tree = sample.withColumn("tree_id", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                                 F.lit(n_trees - 1).cast("bigint"))))
+    picked = (per_tree.withColumn("_h", h).where(F.col("_h") < F.lit(keep))
               .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi_eff))
     cols = [f"z_{c}" for c in ANOMALY_NUMERIC]
     nodes = (picked.select("tree_id", *cols).groupBy("tree_id")
