@@ -335,3 +335,16 @@ def q_tail(spark, sf):
     " GROUP BY 1, 2"))
 def q_hist(spark, sf):
     return ex.histograms(_sims(spark, sf))
+
+
+@register("board_exposure", with_ctes(
+    SIM_SQL + " SELECT ROUND((SELECT SUM(Predicted_Delay_Probability * Shipping_Cost_USD) FROM scored), 2)"
+    " AS exposed_value_usd, ROUND(quantile_cont(exposure_usd, 0.95), 2) AS bad_month_p95_usd,"
+    " ROUND(quantile_cont(exposure_usd, 0.99), 2) AS bad_month_p99_usd FROM simres"))
+def q_board_exposure(spark, sf):
+    """E1 with H2/H3: the board's 'value exposed to delay risk' and 'worst case in a bad month'
+    computed from the portfolio instead of the reference's two literals."""
+    e = ex.expectation(sc.scored(spark, sf)).select(F.round("expected_exposure_usd", 2).alias("exposed_value_usd"))
+    t = ex.tail_summary(_sims(spark, sf)).select(F.round("p95_exposure_usd", 2).alias("bad_month_p95_usd"),
+                                                 F.round("p99_exposure_usd", 2).alias("bad_month_p99_usd"))
+    return e.crossJoin(t)   # two 1-row results
