@@ -34,19 +34,25 @@ def exact_quantiles(df: DataFrame, specs: dict[str, tuple[str, float]], by: Sequ
                     accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Exact linear-interpolated quantiles; ``specs`` maps output name -> (column, q).
 
-    Nulls are ignored; a group whose column has no non-null value gives null.
+    A spec may be (column, q, "rank") to get the ceil(q * n)-th smallest value instead
+    (1-based order statistic, no interpolation).  Nulls are ignored; a group whose
+    column has no non-null value gives null.
     """
     by = list(by)
     names = list(specs)
     eps = 2.0 / accuracy
-    base = df.select(*by, *[F.col(c).cast("double").alias(f"_x{i}") for i, (c, _) in enumerate(specs.values())])
+    specs = {k: (v if len(v) == 3 else (*v, "linear")) for k, v in specs.items()}
+    base = df.select(*by, *[F.col(c).cast("double").alias(f"_x{i}") for i, (c, _, _) in enumerate(specs.values())])
     aggs = []
-    for i, (_, q) in enumerate(specs.values()):
+    for i, (_, q, _) in enumerate(specs.values()):
         aggs += [F.count(f"_x{i}").alias(f"_n{i}"),
                  F.percentile_approx(f"_x{i}", [max(0.0, q - eps), min(1.0, q + eps)], accuracy).alias(f"_b{i}")]
     stats = base.groupBy(*by).agg(*aggs)
-    for i, (_, q) in enumerate(specs.values()):
-        pos = F.lit(q) * (F.col(f"_n{i}") - 1)
+    for i, (_, q, mode) in enumerate(specs.values()):
+        if mode == "rank":
+            pos = F.greatest(F.ceil(F.lit(q) * F.col(f"_n{i}")) - 1, F.lit(0)).cast("double")
+        else:
+            pos = F.lit(q) * (F.col(f"_n{i}") - 1)
         stats = stats.withColumns({
             f"_lo{i}": F.col(f"_b{i}")[0], f"_hi{i}": F.col(f"_b{i}")[1],
             f"_klo{i}": F.floor(pos).cast("bigint"), f"_khi{i}": F.ceil(pos).cast("bigint"),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.features import FEATURES_CATEGORICAL, FEATURES_NUMERIC
-from keelson.operators.exposure import md5_uniform
+from keelson.functions.stats import exact_quantiles
 
 LABEL = "Is_Delayed"
 TEST_FRACTION = 0.2
@@ -68,13 +68,22 @@ def scaler_stats(df: DataFrame, cols) -> DataFrame:
                     F.when(F.col("s.std") > 0, F.col("s.std")).otherwise(F.lit(1.0)).alias("scale")))
 
 
-def split_flag(key: Column, seed: int = SEED, test_fraction: float = TEST_FRACTION) -> Column:
-    """Test when the hash uniform of (key, seed) < fraction; independent of partitioning/retries."""
-    return md5_uniform(key, F.lit("split"), F.lit(seed)) < F.lit(test_fraction)
+def split_uniform(key: Column, seed: int = SEED) -> Column:
+    """52-bit uniform from md5('key|split|seed'): reproducible, partition- and retry-independent."""
+    h = F.md5(F.concat_ws("|", key.cast("string"), F.lit("split"), F.lit(str(seed))))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
-def with_split(df: DataFrame, key: str = "Order_ID", seed: int = SEED) -> DataFrame:
-    return df.withColumn("is_test", split_flag(F.col(key), seed))
+def with_split(df: DataFrame, key: str = "Order_ID", seed: int = SEED, label: str = LABEL,
+               test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """Exact stratified split: per label, the ceil(fraction * n) rows with the smallest hash
+    uniform are the test set.  The per-label threshold is an exact order statistic from the
+    bracketed quantile helper, so no task ever orders a whole class."""
+    d = df.withColumn("_u", split_uniform(F.col(key), seed))
+    thr = exact_quantiles(d, {"_thr": ("_u", test_fraction, "rank")}, by=[label])
+    return (d.join(F.broadcast(thr), label, "left")   # one row per label value
+            .withColumn("is_test", F.coalesce(F.col("_u") <= F.col("_thr"), F.lit(False)))
+            .drop("_u", "_thr"))
 
 
 def with_class_weight(train: DataFrame, label: str = LABEL) -> DataFrame:

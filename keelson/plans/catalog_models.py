@@ -62,18 +62,23 @@ def q_scaler(spark, sf):
                     F.round("scale", 9).alias("scale"))
 
 
-_SPLIT_SQL = ("CAST(('0x' || substr(md5(CAST(Order_ID AS VARCHAR) || '|split|42'), 1, 8))::BIGINT AS DOUBLE)"
-              " / 4294967296e0 < 0.2e0")
+_U_SQL = ("CAST(('0x' || substr(md5(CAST(Order_ID AS VARCHAR) || '|split|42'), 1, 13))::BIGINT AS DOUBLE)"
+          " / 4503599627370496e0")
+# exact stratified split: per label the ceil(0.2 n) smallest uniforms (ties broken by id) are the test set
+_SPLIT_CTE = (", su AS (SELECT features.*, " + _U_SQL + " AS u FROM features),"
+              " sr AS (SELECT su.*, row_number() OVER (PARTITION BY Is_Delayed ORDER BY u, Order_ID) AS rn,"
+              " COUNT(*) OVER (PARTITION BY Is_Delayed) AS n FROM su),"
+              " split AS (SELECT sr.* EXCLUDE (u, rn, n), rn <= CAST(ceil(0.2e0 * n) AS BIGINT) AS is_test FROM sr)")
 
 
 @register("stratified_split_counts", with_ctes(
-    f" SELECT Is_Delayed, {_SPLIT_SQL} AS is_test, COUNT(*) AS n FROM features GROUP BY 1, 2", "features"))
+    _SPLIT_CTE + " SELECT Is_Delayed, is_test, COUNT(*) AS n FROM split GROUP BY 1, 2", "features"))
 def q_split(spark, sf):
     return ml.with_split(sc.featured(spark, sf)).groupBy("Is_Delayed", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("class_weight", with_ctes(
-    f", tr AS (SELECT * FROM features WHERE NOT ({_SPLIT_SQL}))"
+    _SPLIT_CTE + ", tr AS (SELECT * FROM split WHERE NOT is_test)"
     " SELECT COUNT(*) FILTER (WHERE Is_Delayed = 0) AS negatives, COUNT(*) FILTER (WHERE Is_Delayed = 1) AS positives,"
     " CAST(COUNT(*) FILTER (WHERE Is_Delayed = 0) AS DOUBLE) / GREATEST(COUNT(*) FILTER (WHERE Is_Delayed = 1), 1)"
     " AS pos_weight FROM tr", "features"))

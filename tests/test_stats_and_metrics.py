@@ -56,10 +56,21 @@ def test_auc_and_ap_brute_force(spark):
 def test_split_disjoint_and_stratified(spark):
     from conftest import SMALL
     from keelson.plans import scored as sc
+    import math
     f = ml.with_split(sc.featured(spark, SMALL))
     rows = f.groupBy("Is_Delayed", "is_test").count().collect()
     by = {(r.Is_Delayed, r.is_test): r["count"] for r in rows}
     for lab in (0, 1):
-        share = by[(lab, True)] / (by[(lab, True)] + by[(lab, False)])
-        assert 0.12 < share < 0.28
-    assert sum(by.values()) == f.count()
+        n = by[(lab, True)] + by[(lab, False)]
+        assert by[(lab, True)] == math.ceil(0.2 * n)       # exact per-class test size
+    assert sum(by.values()) == f.count()                   # exhaustive and disjoint
+
+
+def test_rank_mode_order_statistic(spark):
+    import math
+    rnd = random.Random(5)
+    for n in (1, 4, 37, 2500):
+        vals = [rnd.random() for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in vals], "x double")
+        got = exact_quantiles(df, {"k": ("x", 0.2, "rank")}, accuracy=300).collect()[0].k
+        assert got == sorted(vals)[max(math.ceil(0.2 * n) - 1, 0)]
