@@ -348,3 +348,36 @@ def q_board_exposure(spark, sf):
     t = ex.tail_summary(_sims(spark, sf)).select(F.round("p95_exposure_usd", 2).alias("bad_month_p95_usd"),
                                                  F.round("p99_exposure_usd", 2).alias("bad_month_p99_usd"))
     return e.crossJoin(t)   # two 1-row results
+
+
+# ---------------------------------------------------------------- K4: route edges with live port weather
+from keelson.operators import routes as rt  # noqa: E402
+from keelson.plans.catalog import _graphs  # noqa: E402
+from keelson.plans.oracle_routes import EDGE_CTES  # noqa: E402
+
+_COND_SQL = (", pagg AS (SELECT port_idx, COUNT(*) AS n_hours,"
+             " MAX(CASE WHEN rn = 1 THEN wave_height_m END) AS cw, MAX(CASE WHEN rn = 1 THEN wind_speed_kmh END) AS cv"
+             " FROM hseries GROUP BY port_idx),"
+             " pcond AS (SELECT p.port, LEAST(10e0, COALESCE(a.cw, 0e0) * 1.8e0 + COALESCE(a.cv, 0e0) / 15e0) AS reading"
+             " FROM ports_dim p JOIN pagg a ON p.port_idx = a.port_idx WHERE a.n_hours > 0),"
+             " we AS (SELECT e2.*, ra.reading AS ra, rb.reading AS rb FROM e2"
+             " LEFT JOIN pcond ra ON e2.a_port = ra.port LEFT JOIN pcond rb ON e2.b_port = rb.port),"
+             " we2 AS (SELECT we.*, CASE WHEN ra IS NULL AND rb IS NULL THEN 5e0 ELSE (COALESCE(ra, 0e0) + COALESCE(rb, 0e0))"
+             " / ((CASE WHEN ra IS NULL THEN 0 ELSE 1 END) + (CASE WHEN rb IS NULL THEN 0 ELSE 1 END)) END AS weather_risk FROM we),"
+             " wedges AS (SELECT we2.*, LEAST(GREATEST(COALESCE(CASE WHEN cr.n >= 100 THEN cr.rate END, rr.rate, g.rate)"
+             " + (weather_risk - 5e0) / 5e0 * 0.15e0, 0.01e0), 0.99e0) AS delay_probability"
+             " FROM we2 LEFT JOIN combo_r cr ON we2.route_type = cr.Route_Type AND we2.mode = cr.Transportation_Mode"
+             " AND we2.category = cr.Product_Category LEFT JOIN route_r rr ON we2.route_type = rr.Route_Type"
+             " CROSS JOIN global_r g)")
+
+
+@register("route_edges_live_weather", with_ctes(
+    OBS_SQL + EDGE_CTES + _COND_SQL + " SELECT mode, category, a_port, b_port, ROUND(weather_risk, 9) AS weather_risk,"
+    " ROUND(delay_probability, 9) AS delay_probability FROM wedges"))
+def q_edges_weather(spark, sf):
+    """K4 + K6: edge weather = mean over usable endpoint readings (P1 current conditions from the
+    observations), default 5.0, nudging the historical rate by a bounded amount."""
+    conds = cond.port_conditions(_obs(spark, sf), port_dim(spark))
+    e = rt.route_edges(port_dim(spark), _graphs(spark, sf), sc.featured(spark, sf), conditions=conds)
+    return e.select("mode", "category", "a_port", "b_port", F.round("weather_risk", 9).alias("weather_risk"),
+                    F.round("delay_probability", 9).alias("delay_probability"))
