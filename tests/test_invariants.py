@@ -41,3 +41,30 @@ def test_quantiles_with_a_hot_group(spark):
         vals = [x for kk, x in rows if kk == k]
         assert abs(got[k].p50 - np.quantile(vals, 0.5)) < 1e-12
         assert abs(got[k].p99 - np.quantile(vals, 0.99)) < 1e-12
+
+
+def test_identical_edges_normalise_to_zero(spark):
+    """K8: a graph whose edges are all identical gives Balanced weight 0."""
+    from keelson.operators.routes import priority_weights
+    e = spark.createDataFrame([("Sea", "A", i, i + 1, 100.0, 3.0, 4250.0, 0.2) for i in range(4)],
+                              "mode string, category string, a_port_idx int, b_port_idx int, distance_km double, "
+                              "transit_days double, cost_usd double, delay_probability double")
+    w = {r.priority: r.weight for r in priority_weights(e).collect()}
+    assert w["Balanced"] == 0.0 and w["Cheapest"] == 4250.0
+
+
+def test_identical_clusters_radar_half(spark):
+    """A measure constant across clusters scales to 0.5."""
+    from keelson.operators.clusters import RADAR_MEASURES, radar
+    prof = spark.createDataFrame([(c, *[1.0] * len(RADAR_MEASURES)) for c in range(3)],
+                                 "Cluster int, " + ", ".join(f"{m} double" for m in RADAR_MEASURES))
+    for r in radar(prof).collect():
+        assert all(r[f"{m}_norm"] == 0.5 for m in RADAR_MEASURES)
+
+
+def test_empty_portfolio_has_no_simulations(spark):
+    """H1: an empty (filtered) portfolio yields no simulation rows."""
+    from keelson.operators.exposure import simulate
+    s = pf.faceted_filter(sc.scored(spark, SMALL), modes=["Rail"])
+    assert simulate(s, 20, 42).count() == 0
+    assert simulate(sc.scored(spark, SMALL), 20, 42).count() == 20
