@@ -19,18 +19,30 @@ CONTRIB_DIGITS = 9
 def linear_contributions(df: DataFrame, features: list[str], label: str = "Is_Delayed",
                          key: str = "Order_ID") -> DataFrame:
     """(key, feature 'num__X', value) with value = corr(X, label) * (X - mean) / std_pop."""
+    return (linear_contribution_arrays(df, features, label, key)
+            .select(key, F.explode("contribs").alias("t")).select(key, "t.feature", "t.value", "t.x"))
+
+
+def linear_contribution_arrays(df: DataFrame, features: list[str], label: str = "Is_Delayed",
+                               key: str = "Order_ID") -> DataFrame:
+    """One row per input row: (key, contribs array<struct<feature, value, x>>)."""
+    return with_contribution_array(df.select(key, label, *features), features, label).select(key, "contribs")
+
+
+def with_contribution_array(df: DataFrame, features: list[str], label: str = "Is_Delayed") -> DataFrame:
+    """``df`` plus a ``contribs`` array column (1-row statistics broadcast; no shuffle of the rows)."""
     y = F.col(label).cast("double")
     st = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(f"_c{i}") for i, c in enumerate(features)],
                 *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(features)],
                 *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(features)])
-    d = df.select(key, *features).crossJoin(F.broadcast(st))
+    d = df.crossJoin(F.broadcast(st))
     parts = []
     for i, c in enumerate(features):
         scale = F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(F.lit(1.0))
         v = F.coalesce(F.col(f"_c{i}"), F.lit(0.0)) * ((F.col(c).cast("double") - F.col(f"_m{i}")) / scale)
         parts.append(F.struct(F.lit(f"num__{c}").alias("feature"), F.round(v, CONTRIB_DIGITS).alias("value"),
                               F.col(c).cast("double").alias("x")))
-    return d.select(key, F.explode(F.array(*parts)).alias("t")).select(key, "t.feature", "t.value", "t.x")
+    return d.withColumn("contribs", F.array(*parts)).drop(*[c for c in st.columns])
 
 
 def global_importance(contrib: DataFrame, top: int = 15) -> DataFrame:
@@ -40,8 +52,30 @@ def global_importance(contrib: DataFrame, top: int = 15) -> DataFrame:
             .select(clean_feature_label(F.col("feature")).alias("label"), "feature", "mean_abs"))
 
 
+def _by_abs_desc(a, b):
+    return (F.when(F.abs(a["value"]) > F.abs(b["value"]), -1).when(F.abs(a["value"]) < F.abs(b["value"]), 1)
+            .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
+
+
+def _by_value(a, b):
+    return (F.when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1)
+            .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
+
+
+def top_drivers_rowwise(arrays: DataFrame, k: int = 10, key: str = "Order_ID") -> DataFrame:
+    """G14 without a shuffle: each row's contribution array is sorted in place (|value| desc,
+    then feature), cut to k, re-sorted by signed value, and exploded."""
+    top = F.slice(F.array_sort("contribs", _by_abs_desc), 1, k)
+    ranked = F.transform(top, lambda s, i: F.struct(s["feature"].alias("feature"), s["value"].alias("value"),
+                                                    (i + 1).cast("bigint").alias("abs_rank")))
+    signed = F.array_sort(ranked, _by_value)
+    return (arrays.select(key, F.posexplode(signed).alias("pos", "t"))
+            .select(key, F.col("t.abs_rank").alias("abs_rank"), (F.col("pos") + 1).cast("bigint").alias("signed_rank"),
+                    clean_feature_label(F.col("t.feature")).alias("label"), F.col("t.value").alias("value")))
+
+
 def top_drivers(contrib: DataFrame, k: int = 10, key: str = "Order_ID") -> DataFrame:
-    """Per row the k largest |contribution|, reported with their signed order."""
+    """G14 over a long contribution table (e.g. tree contributions): per-row window."""
     w = Window.partitionBy(key).orderBy(F.desc(F.abs("value")), "feature")
     top = contrib.withColumn("abs_rank", F.row_number().over(w)).where(F.col("abs_rank") <= k)
     w2 = Window.partitionBy(key).orderBy("value", "feature")
@@ -59,11 +93,13 @@ def beeswarm(contrib: DataFrame, top: int = 12, key: str = "Order_ID") -> DataFr
         F.round((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1e-9)), 9).alias("color_value"))
 
 
-def memos(scored: DataFrame, contrib: DataFrame, tier_rates: DataFrame, key: str = "Order_ID") -> DataFrame:
-    """D7 for every shipment: top-3 drivers, the tier's historical delay rate (E4), recommendation."""
-    arr = contrib.groupBy(key).agg(F.collect_list(F.struct("feature", "value")).alias("contribs"))
+def memos(with_contribs: DataFrame, tier_rates: DataFrame, key: str = "Order_ID") -> DataFrame:
+    """D7 for every shipment: top-3 drivers, the tier's historical delay rate (E4), recommendation.
+
+    ``with_contribs`` is the scored table with its ``contribs`` array column, so each memo is built
+    row-locally; only the 4-row tier-rate table is joined (broadcast)."""
     rates = F.broadcast(tier_rates.select("Risk_Tier", (F.col("delay_rate") * F.lit(100.0)).alias("_rate_pct")))
-    d = scored.join(arr, key).join(rates, "Risk_Tier", "left")
+    d = with_contribs.join(rates, "Risk_Tier", "left")
     desc = F.concat_ws(", ", F.col("Route"), F.col("Transportation_Mode"), F.col("Product_Category"))
     memo = underwriting_memo(desc, F.col("Risk_Tier"), F.col("Predicted_Delay_Probability"),
                              F.col("Predicted_Delay_Days"), F.col("_rate_pct"), F.col("contribs"))

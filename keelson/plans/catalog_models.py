@@ -381,8 +381,8 @@ def q_global_importance(spark, sf):
     " SELECT Order_ID, abs_rank, row_number() OVER (PARTITION BY Order_ID ORDER BY value, feature) AS signed_rank,"
     f" {_label_sql('feature')} AS label, value FROM t"))
 def q_top_drivers(spark, sf):
-    return xp.top_drivers(_contrib(spark, sf), 10).withColumn("abs_rank", F.col("abs_rank").cast("bigint")) \
-        .withColumn("signed_rank", F.col("signed_rank").cast("bigint"))
+    arrays = xp.linear_contribution_arrays(sc.scored(spark, sf), _F)
+    return xp.top_drivers_rowwise(arrays, 10)
 
 
 @register("beeswarm", with_ctes(
@@ -417,7 +417,8 @@ _REC = (f"CASE WHEN Risk_Tier IN ('High', 'Severe') THEN '{scoring.REC_HIGH}'"
     " FROM scored s LEFT JOIN up ON s.Order_ID = up.Order_ID LEFT JOIN dn ON s.Order_ID = dn.Order_ID"
     " LEFT JOIN tr ON s.Risk_Tier = tr.Risk_Tier WHERE s.Risk_Tier IS NOT NULL"))
 def q_memo(spark, sf):
-    return xp.memos(sc.scored(spark, sf), _contrib(spark, sf), pf.tier_calibration(sc.scored(spark, sf)))
+    s = sc.scored(spark, sf)
+    return xp.memos(xp.with_contribution_array(s, _F), pf.tier_calibration(s))
 
 
 # ---------------------------------------------------------------- G12: exact tree contributions
