@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from keelson.llm import warc
 from keelson.llm.sharding import op9_jump_consistent_sharding
+from keelson.llm.simhash import op7_simhash_tiles
 
 QUERIES = {
+    "op1_warc_chunk_table": warc.op1_warc_chunk_table,
+    "op7_simhash_tiles": op7_simhash_tiles,
     "op9_jump_consistent_sharding": op9_jump_consistent_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_chunk_table": warc.SQL,
+}
