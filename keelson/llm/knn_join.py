@@ -181,11 +181,11 @@ def op10_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
      q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 50 = 0),
      s AS (SELECT query_id, vec_id,
-                  list_sum(list_transform(list_zip(qv, v), p -> p[1] * p[2]))::BIGINT AS score
+                  list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2]))::BIGINT AS score
            FROM q JOIN e ON vec_id <> query_id),
      r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

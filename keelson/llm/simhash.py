@@ -87,7 +87,8 @@ def stars(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Star edges among the distinct fingerprints of two tiles (uint64; b may be a itself)."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    held, offset = 0, 0 if b is a else len(a)
+    values = a if b is a else np.concatenate((a, b))
+    held, offset = 0, len(values) - len(b)
     for at in range(0, len(a), rows):
         near = np.bitwise_count(a[at:at + rows, None] ^ b[None, :]) <= radius
         if b is a or near.any():
@@ -99,12 +100,11 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 32) -> tup
                 found.append((i[apart], j[apart]))
                 held += int(apart.sum())
         if held > LINK_BLOCK:
-            found = [stars(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), len(a) + offset)]
+            found = [stars(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), len(values))]
             held = len(found[0][0])
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    u, v = stars(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), len(a) + offset)
-    values = a if b is a else np.concatenate((a, b))
+    u, v = stars(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), len(values))
     return values[u], values[v]
 
 
