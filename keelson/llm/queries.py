@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from keelson.llm import warc
+from keelson.llm import knn_join, warc
+from keelson.llm.langid import op5_byte_cnn_langid
 from keelson.llm.sharding import op9_jump_consistent_sharding
 from keelson.llm.simhash import op7_simhash_tiles
 
 QUERIES = {
     "op1_warc_chunk_table": warc.op1_warc_chunk_table,
+    "op5_byte_cnn_langid": op5_byte_cnn_langid,
     "op7_simhash_tiles": op7_simhash_tiles,
     "op9_jump_consistent_sharding": op9_jump_consistent_sharding,
+    "op10_voronoi_knn": knn_join.op10_voronoi_knn,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_chunk_table": warc.SQL,
+    "op10_voronoi_knn": knn_join.SQL,
 }
