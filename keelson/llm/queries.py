@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from keelson.llm import knn_join, warc
 from keelson.llm.langid import op5_byte_cnn_langid
+from keelson.llm.pii import op8_contextual_pii
 from keelson.llm.sharding import op9_jump_consistent_sharding
 from keelson.llm.simhash import op7_simhash_tiles
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_warc_chunk_table": warc.op1_warc_chunk_table,
     "op5_byte_cnn_langid": op5_byte_cnn_langid,
     "op7_simhash_tiles": op7_simhash_tiles,
+    "op8_contextual_pii": op8_contextual_pii,
     "op9_jump_consistent_sharding": op9_jump_consistent_sharding,
     "op10_voronoi_knn": knn_join.op10_voronoi_knn,
 }
