@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from keelson.llm import knn_join, warc
+from keelson.llm.decontam import op3_bmw_decontamination
 from keelson.llm.langid import op5_byte_cnn_langid
 from keelson.llm.pii import op8_contextual_pii
 from keelson.llm.sharding import op9_jump_consistent_sharding
@@ -10,6 +11,7 @@ from keelson.llm.simhash import op7_simhash_tiles
 
 QUERIES = {
     "op1_warc_chunk_table": warc.op1_warc_chunk_table,
+    "op3_bmw_decontamination": op3_bmw_decontamination,
     "op5_byte_cnn_langid": op5_byte_cnn_langid,
     "op7_simhash_tiles": op7_simhash_tiles,
     "op8_contextual_pii": op8_contextual_pii,
