@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from keelson.llm import knn_join, warc
+from keelson.llm import chat, knn_join, warc
 from keelson.llm.decontam import op3_bmw_decontamination
 from keelson.llm.langid import op5_byte_cnn_langid
+from keelson.llm.packing import op4_conflict_best_fit
 from keelson.llm.pii import op8_contextual_pii
 from keelson.llm.sharding import op9_jump_consistent_sharding
 from keelson.llm.simhash import op7_simhash_tiles
 
 QUERIES = {
     "op1_warc_chunk_table": warc.op1_warc_chunk_table,
+    "op2_snapshot_collapse": chat.op2_snapshot_collapse,
     "op3_bmw_decontamination": op3_bmw_decontamination,
+    "op4_conflict_best_fit": op4_conflict_best_fit,
     "op5_byte_cnn_langid": op5_byte_cnn_langid,
     "op7_simhash_tiles": op7_simhash_tiles,
     "op8_contextual_pii": op8_contextual_pii,
@@ -21,5 +24,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_chunk_table": warc.SQL,
+    "op2_snapshot_collapse": chat.SQL,
     "op10_voronoi_knn": knn_join.SQL,
 }
