@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.plans.materialize import materialize
 
-__all__ = ["materialize", "table", "text_bytes", "parallelism", "b32_sha1"]
+__all__ = ["b32_sha1", "drop_rows", "materialize", "parallelism", "table", "text_bytes", "text_key"]
 
 #: RFC 4648 base32 alphabet, and the digits that ``conv(..., 32)`` writes for the same values (fixed values)
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -32,3 +32,14 @@ def b32_sha1(payload: Column) -> Column:
     digits = F.sha1(payload)
     groups = [F.lpad(F.conv(F.substring(digits, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
     return F.translate(F.concat(*groups), CONV32, BASE32)
+
+
+def text_key() -> Column:
+    """Digest of a row's text: with doc_id it names a row (rows equal in both are decided alike)."""
+    return F.md5(text_bytes(F.col("text")))
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text key are in ``keys`` (doc_id, th; written, so its size is known)."""
+    gone = keys.select(F.col("doc_id").alias("_kl_id"), F.col("th").alias("_kl_th"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_kl_id")) & (text_key() == F.col("_kl_th")), "left_anti")

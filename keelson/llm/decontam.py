@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import materialize, table
+from keelson.llm.common import drop_rows, materialize, table, text_key
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -43,7 +43,8 @@ MIN_STRIDE = 64
 TEXT_BLOCK = 1 << 14
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
-SCHEMA = "doc_id bigint, item_id bigint, first_word bigint, score double, question_overlap double, answer_overlap double"
+SCHEMA = "doc_id bigint, th string, item_id bigint, first_word bigint, score double, question_overlap double, answer_overlap double"
+TYPES = {n: {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[t] for n, t in (c.split() for c in SCHEMA.split(", "))}
 
 
 def words(text: str | None) -> list[str]:
@@ -166,8 +167,7 @@ class Index:
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """doc_id, item_id, the passage's first word, its BM25 score and both overlaps: the best passage of each verified pair."""
-    spark = docs.sparkSession
+    """doc_id, th (the text's key), item_id, the passage's first word, its BM25 score and both overlaps: the best passage of each verified pair."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     shards = max(1, -(-items.count() // shard_items))
     out = None
@@ -176,25 +176,23 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, shard_items: int =
         index = Index(sorted(((r.item_id, r.text) for r in part.collect()), key=str))  # about shard_items rows
 
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
+            names = list(TYPES)
             for batch in batches:
                 rows = []
-                for d, t in zip(batch.column(0), batch.column(1)):
-                    rows += [(d.as_py(), index.ids[i], *m) for i, m in sorted(index.matches(t.as_py()).items())]
+                for d, th, t in zip(batch.column(0), batch.column(1), batch.column(2)):
+                    rows += [(d.as_py(), th.as_py(), index.ids[i], *m) for i, m in sorted(index.matches(t.as_py()).items())]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names).cast(
-                        pa.schema([(n, pa.int64() if k < 3 else pa.float64()) for k, n in enumerate(names)]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, TYPES[n]) for n, c in zip(names, zip(*rows))], names=names)
 
-        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(search, SCHEMA)
+        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(search, SCHEMA)
         out = found if out is None else out.unionAll(found)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
-    leaks = materialize(contaminated_pairs(docs, benchmark).select(F.col("doc_id").alias("_leak_id")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak_id")), "left_anti")
+    return drop_rows(docs, materialize(contaminated_pairs(docs, benchmark).select("doc_id", "th").distinct(), "leaks"))
 
 
 def op3_bmw_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import table, text_bytes
+from keelson.llm.common import drop_rows, materialize, table, text_bytes, text_key
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -35,6 +35,8 @@ BATCH = 128
 RATE = 0.02
 SEED = 42
 UNDETERMINED = "und"
+#: a text whose best language is less likely than this is rejected by the filter
+MIN_SCORE = 0.5
 #: windows pushed through the network at once: bounds the memory that a very long text takes
 BLOCK = 256
 
@@ -198,9 +200,10 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Network | None:
     return train(np.concatenate((x, short)), np.concatenate((labels, labels)), langs, np.concatenate((weights, weights)))
 
 
-def identify(docs: DataFrame, net: Network | None, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """doc_id with the predicted language and its probability, for every row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), has_letter(F.col("text")).alias("letters"), text_bytes(F.col("text")).alias("b"))
+def identify(docs: DataFrame, net: Network | None) -> DataFrame:
+    """doc_id, th (the text's key), the predicted language and its probability, for every row of ``docs``."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), has_letter(F.col("text")).alias("letters"),
+                       text_bytes(F.col("text")).alias("b"), text_key().alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else {}
@@ -212,9 +215,16 @@ def identify(docs: DataFrame, net: Network | None, lang_col: str = "lang_pred",
                 p = predict(net, [batch.column(2)[int(i)].as_py() for i in at], tables)
                 best = p.argmax(axis=1)
                 lang[at], score[at] = np.array(net.langs, object)[best], p[np.arange(len(at)), best]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score)],
-                                             names=["doc_id", lang_col, score_col])
-    return rows.mapInArrow(run, f"doc_id bigint, {lang_col} string, {score_col} double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(lang.tolist(), pa.string()), pa.array(score)],
+                                             names=["doc_id", "th", "lang_pred", "score"])
+    return rows.mapInArrow(run, "doc_id bigint, th string, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """``docs`` without the rows that are ``und`` or whose best language has less than ``min_score``."""
+    net = fit(docs)
+    rejected = identify(docs, net).where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_score))
+    return drop_rows(docs, materialize(rejected.select("doc_id", "th").distinct(), "rejected"))
 
 
 def op5_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

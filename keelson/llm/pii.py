@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import materialize, table
+from keelson.llm.common import materialize, table, text_key
 
 KINDS = ("email", "ip", "card", "phone", "id")
 WS = r"\x20\x09-\x0D"
@@ -103,7 +103,7 @@ def base_table(docs: DataFrame) -> DataFrame:
     """doc_id, th (a digest of the text), the base spans of each kind and the candidates: one scan, no text kept."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    return rows.select("doc_id", F.md5("text").alias("th"), *[kind_spans(F.col("text"), k).alias(k) for k in KINDS[:4]],
+    return rows.select("doc_id", text_key().alias("th"), *[kind_spans(F.col("text"), k).alias(k) for k in KINDS[:4]],
                        _candidates(F.col("text")).alias("candidates"))
 
 
@@ -173,15 +173,15 @@ def _joined(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
+def _with_found(rows: DataFrame, found: DataFrame, key: Column) -> DataFrame:
     found = found.select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_th"), F.col("found").alias("_pii_found"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.col("th") == F.col("_pii_th")), "left")
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (key == F.col("_pii_th")), "left")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, the count of each base kind and of ids, the digest of the base spans, and all spans."""
     base = materialize(base_table(docs), "pii-base")
-    rows = _with_found(base, discover(docs, base))
+    rows = _with_found(base, discover(docs, base), F.col("th"))
     basic = F.concat(*KINDS[:4])
     every = F.concat(basic, F.coalesce("_pii_found", F.array().cast(SPAN)))
     return rows.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS[:4]],
@@ -194,9 +194,6 @@ def redact(docs: DataFrame) -> DataFrame:
     base = materialize(base_table(docs), "pii-base")
     found = discover(docs, base)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("th", F.md5(text)) if "th" not in docs.columns else None
-    if rows is None:
-        raise ValueError("a column named th is in the way")
     spans = F.array_sort(F.concat(*[kind_spans(text, k) for k in KINDS[:4]], F.coalesce("_pii_found", F.array().cast(SPAN))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
@@ -206,7 +203,7 @@ def redact(docs: DataFrame) -> DataFrame:
             F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out")))
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     clean = F.aggregate("_pii_spans", zero, step, lambda a: F.concat(a["out"], F.substr(text, a["pos"] + 1, F.length(text))))
-    rows = _with_found(rows, found).withColumn("_pii_spans", spans)
+    rows = _with_found(docs, found, text_key()).withColumn("_pii_spans", spans)
     return rows.withColumn("text", F.when(F.size("_pii_spans") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
 
 

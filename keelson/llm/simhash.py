@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import materialize, parallelism, table, text_bytes
+from keelson.llm.common import drop_rows, materialize, parallelism, table, text_bytes, text_key
 from keelson.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -55,13 +55,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit value."""
+    """doc_id, th (the text's key) and fp, the fingerprint as a signed 64-bit value."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes(F.col("text")).alias("text"), text_key().alias("th"))
+    return rows.mapInArrow(run, "doc_id bigint, th string, fp bigint")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -142,16 +142,33 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (hex), fp and component_id: the least doc_id that links reach."""
+    """doc_id, th, fingerprint (hex), component_id (the least doc_id that links reach) and root (the component's least fingerprint)."""
     rows = materialize(with_fingerprints(docs, shingle), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
     linked = connected_components(near_links(fps.select("fp"), radius))
     linked = materialize(linked, "fp-components")
     joined = fps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = materialize(joined.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"), "fp-roots")
-    named = materialize(joined.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "fp-names")
+    named = materialize(joined.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id"), "fp-names")
     return rows.join(named, F.col("fp") == F.col("f"), "left").select(
-        "doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", "fp")
+        "doc_id", "th", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", "root")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each component: that with the least doc_id (then the least text key; null ids last)."""
+    rows = materialize(simhash_components(docs, shingle, radius).select("doc_id", "th", "root"), "near-duplicates")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "th")).alias("k"))
+    best = materialize(best.select(F.col("root").alias("r"), "k.doc_id", "k.th"), "near-best").withColumnsRenamed({"doc_id": "b_id", "th": "b_th"})
+    stays = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("th") == F.col("b_th"))
+    gone = materialize(rows.join(best, F.col("root") == F.col("r")).where(~stays).select("doc_id", "th").distinct(), "near-gone")
+    # a kept row that is repeated as it stands is kept once
+    again = materialize(rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "th"), "near-again")
+    left = drop_rows(docs, gone)
+    if again.isEmpty():
+        return left
+    keys = again.select(F.col("doc_id").alias("_kl_id"), F.col("th").alias("_kl_th"))
+    once = left.withColumn("_kl_key", text_key()).join(keys, F.col("doc_id").eqNullSafe(F.col("_kl_id")) & (F.col("_kl_key") == F.col("_kl_th")), "left_semi")
+    return drop_rows(left, again).unionAll(once.dropDuplicates(["doc_id", "_kl_key"]).drop("_kl_key"))
 
 
 def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
