@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, knn_join, warc
+from keelson.llm import chat, knn_join, recompression, warc
 from keelson.llm.decontam import op3_bmw_decontamination
 from keelson.llm.langid import op5_byte_cnn_langid
 from keelson.llm.packing import op4_conflict_best_fit
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_bmw_decontamination": op3_bmw_decontamination,
     "op4_conflict_best_fit": op4_conflict_best_fit,
     "op5_byte_cnn_langid": op5_byte_cnn_langid,
+    "op6_recompression_dedup": recompression.op6_recompression_dedup,
     "op7_simhash_tiles": op7_simhash_tiles,
     "op8_contextual_pii": op8_contextual_pii,
     "op9_jump_consistent_sharding": op9_jump_consistent_sharding,
@@ -25,5 +26,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_chunk_table": warc.SQL,
     "op2_snapshot_collapse": chat.SQL,
+    "op6_recompression_dedup": recompression.SQL,
     "op10_voronoi_knn": knn_join.SQL,
 }
