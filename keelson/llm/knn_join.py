@@ -163,9 +163,10 @@ def voronoi_top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY
                     out["vec_id"].append(None if x == math.inf else x)
                     out["score"].append(-score)
         got = pd.DataFrame(out)
-        got["v"] = [q["v"].iloc[i] for i in out["row"]] if len(got) else []
+        got["v"] = pd.Series([q["v"].iloc[i] for i in out["row"]], dtype=object)
         got["vec_id"] = pd.array(out["vec_id"], dtype="Int64")
-        return got[["query_id", "v", "vec_id", "score"]]
+        got = got[["query_id", "v", "vec_id", "score"]]
+        return got if len(got) else pd.DataFrame()  # an empty column of vectors has no type to convert
 
     n_parts = parallelism(spark)
     pairs = (asked.repartition(n_parts, *key).groupBy(*key).cogroup(sent.repartition(n_parts, *key).groupBy(*key))
