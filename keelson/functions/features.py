@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.stats import exact_percentiles
+from keelson.plans.materialize import materialize
 
 # Model feature lists (numeric, categorical) and the outcome columns
 # that must never be used as features.
@@ -66,7 +67,7 @@ def engineer_features(df: DataFrame) -> DataFrame:
         "External_Risk_Pressure": external_pressure(F.col("Geopolitical_Risk_Index"),
                                                     F.col("Weather_Severity_Index")),
     })
-    med = exact_percentiles(d, "_cpk", {"_cpk_median": 0.5})
+    med = materialize(exact_percentiles(d, "_cpk", {"_cpk_median": 0.5}), "cost-median")
     return (d.crossJoin(F.broadcast(med))
             .withColumn("Cost_Per_Kg", F.coalesce(F.col("_cpk"), F.col("_cpk_median")))
             .drop("_cpk", "_cpk_median"))

@@ -1,8 +1,8 @@
 """Isolation-forest anomalies (U1-U5; Liu, Ting, Zhou 2008).
 
-Fit: standardise the 8 features (population std); draw one hash sample of the
-table (bounded size), give each tree its own psi rows by a per-tree hash order,
-and build all trees in parallel with ``groupBy(tree_id).applyInPandas``.  The
+Fit: standardise the 8 features (population std); every tree draws its own psi
+rows from the whole table by a per-(row, tree) hash, and all trees are built in
+parallel with ``groupBy(tree_id).applyInPandas``.  The
 forest is a small node table (<= trees x (2 psi - 1) rows), a fitted model.
 Score: ``mapInPandas`` walks every tree for a whole Arrow batch at once (numpy,
 no per-row Python), then score = s - p95(s) with the exact quantile helper.
@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.stats import exact_percentiles
-from keelson.operators.exposure import md5_uniform, xxhash_uniform
+from keelson.operators.exposure import xxhash_uniform
+from keelson.plans.materialize import materialize
 
 # Anomaly feature list, forest size, sub-sample size, contamination.
 ANOMALY_NUMERIC = [
@@ -29,7 +30,6 @@ ANOMALY_NUMERIC = [
 N_TREES = 200
 PSI = 256
 CONTAMINATION = 0.05
-SAMPLE_ROWS = 20_000
 NODE_SCHEMA = ("tree_id long, node_id int, feature int, threshold double, left_child int, right_child int, "
                "size int, depth int")
 
@@ -100,27 +100,25 @@ def _z(df: DataFrame, stats: DataFrame, cols=ANOMALY_NUMERIC) -> DataFrame:
 def fit_forest(df: DataFrame, n_trees: int = N_TREES, psi: int = PSI, seed: int = 42,
                key: str = "Order_ID") -> Forest:
     """Trees over hash-chosen sub-samples, built in parallel."""
-    spark: SparkSession = df.sparkSession
     stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in ANOMALY_NUMERIC],
                    *[F.stddev_pop(c).alias(f"_s_{c}") for c in ANOMALY_NUMERIC])
+    stats = materialize(stats, "iforest-scaler")
     n = df.count()
     psi_eff = max(1, min(psi, n))
-    rate = min(1.0, SAMPLE_ROWS / max(n, 1))
     z = _z(df, stats).select(key, *[f"z_{c}" for c in ANOMALY_NUMERIC])
-    sample = z.where(md5_uniform(F.col(key), F.lit("iforest"), F.lit(seed)) < F.lit(rate))
-    # per tree: a Bernoulli pre-selection of ~3 psi sample rows, then its psi smallest hashes
-    # (groups of ~3 psi rows; no sort over sample x trees)
-    expected_sample = max(1.0, rate * n)
-    keep = min(1.0, 3.0 * psi_eff / expected_sample)
-    h = xxhash_uniform(F.col(key), F.col("tree_id"), F.lit(seed))
+    # per tree: a Bernoulli draw of ~3 psi rows of the whole table, then its psi smallest hashes;
+    # the draw is a filter inside the row, so only kept (row, tree) pairs are made
+    keep = min(1.0, 3.0 * psi_eff / max(1, n))
+    trees = F.sequence(F.lit(0).cast("bigint"), F.lit(n_trees - 1).cast("bigint"))
+    drawn = F.filter(trees, lambda t: xxhash_uniform(F.col(key), t, F.lit(seed)) < F.lit(keep))
     w = Window.partitionBy("tree_id").orderBy("_h", key)
-    per_tree = sample.withColumn("tree_id", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                                 F.lit(n_trees - 1).cast("bigint"))))
-    picked = (per_tree.withColumn("_h", h).where(F.col("_h") < F.lit(keep))
+    picked = (z.withColumn("tree_id", F.explode(drawn))
+              .withColumn("_h", xxhash_uniform(F.col(key), F.col("tree_id"), F.lit(seed)))
               .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi_eff))
     cols = [f"z_{c}" for c in ANOMALY_NUMERIC]
     nodes = (picked.select("tree_id", *cols).groupBy("tree_id")
              .applyInPandas(_build_tree(seed, cols), NODE_SCHEMA))
+    nodes = materialize(nodes, "iforest-nodes")   # the fitted model: built once
     return Forest(nodes=nodes, means=stats, psi=psi_eff)
 
 
@@ -146,14 +144,15 @@ def _pack(nodes_pdf: pd.DataFrame):
     return feat, thr, left, right, base
 
 
-def path_scores(df: DataFrame, forest: Forest, key: str = "Order_ID") -> DataFrame:
-    """U2 (first half): s = 2^(-E[h(x)] / c(psi)) for every row of ``df``."""
+def path_scores(df: DataFrame, forest: Forest, carry: tuple[str, ...] = ("Order_ID",)) -> DataFrame:
+    """U2 (first half): s = 2^(-E[h(x)] / c(psi)) for every row of ``df``, with the ``carry`` columns."""
     spark = df.sparkSession
     packed = _pack(forest.nodes.toPandas())  # fitted model: bounded by trees x (2 psi - 1) nodes
     bc = spark.sparkContext.broadcast(packed)
     cpsi = c_factor(forest.psi)
     cols = [f"z_{c}" for c in ANOMALY_NUMERIC]
-    z = _z(df, forest.means).select(key, *cols)
+    z = _z(df, forest.means).select(*carry, *cols)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in z.select(*carry).schema)
 
     def score(batches):
         feat, thr, left, right, base = bc.value
@@ -172,38 +171,45 @@ def path_scores(df: DataFrame, forest: Forest, key: str = "Order_ID") -> DataFra
                     nxt = np.where(xv < thr[t, node], left[t, node], right[t, node])
                     node = np.where(inner, nxt, node)
                 total += base[t, node]
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "s": np.power(2.0, -(total / feat.shape[0]) / cpsi)})
+            yield pdf[list(carry)].assign(s=np.power(2.0, -(total / feat.shape[0]) / cpsi))
 
-    return z.mapInPandas(score, f"{key} long, s double")
+    return z.mapInPandas(score, f"{kept}, s double")
 
 
-def anomaly_scores(df: DataFrame, forest: Forest, key: str = "Order_ID") -> DataFrame:
-    """Anomaly_Score = s - p95(s) over the same table; Is_Anomaly = score > 0."""
-    s = path_scores(df, forest, key)
+def anomaly_scores(df: DataFrame, forest: Forest, carry: tuple[str, ...] = ("Order_ID",)) -> DataFrame:
+    """Anomaly_Score = s - p95(s) over the same table; Is_Anomaly = score > 0.
+
+    The ``carry`` columns go through the scorer, so later questions need no join by id."""
+    s = materialize(path_scores(df, forest, carry), "iforest-scores")   # scored once, read twice
     off = exact_percentiles(s, "s", {"_offset": 1.0 - CONTAMINATION})
     return (s.crossJoin(F.broadcast(off))
-            .select(key, (F.col("s") - F.col("_offset")).alias("Anomaly_Score"),
+            .select(*carry, (F.col("s") - F.col("_offset")).alias("Anomaly_Score"),
                     (F.col("s") > F.col("_offset")).alias("Is_Anomaly"), F.col("_offset").alias("anomaly_offset")))
 
 
 def score_requests(requests: DataFrame, forest: Forest, offset: float, key: str = "request_id") -> DataFrame:
     """Score a table of requests against the fitted forest and fitted offset."""
-    s = path_scores(requests, forest, key)
+    s = path_scores(requests, forest, (key,))
     return s.select(key, (F.col("s") - F.lit(offset)).alias("anomaly_score"),
                     (F.col("s") > F.lit(offset)).alias("is_anomaly"))
 
 
-def anomaly_kpis(scored: DataFrame, anomalies: DataFrame, filtered_ids: DataFrame, key: str = "Order_ID") -> DataFrame:
-    """U4: fit on all rows, then restrict by row identity to the filtered set."""
-    a = anomalies.join(filtered_ids.select(key), key, "left_semi").join(scored.select(key, "Risk_Tier"), key)
-    return a.agg(F.count_if("Is_Anomaly").alias("anomalies"),
-                 F.round(F.avg(F.col("Is_Anomaly").cast("double")) * 100, 1).alias("anomaly_pct"),
-                 F.count_if(F.col("Is_Anomaly") & (F.col("Risk_Tier") == "Low")).alias("anomaly_low_tier"))
+def anomaly_kpis(anomalies: DataFrame) -> DataFrame:
+    """U4 over (a filtered part of) the scored rows; the forest was fitted on all of them."""
+    return anomalies.agg(F.count_if("Is_Anomaly").alias("anomalies"),
+                         F.round(F.avg(F.col("Is_Anomaly").cast("double")) * 100, 1).alias("anomaly_pct"),
+                         F.count_if(F.col("Is_Anomaly") & (F.col("Risk_Tier") == "Low")).alias("anomaly_low_tier"))
+
+
+def flagged_points(anomalies: DataFrame) -> DataFrame:
+    """The flagged rows as labelled points of cost/kg against score."""
+    label = F.concat(F.col("Route"), F.lit(", "), F.col("Transportation_Mode"), F.lit(", "), F.col("Product_Category"))
+    return anomalies.where("Is_Anomaly").select("Order_ID", "Cost_Per_Kg", "Shipment_Risk_Score", "Risk_Tier", "Anomaly_Score",
+                                                label.alias("label"))
 
 
-def top_flagged(scored: DataFrame, anomalies: DataFrame, k: int = 50, key: str = "Order_ID") -> DataFrame:
+def top_flagged(anomalies: DataFrame, k: int = 50) -> DataFrame:
     """The k flagged shipments with the highest anomaly score."""
-    return (anomalies.where("Is_Anomaly").join(scored, key)
-            .orderBy(F.desc("Anomaly_Score"), key).limit(k)
-            .select(key, "Route", "Transportation_Mode", "Product_Category", "Cost_Per_Kg", "Shipment_Risk_Score",
+    return (anomalies.where("Is_Anomaly").orderBy(F.desc("Anomaly_Score"), "Order_ID").limit(k)
+            .select("Order_ID", "Route", "Transportation_Mode", "Product_Category", "Cost_Per_Kg", "Shipment_Risk_Score",
                     "Risk_Tier", "Anomaly_Score"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from keelson.operators.ml import standardize
 from keelson.operators.portfolio import density_2d
+from keelson.plans.materialize import materialize
 
 # Clustering features, archetype thresholds.
 CLUSTER_NUMERIC = [
@@ -28,7 +29,7 @@ def fit_clusters(df: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, ke
         raise ValueError("k must be in 3..8")
     z = standardize(df, CLUSTER_NUMERIC)
     vec = VectorAssembler(inputCols=[f"z_{c}" for c in CLUSTER_NUMERIC], outputCol="zvec").transform(z)
-    vec = vec.select(key, "zvec").cache()  # reused by every start and by PCA; dropped below
+    vec = materialize(vec.select(key, "zvec"), "cluster-vectors")  # read by every start and by PCA
 
     def fit(i: int):
         m = KMeans(k=k, seed=seed + i, featuresCol="zvec", predictionCol="raw_cluster", maxIter=50).fit(vec)
@@ -46,10 +47,8 @@ def fit_clusters(df: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, ke
     sizes = out.groupBy("raw_cluster").agg(F.count(F.lit(1)).alias("_n"))
     relabel = sizes.select("raw_cluster", (F.row_number().over(Window.orderBy(F.desc("_n"), "raw_cluster")) - 1)
                            .alias("Cluster"))
-    res = out.join(F.broadcast(relabel), "raw_cluster").select(
+    return out.join(F.broadcast(relabel), "raw_cluster").select(
         key, "Cluster", (F.col("_pc")[0] * F.lit(signs[0])).alias("PCA_1"), (F.col("_pc")[1] * F.lit(signs[1])).alias("PCA_2"))
-    vec.unpersist()
-    return res
 
 
 def archetype_label(score: Column, cpk: Column, mode: Column, category: Column) -> Column:

@@ -45,6 +45,16 @@ def with_contribution_array(df: DataFrame, features: list[str], label: str = "Is
     return d.withColumn("contribs", F.array(*parts)).drop(*[c for c in st.columns])
 
 
+def exploded(arrays: DataFrame, key: str = "Order_ID") -> DataFrame:
+    """The long form (key, feature, value, x) of a table with a ``contribs`` array."""
+    return arrays.select(key, F.explode("contribs").alias("c")).select(key, "c.feature", "c.value", "c.x")
+
+
+def global_importance_of_arrays(arrays: DataFrame, top: int = 15) -> DataFrame:
+    """G13 over contribution arrays: the long rows only live between the explode and the partial average."""
+    return global_importance(exploded(arrays), top)
+
+
 def global_importance(contrib: DataFrame, top: int = 15) -> DataFrame:
     """Mean |contribution| per feature over all rows (no sample needed on Spark), top k."""
     g = contrib.groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs"))
@@ -52,23 +62,15 @@ def global_importance(contrib: DataFrame, top: int = 15) -> DataFrame:
             .select(clean_feature_label(F.col("feature")).alias("label"), "feature", "mean_abs"))
 
 
-def _by_abs_desc(a, b):
-    return (F.when(F.abs(a["value"]) > F.abs(b["value"]), -1).when(F.abs(a["value"]) < F.abs(b["value"]), 1)
-            .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
-
-
-def _by_value(a, b):
-    return (F.when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1)
-            .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
-
-
 def top_drivers_rowwise(arrays: DataFrame, k: int = 10, key: str = "Order_ID") -> DataFrame:
     """G14 without a shuffle: each row's contribution array is sorted in place (|value| desc,
     then feature), cut to k, re-sorted by signed value, and exploded."""
-    top = F.slice(F.array_sort("contribs", _by_abs_desc), 1, k)
-    ranked = F.transform(top, lambda s, i: F.struct(s["feature"].alias("feature"), s["value"].alias("value"),
-                                                    (i + 1).cast("bigint").alias("abs_rank")))
-    signed = F.array_sort(ranked, _by_value)
+    # structs sort by their fields in order, so no comparator is called per pair
+    by_size = F.sort_array(F.transform("contribs", lambda s: F.struct((-F.abs(s["value"])).alias("k"), s["feature"].alias("feature"),
+                                                                      s["value"].alias("value"))))
+    ranked = F.transform(F.slice(by_size, 1, k), lambda s, i: F.struct(s["value"].alias("value"), s["feature"].alias("feature"),
+                                                                       (i + 1).cast("bigint").alias("abs_rank")))
+    signed = F.sort_array(ranked)
     return (arrays.select(key, F.posexplode(signed).alias("pos", "t"))
             .select(key, F.col("t.abs_rank").alias("abs_rank"), (F.col("pos") + 1).cast("bigint").alias("signed_rank"),
                     clean_feature_label(F.col("t.feature")).alias("label"), F.col("t.value").alias("value")))

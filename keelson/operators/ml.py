@@ -1,16 +1,16 @@
 """Delay models with Spark ML.
 
 Feature pipeline = StringIndexer(alphabetAsc, keep) -> OneHotEncoder(dropLast)
--> VectorAssembler; the split is a hash threshold per row (stratified in
-expectation, reproducible, no shuffle); metrics are computed with aggregations
-and bucketed prefix sums so no step puts the whole table in one task.
+-> VectorAssembler; the split is exact and stratified (a hash threshold per
+class from the quantile helper); metrics are computed with aggregations and
+bucketed prefix sums so no step puts the whole table in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.features import FEATURES_CATEGORICAL, FEATURES_NUMERIC
 from keelson.functions.stats import exact_quantiles
+from keelson.plans.materialize import materialize
 
 LABEL = "Is_Delayed"
 TEST_FRACTION = 0.2
@@ -29,7 +30,7 @@ def feature_stages(numeric=FEATURES_NUMERIC, categorical=FEATURES_CATEGORICAL, o
     idx = StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__idx" for c in categorical],
                         stringOrderType="alphabetAsc", handleInvalid="keep")   # one pass for all columns
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=[f"{c}__ohe" for c in categorical],
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True)   # the unknown slot is the last one: an unseen category is all zeros
     asm = VectorAssembler(inputCols=list(numeric) + [f"{c}__ohe" for c in categorical], outputCol=out,
                           handleInvalid="keep")
     return [idx, ohe, asm]
@@ -111,12 +112,13 @@ def fit_regressor(train: DataFrame, n_trees: int = 200, depth: int = 4, step: fl
 
 
 def fit_second_model(train: DataFrame, seed: int = SEED) -> PipelineModel:
-    """An independent weighted logistic model on standardised numerics + one-hot categories."""
-    from pyspark.ml.feature import StandardScaler
-    stages = feature_stages(out="raw_features")
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
+    """An independent weighted logistic model on standardised numerics (G3: population std) + one-hot categories."""
+    st = {r.feature: r for r in scaler_stats(train, FEATURES_NUMERIC).collect()}   # one row per numeric feature
+    scaled = ", ".join(f"(CAST({c} AS DOUBLE) - {st[c]['mean']!r}D) / {st[c]['scale']!r}D AS z_{c}" for c in FEATURES_NUMERIC)
+    scale = SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="w", maxIter=100, regParam=1e-3)
-    return Pipeline(stages=stages + [scaler, lr]).fit(with_class_weight(train))
+    stages = feature_stages(numeric=[f"z_{c}" for c in FEATURES_NUMERIC])
+    return Pipeline(stages=[scale, *stages, lr]).fit(with_class_weight(train))
 
 
 def positive_probability(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
@@ -136,12 +138,14 @@ def _score_counts(df: DataFrame, score: str, label: str, buckets: int | None = N
 
     Distinct scores are range-partitioned (sampled, balanced boundaries) and the partition
     id is the bucket, so every bucket holds a similar number of distinct scores whatever their
-    distribution; prefix sums = per-bucket totals (tiny) + a window inside each bucket.
+    distribution; prefix sums = per-bucket totals (tiny) + a window inside each bucket.  The
+    bucketed counts are written once, so both uses see the same boundaries.
     """
     spark = df.sparkSession
     n = buckets or max(2, 2 * spark.sparkContext.defaultParallelism)
     g = (df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
          .repartitionByRange(n, score).withColumn("bucket", F.spark_partition_id()))
+    g = materialize(g, "score-counts")
     bt = g.groupBy("bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select("bucket", F.coalesce(F.sum("bpos").over(wb), F.lit(0)).alias("pos_before_bucket"),
@@ -154,14 +158,20 @@ def _score_counts(df: DataFrame, score: str, label: str, buckets: int | None = N
 
 def roc_auc(df: DataFrame, score: str, label: str = LABEL, buckets: int | None = None) -> DataFrame:
     """ROC-AUC = P(score_pos > score_neg) + 0.5 P(tie) (equals the average-rank formula)."""
-    c = _score_counts(df, score, label, buckets)
+    return _roc_auc(_score_counts(df, score, label, buckets))
+
+
+def _roc_auc(c: DataFrame) -> DataFrame:
     return c.agg(((F.sum(F.col("pos") * F.col("neg_below")) + F.lit(0.5) * F.sum(F.col("pos") * F.col("neg")))
                   / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str = LABEL, buckets: int | None = None) -> DataFrame:
     """Step-wise AP = sum over thresholds (descending) of (recall gain) x precision."""
-    c = _score_counts(df, score, label, buckets)
+    return _average_precision(_score_counts(df, score, label, buckets))
+
+
+def _average_precision(c: DataFrame) -> DataFrame:
     tot = c.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     c = c.crossJoin(F.broadcast(tot))
     tp = F.col("_P") - F.col("pos_below")
@@ -170,4 +180,5 @@ def average_precision(df: DataFrame, score: str, label: str = LABEL, buckets: in
 
 
 def evaluate(df: DataFrame, score: str, label: str = LABEL) -> DataFrame:
-    return roc_auc(df, score, label).crossJoin(average_precision(df, score, label))
+    c = _score_counts(df, score, label)   # one table of counts for both metrics
+    return _roc_auc(c).crossJoin(_average_precision(c))

@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.plans.materialize import materialize
+
 KEYS = ["Route_Type", "Transportation_Mode", "Product_Category"]
 MIN_SAMPLES = 100
+#: rows of the rate rollup that are broadcast
+BROADCAST_RATES = 100_000
 
 
 def rate_rollup(df: DataFrame) -> DataFrame:
@@ -46,10 +50,11 @@ def with_fallback_rate(requests: DataFrame, history: DataFrame, out_col: str = "
                        cat_col: str = "Product_Category", min_samples: int = MIN_SAMPLES) -> DataFrame:
     """combo rate when the combo has >= ``min_samples`` rows, else route-type rate, else global.
 
-    The rate table is tiny; AQE broadcasts it at run time (its size is measured,
-    with a sort-merge join as the fallback path).
+    The rollup is computed once and written; it is broadcast if its measured size is small, so the
+    requests are not shuffled by their few keys, and joined by a shuffle otherwise.
     """
-    roll = rate_rollup(history)
+    roll = materialize(rate_rollup(history), "rates")
+    sized = F.broadcast if roll.count() <= BROADCAST_RATES else (lambda t: t)
     combo = roll.where(F.col("level") == 0).select(
         F.col("Route_Type").alias("_c_rt"), F.col("Transportation_Mode").alias("_c_m"),
         F.col("Product_Category").alias("_c_c"), F.col("rate").alias("_c_rate"), F.col("n").alias("_c_n"))
@@ -57,9 +62,9 @@ def with_fallback_rate(requests: DataFrame, history: DataFrame, out_col: str = "
         F.col("Route_Type").alias("_r_rt"), F.col("rate").alias("_r_rate"))
     glob = F.broadcast(roll.where(F.col("level") == 7).select(F.col("rate").alias("_g_rate")))
     out = (requests
-           .join(combo, (F.col(route_col) == F.col("_c_rt")) & (F.col(mode_col) == F.col("_c_m"))
+           .join(sized(combo), (F.col(route_col) == F.col("_c_rt")) & (F.col(mode_col) == F.col("_c_m"))
                  & (F.col(cat_col) == F.col("_c_c")), "left")
-           .join(route, F.col(route_col) == F.col("_r_rt"), "left")
+           .join(sized(route), F.col(route_col) == F.col("_r_rt"), "left")
            .crossJoin(glob))
     rate = F.coalesce(F.when(F.col("_c_n") >= min_samples, F.col("_c_rate")), F.col("_r_rate"), F.col("_g_rate"))
     return out.withColumn(out_col, rate).drop("_c_rt", "_c_m", "_c_c", "_c_rate", "_c_n", "_r_rt",

@@ -11,6 +11,8 @@ Each round's table is written to the shared checkpoint folder (lineage cut).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,9 +140,12 @@ def _directed(weights: DataFrame) -> DataFrame:
     return fwd.unionByName(back)
 
 
-def all_pairs_best(weights: DataFrame, max_rounds: int = 8) -> DataFrame:
+def all_pairs_best(weights: DataFrame, n_ports: int = 31) -> DataFrame:
     """K9: best path for every (mode, category, priority, src, dst) by min-plus doubling.
 
+    A path has fewer hops than there are ports, so log2(n_ports) rounds reach every path and one
+    more finds nothing new; more ports in the edges than ``n_ports`` raise an error.
+
     Order: total integer weight, then hops, then the port-index path (lexicographic).
     Returns columns mode, category, priority, src, dst, cost, hops, path (array<int>).
     """
@@ -148,7 +153,9 @@ def all_pairs_best(weights: DataFrame, max_rounds: int = 8) -> DataFrame:
     best = _directed(weights).select(*g, "src", "dst", F.col("w").alias("cost"), F.lit(1).alias("hops"),
                                      F.array(F.col("src"), F.col("dst")).alias("path"))
     best = materialize(best, "routes-r0")
-    for r in range(1, max_rounds + 1):
+    if weights.select(F.greatest("a_port_idx", "b_port_idx").alias("p")).agg(F.max("p")).first()[0] not in (None, *range(n_ports)):
+        raise ValueError(f"the edges name more than {n_ports} ports")
+    for r in range(1, math.ceil(math.log2(max(2, n_ports))) + 2):
         x = best.alias("x")
         y = best.alias("y")
         comb = (x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in g] + [F.col("x.dst") == F.col("y.src"),
@@ -167,8 +174,8 @@ def all_pairs_best(weights: DataFrame, max_rounds: int = 8) -> DataFrame:
         changed = nxt.where(F.col("is_new") == 1).limit(1).count()
         best = nxt.drop("is_new")
         if changed == 0:
-            break
-    return best
+            return best
+    raise RuntimeError("best routes did not converge")
 
 
 def route_legs(best: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.stats import exact_quantiles
 from keelson.functions.tiers import portfolio_tier, request_tier
+from keelson.plans.materialize import materialize
 
 # Score weights and the request-path normalisers (~p99 of training data).
 W_PROB, W_MAG, W_EXT = 0.5, 0.3, 0.2
@@ -35,7 +36,7 @@ def portfolio_score(df: DataFrame, p: str = "Predicted_Delay_Probability",
     Adds ``Shipment_Risk_Score`` (1 dp), ``Risk_Score_Tenths`` (exact integer grid
     for order-independent sums) and ``Risk_Tier``.  A zero p99 gives a null score.
     """
-    q = exact_quantiles(df, {"_p99_days": (days, 0.99), "_p99_ext": (ext, 0.99)})
+    q = materialize(exact_quantiles(df, {"_p99_days": (days, 0.99), "_p99_ext": (ext, 0.99)}), "score-p99")
     d = df.crossJoin(F.broadcast(q))
     mag = _clip01(F.try_divide(F.col(days).cast("double"), F.col("_p99_days")))
     extn = _clip01(F.try_divide(F.col(ext).cast("double"), F.col("_p99_ext")))
@@ -103,9 +104,8 @@ def underwriting_memo(desc: Column, tier: Column, prob: Column, days: Column, hi
     ``top_n`` by absolute value are split into up- and down-drivers.
     ``hist_rate_pct`` is the tier's historical delay rate in percent (from E4).
     """
-    ranked = F.array_sort(contributions, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1)
-                          .when(F.abs(a["value"]) < F.abs(b["value"]), 1)
-                          .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
+    ranked = F.sort_array(F.transform(contributions, lambda s: F.struct((-F.abs(s["value"])).alias("k"), s["feature"].alias("feature"),
+                                                                        s["value"].alias("value"))))
     top = F.slice(ranked, 1, top_n)
     up = F.transform(F.filter(top, lambda s: s["value"] > 0), lambda s: clean_feature_label(s["feature"]))
     down = F.transform(F.filter(top, lambda s: s["value"] < 0), lambda s: clean_feature_label(s["feature"]))

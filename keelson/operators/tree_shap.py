@@ -87,7 +87,7 @@ def vector_names(meta: dict) -> list[str]:
 
 
 def tree_contributions(pipeline: PipelineModel, df: DataFrame, key: str = "Order_ID") -> tuple[DataFrame, float]:
-    """Long table (key, feature, value) of log-odds contributions for every row, and the bias."""
+    """(key, contribs array<struct<feature, value, x>>) of log-odds contributions for every row, and the bias."""
     spark = df.sparkSession
     gbt = pipeline.stages[-1]
     leaves, bias = _leaves(gbt, spark)
@@ -116,10 +116,10 @@ def tree_contributions(pipeline: PipelineModel, df: DataFrame, key: str = "Order
                             base = np.prod(ind[:, list(sub)], axis=1) if sub else np.ones(len(x))
                             base = base * (np.prod(cov[rest]) if rest else 1.0)
                             phi[:, feats[j][0]] += scale * value * wgt * base * (ind[:, j] - cov[j])
-            keys = np.repeat(pdf[key].to_numpy(), d)
-            yield pd.DataFrame({key: keys, "feature_idx": np.tile(np.arange(d), len(x)),
-                                "value": phi.reshape(-1)})
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "x": list(x), "value": list(phi)})
 
-    out = vec.mapInPandas(contrib, f"{key} long, feature_idx int, value double")
-    name_df = F.broadcast(spark.createDataFrame(list(enumerate(names)), "feature_idx int, feature string"))
-    return out.join(name_df, "feature_idx").select(key, "feature", "value"), bias
+    out = vec.mapInPandas(contrib, f"{key} long, x array<double>, value array<double>")
+    label = F.array(*[F.lit(n) for n in names])   # one per model feature
+    zipped = F.transform(F.arrays_zip(label.alias("feature"), F.col("value"), F.col("x")),
+                         lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value"), s["x"].alias("x")))
+    return out.select(key, zipped.alias("contribs")), bias

@@ -27,14 +27,15 @@ def order_date_ranges(df: DataFrame) -> DataFrame:
 def merge_weather(shipments: DataFrame, weather_rows: DataFrame, requested_cities: DataFrame) -> DataFrame:
     """Keep origins that were requested (semi join), then left join weather on (origin, date).
 
-    A requested port that failed has no rows, so its shipments get nulls.  Each
-    (city, date) is unique in ``weather_rows``, so the join never duplicates shipments.
+    A requested port that failed has no rows, so its shipments get nulls.  Repeated rows of one
+    (city, date) are made one first (the least), so the join never duplicates shipments.
     With no requested city at all the input is returned unchanged (reference behaviour).
     """
     req = requested_cities.select(F.col("city").alias("Origin_City")).distinct()
     kept = shipments.join(F.broadcast(req), "Origin_City", "left_semi")
     w = weather_rows.select(F.col("city").alias("Origin_City"), F.col("wx_date").alias("Order_Date"),
-                            *REAL_LABELS.keys())
+                            F.struct(*REAL_LABELS.keys()).alias("_wx"))
+    w = w.groupBy("Origin_City", "Order_Date").agg(F.min("_wx").alias("_wx")).select("Origin_City", "Order_Date", "_wx.*")
     merged = kept.join(w, ["Origin_City", "Order_Date"], "left")
     # the requested list is small (ports); when it is empty the reference returns the input unchanged
     nothing_requested = requested_cities.limit(1).count() == 0
@@ -43,6 +44,16 @@ def merge_weather(shipments: DataFrame, weather_rows: DataFrame, requested_citie
     return merged
 
 
+def origin_coverage(shipments: DataFrame, requested_cities: DataFrame) -> DataFrame:
+    """How many shipments and origins the requested ports keep, and how many they leave out."""
+    req = requested_cities.select(F.col("city").alias("Origin_City"), F.lit(True).alias("_asked")).distinct()
+    d = shipments.groupBy("Origin_City").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(req), "Origin_City", "left")
+    asked = F.coalesce(F.col("_asked"), F.lit(False))
+    return d.agg(F.coalesce(F.sum(F.when(asked, F.col("n"))), F.lit(0)).alias("kept_shipments"),
+                 F.coalesce(F.sum(F.when(~asked, F.col("n"))), F.lit(0)).alias("dropped_shipments"),
+                 F.count_if(~asked).alias("dropped_origins"))
+
+
 def weather_correlation(merged: DataFrame) -> DataFrame:
     """R of each feature with Is_Delayed (pairwise complete) and its non-null count; absent columns omitted."""
     feats = [("Weather_Severity_Index", SYNTHETIC_LABEL, 0)] + [

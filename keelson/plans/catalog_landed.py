@@ -282,7 +282,7 @@ def q_geocodes(spark, sf):
 
 
 # ---------------------------------------------------------------- H: exposure
-ORACLE_SIMS = 50
+ORACLE_SIMS = 500
 SIM_SQL = f""",
 simd AS (SELECT Order_ID, Predicted_Delay_Probability AS p, CAST(ROUND(Shipping_Cost_USD * 1e2) AS BIGINT) AS cents
          FROM scored),

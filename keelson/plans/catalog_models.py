@@ -5,8 +5,6 @@ on given scores, profiles on fixed cluster ids) have DuckDB twins."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from keelson.functions.features import FEATURES_CATEGORICAL, FEATURES_NUMERIC, request_features
@@ -22,21 +20,25 @@ from keelson.plans.materialize import materialize
 from keelson.plans.oracle import with_ctes
 from keelson.plans.registry import register
 
-# registered/bench runs use 30 trees (KEELSON_GBT_TREES overrides); the fit functions default to 200
-N_TREES = int(os.environ.get("KEELSON_GBT_TREES", "30"))
+N_TREES = 200   # G6, G7 and G16
 _MODELS: dict = {}
 
 
-def _model(spark, sf, kind: str):
-    k = (spark.sparkContext.applicationId, sf, kind)
+def _split(spark, sf):
+    """The features with ``is_test``: written once, read by every fit, score and count."""
+    return sc._memo(spark, sf, "split", lambda: ml.with_split(sc.featured(spark, sf)))
+
+
+def _model(spark, sf, kind: str, n_trees: int = N_TREES):
+    k = (spark.sparkContext.applicationId, sf, kind, n_trees)
     if k not in _MODELS:
-        train = ml.with_split(sc.featured(spark, sf)).where(~F.col("is_test"))
+        train = _split(spark, sf).where(~F.col("is_test"))
         if kind == "gbt":
-            _MODELS[k] = ml.fit_classifier(train, n_trees=N_TREES)
+            _MODELS[k] = ml.fit_classifier(train, n_trees=n_trees)
         elif kind == "lr":
             _MODELS[k] = ml.fit_second_model(train)
         elif kind == "reg":
-            _MODELS[k] = ml.fit_regressor(train, n_trees=N_TREES)
+            _MODELS[k] = ml.fit_regressor(train, n_trees=n_trees)
     return _MODELS[k]
 
 
@@ -74,7 +76,7 @@ _SPLIT_CTE = (", su AS (SELECT features.*, " + _U_SQL + " AS u FROM features),"
 @register("stratified_split_counts", with_ctes(
     _SPLIT_CTE + " SELECT Is_Delayed, is_test, COUNT(*) AS n FROM split GROUP BY 1, 2", "features"))
 def q_split(spark, sf):
-    return ml.with_split(sc.featured(spark, sf)).groupBy("Is_Delayed", "is_test").agg(F.count(F.lit(1)).alias("n"))
+    return _split(spark, sf).groupBy("Is_Delayed", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("class_weight", with_ctes(
@@ -83,7 +85,7 @@ def q_split(spark, sf):
     " CAST(COUNT(*) FILTER (WHERE Is_Delayed = 0) AS DOUBLE) / GREATEST(COUNT(*) FILTER (WHERE Is_Delayed = 1), 1)"
     " AS pos_weight FROM tr", "features"))
 def q_class_weight(spark, sf):
-    tr = ml.with_split(sc.featured(spark, sf)).where(~F.col("is_test"))
+    tr = _split(spark, sf).where(~F.col("is_test"))
     return tr.agg(F.count_if(F.col("Is_Delayed") == 0).alias("negatives"),
                   F.count_if(F.col("Is_Delayed") == 1).alias("positives"),
                   (F.count_if(F.col("Is_Delayed") == 0).cast("double")
@@ -156,11 +158,10 @@ def q_radar_fixed(spark, sf):
 @register("delay_model_auc", None)
 def q_model_auc(spark, sf):
     """G6 + G8 evaluated on the same hash split."""
-    test = ml.with_split(sc.featured(spark, sf)).where(F.col("is_test"))
+    test = _two_models(spark, sf).where(F.col("is_test"))
     out = None
-    for name, kind in (("boosted_trees", "gbt"), ("logistic", "lr")):
-        s = ml.positive_probability(_model(spark, sf, kind), test, "p")
-        m = ml.evaluate(s, "p").select(F.lit(name).alias("model"), "roc_auc", "average_precision")
+    for name, col in (("boosted_trees", "p_boosted"), ("logistic", "p_logistic")):
+        m = ml.evaluate(test, col).select(F.lit(name).alias("model"), "roc_auc", "average_precision")
         out = m if out is None else out.unionByName(m)
     return out.crossJoin(test.agg(F.count(F.lit(1)).alias("n_test")))
 
@@ -168,17 +169,15 @@ def q_model_auc(spark, sf):
 @register("delay_days_model", None)
 def q_days_model(spark, sf):
     """Clipped regressor predictions for every shipment."""
-    f = sc.featured(spark, sf)
-    return ml.predict_days(_model(spark, sf, "reg"), f).select("Order_ID", "Delay_Days", "Predicted_Delay_Days")
+    return _two_models(spark, sf).select("Order_ID", "Delay_Days", F.col("days").alias("Predicted_Delay_Days"))
 
 
 def _two_models(spark, sf):
-    def build():
-        f = sc.featured(spark, sf)
-        a = ml.positive_probability(_model(spark, sf, "gbt"), f, "p_boosted")
-        b = ml.positive_probability(_model(spark, sf, "lr"), f.select("Order_ID", *FEATURES_NUMERIC,
-                                                                      *FEATURES_CATEGORICAL), "p_logistic")
-        return a.select("Order_ID", "p_boosted").join(b.select("Order_ID", "p_logistic"), "Order_ID")
+    def build():   # the three models are chained over the same rows; no join by id
+        f = _split(spark, sf)
+        d = ml.positive_probability(_model(spark, sf, "gbt"), f, "p_boosted")
+        d = ml.positive_probability(_model(spark, sf, "lr"), d, "p_logistic")
+        return ml.predict_days(_model(spark, sf, "reg"), d, "days")
     return sc._memo(spark, sf, "two_models", build)
 
 
@@ -226,16 +225,17 @@ def q_edge_clf(spark, sf):
 @register("weather_uplift", None)
 def q_uplift(spark, sf):
     """Baseline vs weather-extended classifier on rows complete in the 3 real-weather columns."""
-    from keelson.operators.weather import REAL_LABELS
-    from keelson.plans.catalog_landed import _wx_merged
+    from keelson.operators.weather import REAL_LABELS, merge_weather
+    from keelson.plans.catalog_landed import _wx_rows_ledger
+    from keelson.sources import landing
     real = list(REAL_LABELS)
-    merged = _wx_merged(spark, sf).select("Order_ID", *real)
-    valid = sc.featured(spark, sf).join(merged, "Order_ID").na.drop(subset=real)
+    rows, _ = _wx_rows_ledger(spark, sf)
+    valid = materialize(merge_weather(sc.featured(spark, sf), rows, landing.weather_requests(spark)).na.drop(subset=real), "uplift-rows")
     n = valid.count()
     if n < 500:
         return spark.createDataFrame([(n, None, None, None, "not enough rows")],
                                      "n_valid long, auc_base double, auc_ext double, uplift double, verdict string")
-    d = ml.with_split(valid)
+    d = materialize(ml.with_split(valid), "uplift-split")
     tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
@@ -254,12 +254,14 @@ def q_uplift(spark, sf):
 def _forest(spark, sf):
     k = (spark.sparkContext.applicationId, sf, "forest")
     if k not in _MODELS:
-        _MODELS[k] = an.fit_forest(sc.featured(spark, sf))
+        _MODELS[k] = an.fit_forest(sc.scored(spark, sf))
     return _MODELS[k]
 
 
 def _anomalies(spark, sf):
-    return sc._memo(spark, sf, "anomalies", lambda: an.anomaly_scores(sc.featured(spark, sf), _forest(spark, sf)))
+    carry = ("Order_ID", "Route", "Route_Type", "Transportation_Mode", "Product_Category", "Cost_Per_Kg",
+             "Shipment_Risk_Score", "Risk_Tier")
+    return sc._memo(spark, sf, "anomalies", lambda: an.anomaly_scores(sc.scored(spark, sf), _forest(spark, sf), carry))
 
 
 @register("anomaly_scores", None)
@@ -271,20 +273,31 @@ def q_anomaly_scores(spark, sf):
 @register("anomaly_summary", None)
 def q_anomaly_summary(spark, sf):
     """U4 on the faceted filter."""
-    s = sc.scored(spark, sf)
-    return an.anomaly_kpis(s, _anomalies(spark, sf), pf.faceted_filter(s, **FACETS))
+    return an.anomaly_kpis(pf.faceted_filter(_anomalies(spark, sf), **FACETS))
 
 
 @register("top_flagged_anomalies", None)
 def q_top_flagged(spark, sf):
     """50 flagged shipments with the highest anomaly score."""
-    return an.top_flagged(sc.scored(spark, sf), _anomalies(spark, sf), 50)
+    return an.top_flagged(_anomalies(spark, sf), 50)
+
+
+@register("top_flagged_anomalies_filtered", None)
+def q_top_flagged_filtered(spark, sf):
+    """C3 on the faceted filter."""
+    return an.top_flagged(pf.faceted_filter(_anomalies(spark, sf), **FACETS), 50)
+
+
+@register("flagged_points", None)
+def q_flagged_points(spark, sf):
+    """The flagged points with labels, on the faceted filter."""
+    return an.flagged_points(pf.faceted_filter(_anomalies(spark, sf), **FACETS))
 
 
 @register("anomaly_density", None)
 def q_anomaly_density(spark, sf):
     """Density of normal rows on cost/kg x score."""
-    s = sc.scored(spark, sf).join(_anomalies(spark, sf).where(~F.col("Is_Anomaly")).select("Order_ID"), "Order_ID")
+    s = _anomalies(spark, sf).where(~F.col("Is_Anomaly"))
     return pf.density_2d(s, "Cost_Per_Kg", "Shipment_Risk_Score", 25)
 
 
@@ -428,32 +441,165 @@ from keelson.operators import tree_shap  # noqa: E402
 def _tree_contrib(spark, sf):
     k = (spark.sparkContext.applicationId, sf, "tree_contrib")
     if k not in _MODELS:
-        model = _model(spark, sf, "gbt")
-        long, bias = tree_shap.tree_contributions(model, sc.featured(spark, sf))
-        _MODELS[k] = (materialize(long, "tree-contrib"), bias)
+        arrays, bias = tree_shap.tree_contributions(_model(spark, sf, "gbt"), _split(spark, sf))
+        _MODELS[k] = (materialize(arrays, "tree-contrib"), bias)   # one row per shipment
     return _MODELS[k]
 
 
 @register("tree_contributions", None)
 def q_tree_contrib(spark, sf):
     """Log-odds contribution of every model feature for every shipment."""
-    return _tree_contrib(spark, sf)[0]
+    return xp.exploded(_tree_contrib(spark, sf)[0]).select("Order_ID", "feature", "value")
+
+
+def _tree_error(spark, sf):
+    arrays, bias = _tree_contrib(spark, sf)
+    total = F.aggregate("contribs", F.lit(0.0), lambda a, c: a + c["value"])
+    p = _two_models(spark, sf).select("Order_ID", F.col("p_boosted").alias("p"))
+    margin = F.log(F.col("p") / (F.lit(1.0) - F.col("p")))
+    return (arrays.select("Order_ID", total.alias("_sum")).join(p, "Order_ID")
+            .agg(F.count(F.lit(1)).alias("rows"), F.lit(bias).alias("bias"),
+                 F.max(F.abs(F.lit(bias) + F.col("_sum") - margin)).alias("max_abs_error")))
 
 
 @register("tree_contribution_additivity", None)
 def q_tree_additivity(spark, sf):
     """G12 check: bias + sum of contributions equals the model's log-odds margin for every row."""
-    long, bias = _tree_contrib(spark, sf)
-    s = long.groupBy("Order_ID").agg(F.sum("value").alias("_sum"))
-    p = ml.positive_probability(_model(spark, sf, "gbt"), sc.featured(spark, sf).select(
-        "Order_ID", *FEATURES_NUMERIC, *FEATURES_CATEGORICAL), "p")
-    margin = F.log(F.col("p") / (F.lit(1.0) - F.col("p")))
-    j = s.join(p, "Order_ID")
-    return j.agg(F.count(F.lit(1)).alias("rows"), F.lit(bias).alias("bias"),
-                 F.max(F.abs(F.lit(bias) + F.col("_sum") - margin)).alias("max_abs_error"))
+    return _tree_error(spark, sf)
 
 
 @register("tree_global_importance", None)
 def q_tree_importance(spark, sf):
     """G13 over the exact tree contributions (whole table, no sample)."""
-    return xp.global_importance(_tree_contrib(spark, sf)[0], 15)
+    return xp.global_importance_of_arrays(_tree_contrib(spark, sf)[0], 15)
+
+
+@register("tree_top_drivers", None)
+def q_tree_drivers(spark, sf):
+    """G14 on the model: the ten strongest tree contributions of every shipment."""
+    return xp.top_drivers_rowwise(_tree_contrib(spark, sf)[0], 10)
+
+
+@register("tree_beeswarm", None)
+def q_tree_beeswarm(spark, sf):
+    """G15 on the model, one-hot features included."""
+    return xp.beeswarm(xp.exploded(_tree_contrib(spark, sf)[0]), 12)
+
+
+# ---------------------------------------------------------------- the model-scored portfolio and requests
+def _model_scored(spark, sf):
+    """G6 probability and G7 days -> D1 -> D2; no outcome column feeds a prediction."""
+    def build():
+        d = _two_models(spark, sf).withColumn("Predicted_Delay_Probability", F.col("p_boosted")).withColumn("Predicted_Delay_Days", F.col("days"))
+        return scoring.portfolio_score(d)
+    return sc._memo(spark, sf, "model_scored", build)
+
+
+@register("model_scored_portfolio", None)
+def q_model_scored(spark, sf):
+    """D1 + D2 on the models' predictions for every shipment."""
+    return _model_scored(spark, sf).select("Order_ID", "Predicted_Delay_Probability", "Predicted_Delay_Days", "Shipment_Risk_Score", "Risk_Tier")
+
+
+@register("model_tier_calibration", None)
+def q_model_calibration(spark, sf):
+    """E4 on the model-scored portfolio."""
+    return pf.tier_calibration(_model_scored(spark, sf))
+
+
+@register("model_underwriting_memo", None)
+def q_model_memo(spark, sf):
+    """D7 on the model: its prediction, its tier and its own drivers."""
+    s = _model_scored(spark, sf)
+    rows = s.select("Order_ID", "Route", "Transportation_Mode", "Product_Category", "Risk_Tier", "Predicted_Delay_Probability",
+                    "Predicted_Delay_Days").join(_tree_contrib(spark, sf)[0], "Order_ID")
+    return xp.memos(rows, pf.tier_calibration(s))
+
+
+def _model_requests(spark, sf):
+    def build():
+        req = request_features(shipment_requests(spark, sf))
+        d = ml.positive_probability(_model(spark, sf, "gbt"), req, "probability")
+        d = ml.positive_probability(_model(spark, sf, "lr"), d, "second_probability")
+        d = scoring.score_requests(ml.predict_days(_model(spark, sf, "reg"), d, "expected_delay_days"))
+        return d.withColumns({"agreement": scoring.model_agreement(F.col("probability"), F.col("second_probability")),
+                              "needs_review": scoring.needs_review(F.col("probability"), F.col("second_probability")),
+                              "note": scoring.underwriting_note(F.col("risk_tier"))})
+    return sc._memo(spark, sf, "model_requests", build)
+
+
+@register("model_request_scores", None)
+def q_model_requests(spark, sf):
+    """G6 + G7 + G8 -> D3 -> D4 -> D5 -> D6 for every hypothetical shipment, one row each."""
+    return _model_requests(spark, sf).select("Order_ID", "probability", "second_probability", "expected_delay_days", "risk_score",
+                                             "risk_tier", "agreement", "needs_review", "note")
+
+
+# ---------------------------------------------------------------- invariants of the model queries, with exact twins
+def _holds(cond):
+    return F.coalesce(F.min(cond.cast("int")) == 1, F.lit(True))
+
+
+_COUNT_SQL = "SELECT COUNT(*) AS n_rows, "
+
+
+@register("delay_model_invariants", with_ctes(
+    _SPLIT_CTE + " SELECT COUNT(*) AS n_test, true AS auc_above_floor, true AS ap_above_rate FROM split WHERE is_test", "features"))
+def q_model_invariants(spark, sf):
+    """Both models rank the held-out rows far better than chance."""
+    test = _two_models(spark, sf).where(F.col("is_test"))
+    rate = test.agg(F.avg(F.col("Is_Delayed").cast("double")).alias("rate"), F.count(F.lit(1)).alias("n_test"))
+    m = q_model_auc(spark, sf).crossJoin(F.broadcast(rate.select("rate")))
+    ok = m.agg(_holds(F.col("roc_auc") > 0.6).alias("auc_above_floor"), _holds(F.col("average_precision") > F.col("rate")).alias("ap_above_rate"))
+    return rate.select("n_test").crossJoin(ok)
+
+
+@register("model_prediction_invariants", with_ctes(
+    " " + _COUNT_SQL + "true AS probabilities_hold, true AS days_hold, true AS agreement_holds FROM features", "features"))
+def q_prediction_invariants(spark, sf):
+    """Probabilities in [0, 1], clipped days, labels by the gap; one row per shipment."""
+    d = _two_models(spark, sf)
+    gap = F.abs(F.col("p_boosted") - F.col("p_logistic"))
+    label = scoring.model_agreement(F.col("p_boosted"), F.col("p_logistic"))
+    want = F.when(gap >= 0.40, "High Disagreement").when(gap >= 0.15, "Some Disagreement").otherwise("Close")
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), _holds(F.col("p_boosted").between(0, 1) & F.col("p_logistic").between(0, 1)).alias("probabilities_hold"),
+                 _holds(F.col("days") >= 0).alias("days_hold"), _holds(label == want).alias("agreement_holds"))
+
+
+@register("model_score_rule", with_ctes(
+    " " + _COUNT_SQL + "true AS scores_hold, true AS tiers_hold FROM features", "features"))
+def q_score_rule(spark, sf):
+    """D1, D2 on the model-scored table: scores and tiers recomputed from the stored predictions by other means."""
+    s = _model_scored(spark, sf)
+    q = s.agg(F.expr("percentile(Predicted_Delay_Days, 0.99)").alias("dq"), F.expr("percentile(External_Risk_Pressure, 0.99)").alias("eq"))
+    d = s.crossJoin(F.broadcast(q))
+    raw = 100 * (0.5 * F.col("Predicted_Delay_Probability") + 0.3 * F.least(F.col("Predicted_Delay_Days") / F.col("dq"), F.lit(1.0))
+                 + 0.2 * F.least(F.greatest(F.col("External_Risk_Pressure") / F.col("eq"), F.lit(0.0)), F.lit(1.0)))
+    x = F.col("Shipment_Risk_Score")
+    tier = F.when(x <= 20, "Low").when(x <= 40, "Medium").when(x <= 65, "High").otherwise("Severe")
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), _holds(F.abs(x - raw) <= 0.0500001).alias("scores_hold"),
+                 _holds(tier == F.col("Risk_Tier")).alias("tiers_hold"))
+
+
+@register("tree_additivity_holds", with_ctes(" " + _COUNT_SQL + "true AS additive FROM features", "features"))
+def q_additivity_holds(spark, sf):
+    return _tree_error(spark, sf).select(F.col("rows").alias("n_rows"), (F.col("max_abs_error") < 1e-9).alias("additive"))
+
+
+@register("anomaly_invariants", with_ctes(
+    " " + _COUNT_SQL + "true AS share_holds, true AS flags_hold FROM features", "features"))
+def q_anomaly_invariants(spark, sf):
+    """Five per cent are flagged (ties aside), exactly those with a positive score."""
+    a = _anomalies(spark, sf)
+    return a.agg(F.count(F.lit(1)).alias("n_rows"), (F.abs(F.avg(F.col("Is_Anomaly").cast("double")) - an.CONTAMINATION) < 0.005).alias("share_holds"),
+                 _holds(F.col("Is_Anomaly") == (F.col("Anomaly_Score") > 0)).alias("flags_hold"))
+
+
+@register("cluster_invariants", with_ctes(
+    " SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, 5 AS n_clusters, true AS sizes_descend FROM features", "features"))
+def q_cluster_invariants(spark, sf):
+    """Every shipment is in one of five clusters, numbered by size."""
+    sizes = _clusters(spark, sf).groupBy("Cluster").agg(F.count(F.lit(1)).alias("n"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("Cluster", "n"))), lambda s: s["n"])   # five rows
+    return sizes.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("n_clusters"), ordered.alias("s")).select(
+        "n_rows", "n_clusters", (F.col("s") == F.reverse(F.array_sort("s"))).alias("sizes_descend"))

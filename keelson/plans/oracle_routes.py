@@ -36,7 +36,7 @@ e0 AS (SELECT pairs.*, graphs.mode, graphs.category, {_HAV} AS great_circle_km,
 e1 AS (SELECT e0.*, great_circle_km * {_CIRC} AS distance_km FROM e0),
 e2 AS (SELECT e1.*, GREATEST(distance_km / CASE WHEN mode = 'Sea' THEN 650e0 ELSE 7000e0 END, 1e0) AS transit_days,
               CASE WHEN mode = 'Sea' THEN 0.85e0 ELSE 8.5e0 END * 5000e0 AS cost_usd FROM e1),
-edges AS (
+edges AS MATERIALIZED (
   SELECT e2.*, LEAST(GREATEST(COALESCE(CASE WHEN cr.n >= 100 THEN cr.rate END, rr.rate, g.rate)
                  + (5e0 - 5e0) / 5e0 * 0.15e0, 0.01e0), 0.99e0) AS delay_probability
   FROM e2 LEFT JOIN combo_r cr ON e2.route_type = cr.Route_Type AND e2.mode = cr.Transportation_Mode
@@ -54,35 +54,37 @@ pw AS (
             + 0.3e0 * (CASE WHEN phi > plo THEN (delay_probability - plo) / (phi - plo) ELSE 0e0 END) END AS weight
   FROM edges e JOIN mm ON e.mode = mm.mode AND e.category = mm.category
   CROSS JOIN (VALUES ('Fastest'), ('Cheapest'), ('Safest'), ('Balanced')) AS p(priority)),
-pwi AS (SELECT pw.*, CAST(ROUND(weight * 1e9) AS BIGINT) AS w FROM pw)"""
+pwi AS MATERIALIZED (SELECT pw.*, CAST(ROUND(weight * 1e9) AS BIGINT) AS w FROM pw)"""
 
 
 def _double(src: str, dst: str) -> str:
+    """One doubling: the least (cost, hops, path) of a pair is the least of their fixed-width texts."""
     return f""",
-{dst}_c AS (
-  SELECT * FROM {src}
-  UNION ALL
-  SELECT x.mode, x.category, x.priority, x.src, y.dst, x.cost + y.cost AS cost, x.hops + y.hops AS hops,
-         list_concat(x.path, y.path[2:]) AS path
-  FROM {src} x JOIN {src} y ON x.mode = y.mode AND x.category = y.category AND x.priority = y.priority
-       AND x.dst = y.src AND x.src <> y.dst),
-{dst} AS (
-  SELECT mode, category, priority, src, dst, cost, hops, path FROM (
-    SELECT *, row_number() OVER (PARTITION BY mode, category, priority, src, dst ORDER BY cost, hops, path) AS rn
-    FROM {dst}_c) WHERE rn = 1)"""
+{dst} AS MATERIALIZED (
+  SELECT mode, category, priority, src, dst, CAST(substr(k, 1, 20) AS BIGINT) AS cost,
+         CAST(substr(k, 21, 3) AS INTEGER) AS hops, substr(k, 24) AS path
+  FROM (SELECT mode, category, priority, src, dst, MIN(printf('%020d', cost) || printf('%03d', hops) || path) AS k
+        FROM (SELECT * FROM {src}
+              UNION ALL
+              SELECT x.mode, x.category, x.priority, x.src, y.dst, x.cost + y.cost, x.hops + y.hops,
+                     x.path || substr(y.path, 3)
+              FROM {src} x JOIN {src} y ON x.mode = y.mode AND x.category = y.category AND x.priority = y.priority
+                   AND x.dst = y.src AND x.src <> y.dst)
+        GROUP BY mode, category, priority, src, dst))"""
 
 
 BEST_CTES = EDGE_CTES + """,
-w1 AS (
+w1 AS MATERIALIZED (
   SELECT mode, category, priority, a_port_idx AS src, b_port_idx AS dst, w AS cost, 1 AS hops,
-         [a_port_idx, b_port_idx] AS path FROM pwi
+         printf('%02d%02d', a_port_idx, b_port_idx) AS path FROM pwi
   UNION ALL
-  SELECT mode, category, priority, b_port_idx, a_port_idx, w, 1, [b_port_idx, a_port_idx] FROM pwi)""" + \
+  SELECT mode, category, priority, b_port_idx, a_port_idx, w, 1, printf('%02d%02d', b_port_idx, a_port_idx) FROM pwi)""" + \
     _double("w1", "w2") + _double("w2", "w4") + _double("w4", "w8") + _double("w8", "w16") + """,
 names AS (SELECT list(port ORDER BY port_idx) AS nm FROM ports_dim),
 legs AS (
-  SELECT b.mode, b.category, b.priority, b.src, b.dst, b.path[i] AS f, b.path[i + 1] AS t
-  FROM w16 b, LATERAL (SELECT unnest(generate_series(1, len(b.path) - 1)) AS i)),
+  SELECT mode, category, priority, src, dst, CAST(substr(path, 2 * i - 1, 2) AS INTEGER) AS f,
+         CAST(substr(path, 2 * i + 1, 2) AS INTEGER) AS t
+  FROM (SELECT *, unnest(range(1, hops + 1)) AS i FROM w16)),
 tot AS (
   SELECT l.mode, l.category, l.priority, l.src, l.dst, SUM(e.distance_km) AS total_distance_km,
     SUM(e.cost_usd) AS total_cost_usd, SUM(e.transit_days) AS total_transit_days,
@@ -92,7 +94,7 @@ tot AS (
   GROUP BY 1, 2, 3, 4, 5),
 totals AS (
   SELECT b.mode, b.category, b.priority, b.src, b.dst, names.nm[b.src + 1] AS origin, names.nm[b.dst + 1] AS destination,
-    array_to_string(list_transform(b.path, lambda i: names.nm[i + 1]), ' → ') AS route, b.hops,
+    array_to_string(list_transform(range(0, b.hops + 1), lambda i: names.nm[CAST(substr(b.path, 2 * i + 1, 2) AS INTEGER) + 1]), ' → ') AS route, b.hops,
     t.total_distance_km, t.total_cost_usd, t.total_transit_days, t.overall_delay_probability
   FROM w16 b JOIN tot t ON b.mode = t.mode AND b.category = t.category AND b.priority = t.priority
        AND b.src = t.src AND b.dst = t.dst CROSS JOIN names)"""

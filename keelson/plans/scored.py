@@ -4,10 +4,11 @@ shipments (A1) -> features (B1-B7, whole-table median) -> fallback historical
 rate as the delay probability (F3) -> clipped delay days as the magnitude ->
 score and tier against whole-table p99s (D1, D2) -> port coordinates (B10).
 
-Each stage that later stages read several times (statistics passes) is
-written as a Parquet table to the shared checkpoint folder and read back: a
-short plan, column pruning and filter pushdown on re-reads, and nothing to
-recompute when an executor is lost.  Frames are memoised per (application,
+The shipments and the scored table are written as Parquet to the shared
+checkpoint folder and read back: a short plan, column pruning and filter
+pushdown on re-reads, and nothing to recompute when an executor is lost.
+Features and probabilities are row-local given small written statistics (the
+median, the rate rollup), so they are expressions over the shipments, not tables.  Frames are memoised per (application,
 sf_dir) so a run of many queries derives the table once, as the reference
 caches its loaded frame.
 """
@@ -36,6 +37,14 @@ def _memo(spark: SparkSession, sf_dir: str, key: str, build) -> DataFrame:
     return df
 
 
+def _lazy(spark: SparkSession, sf_dir: str, key: str, build) -> DataFrame:
+    """A frame that is built (its small statistics computed) once but not written."""
+    k = (spark.sparkContext.applicationId, sf_dir, key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
 def clear_memo() -> None:
     _MEMO.clear()
 
@@ -45,7 +54,7 @@ def base_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "features", lambda: engineer_features(base_shipments(spark, sf_dir)))
+    return _lazy(spark, sf_dir, "features", lambda: engineer_features(base_shipments(spark, sf_dir)))
 
 
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +63,7 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = featured(spark, sf_dir)
         return (with_fallback_rate(f, f, out_col="Predicted_Delay_Probability")
                 .withColumn("Predicted_Delay_Days", F.col("Delay_Days").cast("double")))
-    return _memo(spark, sf_dir, "probabilities", build)
+    return _lazy(spark, sf_dir, "probabilities", build)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

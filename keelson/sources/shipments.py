@@ -105,6 +105,7 @@ def export_scored(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     """
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        # the writer trims blanks by default; the export keeps texts as they are
+        writer.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         writer.partitionBy("Order_YearMonth").parquet(path)

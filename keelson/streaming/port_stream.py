@@ -41,8 +41,9 @@ def windowed_stats(stream: DataFrame, interval: str = "10 minutes", watermark: s
 
 
 def one_per_bucket(stream: DataFrame, bucket: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
-    """Repeat readings of a port inside one cache bucket are the same reading."""
-    return (stream.withColumn("bucket", F.date_trunc("hour", "obs_ts") if bucket == "1 hour"
+    """Repeat good readings of a port inside one cache bucket are the same reading; a failed
+    reading never takes the bucket."""
+    return (stream.where("ok").withColumn("bucket", F.date_trunc("hour", "obs_ts") if bucket == "1 hour"
                               else F.window("obs_ts", bucket).start)
             .withWatermark("obs_ts", watermark)
             .dropDuplicatesWithinWatermark(["port", "bucket"]))
@@ -50,18 +51,21 @@ def one_per_bucket(stream: DataFrame, bucket: str = "10 minutes", watermark: str
 
 def alert_sink(port_stats: DataFrame, alert_path: str, failed_path: str):
     """A foreachBatch writer: good readings enriched with port stats (broadcast, 31 rows),
-    failed readings to a side table; both appended as Parquet (idempotent per batch id)."""
+    failed readings to a side table.  Each batch overwrites its own ``batch_id`` partition, so a
+    batch that is replayed after a failure leaves the same rows."""
     stats = F.broadcast(port_stats.select("port", "origin_shipments", "origin_delay_pct"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()   # read by both sinks
         good = batch.where("ok").join(stats, "port", "left").select(
             "event_id", "port", "obs_ts", "wave_height_m", "wind_speed_kmh",
             condition_level(F.col("wave_height_m"), F.col("wind_speed_kmh")).alias("level"),
             implied_severity(F.col("wave_height_m"), F.col("wind_speed_kmh")).alias("implied_severity"),
             "origin_shipments", "origin_delay_pct").withColumn("batch_id", F.lit(batch_id))
         failed = batch.where(~F.col("ok")).select("event_id", "port", "obs_ts").withColumn("batch_id", F.lit(batch_id))
-        good.write.mode("append").partitionBy("batch_id").parquet(alert_path)
-        failed.write.mode("append").partitionBy("batch_id").parquet(failed_path)
+        for rows, path in ((good, alert_path), (failed, failed_path)):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        batch.unpersist()
     return write
 
 

@@ -66,5 +66,5 @@ def test_empty_portfolio_has_no_simulations(spark):
     """H1: an empty (filtered) portfolio yields no simulation rows."""
     from keelson.operators.exposure import simulate
     s = pf.faceted_filter(sc.scored(spark, SMALL), modes=["Rail"])
-    assert simulate(s, 20, 42).count() == 0
-    assert simulate(sc.scored(spark, SMALL), 20, 42).count() == 20
+    assert simulate(s, 500, 42).count() == 0
+    assert simulate(sc.scored(spark, SMALL), 500, 42).count() == 500

@@ -74,3 +74,40 @@ def test_rank_mode_order_statistic(spark):
         df = spark.createDataFrame([(v,) for v in vals], "x double")
         got = exact_quantiles(df, {"k": ("x", 0.2, "rank")}, accuracy=300).collect()[0].k
         assert got == sorted(vals)[max(math.ceil(0.2 * n) - 1, 0)]
+
+
+def test_quantiles_of_tied_values_keep_the_ranked_table_small(spark, monkeypatch):
+    from keelson.plans import materialize as mt
+    sizes = {}
+    real = mt.materialize
+
+    def spy(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(mt, "materialize", spy)
+    for n in (2000, 20000):
+        df = spark.range(n).selectExpr("CASE WHEN id % 10 < 3 THEN 7.0D ELSE id * 1.0D END AS x", "id % 4 AS g")
+        vals = np.where(np.arange(n) % 10 < 3, 7.0, np.arange(n))
+        got = exact_quantiles(df, {"a": ("x", 0.2), "b": ("x", 0.99)}).first()
+        assert (got.a, got.b) == (np.quantile(vals, 0.2), np.quantile(vals, 0.99))
+        assert sizes["quantile-cells"] <= 2 * (2 + 4 * n / 10_000 + 3)
+
+
+def test_wide_brackets_are_narrowed(spark, monkeypatch):
+    from keelson.functions import stats
+    monkeypatch.setattr(stats, "MAX_VALUES", 5)
+    monkeypatch.setattr(stats, "HISTOGRAM", 4)
+    rnd = random.Random(11)
+    vals = [rnd.choice([rnd.gauss(0, 1), rnd.gauss(0, 1e6), 3.0]) for _ in range(4000)]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(vals)], "x double, g int")
+    for row in exact_quantiles(df, {"a": ("x", 0.37), "b": ("x", 0.9), "k": ("x", 0.2, "rank")}, by=["g"], accuracy=50).collect():
+        sub = sorted(v for i, v in enumerate(vals) if i % 3 == row["g"])
+        assert abs(row.a - np.quantile(sub, 0.37)) < 1e-9 * max(1, abs(row.a)) and abs(row.b - np.quantile(sub, 0.9)) < 1e-9 * max(1, abs(row.b))
+        assert row.k == sub[-(-len(sub) // 5) - 1]
+
+
+def test_split_does_not_shuffle_by_label(spark):
+    df = spark.range(500).selectExpr("id AS Order_ID", "CAST(id % 7 = 0 AS INT) AS Is_Delayed")
+    plan = ml.with_split(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(Is_Delayed" not in plan
