@@ -69,7 +69,19 @@ def tail_summary(sims: DataFrame) -> DataFrame:
 
 
 def histograms(sims: DataFrame, nbins: int = 40) -> DataFrame:
-    """H4: 40-bin histograms of delayed count and exposure."""
-    c = histogram_1d(sims, "delayed_count", nbins).select(F.lit("delayed_count").alias("metric"), "bin", "n")
-    e = histogram_1d(sims, "exposure_usd", nbins).select(F.lit("exposure_usd").alias("metric"), "bin", "n")
-    return c.unionByName(e)
+    """H4: 40-bin histograms of delayed count and exposure, with each bin's edges."""
+    def one(metric: str) -> DataFrame:
+        step = (F.col("hi") - F.col("lo")).cast("double") / nbins
+        return histogram_1d(sims, metric, nbins).select(
+            F.lit(metric).alias("metric"), "bin", "n", (F.col("lo") + F.col("bin") * step).alias("bin_from"),
+            (F.col("lo") + (F.col("bin") + 1) * step).alias("bin_to"))
+    return one("delayed_count").unionByName(one("exposure_usd"))
+
+
+def markers(df: DataFrame, sims: DataFrame) -> DataFrame:
+    """H4: the expected and p95 lines of both histograms."""
+    e, t = expectation(df), tail_summary(sims)
+    rows = F.array(F.struct(F.lit("delayed_count").alias("metric"), F.col("expected_delayed").alias("expected"), F.col("p95_delayed").alias("p95")),
+                   F.struct(F.lit("exposure_usd").alias("metric"), F.col("expected_exposure_usd").alias("expected"),
+                            F.col("p95_exposure_usd").alias("p95")))
+    return e.crossJoin(t).select(F.explode(rows).alias("m")).select("m.*")   # two 1-row results

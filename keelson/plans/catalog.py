@@ -7,6 +7,8 @@ parquet tables registered as views.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from keelson.operators import rates, scoring
 from keelson.plans import scored as sc
 from keelson.plans.oracle import pct1, rhe1, with_ctes
 from keelson.plans.registry import register
+from keelson.session import ensure_checkpoint_dir
+from keelson.sources import shipments as ship
 
 
 # Example facet selection used by the filtered-view queries.
@@ -48,6 +52,19 @@ def q_shipments(spark, sf):
     return sc.base_shipments(spark, sf).withColumn("Order_Date", F.date_format("Order_Date", "yyyy-MM-dd"))
 
 
+_SCAN_SQL = with_ctes(
+    " SELECT " + SHIPMENT_COLS.replace("Order_Date,", "strftime(Order_Date, '%Y-%m-%d') AS Order_Date,")
+    + " FROM shipments", "shipments")
+
+
+@register("shipments_csv_scan", _SCAN_SQL)
+def q_csv_scan(spark, sf):
+    """A1 + A6: the shipments exported as CSV and scanned again with the declared schema."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/keelson-csv-{uuid.uuid4().hex}"
+    ship.export_scored(sc.base_shipments(spark, sf), path, fmt="csv")
+    return ship.read_shipments(spark, path).withColumn("Order_Date", F.date_format("Order_Date", "yyyy-MM-dd"))
+
+
 FEATURE_OUT = ("Order_ID, Delay_Days, Is_Delayed, Order_Month, Order_Quarter, Order_Year, Order_DayOfWeek, "
                "Order_YearMonth, Schedule_Buffer_Days, Schedule_Buffer_Ratio, Route, Cost_Per_Kg, "
                "External_Risk_Pressure")
@@ -391,12 +408,24 @@ def _edges(spark, sf):
                     lambda: rt.route_edges(port_dim(spark), _graphs(spark, sf), sc.featured(spark, sf)))
 
 
+def _best(spark, sf):
+    return sc._memo(spark, sf, "best_routes", lambda: rt.all_pairs_best(rt.priority_weights(_edges(spark, sf))))
+
+
+def _legs(spark, sf):
+    return sc._memo(spark, sf, "route_legs", lambda: rt.route_legs(_best(spark, sf), _edges(spark, sf)))
+
+
 def _totals(spark, sf):
-    def build():
-        e = _edges(spark, sf)
-        best = rt.all_pairs_best(rt.priority_weights(e))
-        return rt.route_totals(best, rt.route_legs(best, e), port_dim(spark))
-    return sc._memo(spark, sf, "route_totals", build)
+    return sc._memo(spark, sf, "route_totals", lambda: rt.route_totals(_best(spark, sf), _legs(spark, sf), port_dim(spark)))
+
+
+@register("route_legs", orr.legs_sql())
+def q_route_legs(spark, sf):
+    """The legs of every best route with their edge's figures."""
+    return _legs(spark, sf).select("mode", "category", "priority", "src", "dst", F.col("leg_no").cast("int").alias("leg_no"), "from_idx", "to_idx",
+                                   "route_type", F.round("distance_km", 6).alias("distance_km"), F.round("transit_days", 6).alias("transit_days"),
+                                   "cost_usd", F.round("delay_probability", 9).alias("delay_probability"), "risk_tier")
 
 
 @register("route_edges", orr.edges_sql())

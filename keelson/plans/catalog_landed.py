@@ -10,7 +10,7 @@ from keelson.operators import exposure as ex
 from keelson.operators import portfolio as pf
 from keelson.operators import weather as wx
 from keelson.plans import scored as sc
-from keelson.plans.catalog import _bin_sql
+from keelson.plans.catalog import FACET_SQL, FACETS, _bin_sql
 from keelson.plans.oracle import with_ctes
 from keelson.plans.registry import register
 from keelson.sources import landing, payloads
@@ -329,12 +329,45 @@ def q_tail(spark, sf):
 @register("exposure_histogram", with_ctes(
     SIM_SQL + ", mm AS (SELECT MIN(delayed_count) AS clo, MAX(delayed_count) AS chi, MIN(exposure_usd) AS elo,"
     " MAX(exposure_usd) AS ehi FROM simres)"
-    f" SELECT 'delayed_count' AS metric, {_bin_sql('delayed_count', 'clo', 'chi', 40)} AS bin, COUNT(*) AS n"
-    " FROM simres CROSS JOIN mm GROUP BY 1, 2 UNION ALL"
-    f" SELECT 'exposure_usd', {_bin_sql('exposure_usd', 'elo', 'ehi', 40)}, COUNT(*) FROM simres CROSS JOIN mm"
-    " GROUP BY 1, 2"))
+    f", h AS (SELECT 'delayed_count' AS metric, {_bin_sql('delayed_count', 'clo', 'chi', 40)} AS bin, COUNT(*) AS n,"
+    " MAX(clo)::DOUBLE AS lo, MAX(chi)::DOUBLE AS hi FROM simres CROSS JOIN mm GROUP BY 1, 2 UNION ALL"
+    f" SELECT 'exposure_usd', {_bin_sql('exposure_usd', 'elo', 'ehi', 40)}, COUNT(*), MAX(elo), MAX(ehi) FROM simres CROSS JOIN mm"
+    " GROUP BY 1, 2) SELECT metric, bin, n, ROUND(lo + bin * ((hi - lo) / 40), 6) AS bin_from,"
+    " ROUND(lo + (bin + 1) * ((hi - lo) / 40), 6) AS bin_to FROM h"))
 def q_hist(spark, sf):
-    return ex.histograms(_sims(spark, sf))
+    h = ex.histograms(_sims(spark, sf))
+    return h.select("metric", "bin", "n", F.round("bin_from", 6).alias("bin_from"), F.round("bin_to", 6).alias("bin_to"))
+
+
+@register("exposure_markers", with_ctes(
+    SIM_SQL + " SELECT 'delayed_count' AS metric, ROUND((SELECT SUM(Predicted_Delay_Probability) FROM scored), 6) AS expected,"
+    " ROUND(quantile_cont(CAST(delayed_count AS DOUBLE), 0.95), 6) AS p95 FROM simres UNION ALL SELECT 'exposure_usd',"
+    " ROUND((SELECT SUM(Predicted_Delay_Probability * Shipping_Cost_USD) FROM scored), 2),"
+    " ROUND(quantile_cont(exposure_usd, 0.95), 6) FROM simres"))
+def q_markers(spark, sf):
+    """H4: the expected and p95 lines of the histograms."""
+    m = ex.markers(sc.scored(spark, sf), _sims(spark, sf))
+    return m.select("metric", F.when(F.col("metric") == "exposure_usd", F.round("expected", 2)).otherwise(F.round("expected", 6)).alias("expected"),
+                    F.round("p95", 6).alias("p95"))
+
+
+@register("exposure_tail_filtered", with_ctes(
+    SIM_SQL.replace("FROM scored)", f"FROM scored WHERE {FACET_SQL})", 1)
+    + " SELECT quantile_cont(CAST(delayed_count AS DOUBLE), 0.95) AS p95_delayed,"
+    " ROUND(quantile_cont(exposure_usd, 0.95), 6) AS p95_exposure_usd,"
+    " ROUND(quantile_cont(exposure_usd, 0.99), 6) AS p99_exposure_usd FROM simres"))
+def q_tail_filtered(spark, sf):
+    """H1 + H3 on the faceted filter."""
+    s = pf.faceted_filter(sc.scored(spark, sf), **FACETS)
+    t = ex.tail_summary(sc._memo(spark, sf, "sims-filtered", lambda: ex.simulate(s, ORACLE_SIMS, 42)))
+    return t.select("p95_delayed", F.round("p95_exposure_usd", 6).alias("p95_exposure_usd"),
+                    F.round("p99_exposure_usd", 6).alias("p99_exposure_usd"))
+
+
+@register("exposure_simulations_default", None)
+def q_sims_default(spark, sf):
+    """H1 at the default 2,000 draws with the JVM-native hash (no SQL twin for that hash)."""
+    return ex.simulate(sc.scored(spark, sf), 2000, 42, uniform="xxhash")
 
 
 @register("board_exposure", with_ctes(
@@ -353,7 +386,7 @@ def q_board_exposure(spark, sf):
 # ---------------------------------------------------------------- K4: route edges with live port weather
 from keelson.operators import routes as rt  # noqa: E402
 from keelson.plans.catalog import _graphs  # noqa: E402
-from keelson.plans.oracle_routes import EDGE_CTES  # noqa: E402
+from keelson.plans.oracle_routes import EDGE_CTES, live_weather_sql  # noqa: E402
 
 _COND_SQL = (", pagg AS (SELECT port_idx, COUNT(*) AS n_hours,"
              " MAX(CASE WHEN rn = 1 THEN wave_height_m END) AS cw, MAX(CASE WHEN rn = 1 THEN wind_speed_kmh END) AS cv"
@@ -381,3 +414,16 @@ def q_edges_weather(spark, sf):
     e = rt.route_edges(port_dim(spark), _graphs(spark, sf), sc.featured(spark, sf), conditions=conds)
     return e.select("mode", "category", "a_port", "b_port", F.round("weather_risk", 9).alias("weather_risk"),
                     F.round("delay_probability", 9).alias("delay_probability"))
+
+
+@register("best_routes_live_weather", live_weather_sql(OBS_SQL, _COND_SQL))
+def q_best_live(spark, sf):
+    """K9 over the live-weather edges: the best routes under the current port readings."""
+    def build():
+        conds = cond.port_conditions(_obs(spark, sf), port_dim(spark))
+        e = sc.materialize(rt.route_edges(port_dim(spark), _graphs(spark, sf), sc.featured(spark, sf), conditions=conds), "live-edges")
+        best = rt.all_pairs_best(rt.priority_weights(e))
+        return rt.route_totals(best, rt.route_legs(best, e), port_dim(spark))
+    t = sc._memo(spark, sf, "live_totals", build)
+    return t.select("mode", "category", "priority", "origin", "destination", "route", "hops",
+                    F.round("overall_delay_probability", 9).alias("overall_delay_probability"))

@@ -5,6 +5,8 @@ on given scores, profiles on fixed cluster ids) have DuckDB twins."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from keelson.functions.features import FEATURES_CATEGORICAL, FEATURES_NUMERIC, request_features
@@ -53,6 +55,26 @@ def q_cat_idx(spark, sf):
     return ml.category_indices(sc.featured(spark, sf))
 
 
+@register("encoded_categories", with_ctes(
+    ", vals AS (" + " UNION ALL ".join(
+        f"SELECT DISTINCT '{c}' AS feature_column, {c} AS value FROM features WHERE {c} IS NOT NULL"
+        for c in FEATURES_CATEGORICAL) + "), slots AS (SELECT feature_column, value, CAST(dense_rank() OVER (PARTITION BY feature_column"
+    " ORDER BY value) - 1 AS INTEGER) AS slot FROM vals)"
+    " SELECT * FROM slots UNION ALL SELECT DISTINCT feature_column, 'unseen value', CAST(NULL AS INTEGER) FROM vals", "features"))
+def q_encoded(spark, sf):
+    """G1: the one-hot slot of every category; an unseen one has none (all zeros)."""
+    f = sc.featured(spark, sf)
+    model = Pipeline(stages=ml.feature_stages(numeric=FEATURES_NUMERIC[:1])).fit(f)
+    values = ml.category_indices(f).select("feature_column", "value")
+    values = values.unionAll(values.select("feature_column", F.lit("unseen value")).distinct())
+    given = values.select("feature_column", "value", F.lit(0).alias(FEATURES_NUMERIC[0]),
+                          *[F.when(F.col("feature_column") == c, F.col("value")).otherwise(F.lit("unseen value")).alias(c) for c in FEATURES_CATEGORICAL])
+    out = model.transform(given)
+    slot = F.coalesce(*[F.when(F.col("feature_column") == c, F.nullif(F.array_position(vector_to_array(f"{c}__ohe"), 1.0), F.lit(0)) - 1)
+                        for c in FEATURES_CATEGORICAL])
+    return out.select("feature_column", "value", slot.cast("int").alias("slot"))
+
+
 @register("scaler_stats", with_ctes(
     " SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, ROUND(AVG({c}), 9) AS mean, ROUND(stddev_pop({c}), 9) AS std,"
@@ -237,7 +259,6 @@ def q_uplift(spark, sf):
                                      "n_valid long, auc_base double, auc_ext double, uplift double, verdict string")
     d = materialize(ml.with_split(valid), "uplift-split")
     tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     aucs = []
     for numeric in (FEATURES_NUMERIC, FEATURES_NUMERIC + real):

@@ -82,7 +82,7 @@ w1 AS MATERIALIZED (
     _double("w1", "w2") + _double("w2", "w4") + _double("w4", "w8") + _double("w8", "w16") + """,
 names AS (SELECT list(port ORDER BY port_idx) AS nm FROM ports_dim),
 legs AS (
-  SELECT mode, category, priority, src, dst, CAST(substr(path, 2 * i - 1, 2) AS INTEGER) AS f,
+  SELECT mode, category, priority, src, dst, i, CAST(substr(path, 2 * i - 1, 2) AS INTEGER) AS f,
          CAST(substr(path, 2 * i + 1, 2) AS INTEGER) AS t
   FROM (SELECT *, unnest(range(1, hops + 1)) AS i FROM w16)),
 tot AS (
@@ -112,6 +112,30 @@ def edges_sql() -> str:
  FROM edges""")
 
 
+_TIER = ("CASE WHEN round_even(delay_probability * 1e2 * 1e1, 0) / 1e1 < 20 THEN 'Low'"
+         " WHEN round_even(delay_probability * 1e2 * 1e1, 0) / 1e1 < 40 THEN 'Medium'"
+         " WHEN round_even(delay_probability * 1e2 * 1e1, 0) / 1e1 < 65 THEN 'High' ELSE 'Severe' END")
+
+
+def legs_sql() -> str:
+    return with_ctes(BEST_CTES + f"""
+ SELECT l.mode, l.category, l.priority, l.src, l.dst, CAST(l.i - 1 AS INTEGER) AS leg_no, l.f AS from_idx, l.t AS to_idx,
+   e.route_type, ROUND(e.distance_km, 6) AS distance_km, ROUND(e.transit_days, 6) AS transit_days, e.cost_usd,
+   ROUND(e.delay_probability, 9) AS delay_probability, {_TIER} AS risk_tier
+ FROM legs l JOIN edges e ON l.mode = e.mode AND l.category = e.category
+      AND LEAST(l.f, l.t) = e.a_port_idx AND GREATEST(l.f, l.t) = e.b_port_idx""")
+
+
+def live_weather_sql(before: str, conditions: str) -> str:
+    """Best routes over edges whose risk follows the live readings (CTE ``wedges`` of ``conditions``)."""
+    head, tail = EDGE_CTES.split(",\nmm AS", 1)
+    tail = (",\nmm AS" + tail + BEST_CTES[len(EDGE_CTES):]).replace("FROM edges", "FROM wedges").replace("JOIN edges", "JOIN wedges")
+    return with_ctes(before + head + conditions + tail + """
+ SELECT mode, category, priority, origin, destination, route, hops,
+   ROUND(overall_delay_probability, 9) AS overall_delay_probability
+ FROM totals""")
+
+
 def weights_sql() -> str:
     return with_ctes(EDGE_CTES + " SELECT mode, category, priority, a_port_idx, b_port_idx, w FROM pwi")
 

@@ -68,3 +68,34 @@ def test_empty_portfolio_has_no_simulations(spark):
     s = pf.faceted_filter(sc.scored(spark, SMALL), modes=["Rail"])
     assert simulate(s, 500, 42).count() == 0
     assert simulate(sc.scored(spark, SMALL), 500, 42).count() == 500
+
+
+def test_zero_days_give_a_null_score(spark):
+    """A portfolio whose p99 of days is zero has null scores and does not fail."""
+    from keelson.operators.scoring import portfolio_score
+    df = spark.createDataFrame([(1, 0.5, 0.0, 0.2), (2, 0.1, 0.0, 0.9)],
+                               "Order_ID long, Predicted_Delay_Probability double, Predicted_Delay_Days double, External_Risk_Pressure double")
+    assert [r.Shipment_Risk_Score for r in portfolio_score(df).collect()] == [None, None]
+
+
+def test_forest_draws_rows_of_the_whole_table(spark, monkeypatch):
+    """Above 20,000 rows every tree still draws from all of them."""
+    from keelson.operators import anomaly as an
+    seen = {}
+    real = an._build_tree
+
+    def spy(seed, cols):
+        build = real(seed, cols)
+
+        def first(pdf):
+            out = build(pdf)
+            out.loc[0, "threshold"] = float(pdf[cols[0]].max() - pdf[cols[0]].min())
+            out.loc[0, "size"] = len(pdf)
+            return out
+        return first
+    monkeypatch.setattr(an, "_build_tree", spy)
+    df = spark.range(30_000).selectExpr("id AS Order_ID", *[f"CAST(id AS DOUBLE) AS {c}" for c in an.ANOMALY_NUMERIC])
+    roots = an.fit_forest(df, n_trees=8).nodes.where("node_id = 0").collect()
+    seen = [(r["size"], r.threshold) for r in roots]
+    assert len(seen) == 8 and all(n == an.PSI for n, _ in seen)
+    assert min(t for _, t in seen) > 3.2   # of sqrt(12) standard deviations, the whole range

@@ -87,7 +87,7 @@ def test_stream_dedupe_and_alert_sinks(spark):
          .queryName("dedup_obs").option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination(300)
     got = spark.table("dedup_obs")
-    buckets = obs.select("port", F.window("obs_ts", "10 minutes").start.alias("b")).distinct().count()
+    buckets = obs.where("ok").select("port", F.window("obs_ts", "10 minutes").start.alias("b")).distinct().count()
     assert got.count() == buckets
     assert got.groupBy("port", "bucket").count().where("count > 1").count() == 0
     out_a, out_f = tempfile.mkdtemp(prefix="keelson-alerts-"), tempfile.mkdtemp(prefix="keelson-failed-")
@@ -165,3 +165,56 @@ def test_refresh_stream_append_mode(spark):
     assert got.where(F.col("window_end") > F.lit(max_ts)).count() == 0
     with pytest.raises(ValueError):
         start_refresh_stream(spark, src, sink, ck, "7 minutes")
+
+
+def test_csv_export_keeps_blanks(spark):
+    """Leading and trailing blanks survive the CSV export; every column is compared."""
+    from conftest import SMALL
+    from keelson.plans import scored as sc
+    from keelson.sources.shipments import SHIPMENT_SCHEMA, export_scored, read_shipments
+    base = sc.base_shipments(spark, SMALL)
+    out = tempfile.mkdtemp(prefix="keelson-csv-") + "/ship"
+    export_scored(base, out, fmt="csv")
+    cols = [f.name for f in SHIPMENT_SCHEMA.fields]
+    back = read_shipments(spark, out, "csv").select(cols)
+    assert base.where("Delivery_Status = ' late '").count() > 0
+    assert back.exceptAll(base.select(cols)).count() == 0 and base.select(cols).exceptAll(back).count() == 0
+
+
+def test_replayed_alert_batch_leaves_the_same_rows(spark):
+    from conftest import SMALL
+    from keelson.operators import portfolio as pf
+    from keelson.plans import scored as sc
+    from keelson.sources.landing import port_observations
+    from keelson.streaming.port_stream import alert_sink
+    obs = port_observations(spark, SMALL)
+    out = tempfile.mkdtemp(prefix="keelson-alerts-")
+    write = alert_sink(pf.port_statistics(sc.scored(spark, SMALL)), out + "/a", out + "/f")
+    for batch_id in (0, 1, 0):
+        write(obs, batch_id)
+    assert spark.read.parquet(out + "/a").count() == 2 * obs.where("ok").count()
+    assert spark.read.parquet(out + "/f").count() == 2 * obs.where("not ok").count()
+
+
+def test_weather_rows_are_made_unique_and_coverage_is_told(spark):
+    from keelson.operators.weather import REAL_LABELS, merge_weather, origin_coverage
+    cols = list(REAL_LABELS)
+    ship = spark.createDataFrame([(1, "A", "2024-01-01"), (2, "B", "2024-01-01"), (3, "C", "2024-01-01")], "Order_ID long, Origin_City string, d string") \
+        .withColumn("Order_Date", F.to_date("d"))
+    rows = spark.createDataFrame([("A", "2024-01-01", *[float(i) for i in range(len(cols))]), ("A", "2024-01-01", *[9.0] * len(cols))],
+                                 "city string, d string, " + ", ".join(f"{c} double" for c in cols)).withColumn("wx_date", F.to_date("d")).drop("d")
+    asked = spark.createDataFrame([("A",), ("B",)], "city string")
+    got = merge_weather(ship, rows, asked).orderBy("Order_ID").collect()
+    assert [r.Order_ID for r in got] == [1, 2] and got[0][cols[0]] == 0.0 and got[1][cols[0]] is None
+    assert tuple(origin_coverage(ship, asked).first()) == (2, 1, 1)
+
+
+def test_unseen_category_is_all_zeros(spark):
+    """G1: an unseen category gives zeros, not a slot of its own."""
+    from pyspark.ml import Pipeline
+
+    from keelson.operators.ml import feature_stages
+    seen = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "k string, x double")
+    model = Pipeline(stages=feature_stages(numeric=["x"], categorical=["k"])).fit(seen)
+    new = spark.createDataFrame([("zzz", 5.0), ("b", 6.0)], "k string, x double")
+    assert [r.features.toArray().tolist() for r in model.transform(new).collect()] == [[5.0, 0.0, 0.0, 0.0], [6.0, 0.0, 1.0, 0.0]]
