@@ -51,7 +51,7 @@ def port_conditions(obs: DataFrame, ports: DataFrame) -> DataFrame:
         F.min(F.struct("rn", "wave_height_m", "wind_speed_kmh")).alias("cur"),
         F.max(F.when(F.col("rn") <= PEAK_WINDOW_ROWS, F.col("wave_height_m"))).alias("peak_wave_72h_m"),
         F.max(F.when(F.col("rn") <= PEAK_WINDOW_ROWS, F.col("wind_speed_kmh"))).alias("peak_wind_72h_kmh"))
-    j = F.broadcast(ports.select("port_idx", "port")).join(agg, "port_idx", "left")
+    j = ports.select("port_idx", "port").join(agg, "port_idx", "left")
     ok = F.coalesce(F.col("n_hours"), F.lit(0)) > 0
     wave, wind = F.col("cur.wave_height_m"), F.col("cur.wind_speed_kmh")
     return j.select("port_idx", "port", ok.alias("ok"), F.coalesce(F.col("n_hours"), F.lit(0)).alias("n_hours"),

@@ -99,14 +99,14 @@ def kpi_strip(df: DataFrame) -> DataFrame:
 def tier_split(df: DataFrame) -> DataFrame:
     """Shipments per tier in fixed order, missing tiers zero-filled."""
     counts = df.groupBy("Risk_Tier").agg(F.count(F.lit(1)).alias("_n"))
-    return (F.broadcast(tier_dim(df.sparkSession)).join(counts, "Risk_Tier", "left")
+    return (tier_dim(df.sparkSession).join(F.broadcast(counts), "Risk_Tier", "left")   # a row per tier
             .select("Risk_Tier", "tier_rank", F.coalesce(F.col("_n"), F.lit(0)).alias("shipments")))
 
 
 def tier_calibration(df: DataFrame) -> DataFrame:
     """Actual delay rate per tier in fixed order; empty tier -> null."""
     rates = df.groupBy("Risk_Tier").agg(delay_rate(F.sum("Is_Delayed"), F.count(F.lit(1))).alias("delay_rate"))
-    return F.broadcast(tier_dim(df.sparkSession)).join(rates, "Risk_Tier", "left") \
+    return tier_dim(df.sparkSession).join(F.broadcast(rates), "Risk_Tier", "left") \
         .select("Risk_Tier", "tier_rank", "delay_rate")
 
 
@@ -221,7 +221,7 @@ def port_statistics(df: DataFrame) -> DataFrame:
     g = (_port_roles(df).groupBy("port").pivot("role", ["origin", "destination"])
          .agg(F.count(F.lit(1)).alias("n"), F.sum("Is_Delayed").alias("nd"), F.sum("Risk_Score_Tenths").alias("st"),
               F.count("Risk_Score_Tenths").alias("ns")))
-    out = F.broadcast(ports(df.sparkSession)).join(g, "port", "left")
+    out = ports(df.sparkSession).join(g, "port", "left")
     cols = ["port_idx", "port", "lat", "lon", "region_label"]
     for role in ("origin", "destination"):
         n = F.coalesce(F.col(f"{role}_n"), F.lit(0))
@@ -266,7 +266,7 @@ def lane_arcs(df: DataFrame) -> DataFrame:
 def port_points(df: DataFrame) -> DataFrame:
     """Every port's point; colour and size by data-set membership."""
     ds = dataset_ports(df).withColumn("_in", F.lit(True))
-    j = F.broadcast(ports(df.sparkSession)).join(ds, "port", "left")
+    j = ports(df.sparkSession).join(ds, "port", "left")
     in_ds = F.coalesce(F.col("_in"), F.lit(False))
     # Point colours and sizes for in-dataset / tracking-only ports.
     return j.select("port_idx", "port", "lat", "lon", in_ds.alias("in_dataset"),

@@ -1,8 +1,9 @@
 """Registered queries: name -> (spark builder, oracle SQL or None).
 
-Each builder takes (spark, sf_dir) and returns a lazy DataFrame over the
-given tables; nothing is collected.  Oracle SQL runs in DuckDB over the same
-parquet tables registered as views.
+Each builder takes (spark, sf_dir) and returns a DataFrame over the given
+tables.  Stages that several queries share are written to the checkpoint folder
+on first use, and single-row statistics are read by the driver; data rows are
+never collected.  Oracle SQL runs in DuckDB over the same tables as views.
 """
 
 from __future__ import annotations

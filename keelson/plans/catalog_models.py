@@ -191,18 +191,21 @@ def q_model_auc(spark, sf):
 @register("delay_days_model", None)
 def q_days_model(spark, sf):
     """Clipped regressor predictions for every shipment."""
-    return _two_models(spark, sf).select("Order_ID", "Delay_Days", F.col("days").alias("Predicted_Delay_Days"))
+    return _with_days(spark, sf).select("Order_ID", "Delay_Days", F.col("days").alias("Predicted_Delay_Days"))
 
 
 def _two_models(spark, sf):
-    def build():   # the three models are chained over the same rows; no join by id
-        f = _split(spark, sf)
-        d = ml.positive_probability(_model(spark, sf, "gbt"), f, "p_boosted")
-        d = ml.positive_probability(_model(spark, sf, "lr"), d, "p_logistic")
-        return ml.predict_days(_model(spark, sf, "reg"), d, "days")
+    def build():   # the models are chained over the same rows; no join by id
+        d = ml.positive_probability(_model(spark, sf, "gbt"), _split(spark, sf), "p_boosted")
+        return ml.positive_probability(_model(spark, sf, "lr"), d, "p_logistic")
     return sc._memo(spark, sf, "two_models", build)
 
 
+def _with_days(spark, sf):
+    """Both probabilities and the regressor's clipped days for every shipment."""
+    return sc._memo(spark, sf, "with_days", lambda: ml.predict_days(_model(spark, sf, "reg"), _two_models(spark, sf), "days"))
+
+
 @register("two_model_agreement", None)
 def q_agreement(spark, sf):
     """G9 + D5: both models on every shipment, agreement label and review flag."""
@@ -511,7 +514,7 @@ def q_tree_beeswarm(spark, sf):
 def _model_scored(spark, sf):
     """G6 probability and G7 days -> D1 -> D2; no outcome column feeds a prediction."""
     def build():
-        d = _two_models(spark, sf).withColumn("Predicted_Delay_Probability", F.col("p_boosted")).withColumn("Predicted_Delay_Days", F.col("days"))
+        d = _with_days(spark, sf).withColumn("Predicted_Delay_Probability", F.col("p_boosted")).withColumn("Predicted_Delay_Days", F.col("days"))
         return scoring.portfolio_score(d)
     return sc._memo(spark, sf, "model_scored", build)
 
@@ -579,7 +582,7 @@ def q_model_invariants(spark, sf):
     " " + _COUNT_SQL + "true AS probabilities_hold, true AS days_hold, true AS agreement_holds FROM features", "features"))
 def q_prediction_invariants(spark, sf):
     """Probabilities in [0, 1], clipped days, labels by the gap; one row per shipment."""
-    d = _two_models(spark, sf)
+    d = _with_days(spark, sf)
     gap = F.abs(F.col("p_boosted") - F.col("p_logistic"))
     label = scoring.model_agreement(F.col("p_boosted"), F.col("p_logistic"))
     want = F.when(gap >= 0.40, "High Disagreement").when(gap >= 0.15, "Some Disagreement").otherwise("Close")

@@ -8,9 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "keelson") -> SparkSession:
-    """A session configured for the engine: AQE on, Arrow on, UI off."""
-    spark = (
+                  app_name: str = "keelson", driver_memory: str | None = None) -> SparkSession:
+    """A session configured for the engine: AQE on, Arrow on, UI off.  Memory is the submitter's
+    choice; ``driver_memory`` is for local sessions (tests, bench), whose driver does all the work."""
+    builder = (
         SparkSession.builder.master(master).appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,10 +20,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark

@@ -37,6 +37,10 @@ GEOCODE_SCHEMA = T.StructType([
         T.StructField("formatted_address", T.StringType())])))])
 
 # Error texts.
+ERR_PARSE = "Could not parse response for "
+ERR_LENGTHS = ": All arrays must be of the same length"
+ERR_SHAPE = "Unexpected response shape"
+ERR_GEOCODE_SHAPE = "Unexpected geocoding response shape"
 ERR_EMPTY_DAILY = "Empty response (no daily data returned)."
 ERR_EMPTY_HOURLY = "Empty response from Open-Meteo (no hourly data returned)."
 ERR_NO_ROUTE = ("No driving route found between these points (they may not be road-connected — e.g. separated "
@@ -77,11 +81,11 @@ def decode_historical(payloads: DataFrame, requested: DataFrame) -> tuple[DataFr
         a = F.col(f"loc.daily.{k}")
         bad_len = bad_len | (a.isNotNull() & (F.size(a) != n))
     ok = F.col("loc").isNotNull() & (n > 0) & ~bad_len
-    err = (F.when(F.col("loc").isNull(), F.concat(F.lit("Could not parse response for "), F.col("city"),
+    err = (F.when(F.col("loc").isNull(), F.concat(F.lit(ERR_PARSE), F.col("city"),
                                                  F.lit(": missing position")))
            .when(n == 0, F.lit(ERR_EMPTY_DAILY))
-           .when(bad_len, F.concat(F.lit("Could not parse response for "), F.col("city"),
-                                   F.lit(": All arrays must be of the same length"))))
+           .when(bad_len, F.concat(F.lit(ERR_PARSE), F.col("city"),
+                                   F.lit(ERR_LENGTHS))))
     p = p.withColumns({"ok": ok, "error": err, "n_days": F.when(ok, n).otherwise(F.lit(0))})
     ledger = p.select("batch_id", "pos", "city", "ok", "error", "n_days")
     filled = [F.coalesce(F.col(f"loc.daily.{k}"), F.array_repeat(F.lit(None).cast("double"), n)).alias(k)
@@ -109,9 +113,9 @@ def decode_live(marine: DataFrame, wind: DataFrame, requested: DataFrame) -> tup
     nw = F.coalesce(F.size(wave), F.lit(0))
     ok = F.col("m").isNotNull() & F.col("w").isNotNull() & (n > 0) & (nw > 0) & (nw == n)
     err = (F.when(F.col("m").isNull() | F.col("w").isNull(),
-                  F.concat(F.lit("Could not parse response for "), F.col("port")))
+                  F.concat(F.lit(ERR_PARSE), F.col("port")))
            .when((n == 0) | (nw == 0), F.lit(ERR_EMPTY_HOURLY))
-           .when(nw != n, F.concat(F.lit("Could not parse response for "), F.col("port"),
+           .when(nw != n, F.concat(F.lit(ERR_PARSE), F.col("port"),
                                    F.lit(": wave_height length differs from time"))))
 
     def aligned(a: Column) -> Column:
@@ -148,7 +152,7 @@ def decode_road_legs(df: DataFrame) -> DataFrame:
     ok = F.col("_first").isNotNull() & F.col("_first.distanceMeters").isNotNull() & secs.isNotNull()
     out = d.select(*[c for c in df.columns if c != "payload"], ok.alias("ok"),
                    F.when(F.col("_first").isNull(), F.lit(ERR_NO_ROUTE))
-                   .when(~ok, F.lit("Unexpected response shape")).alias("error"),
+                   .when(~ok, F.lit(ERR_SHAPE)).alias("error"),
                    F.when(ok, F.col("_first.distanceMeters") / F.lit(1000.0)).alias("distance_km"),
                    F.when(ok, secs / F.lit(60.0)).alias("duration_minutes"))
     return out.withColumn("duration_hours", F.col("duration_minutes") / F.lit(60.0))
@@ -166,7 +170,7 @@ def decode_geocode(df: DataFrame, address_col: str = "address") -> DataFrame:
     ok_status = status == "OK"
     ok = ok_status & first.isNotNull() & first["geometry"]["location"]["lat"].isNotNull()
     err = (F.when(~F.coalesce(ok_status, F.lit(False)), msg)
-           .when(~ok, F.lit("Unexpected geocoding response shape")))
+           .when(~ok, F.lit(ERR_GEOCODE_SHAPE)))
     return df.select(*[c for c in df.columns if c != "payload"], F.coalesce(ok, F.lit(False)).alias("ok"),
                      err.alias("error"),
                      F.when(ok, first["geometry"]["location"]["lat"]).alias("lat"),

@@ -11,6 +11,6 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from keelson.session import build_session
-    s = build_session("local[4]", shuffle_partitions=4)
+    s = build_session("local[4]", shuffle_partitions=4, driver_memory="8g")
     yield s
     s.stop()
