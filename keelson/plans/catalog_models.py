@@ -5,6 +5,8 @@ on given scores, profiles on fixed cluster ids) have DuckDB twins."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from keelson.operators import portfolio as pf
 from keelson.operators import routes as rt
 from keelson.operators import scoring
 from keelson.plans import scored as sc
-from keelson.plans.catalog import FACETS, _bin_sql, _edges, shipment_requests
+from keelson.plans.catalog import FACETS, _bin_sql, _edges, _legs, shipment_requests
 from keelson.plans.materialize import materialize
 from keelson.plans.oracle import with_ctes
 from keelson.plans.registry import register
@@ -231,20 +233,39 @@ def q_agreement_rule(spark, sf):
                     scoring.needs_review(F.col("Predicted_Delay_Probability"), F.col("p2")).alias("needs_review"))
 
 
-@register("edge_classifier_probability", None)
-def q_edge_clf(spark, sf):
-    """K7: the classifier's probability for each route edge's synthetic shipment (one batch transform)."""
+DEPARTURE = date(2024, 1, 1)
+
+
+def _edge_classifier(spark, sf, departure: date = DEPARTURE):
+    """K3 + K7: every edge's synthetic shipment on the departure date, scored by the classifier in one batch."""
     e = _edges(spark, sf)
-    req = e.select("mode", "category", "a_port", "b_port", "route_type",
+    req = e.select("mode", "category", "a_port_idx", "b_port_idx", "a_port", "b_port", "route_type",
                    F.col("transit_days").alias("base_lead_time"), F.col("scheduled_lead_time"),
                    F.col("geo_risk"), F.col("weather_risk"), F.col("inflation"), F.col("cost_usd").alias("shipping_cost"),
-                   F.lit(rt.DEFAULT_ORDER_WEIGHT_KG).alias("order_weight"), F.lit(1).alias("order_month"),
-                   F.lit(0).alias("day_of_week"), F.col("a_port").alias("origin"), F.col("b_port").alias("destination"))
+                   F.lit(rt.DEFAULT_ORDER_WEIGHT_KG).alias("order_weight"), F.lit(departure.month).alias("order_month"),
+                   F.lit(departure.weekday()).alias("day_of_week"), F.col("a_port").alias("origin"), F.col("b_port").alias("destination"))
     feats = request_features(req.withColumnRenamed("route_type", "_rt").withColumn("route_type", F.col("_rt")))
-    p = ml.positive_probability(_model(spark, sf, "gbt"), feats, "classifier_probability")
-    return p.select(F.col("Transportation_Mode").alias("mode"), F.col("Product_Category").alias("category"),
-                    F.col("Origin_City").alias("a_port"), F.col("Destination_City").alias("b_port"),
-                    "classifier_probability")
+    return ml.positive_probability(_model(spark, sf, "gbt"), feats, "classifier_probability")
+
+
+@register("edge_classifier_probability", None)
+def q_edge_clf(spark, sf):
+    """K7: the classifier's probability for each route edge."""
+    return _edge_classifier(spark, sf).select(
+        F.col("Transportation_Mode").alias("mode"), F.col("Product_Category").alias("category"),
+        F.col("Origin_City").alias("a_port"), F.col("Destination_City").alias("b_port"), "classifier_probability")
+
+
+@register("route_legs_classifier", None)
+def q_legs_clf(spark, sf):
+    """The legs of every best route with the base rate's and the classifier's probability."""
+    p = materialize(_edge_classifier(spark, sf).select(
+        F.col("Transportation_Mode").alias("_m"), F.col("Product_Category").alias("_c"), F.col("a_port_idx").alias("_a"),
+        F.col("b_port_idx").alias("_b"), "classifier_probability"), "edge-classifier")   # 465 edges a graph
+    legs = _legs(spark, sf)
+    return legs.join(p, (F.col("mode") == F.col("_m")) & (F.col("category") == F.col("_c"))
+                     & (F.least("from_idx", "to_idx") == F.col("_a")) & (F.greatest("from_idx", "to_idx") == F.col("_b"))).select(
+        "mode", "category", "priority", "src", "dst", "leg_no", "from_idx", "to_idx", "delay_probability", "classifier_probability")
 
 
 @register("weather_uplift", None)
