@@ -564,9 +564,10 @@ def q_model_memo(spark, sf):
 def _model_requests(spark, sf):
     def build():
         req = request_features(shipment_requests(spark, sf))
-        d = ml.positive_probability(_model(spark, sf, "gbt"), req, "probability")
+        d = ml.positive_probability(_model(spark, sf, "gbt"), req, "first_probability")
         d = ml.positive_probability(_model(spark, sf, "lr"), d, "second_probability")
-        d = scoring.score_requests(ml.predict_days(_model(spark, sf, "reg"), d, "expected_delay_days"))
+        d = ml.predict_days(_model(spark, sf, "reg"), d, "expected_delay_days").withColumnRenamed("first_probability", "probability")
+        d = scoring.score_requests(d)
         return d.withColumns({"agreement": scoring.model_agreement(F.col("probability"), F.col("second_probability")),
                               "needs_review": scoring.needs_review(F.col("probability"), F.col("second_probability")),
                               "note": scoring.underwriting_note(F.col("risk_tier"))})
