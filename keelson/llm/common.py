@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.plans.materialize import materialize
 
-__all__ = ["b32_sha1", "drop_rows", "materialize", "parallelism", "table", "text_bytes", "text_key"]
+__all__ = ["b32_sha1", "drop_rows", "keyed", "materialize", "parallelism", "same_row", "table", "text_bytes", "text_key"]
 
 #: RFC 4648 base32 alphabet, and the digits that ``conv(..., 32)`` writes for the same values (fixed values)
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -39,7 +39,19 @@ def text_key() -> Column:
     return F.md5(text_bytes(F.col("text")))
 
 
+def keyed(keys: DataFrame) -> DataFrame:
+    """Row keys (doc_id, th) as the hashed side of a shuffled join.
+
+    What a filter removes is a share of the corpus, so it is never broadcast: the plan is the same at every size, and
+    only keys are held in memory, a partition's at a time.
+    """
+    return keys.select(F.col("doc_id").alias("_kl_id"), F.col("th").alias("_kl_th")).hint("shuffle_hash")
+
+
+def same_row(key: Column) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_kl_id")) & (key == F.col("_kl_th"))
+
+
 def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id and text key are in ``keys`` (doc_id, th; written, so its size is known)."""
-    gone = keys.select(F.col("doc_id").alias("_kl_id"), F.col("th").alias("_kl_th"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_kl_id")) & (text_key() == F.col("_kl_th")), "left_anti")
+    """``docs`` without the rows whose doc_id and text key are in ``keys`` (doc_id, th)."""
+    return docs.join(keyed(keys), same_row(text_key()), "left_anti")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import drop_rows, materialize, parallelism, table, text_bytes, text_key
+from keelson.llm.common import drop_rows, keyed, materialize, parallelism, same_row, table, text_bytes, text_key
 from keelson.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -166,8 +166,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS
     left = drop_rows(docs, gone)
     if again.isEmpty():
         return left
-    keys = again.select(F.col("doc_id").alias("_kl_id"), F.col("th").alias("_kl_th"))
-    once = left.withColumn("_kl_key", text_key()).join(keys, F.col("doc_id").eqNullSafe(F.col("_kl_id")) & (F.col("_kl_key") == F.col("_kl_th")), "left_semi")
+    once = left.withColumn("_kl_key", text_key()).join(keyed(again), same_row(F.col("_kl_key")), "left_semi")
     return drop_rows(left, again).unionAll(once.dropDuplicates(["doc_id", "_kl_key"]).drop("_kl_key"))
 
 
