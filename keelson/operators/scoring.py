@@ -22,7 +22,8 @@ def round_half_even(x: Column, digits: int) -> Column:
 
 
 def _clip01(c: Column) -> Column:
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    """c within [0, 1]; null stays null (greatest and least would pass over it)."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
 
 
 def _raw_score(p: Column, mag: Column, ext: Column) -> Column:

@@ -109,5 +109,12 @@ def test_wide_brackets_are_narrowed(spark, monkeypatch):
 
 def test_split_does_not_shuffle_by_label(spark):
     df = spark.range(500).selectExpr("id AS Order_ID", "CAST(id % 7 = 0 AS INT) AS Is_Delayed")
-    plan = ml.with_split(df)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(Is_Delayed" not in plan
+    plan = ml.with_split(df)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Range (0, 500" in line)
+    depth, above = len(plan[at]) - len(plan[at].lstrip(" :+-")), []
+    for line in reversed(plan[:at]):   # the nodes above the table's scan
+        d = len(line) - len(line.lstrip(" :+-"))
+        if d < depth:
+            depth = d
+            above.append(line)
+    assert above and not any("Exchange" in line for line in above)
