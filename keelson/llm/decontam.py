@@ -144,15 +144,16 @@ class Index:
         text = (text or "").lower()
         stream = iter(WORD.findall(text)) if len(text) < 4 * TEXT_BLOCK else (m.group() for m in WORD.finditer(text))
         held, base = [], 0
-        block = -(-TEXT_BLOCK // self.stride) * self.stride
+        block = max(3, -(-TEXT_BLOCK // self.stride)) * self.stride
         while True:
             more = list(islice(stream, block))
             held += more
             if not held:
                 return found
             last = len(more) < block
-            # a passage starts every stride; those that reach past the held words wait for the next block
-            passages = max(1, -(-len(held) // self.stride) - (0 if last else 2))
+            # a passage starts every stride; those that reach past the held words wait for the next block, which holds at
+            # least two strides before it unless the text has ended
+            passages = max(1, -(-len(held) // self.stride)) if last else len(held) // self.stride - 1
             ids = np.fromiter(map(self.terms.get, held, repeat(-1)), np.int64, len(held))
             at = np.flatnonzero(ids >= 0)
             for p, i, score in self.candidates(ids[at], at, passages):

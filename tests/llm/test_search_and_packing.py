@@ -85,6 +85,19 @@ def test_decontamination_equals_all_pairs(spark, monkeypatch):
     assert decontam.contaminated_pairs(df, bench.limit(0)).count() == 0 and decontam.contaminated_pairs(df.limit(0), bench).count() == 0
 
 
+def test_copies_of_items_longer_than_a_text_block_are_found():
+    long = [f"i{k}" for k in range(decontam.TEXT_BLOCK + 700)]
+    short = "alpha beta gamma delta epsilon zeta eta theta".split()
+    index = decontam.Index([(1, " ".join(long)), (2, " ".join(short))])
+    stride = len(long)
+    assert index.stride == stride
+    filler = [f"f{k}" for k in range(4 * stride)]
+    for at in (stride // 2, stride + 37, 3 * stride - 5):  # each copy crosses a multiple of the stride
+        assert 0 in index.matches(" ".join(filler[:at] + long + filler[at:])), at
+    for at in (stride - 4, 2 * stride - 3, 3 * stride - 4):
+        assert 1 in index.matches(" ".join(filler[:at] + short + filler[at:])), at
+
+
 def test_best_fit_takes_the_tightest_compatible_bin(spark):
     rng = random.Random(5)
     for trial in range(30):
