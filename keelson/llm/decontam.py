@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND.
 
 Items are indexed in shards of at most ``SHARD_ITEMS`` (the only thing broadcast; more items mean more passes over the
-documents, not a larger index).  Every text, whole, is cut into passages of two strides, so that each run of
+documents, not a larger index); item count, document frequencies, mean length and longest item are those of the whole benchmark,
+so the results do not depend on the shards.  Every text, whole, is cut into passages of two strides, so that each run of
 words as long as the longest item lies inside one passage.  A passage is a query of its distinct terms:
 
 * WAND: the sum of its terms' largest impacts must reach the least threshold of any item;
@@ -24,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +77,22 @@ def _covered(part: set[tuple[str, ...]], found: set[tuple[str, ...]], ws: list[s
     return len(part & found) / len(part)
 
 
+class Whole(NamedTuple):
+    """What a shard must know of the whole benchmark: items, their words, the longest item's, and the items each of its terms is in."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    """Impacts of the terms in the items, by term, with the largest impact of each term in each block of items."""
+    """Impacts of the terms in the items, by term, with the largest impact of each term in each block of items.
+
+    ``whole`` holds the benchmark's statistics if ``items`` are a shard of it.
+    """
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], whole: Whole | None = None):
         split = [(i, question_answer(t)) for i, t in items]
         split = [(i, q, a) for i, (q, a) in split if len(q) + len(a) >= MIN_WORDS]
         self.ids = [i for i, _, _ in split]
@@ -86,11 +100,13 @@ class Index:
         self.answers = [shingles(a) for _, _, a in split]
         texts = [q + a for _, q, a in split]
         n = len(texts)
-        self.stride = max([MIN_STRIDE, *map(len, texts)])
-        mean = max(1.0, sum(map(len, texts)) / max(1, n))
         df = Counter(t for ws in texts for t in set(ws))
-        self.terms = {t: k for k, t in enumerate(df)}
-        idf = {t: np.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+        if whole is None:
+            whole = Whole(n, sum(map(len, texts)), max(map(len, texts), default=0), df)
+        self.stride = max(MIN_STRIDE, whole.longest)
+        mean = max(1.0, whole.words / max(1, whole.n))
+        self.terms = {t: k for k, t in enumerate(sorted(df))}  # an item's impacts are added in one order in any shard
+        idf = {t: np.log(1 + (whole.n - whole.df[t] + 0.5) / (whole.df[t] + 0.5)) for t in df}
         postings: list[list[tuple[int, float]]] = [[] for _ in df]
         self.thresholds = np.zeros(n)
         for i, ws in enumerate(texts):
@@ -167,14 +183,35 @@ class Index:
             held, base = held[passages * self.stride:], base + passages * self.stride
 
 
+def _item_terms(items: DataFrame) -> DataFrame:
+    """shard, words and distinct terms of each item that can be verified."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [(s, [w for part in question_answer(t.as_py()) for w in part]) for s, t in zip(batch.column(0), batch.column(1))]
+            parts = [(s.as_py(), len(ws), sorted(set(ws))) for s, ws in parts if len(ws) >= MIN_WORDS]
+            columns = zip(*parts) if parts else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.string())))], names=["shard", "words", "terms"])
+
+    return items.select("shard", "text").mapInArrow(split, "shard bigint, words bigint, terms array<string>")
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """doc_id, th (the text's key), item_id, the passage's first word, its BM25 score and both overlaps: the best passage of each verified pair."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     shards = max(1, -(-items.count() // shard_items))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("bigint"))
+    if shards > 1:  # a shard is scored as part of the whole benchmark, so the results are those of one index
+        per_item = materialize(_item_terms(items), "item-terms")
+        total = per_item.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.max("words"), F.lit(0)).alias("longest")).first()
+        in_shard = materialize(per_item.select("shard", F.explode("terms").alias("term")).groupBy("shard", "term").agg(F.count(F.lit(1)).alias("n")), "shard-terms")
+        df = materialize(in_shard.groupBy("term").agg(F.sum("n").alias("df")).withColumnRenamed("term", "t"), "item-df")
     out = None
     for s in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s)
-        index = Index(sorted(((r.item_id, r.text) for r in part.collect()), key=str))  # about shard_items rows
+        whole = None
+        if shards > 1:  # the terms of about shard_items rows
+            known = in_shard.where(F.col("shard") == s).join(df, F.col("term") == F.col("t")).select("term", "df").collect()
+            whole = Whole(total.n, total.words, total.longest, {r.term: r.df for r in known})
+        index = Index(sorted(((r.item_id, r.text) for r in items.where(F.col("shard") == s).collect()), key=str), whole)  # about shard_items rows
 
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             names = list(TYPES)

@@ -85,6 +85,19 @@ def test_decontamination_equals_all_pairs(spark, monkeypatch):
     assert decontam.contaminated_pairs(df, bench.limit(0)).count() == 0 and decontam.contaminated_pairs(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_does_not_depend_on_the_shards(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    items += [(900, " ".join(f"i{k}" for k in range(150))), (901, "Alpha beta gamma delta epsilon. Zeta eta theta iota kappa."), (902, None), (None, "a b")]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    # question and answer lie further apart than an item of usual length, but within one of 150 words
+    docs += [(5000, "alpha beta gamma delta epsilon " + " ".join(f"f{k}" for k in range(130)) + " zeta eta theta iota kappa")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, *others = [sorted(map(tuple, decontam.contaminated_pairs(df, bench, shard_items=n).collect()), key=str) for n in (10**6, 9, 2)]
+    assert (5000, 901) in {(r[0], r[2]) for r in one}
+    assert all(o == one for o in others)
+
+
 def test_copies_of_items_longer_than_a_text_block_are_found():
     long = [f"i{k}" for k in range(decontam.TEXT_BLOCK + 700)]
     short = "alpha beta gamma delta epsilon zeta eta theta".split()
