@@ -148,6 +148,31 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_near_copies_never_share_a_bin(spark):
+    rng = random.Random(7)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    base = [f"b{k}" for k in range(120)]
+    for i in range(40):  # a group of copies of one text, each with one word edited
+        ws = list(base)
+        ws[rng.randrange(120)] = f"e{i}"
+        docs.append((9000 + i, " ".join(ws)))
+    one = "the quick brown fox jumps over a lazy dog while nine grey cats look on from two high walls and say nothing at all".split()
+    docs += [(9100, " ".join(one)), (9101, " ".join([*one[:-1], "ALL."])), (9102, "one two"), (9103, "One  two"), (9104, "one three"), (9105, ""), (None, " ".join(one))]
+    docs = [(d, t, f"s{i}") for i, (d, t) in enumerate(docs)]
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string, source string"), capacity=4096).collect()
+    cluster = {(r.source): r.cluster for r in got}
+    sets = []
+    for _, t, s in docs:
+        ws = (t or "").lower().split()
+        sets.append((s, {tuple(ws[k:k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()))
+    near = [(s, t) for k, (s, a) in enumerate(sets) for t, b in sets[:k] if a and 5 * len(a & b) >= 4 * len(a | b)]
+    assert len(near) > 100 and all(cluster[s] == cluster[t] for s, t in near)
+    at = {d: cluster[s] for d, _, s in docs}
+    assert at[9100] == at[9101] == at[None] and at[9102] == at[9103] != at[9104] and at[9105] is None
+    held = [(r.bin_id, r.cluster) for r in got if r.cluster is not None]
+    assert len(held) == len(set(held))
+
+
 def test_top_k(spark):
     rng = random.Random(6)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)]
