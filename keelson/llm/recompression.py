@@ -11,7 +11,7 @@ Three Spark passes over the documents:
 1. In each window of ``WINDOW`` words, the symbol of the last round whose support lies in the window and whose support's
    words have the least hash is the window's anchor (equal windows have equal anchors).  Anchors are counted over the
    corpus; one that occurs once proves its windows to be unique.
-2. Only the other windows are compared, by 96 bits of hash of their words, and the smallest document of each is found.
+2. Only the other windows are compared, by 95 bits of hash of their words, and the smallest document of each is found.
 3. A window that starts earlier in its document, or is held by a smaller document, is removed with its words.
 
 All counts and minima are combined before their shuffles and only results that name one document are sent back, so a
