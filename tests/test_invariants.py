@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from table_dirs import SMALL
 from keelson.functions.stats import exact_quantiles
 from keelson.operators import portfolio as pf
 from keelson.plans import scored as sc

@@ -52,7 +52,7 @@ def test_road_and_geocode_decode(spark):
 
 
 def test_stream_window_stats_equal_batch(spark):
-    from conftest import SMALL
+    from table_dirs import SMALL
     from keelson.operators.conditions import window_stats
     from keelson.sources.landing import port_observations
     from keelson.streaming.port_stream import read_observations, windowed_stats
@@ -73,7 +73,7 @@ def test_stream_window_stats_equal_batch(spark):
 
 def test_stream_dedupe_and_alert_sinks(spark):
     """P7 + P8: one reading per port per bucket; good readings and failures land in two sinks."""
-    from conftest import SMALL
+    from table_dirs import SMALL
     from keelson.operators import portfolio as pf
     from keelson.plans import scored as sc
     from keelson.sources.landing import port_observations
@@ -104,7 +104,7 @@ def test_stream_dedupe_and_alert_sinks(spark):
 
 def test_export_scored_csv_round_trip(spark):
     """Filtered scored rows export with a header and read back whole."""
-    from conftest import SMALL
+    from table_dirs import SMALL
     from keelson.operators.portfolio import faceted_filter
     from keelson.plans import scored as sc
     from keelson.sources.shipments import export_scored
@@ -120,7 +120,7 @@ def test_export_scored_csv_round_trip(spark):
 
 def test_csv_scan_with_declared_schema(spark):
     """A1: a landed shipments CSV read with the declared schema (no inference) keeps types and values."""
-    from conftest import SMALL
+    from table_dirs import SMALL
     from keelson.plans import scored as sc
     from keelson.sources.shipments import SHIPMENT_SCHEMA, read_shipments
     base = sc.base_shipments(spark, SMALL)
@@ -138,7 +138,7 @@ def test_refresh_stream_append_mode(spark):
     has passed are emitted; a bad interval is refused."""
     import pytest
 
-    from conftest import SMALL
+    from table_dirs import SMALL
     from keelson.operators.conditions import window_stats
     from keelson.sources.landing import port_observations
     from keelson.streaming.port_stream import start_refresh_stream
@@ -169,7 +169,7 @@ def test_refresh_stream_append_mode(spark):
 
 def test_csv_export_keeps_blanks(spark):
     """Leading and trailing blanks survive the CSV export; every column is compared."""
-    from conftest import SMALL
+    from table_dirs import SMALL
     from keelson.plans import scored as sc
     from keelson.sources.shipments import SHIPMENT_SCHEMA, export_scored, read_shipments
     base = sc.base_shipments(spark, SMALL)
@@ -182,7 +182,7 @@ def test_csv_export_keeps_blanks(spark):
 
 
 def test_replayed_alert_batch_leaves_the_same_rows(spark):
-    from conftest import SMALL
+    from table_dirs import SMALL
     from keelson.operators import portfolio as pf
     from keelson.plans import scored as sc
     from keelson.sources.landing import port_observations

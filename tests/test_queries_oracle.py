@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SMALL
+from table_dirs import SMALL
 from keelson.sources.tables import TABLE_NAMES
 
 FAST = [

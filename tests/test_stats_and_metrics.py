@@ -54,7 +54,7 @@ def test_auc_and_ap_brute_force(spark):
 
 
 def test_split_disjoint_and_stratified(spark):
-    from conftest import SMALL
+    from table_dirs import SMALL
     from keelson.plans import scored as sc
     import math
     f = ml.with_split(sc.featured(spark, SMALL))
