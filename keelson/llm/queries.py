@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, knn_join, recompression, warc
+from keelson.llm import chat, filter_audit, knn_join, recompression, warc
 from keelson.llm.decontam import op3_bmw_decontamination
 from keelson.llm.langid import op5_byte_cnn_langid
 from keelson.llm.packing import op4_conflict_best_fit
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_contextual_pii": op8_contextual_pii,
     "op9_jump_consistent_sharding": op9_jump_consistent_sharding,
     "op10_voronoi_knn": knn_join.op10_voronoi_knn,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_snapshot_collapse": chat.SQL,
     "op6_recompression_dedup": recompression.SQL,
     "op10_voronoi_knn": knn_join.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }

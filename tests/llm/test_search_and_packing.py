@@ -13,10 +13,10 @@ from keelson.llm.common import materialize
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_warc_chunk_table", "op2_snapshot_collapse", "op6_recompression_dedup", "op10_voronoi_knn"])
+@pytest.mark.parametrize("name", ["op1_warc_chunk_table", "op2_snapshot_collapse", "op6_recompression_dedup", "op10_voronoi_knn", "op12_filter_audit"])
 def test_equals_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations", "documents", "embeddings"):
+    for t in ("pages", "conversations", "documents", "embeddings", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     got = queries.QUERIES[name](spark, SMALL)
     want = con.sql(queries.ORACLE_SQL[name])
