@@ -7,6 +7,7 @@ from keelson.llm.decontam import op3_bmw_decontamination
 from keelson.llm.langid import op5_byte_cnn_langid
 from keelson.llm.packing import op4_conflict_best_fit
 from keelson.llm.pii import op8_contextual_pii
+from keelson.llm.runs import op13_periodic_runs
 from keelson.llm.sharding import op9_jump_consistent_sharding
 from keelson.llm.simhash import op7_simhash_tiles
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op9_jump_consistent_sharding": op9_jump_consistent_sharding,
     "op10_voronoi_knn": knn_join.op10_voronoi_knn,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import filter_audit
+from keelson.llm import filter_audit, runs
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -88,3 +88,111 @@ def test_audit_of_other_filters(spark):
     assert got == {("XY", 1): (5, 6, 0, 2, 8), ("XY", 2): (5, 0, 4, 0, 4), ("YX", 1): (7, 4, 0, 0, 4), ("YX", 2): (5, 2, 4, 2, 8)}
     with pytest.raises(ValueError):
         filter_audit.audit(failures, "ABCDEFGH")
+
+
+def naive_runs(ws, least=12):
+    """All maximal stretches by comparing every pair of places."""
+    out, n = {}, len(ws)
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and ws[j] == ws[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, 2 * q):
+                out.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted((s, e - s, q) for (s, e), q in out.items())
+
+
+def periodic_texts(seed):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(120):
+        letters = [f"w{i}" for i in range(rng.choice([1, 2, 3, 8, 60]))]
+        ws = [rng.choice(letters) for _ in range(rng.randint(0, 90))]
+        for _ in range(rng.randint(0, 3)):
+            unit = [rng.choice(letters + ["x", "y"]) for _ in range(rng.choice([1, 2, 3, 5, 6, 7, 17, 20, 33]))]
+            at = rng.randint(0, len(ws))
+            repeated = unit * rng.randint(2, 9)
+            ws[at:at] = repeated[:rng.randint(len(unit), len(repeated))]
+        out.append(ws)
+    fib = ["a", "ab"]
+    while len(fib[-1]) < 400:
+        fib.append(fib[-1] + fib[-2])
+    morse = [str(i.bit_count() % 2) for i in range(600)]
+    out += [list(fib[-1]), morse, [], ["a"] * 11, ["a"] * 12, ["a"] * 700, ["a", "b"] * 6, list("abcabcabcab"), list("abcdef" * 2), list("aabaabaabaabcaabaabaabaab")]
+    return out
+
+
+@pytest.mark.parametrize("least,small,places", [(12, 16, 1 << 20), (12, 2, 50), (2, 1, 7), (40, 4, 1000)])
+def test_runs_equal_all_pairs(monkeypatch, least, small, places):
+    monkeypatch.setattr(runs, "SMALL_LAG", small)
+    monkeypatch.setattr(runs, "PLACES", places)
+    texts = periodic_texts(least)
+    number = {}
+    ids = np.array([number.setdefault(w, len(number)) for ws in texts for w in ws], np.int64)
+    size = np.array([len(ws) for ws in texts])
+    begin = np.cumsum(size) - size
+    s, e, q = runs.find_runs(ids, begin, size, least)
+    got = sorted(zip(s.tolist(), (e - s).tolist(), q.tolist()))
+    assert got == [(a + b, n, p) for b, ws in zip(begin.tolist(), texts) for a, n, p in naive_runs(ws, least)]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    # every stretch of the same length has one hash
+    monkeypatch.setattr(runs._Hashes, "same", lambda self, at, lag, n: np.ones(len(at), bool))
+    monkeypatch.setattr(runs, "SMALL_LAG", 2)
+    test_runs_equal_all_pairs(monkeypatch, 12, 2, 1 << 20)
+
+
+def test_split_segments_holds_no_rare_word():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 400, 5000)
+    ids[1000:1100] = np.tile(np.arange(900, 910), 10)
+    ids[3000:3012] = 7
+    begin, size = np.array([0, 2500]), np.array([2500, 2500])
+    start, length = runs.split_segments(ids, begin, size)
+    assert any(s <= 1000 and s + n >= 1100 for s, n in zip(start, length)) and any(s <= 3000 and s + n >= 3012 for s, n in zip(start, length))
+    for s, n in zip(start, length):
+        assert n >= 12 and np.unique(ids[s:s + n], return_counts=True)[1].min() >= 2
+
+
+def planted(i, ws):
+    h = zlib.crc32(str(i).encode())
+    g, n = h // 10, len(ws)
+    if h % 10 or not n:
+        return ws
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [ws[k] if k < a else ws[a + (k - a) % p] for k in range(n)]
+
+
+def test_periodic_runs_query(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["Ab", "ab", "é", "x", "y", "z\u00a0", "q"]) + rng.choice(["", str(rng.randint(0, 9))]) for _ in range(rng.randint(0, 70)))) for i in range(150)]
+    rows += [(200 + i, " \t".join(ws)) for i, ws in enumerate(periodic_texts(5))]
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "\t one\x0b"), (5, "again " * 20), (5, "again " * 20), (None, "null id " * 8), (None, None)]
+    rows += [(10, "one two three " * 40_000), (11, " ".join(f"v{i % 30011}" for i in range(70_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_runs", F.lit("clash")).withColumn("g", F.lit(1)).withColumn("w", F.lit(2))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = runs.op13_periodic_runs(spark, str(tmp_path)).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = []
+    for i, text in rows:
+        ws = planted(i, words_of(text)) if i is not None else words_of(text)
+        if len(ws) > 50_000:
+            whole = [(0, len(ws), 3 if i == 10 else 30011)]
+            found = whole if ws == (ws[:whole[0][2]] * (len(ws) // whole[0][2] + 1))[:len(ws)] else None
+            assert found, "the long texts are expected to stay as they are"
+        else:
+            found = naive_runs(ws)
+        dropped = {k for a, n, p in found for k in range(a + p, a + n)}
+        a, n, p = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        want.append((i, len(found), a, n, p, 1000 * n // p if found else None, sha("".join(f"{a},{n},{p}\n" for a, n, p in found)),
+                     sha(" ".join(w for k, w in enumerate(ws) if k not in dropped))))
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert runs.periodic_runs(docs.limit(0)).count() == 0
+    full = runs.periodic_runs(spark.createDataFrame([(1, "a b " * 7 + "c")], "doc_id long, text string")).first()
+    assert [tuple(r) for r in full.runs] == [(0, 14, 2)] and full.collapsed == "a b c"
