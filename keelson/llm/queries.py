@@ -5,6 +5,7 @@ from __future__ import annotations
 from keelson.llm import chat, filter_audit, knn_join, recompression, warc
 from keelson.llm.decontam import op3_bmw_decontamination
 from keelson.llm.langid import op5_byte_cnn_langid
+from keelson.llm.logbilinear import op11_logbilinear_scores
 from keelson.llm.packing import op4_conflict_best_fit
 from keelson.llm.pii import op8_contextual_pii
 from keelson.llm.runs import op13_periodic_runs
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_contextual_pii": op8_contextual_pii,
     "op9_jump_consistent_sharding": op9_jump_consistent_sharding,
     "op10_voronoi_knn": knn_join.op10_voronoi_knn,
+    "op11_logbilinear_scores": op11_logbilinear_scores,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_periodic_runs": op13_periodic_runs,
 }

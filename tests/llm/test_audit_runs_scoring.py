@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import filter_audit, runs
+from keelson.llm import filter_audit, logbilinear, runs
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -196,3 +196,93 @@ def test_periodic_runs_query(spark, tmp_path):
     assert runs.periodic_runs(docs.limit(0)).count() == 0
     full = runs.periodic_runs(spark.createDataFrame([(1, "a b " * 7 + "c")], "doc_id long, text string")).first()
     assert [tuple(r) for r in full.runs] == [(0, 14, 2)] and full.collapsed == "a b c"
+
+
+def lower_words(text):
+    return re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()).split()
+
+
+def naive_scores(rows, vocabulary, model):
+    """Base and model score of each text, token by token, each softmax summed over all symbols."""
+    train = Counter()
+    for i, t in rows:
+        if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1:
+            train.update(lower_words(t) + [b""])
+    total, distinct = sum(train.values()), len(train)
+    number = {w: i for i, w in enumerate(vocabulary.words[:vocabulary.symbols])}
+    rest = [(w, n) for w, n in train.items() if w and w not in number]
+    tokens, words = Counter(), Counter()
+    for w, n in rest:
+        tokens[logbilinear.word_class(w)] += n
+        words[logbilinear.word_class(w)] += 1
+    start = len(model.context) - 1
+    out = []
+    for i, t in rows:
+        base = score = 0.0
+        one = two = start
+        ws = lower_words(t) + [b""]
+        for w in ws:
+            base += math.log10((train[w] + 0.5) / (total + 0.5 * (distinct + 1)))
+            k = logbilinear.word_class(w)
+            s = 0 if not w else 129 + number[w] if w in number else 1 + k
+            q = model.context[one].astype(float) @ model.position[0] + model.context[two].astype(float) @ model.position[1]
+            z = model.target.astype(float) @ q + model.bias
+            score += (z[s] - np.log(np.exp(z).sum())) / math.log(10)
+            if w and w not in number:
+                score += math.log10((train[w] + 0.5) / (tokens[k] + 0.5 * (words[k] + 1)))
+            one, two = s, one
+        out.append((i, zlib.crc32(str("" if i is None else i).encode()) % 5 == 1, len(ws), sum(train[w] > 0 for w in ws), total, base, score))
+    return out
+
+
+def check_scores(spark, rows, symbols, dictionary):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("w", F.lit("clash")).withColumn("rid", F.lit(1)).withColumn("score", F.lit("x"))
+    vocabulary, rest = logbilinear.learn_vocabulary(logbilinear.materialize(logbilinear.word_counts(docs), "t"), symbols, dictionary)
+    model = logbilinear.train(docs, vocabulary)
+    got = sorted(map(tuple, logbilinear.score(docs, vocabulary, rest, model).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2], r[5]))
+    want = sorted(naive_scores(rows, vocabulary, model), key=lambda r: (r[0] is None, r[0] or 0, r[2], r[5]))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-9, atol=1e-9)
+    assert np.allclose([r[6] for r in got], [r[6] for r in want], rtol=1e-4, atol=1e-3)
+    return vocabulary, model
+
+
+def test_logbilinear_scores_equal_a_softmax_per_token(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["The", "the", "cat", "É", "sat.", "on"]) + rng.choice(["", "", str(rng.randint(0, 30))]) for _ in range(rng.randint(0, 60)))) for i in range(200)]
+    rows += [(300, None), (301, ""), (302, " \t\n"), (5, "repeated id"), (5, "repeated id"), (None, "null id the cat"), (None, None), (303, "unseen1 unseen2 the")]
+    rows.append((304, "long text the " * 20_000))
+    vocabulary, model = check_scores(spark, rows, 150, 4096)
+    assert vocabulary.symbols == 21 < len(vocabulary.words) < vocabulary.distinct - 1 and len(model.bias) == 150
+    # all probabilities of the next token, words outside the symbols and one unknown word a class included, are 1 together
+    last, before, z = model.tables()
+    p = np.exp(last[3][None, :] + before - z[3][:, None])
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+
+
+def test_logbilinear_edges(spark):
+    vocabulary, _ = check_scores(spark, [(i, "only held out") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1], 140, 1 << 18)
+    assert vocabulary.tokens == 0
+    check_scores(spark, [(1, None)], 140, 1 << 18)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert logbilinear.score_documents(empty).count() == 0
+
+
+def test_logbilinear_beats_the_unigram_on_held_out_rows(spark):
+    found = logbilinear.op11_logbilinear_scores(spark, SMALL).where("held_out").agg(
+        F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.count(F.lit(1)).alias("rows")).first()
+    assert found.rows > 150
+    assert found.score / found.n > found.base / found.n + 0.05
+
+
+def test_training_lowers_the_cost_of_a_pattern():
+    rng = np.random.default_rng(0)
+    words = [b"a", b"b", b"c"]
+    vocabulary = logbilinear.Vocabulary(words, np.array([100, 100, 100]), 3, np.zeros(128), np.zeros(128), 10, 310, 4)
+    target = 129 + (np.arange(30_000) + (rng.random(30_000) < 0.05)) % 3
+    contexts = logbilinear.contexts(target, np.array([0]), 132)
+    trainer = logbilinear.Trainer(logbilinear.Model.start(vocabulary), vocabulary.unigram(), [1])
+    for _ in range(5):
+        trainer.learn(target, *contexts)
+    last, before, z = trainer.m.tables()
+    assert (last[contexts[0], target] + before[contexts[1], target] - z[contexts]).mean() > -0.6
