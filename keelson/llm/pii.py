@@ -5,14 +5,15 @@ without a retry.  They are written here with possessive loops and run starts, wh
 linear time however long a text's runs of letters or digits are.
 
 Contexts: a candidate is a word with a digit or ``@``.  Base spans seed the identifiers.  The one and
-the two words before a candidate are its lexical patterns; pattern and candidate form a graph that Spark scores for
+the two words before a candidate (candidates too, lower-cased) are its lexical patterns; pattern and candidate form a graph that Spark scores for
 ``ROUNDS`` rounds: a pattern's confidence is the share of all words at its place in the corpus that are trusted
 identifiers, and an identifier's is the chance that one of its patterns is right.  Patterns need ``MIN_SUPPORT`` different
 trusted identifiers and ``MIN_CONFIDENCE``; candidates of at least that confidence that no base span touches are added
 as kind ``id``.  Nothing is capped: every pattern's count covers all documents.
 
 Defined cases: a null text counts as empty; offsets are code points; rows that repeat a doc_id keep
-their own spans; null doc_ids are kept; an empty table gives no rows; :func:`redact` keeps every input column.
+their own spans; null doc_ids are kept; words of any length are compared whole; an empty table gives no rows; :func:`redact`
+keeps every input column.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.5
 ROUNDS = 3
-CONTEXT_CHARS = 160
-WORD_CHARS = 40
+#: stands for the words before a text's first word; no word is like it
+START = " "
 #: patterns that may be broadcast (about 16 bytes each); more are joined by a shuffle
 BROADCAST_PATTERNS = 500_000
 
@@ -61,21 +62,33 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str, keep, made, kind: str) -> Column:
-    """made(start, match, before) of every match of ``pattern`` that ``keep`` accepts; positions come from the pieces between."""
+def _located(text: Column, pattern: str, keep, made, out: str) -> Column:
+    """made(start, match, tail) of every match of ``pattern`` that ``keep`` accepts, as an array of type ``out``.
+
+    Positions come from the pieces between the matches; ``tail`` holds the last words before the match, two at most.
+    """
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
 
     def step(acc, x):
-        start = acc["pos"] + F.length(x["p"])
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(
-            (start + F.length(x["m"])).alias("pos"),
-            F.when(keep(x["m"]), F.concat(acc["out"], F.array(made(start, x["m"], F.concat(acc["last"], x["p"]))))).otherwise(acc["out"]).alias("out"),
-            (x["m"] if kind == "candidate" else F.lit("")).alias("last")))
-    empty = F.lit(None).cast(f"struct<pos:int,out:{SPAN if kind != 'candidate' else CANDIDATES},last:string>")
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN if kind != "candidate" else CANDIDATES).alias("out"), F.lit("").alias("last"))
+        def add(tail):
+            start = acc["pos"] + F.length(x["p"])
+            more = F.when(keep(x["m"]), F.concat(acc["out"], F.array(made(start, x["m"], tail)))).otherwise(acc["out"])
+            return F.struct((start + F.length(x["m"])).alias("pos"), more.alias("out"), _last_two(F.concat(tail, F.array(x["m"]))).alias("tail"))
+        tail = _last_two(F.concat(acc["tail"], _words(x["p"])))
+        return F.when(x["m"].isNull(), acc).otherwise(F.get(F.transform(F.array(tail), add), F.lit(0)))
+    empty = F.lit(None).cast(f"struct<pos:int,out:{out},tail:array<string>>")
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(out).alias("out"), F.array().cast("array<string>").alias("tail"))
     return F.aggregate(pairs, F.coalesce(zero, empty), step, lambda acc: acc["out"])
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, f"[{WS}]+"), lambda w: w != "")
+
+
+def _last_two(words: Column) -> Column:
+    return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))
+
+
 CANDIDATES = "array<struct<start:int,end:int,word:string,w1:string,w2:string>>"
 
 
@@ -83,19 +96,18 @@ def kind_spans(text: Column, kind: str) -> Column:
     """The base spans of one kind as array<struct<start, kind, end>>; the text must not be null."""
     at = F.lit(KINDS.index(kind))
     found = _located(text, PATTERNS[kind], lambda m: _holds(kind, m),
-                     lambda start, m, _: F.struct(start.alias("start"), at.alias("kind"), (start + F.length(m)).alias("end")), kind)
+                     lambda start, m, _: F.struct(start.alias("start"), at.alias("kind"), (start + F.length(m)).alias("end")), SPAN)
     return F.when(text.rlike(GATES[kind]), found).otherwise(F.array().cast(SPAN))
 
 
 def _candidates(text: Column) -> Column:
-    """Words with a digit or @, without edge punctuation, and the two words before each (lower-cased; ^ at the start)."""
-    def made(start, m, before):
+    """Words with a digit or @, without edge punctuation, and the two words before each (lower-cased; START where there is none)."""
+    def made(start, m, tail):
         core, lead = F.btrim(m, F.lit(EDGES)), F.length(m) - F.length(F.ltrim(m, F.lit(EDGES)))
-        words = F.filter(F.split(F.lower(F.right(before, F.lit(CONTEXT_CHARS))), f"[{WS}]+"), lambda w: w != "")
         return F.struct((start + lead).alias("start"), (start + lead + F.length(core)).alias("end"), core.alias("word"),
-                        F.coalesce(F.get(F.reverse(words), F.lit(0)), F.lit("^")).alias("w1"),
-                        F.coalesce(F.get(F.reverse(words), F.lit(1)), F.lit("^")).alias("w2"))
-    found = _located(text, CANDIDATE, lambda m: F.btrim(m, F.lit(EDGES)) != "", made, "candidate")
+                        F.lower(F.coalesce(F.get(F.reverse(tail), F.lit(0)), F.lit(START))).alias("w1"),
+                        F.lower(F.coalesce(F.get(F.reverse(tail), F.lit(1)), F.lit(START))).alias("w2"))
+    found = _located(text, CANDIDATE, lambda m: F.btrim(m, F.lit(EDGES)) != "", made, CANDIDATES)
     return F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast(CANDIDATES))
 
 
@@ -109,14 +121,13 @@ def base_table(docs: DataFrame) -> DataFrame:
 
 def _patterns(w1: Column, w2: Column) -> Column:
     """The lexical patterns of a place, as hashes: the word before it, and the two words before it."""
-    usable = (F.length(w1) <= WORD_CHARS) & (w1 != "^")
-    return F.when(usable, F.array(F.xxhash64(w1), F.xxhash64(w2, w1))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(w1 != START, F.array(F.xxhash64(w1), F.xxhash64(w2, w1))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _place_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """How many words of the whole corpus stand at each pattern's place."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), f"[{WS}]+"), lambda w: w != "")
-    rows = docs.select(F.concat(F.array(F.lit("^"), F.lit("^")), words).alias("w")).where(F.size("w") > 3)
+    rows = docs.select(F.concat(F.array(F.lit(START), F.lit(START)), words).alias("w")).where(F.size("w") > 3)
     hashes = F.transform(F.sequence(F.lit(2), F.size("w") - 2), lambda i: _patterns(F.get("w", i), F.get("w", i - 1)))
     places = rows.select(F.explode(F.flatten(hashes)).alias("pattern"))
     small = patterns.count() <= BROADCAST_PATTERNS
@@ -151,7 +162,10 @@ def discover(docs: DataFrame, base: DataFrame, rounds: int = ROUNDS, min_support
             weight = weight + (F.col("n") - F.col("seeds")) * F.coalesce("confidence", F.lit(0.0))
         rated = (scored.withColumn("_w", weight).groupBy("pattern")
                  .agg(F.sum("_w").alias("_sum"), F.count_if(F.col("_w") > 0).alias("support"), F.first("places").alias("places")))
-        rated = rated.select(F.col("pattern").alias("p"), "support", F.least(F.col("_sum") / F.col("places"), F.lit(1.0)).alias("rate"))
+        # trusted identifiers are some of the words at the place: more of them would mean that the two were read differently
+        rate = F.when(F.col("_sum") <= F.col("places") * (1 + 1e-9), F.col("_sum") / F.col("places")).otherwise(
+            F.raise_error(F.lit("more identifiers than places of a pattern")).cast("double"))
+        rated = rated.select(F.col("pattern").alias("p"), "support", rate.alias("rate"))
         rated = materialize(rated.where((F.col("support") >= min_support) & (F.col("rate") >= min_confidence)), "pii-rated")
         doubt = F.sum(F.log1p(-F.least(F.col("rate"), F.lit(1 - 1e-9))))
         trusted = materialize(graph.where("n > seeds").join(rated, F.col("pattern") == F.col("p")).groupBy("word").agg((1 - F.exp(doubt)).alias("confidence"))

@@ -1,5 +1,6 @@
 """op5, op6, op7 and op8 against brute force or held-out accuracy."""
 
+import collections
 import hashlib
 import random
 import re
@@ -167,6 +168,82 @@ def test_pii_contexts_and_redaction(spark):
     assert "email: [EMAIL]" in clean[3].text and "email: [ID]" in clean[33].text and clean[55].text == rows[55][1] and clean[3].fp == "clash"
 
 
+def naive_ids(rows, rounds=pii.ROUNDS, support=pii.MIN_SUPPORT, least=pii.MIN_CONFIDENCE):
+    """Added spans of each row, from a graph of patterns and identifiers in plain Python."""
+    places, edges, seen = collections.Counter(), collections.Counter(), []
+    for r, (_, t) in enumerate(rows):
+        t = t or ""
+        found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(t).split(",") if s]
+        before = ["", ""]
+        for a, b, w in found:
+            patterns = [(before[1],), (before[0], before[1])] if before[1] else []
+            places.update(patterns)
+            core = w.strip(pii.EDGES)
+            if re.search("[0-9@]", w) and core:
+                start = a + len(w) - len(w.lstrip(pii.EDGES))
+                seed = any(x < start + len(core) and y > start for x, y in base)
+                seen.append((r, start, start + len(core), core, patterns, seed))
+            before = [before[1], w.lower()]
+    for _, _, _, w, patterns, seed in seen:
+        for p in patterns:
+            edges[p, w, seed] += 1
+    pairs = {(p, w) for p, w, _ in edges}
+    enough = {p for p, n in collections.Counter(p for p, _ in pairs).items() if n >= support}
+    trusted, rated = {}, {}
+    for _ in range(rounds):
+        weights = {(p, w): edges[p, w, True] + edges[p, w, False] * trusted.get(w, 0) for p, w in pairs if p in enough}
+        rated = {}
+        for p in enough:
+            own = [x for (q, _), x in weights.items() if q == p]
+            assert sum(own) <= places[p] + 1e-9
+            if sum(x > 0 for x in own) >= support and sum(own) / places[p] >= least:
+                rated[p] = sum(own) / places[p]
+        doubt = {}
+        for p, w in pairs:
+            if p in rated and edges[p, w, False]:
+                doubt[w] = doubt.get(w, 1) * (1 - min(rated[p], 1 - 1e-9))
+        trusted = {w: 1 - d for w, d in doubt.items() if 1 - d >= least}
+    out = [set() for _ in rows]
+    for r, a, b, w, patterns, seed in seen:
+        if not seed and w in trusted and any(p in rated for p in patterns):
+            out[r].add((a, b))
+    return out
+
+
+def test_pii_contexts_equal_a_plain_graph(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        words = []
+        for _ in range(rng.randint(0, 25)):
+            kind = rng.random()
+            words.append(rng.choice(["id", "Ref:", "mail", "no2", "x" * 50, "^", "und"]) if kind < 0.45 else f"user{rng.randint(0, 30)}@mail.com" if kind < 0.65
+                         else f"10.0.0.{rng.randint(0, 9)}" if kind < 0.7 else f"key{rng.randint(0, 25)}" if kind < 0.85 else rng.choice(["(7)", "@", "1,", "\u0130d"]))
+        rows.append((i, rng.choice([" ", "\n", " \t "]).join(words)))
+    rows += [(5, "id user1@mail.com"), (None, "id key1"), (None, None), (900, "id " * 20_000 + "key7 " + "9" * 5_000)]
+    want = naive_ids(rows)
+    got = {}
+    for r in pii.find_pii(doc_frame(spark, rows)).collect():
+        got.setdefault((r.doc_id, r.base_sha256), []).append({tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("id:")})
+    assert sum(map(len, want)) > 20
+    for (i, t), ids in zip(rows, want):
+        assert ids in got[i, hashlib.sha256(base_spans(t).encode()).hexdigest()], (i, t, ids)
+
+
+def test_pii_adjacent_candidates_have_their_true_context(spark):
+    rows = [(i, f"beta no2 user{i}@mail.com and more") for i in range(5)] + [(5, "no2 user9@mail.com and more")]
+    rows += [(100 + i, f"text gamma delta no2 item{i} word") for i in range(200)]
+    found = pii.find_pii(doc_frame(spark, rows)).agg(F.sum("n_id"), F.sum("n_email")).first()
+    assert tuple(found) == (0, 6)
+
+
+def test_pii_contexts_of_long_words(spark):
+    label = "customer-" + "x" * 300
+    rows = [(i, f"a {label} user{i}@mail.com") for i in range(8)] + [(20, f"b {label} hidden7")] + [(30 + i, f"c {label}y word{i}") for i in range(9)]
+    assert {r.doc_id for r in pii.find_pii(doc_frame(spark, rows)).where("n_id > 0").collect()} == {20}
+
+
 def test_langid_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     extra = spark.createDataFrame([(90001, None, "en"), (90002, "123 ... \n", "en"), (90003, "", None), (None, "the and of the", None)],
