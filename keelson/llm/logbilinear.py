@@ -35,17 +35,17 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import materialize, parallelism, table, text_bytes
 
-SYMBOLS = 2048
+SYMBOLS = 1024
 CLASSES = 128
-DICTIONARY = 1 << 18
-DIM = 24
-NOISE = 64
-BATCH = 1024
+DICTIONARY = 1 << 17
+DIM = 16
+NOISE = 32
+BATCH = 2048
 SLICES = 3
 RATE = 0.2
 SEED = 42
 #: words counted in a task before their counts are handed on, tokens shuffled together in training, tokens scored together
-COUNTED_WORDS = 1 << 19
+COUNTED_WORDS = 1 << 17
 TRAIN_TOKENS = 1 << 17
 SCORE_TOKENS = 1 << 17
 #: parameters averaged in one row
