@@ -20,7 +20,8 @@ from keelson.sources.ports import ports
 
 
 def delay_rate(n_delayed: Column, n: Column) -> Column:
-    return n_delayed.cast("double") / n
+    """Share of late shipments; null where there are none (an empty choice)."""
+    return n_delayed.cast("double") / F.nullif(n, F.lit(0))
 
 
 def pct_1dp(rate: Column) -> Column:
@@ -29,12 +30,31 @@ def pct_1dp(rate: Column) -> Column:
 
 
 def mean_score(sum_tenths: Column, n: Column) -> Column:
-    return sum_tenths.cast("double") / n / F.lit(10.0)
+    return sum_tenths.cast("double") / F.nullif(n, F.lit(0)) / F.lit(10.0)
 
 
-def _aggs() -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), F.sum("Is_Delayed").alias("_nd"),
-            F.sum("Risk_Score_Tenths").alias("_st"), F.count("Risk_Score_Tenths").alias("_ns")]
+#: measures of a cell that stands for many shipments (:mod:`keelson.operators.facet_cube`)
+CELL_ROWS, CELL_LATE, CELL_TENTHS, CELL_SCORED = "cell_rows", "cell_late", "cell_tenths", "cell_scored"
+
+
+def _rows(df: DataFrame) -> Column:
+    """How many shipments a group holds: its rows, or the sum over its cells."""
+    return F.coalesce(F.sum(CELL_ROWS), F.lit(0)) if CELL_ROWS in df.columns else F.count(F.lit(1))
+
+
+def _late(df: DataFrame) -> Column:
+    return F.sum(CELL_LATE if CELL_LATE in df.columns else "Is_Delayed")
+
+
+def _rows_where(df: DataFrame, cond: Column) -> Column:
+    return F.coalesce(F.sum(F.when(cond, F.col(CELL_ROWS))), F.lit(0)) if CELL_ROWS in df.columns else F.count_if(cond)
+
+
+def _aggs(df: DataFrame) -> list[Column]:
+    """n, _nd (late), _st (sum of score tenths) and _ns (shipments with a score), of rows or of cells."""
+    cells = CELL_ROWS in df.columns
+    return [_rows(df).alias("n"), _late(df).alias("_nd"), F.sum(CELL_TENTHS if cells else "Risk_Score_Tenths").alias("_st"),
+            (F.sum(CELL_SCORED) if cells else F.count("Risk_Score_Tenths")).alias("_ns")]
 
 
 def faceted_filter(df: DataFrame, modes: Sequence[str] | None = None, route_types: Sequence[str] | None = None,
@@ -58,8 +78,8 @@ def facet_counts(df: DataFrame, **facets) -> DataFrame:
     """C1: 'showing x of y' in one pass over the unfiltered table."""
     cond = _facet_condition(facets.get("modes"), facets.get("route_types"),
                             facets.get("categories"), facets.get("tiers"))
-    shown = F.count(F.lit(1)) if cond is None else F.count_if(F.coalesce(cond, F.lit(False)))
-    return df.agg(shown.alias("shown"), F.count(F.lit(1)).alias("total"))
+    shown = _rows(df) if cond is None else _rows_where(df, F.coalesce(cond, F.lit(False)))
+    return df.agg(shown.alias("shown"), _rows(df).alias("total"))
 
 
 def top_risk(df: DataFrame, k: int = 200) -> DataFrame:
@@ -89,7 +109,7 @@ def board_numbers(df: DataFrame) -> DataFrame:
 
 def kpi_strip(df: DataFrame) -> DataFrame:
     """Count, delay %, mean score, High+Severe share on the (filtered) table."""
-    return df.agg(*_aggs(), F.count_if(F.col("Risk_Tier").isin("High", "Severe")).alias("_hs")).select(
+    return df.agg(*_aggs(df), _rows_where(df, F.col("Risk_Tier").isin("High", "Severe")).alias("_hs")).select(
         F.col("n").alias("shipments"),
         pct_1dp(delay_rate(F.col("_nd"), F.col("n"))).alias("delay_pct"),
         round_half_even(mean_score(F.col("_st"), F.col("_ns")), 1).alias("avg_risk_score"),
@@ -98,14 +118,14 @@ def kpi_strip(df: DataFrame) -> DataFrame:
 
 def tier_split(df: DataFrame) -> DataFrame:
     """Shipments per tier in fixed order, missing tiers zero-filled."""
-    counts = df.groupBy("Risk_Tier").agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy("Risk_Tier").agg(_rows(df).alias("_n"))
     return (tier_dim(df.sparkSession).join(F.broadcast(counts), "Risk_Tier", "left")   # a row per tier
             .select("Risk_Tier", "tier_rank", F.coalesce(F.col("_n"), F.lit(0)).alias("shipments")))
 
 
 def tier_calibration(df: DataFrame) -> DataFrame:
     """Actual delay rate per tier in fixed order; empty tier -> null."""
-    rates = df.groupBy("Risk_Tier").agg(delay_rate(F.sum("Is_Delayed"), F.count(F.lit(1))).alias("delay_rate"))
+    rates = df.groupBy("Risk_Tier").agg(delay_rate(_late(df), _rows(df)).alias("delay_rate"))
     return tier_dim(df.sparkSession).join(F.broadcast(rates), "Risk_Tier", "left") \
         .select("Risk_Tier", "tier_rank", "delay_rate")
 
@@ -121,36 +141,36 @@ def calibration_monotone(df: DataFrame) -> DataFrame:
 
 def flow_mode_route(df: DataFrame) -> DataFrame:
     """Shipment counts mode -> route type."""
-    return df.groupBy("Transportation_Mode", "Route_Type").agg(F.count(F.lit(1)).alias("shipments"))
+    return df.groupBy("Transportation_Mode", "Route_Type").agg(_rows(df).alias("shipments"))
 
 
 def flow_mode_route_tier(df: DataFrame) -> DataFrame:
     """Counts mode x route type x tier (only non-empty groups exist)."""
-    return df.groupBy("Transportation_Mode", "Route_Type", "Risk_Tier").agg(F.count(F.lit(1)).alias("shipments"))
+    return df.groupBy("Transportation_Mode", "Route_Type", "Risk_Tier").agg(_rows(df).alias("shipments"))
 
 
 def category_risk(df: DataFrame) -> DataFrame:
     """Per category volume and delay rate."""
     return df.groupBy("Product_Category").agg(
-        F.count(F.lit(1)).alias("volume"), delay_rate(F.sum("Is_Delayed"), F.count(F.lit(1))).alias("delay_rate"))
+        _rows(df).alias("volume"), delay_rate(_late(df), _rows(df)).alias("delay_rate"))
 
 
 def delay_rate_by_mode(df: DataFrame) -> DataFrame:
     """Delay rate per mode, descending."""
     return df.groupBy("Transportation_Mode").agg(
-        delay_rate(F.sum("Is_Delayed"), F.count(F.lit(1))).alias("delay_rate")).orderBy(F.desc("delay_rate"))
+        delay_rate(_late(df), _rows(df)).alias("delay_rate")).orderBy(F.desc("delay_rate"))
 
 
 def monthly_trend(df: DataFrame) -> DataFrame:
     """Delay rate and volume per yyyy-MM, ascending."""
     return df.groupBy("Order_YearMonth").agg(
-        delay_rate(F.sum("Is_Delayed"), F.count(F.lit(1))).alias("delay_rate"),
-        F.count(F.lit(1)).alias("volume")).orderBy("Order_YearMonth")
+        delay_rate(_late(df), _rows(df)).alias("delay_rate"),
+        _rows(df).alias("volume")).orderBy("Order_YearMonth")
 
 
 def lane_summary(df: DataFrame) -> DataFrame:
     """Per lane mean score (1 dp), delay % (1 dp), volume, sorted by score desc."""
-    return (df.groupBy("Origin_City", "Destination_City").agg(*_aggs())
+    return (df.groupBy("Origin_City", "Destination_City").agg(*_aggs(df))
             .select(F.concat_ws(" → ", "Origin_City", "Destination_City").alias("Route"),
                     round_half_even(mean_score(F.col("_st"), F.col("_ns")), 1).alias("avg_risk_score"),
                     pct_1dp(delay_rate(F.col("_nd"), F.col("n"))).alias("delay_rate_pct"),
@@ -165,6 +185,10 @@ def equi_width_bin(x: Column, lo: Column, hi: Column, nbins: int) -> Column:
     return F.when(width > 0, F.least(F.lit(nbins - 1).cast("bigint"), idx)).otherwise(F.lit(0).cast("bigint"))
 
 
+def _cell(df: DataFrame) -> list[Column]:
+    return [F.col(CELL_ROWS)] if CELL_ROWS in df.columns else []
+
+
 def density_2d(df: DataFrame, x: str, y: str, nbins: int = 25, by: Sequence[str] = ()) -> DataFrame:
     """E12 (and U5/U11): equi-width 2-D histogram; min/max are a broadcast 1-row (or per-group) statistic."""
     by = list(by)
@@ -173,8 +197,8 @@ def density_2d(df: DataFrame, x: str, y: str, nbins: int = 25, by: Sequence[str]
                             F.min(y).alias("_ylo"), F.max(y).alias("_yhi"))
     j = d.join(F.broadcast(mm), by) if by else d.crossJoin(F.broadcast(mm))
     return (j.select(*by, equi_width_bin(F.col(x), F.col("_xlo"), F.col("_xhi"), nbins).alias("x_bin"),
-                     equi_width_bin(F.col(y), F.col("_ylo"), F.col("_yhi"), nbins).alias("y_bin"))
-            .groupBy(*by, "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("shipments")))
+                     equi_width_bin(F.col(y), F.col("_ylo"), F.col("_yhi"), nbins).alias("y_bin"), *_cell(df))
+            .groupBy(*by, "x_bin", "y_bin").agg(_rows(df).alias("shipments")))
 
 
 def histogram_1d(df: DataFrame, x: str, nbins: int, by: Sequence[str] = ()) -> DataFrame:
@@ -184,8 +208,8 @@ def histogram_1d(df: DataFrame, x: str, nbins: int, by: Sequence[str] = ()) -> D
     mm = d.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     j = d.join(F.broadcast(mm), by) if by else d.crossJoin(F.broadcast(mm))
     return (j.select(*by, equi_width_bin(F.col(x), F.col("_lo"), F.col("_hi"), nbins).alias("bin"),
-                     F.col("_lo"), F.col("_hi"))
-            .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.first("_lo").alias("lo"),
+                     F.col("_lo"), F.col("_hi"), *_cell(df))
+            .groupBy(*by, "bin").agg(_rows(df).alias("n"), F.first("_lo").alias("lo"),
                                       F.first("_hi").alias("hi")))
 
 
@@ -209,18 +233,19 @@ def tier_score_density(df: DataFrame, nbins: int = 50) -> DataFrame:
 
 
 def _port_roles(df: DataFrame) -> DataFrame:
+    measures = [CELL_ROWS, CELL_LATE, CELL_TENTHS, CELL_SCORED] if CELL_ROWS in df.columns else ["Is_Delayed", "Risk_Score_Tenths"]
     return df.select(
         F.explode(F.array(
             F.struct(F.col("Origin_City").alias("port"), F.lit("origin").alias("role")),
             F.struct(F.col("Destination_City").alias("port"), F.lit("destination").alias("role")))).alias("pr"),
-        "Is_Delayed", "Risk_Score_Tenths").select("pr.port", "pr.role", "Is_Delayed", "Risk_Score_Tenths")
+        *measures).select("pr.port", "pr.role", *measures)
 
 
 def port_statistics(df: DataFrame) -> DataFrame:
     """For all 31 ports, as-origin and as-destination volume, delay %, mean score; in-dataset flag."""
-    g = (_port_roles(df).groupBy("port").pivot("role", ["origin", "destination"])
-         .agg(F.count(F.lit(1)).alias("n"), F.sum("Is_Delayed").alias("nd"), F.sum("Risk_Score_Tenths").alias("st"),
-              F.count("Risk_Score_Tenths").alias("ns")))
+    roles = _port_roles(df)
+    n, nd, st, ns = _aggs(roles)
+    g = roles.groupBy("port").pivot("role", ["origin", "destination"]).agg(n.alias("n"), nd.alias("nd"), st.alias("st"), ns.alias("ns"))
     out = ports(df.sparkSession).join(g, "port", "left")
     cols = ["port_idx", "port", "lat", "lon", "region_label"]
     for role in ("origin", "destination"):
@@ -251,7 +276,7 @@ def lane_arcs(df: DataFrame) -> DataFrame:
                              F.col("lon").alias("start_lng")))
     d = F.broadcast(p.select(F.col("port").alias("Destination_City"), F.col("lat").alias("end_lat"),
                              F.col("lon").alias("end_lng")))
-    g = df.groupBy("Origin_City", "Destination_City").agg(*_aggs())
+    g = df.groupBy("Origin_City", "Destination_City").agg(*_aggs(df))
     score = mean_score(F.col("_st"), F.col("_ns"))
     rate_pct = pct_1dp(delay_rate(F.col("_nd"), F.col("n")))
     label = F.format_string("%s &rarr; %s: %s%% delayed, %s shipments", F.col("Origin_City"),
