@@ -1,25 +1,29 @@
-"""Isolation-forest anomalies (U1-U5; Liu, Ting, Zhou 2008).
-
-Fit: standardise the 8 features (population std); every tree draws its own psi
-rows from the whole table by a per-(row, tree) hash, and all trees are built in
-parallel with ``groupBy(tree_id).applyInPandas``.  The
-forest is a small node table (<= trees x (2 psi - 1) rows), a fitted model.
-Score: ``mapInPandas`` walks every tree for a whole Arrow batch at once (numpy,
-no per-row Python), then score = s - p95(s) with the exact quantile helper.
+"""Isolation-forest anomalies (U1-U5; Liu, Ting, Zhou 2008) with splits drawn from hashes.
+
+Every random choice is read from an md5 of what it is for: a row's place in a tree's sample from (row, tree), a node's feature and
+threshold from (tree, node).  So the forest depends on the rows alone, not on partitions or retries, and SQL can restate it.
+
+Fit: each tree draws its ``PSI`` rows from the whole table (the least hashes), and all trees grow together, a level at a
+time: minima, maxima and counts of every (tree, node) are one window aggregation over the samples, from which each row of a node
+derives the same split and its own child.  The forest is a node table of at most trees x (2 psi - 1) rows, whatever the table.
+
+Score: each row is exploded to its trees in place and walks down by look-ups in the broadcast node table, inside code generation;
+path lengths are summed on an integer grid, so scores do not depend on the order of the sums.  Splits are uniform between a node's minimum
+and maximum and so do not change when a feature is shifted or scaled: features are not standardised.
+
+Missing values go to the right child and take no part in a node's range.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.stats import exact_percentiles
-from keelson.operators.exposure import xxhash_uniform
 from keelson.plans.materialize import materialize
 
 # Anomaly feature list, forest size, sub-sample size, contamination.
@@ -30,8 +34,12 @@ ANOMALY_NUMERIC = [
 N_TREES = 200
 PSI = 256
 CONTAMINATION = 0.05
-NODE_SCHEMA = ("tree_id long, node_id int, feature int, threshold double, left_child int, right_child int, "
-               "size int, depth int")
+SEED = 42
+#: path lengths are whole numbers of this part of an edge
+GRID = 1_000_000_000
+TWO_POW_32 = 4294967296.0
+#: a row's uniforms are the four 32-bit parts of one md5
+PARTS = 4
 
 
 def c_factor(n: float) -> float:
@@ -41,148 +49,117 @@ def c_factor(n: float) -> float:
     return 1.0 if n == 2 else 0.0
 
 
-def _c_vec(n: np.ndarray) -> np.ndarray:
-    n = n.astype(float)
-    out = np.zeros_like(n)
-    big = n > 2
-    out[big] = 2.0 * (np.log(n[big] - 1.0) + 0.5772156649) - 2.0 * (n[big] - 1.0) / n[big]
-    out[n == 2] = 1.0
-    return out
-
-
-def _build_tree(seed: int, cols: list[str]):
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree_id = int(pdf["tree_id"].iloc[0])
-        x = pdf[cols].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, tree_id])
-        limit = int(math.ceil(math.log2(max(len(x), 2))))
-        rows = []
-
-        def grow(idx: np.ndarray, depth: int) -> int:
-            node = len(rows)
-            rows.append(None)
-            sub = x[idx]
-            lo, hi = (sub.min(axis=0), sub.max(axis=0)) if len(idx) else (None, None)
-            varying = np.flatnonzero(hi > lo) if len(idx) > 1 else np.array([], dtype=int)
-            if depth >= limit or len(idx) <= 1 or len(varying) == 0:
-                rows[node] = (tree_id, node, -1, 0.0, -1, -1, len(idx), depth)
-                return node
-            f = int(rng.choice(varying))
-            t = float(rng.uniform(lo[f], hi[f]))
-            go_left = sub[:, f] < t
-            left = grow(idx[go_left], depth + 1)
-            right = grow(idx[~go_left], depth + 1)
-            rows[node] = (tree_id, node, f, t, left, right, len(idx), depth)
-            return node
-
-        grow(np.arange(len(x)), 0)
-        return pd.DataFrame(rows, columns=["tree_id", "node_id", "feature", "threshold", "left_child",
-                                           "right_child", "size", "depth"])
-    return build
+def _c_column(n: Column) -> Column:
+    d = n.cast("double")
+    return F.when(n > 2, 2.0 * (F.log(d - 1.0) + 0.5772156649) - 2.0 * (d - 1.0) / d).when(n == 2, 1.0).otherwise(0.0)
+
+
+def _part(digest: Column, k: int) -> Column:
+    """Eight hex digits of a digest; their order as text is their order as numbers."""
+    return F.substring(digest, 8 * k + 1, 8)
+
+
+def _number(hex_digits: Column) -> Column:
+    return F.conv(hex_digits, 16, 10).cast("bigint")
 
 
 @dataclass
 class Forest:
-    nodes: DataFrame          # the node table (small)
-    means: DataFrame          # 1-row scaler statistics
+    nodes: DataFrame          # tree, node (1 at the root, 2i and 2i + 1 below), feature (-1: leaf), threshold, size, depth, path
     psi: int
-    offset: float | None = None   # p95 of s on the training table (U3 reuses it)
-
-
-def _z(df: DataFrame, stats: DataFrame, cols=ANOMALY_NUMERIC) -> DataFrame:
-    d = df.crossJoin(F.broadcast(stats))
-    for c in cols:
-        scale = F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
-        d = d.withColumn(f"z_{c}", (F.col(c).cast("double") - F.col(f"_m_{c}")) / scale)
-    return d.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
-
-
-def fit_forest(df: DataFrame, n_trees: int = N_TREES, psi: int = PSI, seed: int = 42,
-               key: str = "Order_ID") -> Forest:
-    """Trees over hash-chosen sub-samples, built in parallel."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in ANOMALY_NUMERIC],
-                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in ANOMALY_NUMERIC])
-    stats = materialize(stats, "iforest-scaler")
-    n = df.count()
-    psi_eff = max(1, min(psi, n))
-    z = _z(df, stats).select(key, *[f"z_{c}" for c in ANOMALY_NUMERIC])
-    # per tree: a Bernoulli draw of ~3 psi rows of the whole table, then its psi smallest hashes;
-    # the draw is a filter inside the row, so only kept (row, tree) pairs are made
-    keep = min(1.0, 3.0 * psi_eff / max(1, n))
-    trees = F.sequence(F.lit(0).cast("bigint"), F.lit(n_trees - 1).cast("bigint"))
-    drawn = F.filter(trees, lambda t: xxhash_uniform(F.col(key), t, F.lit(seed)) < F.lit(keep))
-    w = Window.partitionBy("tree_id").orderBy("_h", key)
-    picked = (z.withColumn("tree_id", F.explode(drawn))
-              .withColumn("_h", xxhash_uniform(F.col(key), F.col("tree_id"), F.lit(seed)))
-              .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi_eff))
-    cols = [f"z_{c}" for c in ANOMALY_NUMERIC]
-    nodes = (picked.select("tree_id", *cols).groupBy("tree_id")
-             .applyInPandas(_build_tree(seed, cols), NODE_SCHEMA))
-    nodes = materialize(nodes, "iforest-nodes")   # the fitted model: built once
-    return Forest(nodes=nodes, means=stats, psi=psi_eff)
-
-
-def _pack(nodes_pdf: pd.DataFrame):
-    """Node table -> padded arrays [tree, node] for vectorised traversal."""
-    nodes_pdf = nodes_pdf.sort_values(["tree_id", "node_id"])
-    trees = nodes_pdf["tree_id"].unique()
-    width = int(nodes_pdf.groupby("tree_id")["node_id"].max().max()) + 1
-    shape = (len(trees), width)
-    feat = np.full(shape, -1, dtype=np.int64)
-    thr = np.zeros(shape)
-    left = np.zeros(shape, dtype=np.int64)
-    right = np.zeros(shape, dtype=np.int64)
-    base = np.zeros(shape)
-    pos = {t: i for i, t in enumerate(trees)}
-    ti = nodes_pdf["tree_id"].map(pos).to_numpy()
-    ni = nodes_pdf["node_id"].to_numpy()
-    feat[ti, ni] = nodes_pdf["feature"].to_numpy()
-    thr[ti, ni] = nodes_pdf["threshold"].to_numpy()
-    left[ti, ni] = nodes_pdf["left_child"].to_numpy()
-    right[ti, ni] = nodes_pdf["right_child"].to_numpy()
-    base[ti, ni] = nodes_pdf["depth"].to_numpy() + _c_vec(nodes_pdf["size"].to_numpy())
-    return feat, thr, left, right, base
-
-
-def path_scores(df: DataFrame, forest: Forest, carry: tuple[str, ...] = ("Order_ID",)) -> DataFrame:
-    """U2 (first half): s = 2^(-E[h(x)] / c(psi)) for every row of ``df``, with the ``carry`` columns."""
-    spark = df.sparkSession
-    packed = _pack(forest.nodes.toPandas())  # fitted model: bounded by trees x (2 psi - 1) nodes
-    bc = spark.sparkContext.broadcast(packed)
-    cpsi = c_factor(forest.psi)
-    cols = [f"z_{c}" for c in ANOMALY_NUMERIC]
-    z = _z(df, forest.means).select(*carry, *cols)
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in z.select(*carry).schema)
-
-    def score(batches):
-        feat, thr, left, right, base = bc.value
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for t in range(feat.shape[0]):
-                node = np.zeros(len(x), dtype=np.int64)
-                while True:
-                    f = feat[t, node]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    xv = x[rows, np.where(inner, f, 0)]
-                    nxt = np.where(xv < thr[t, node], left[t, node], right[t, node])
-                    node = np.where(inner, nxt, node)
-                total += base[t, node]
-            yield pdf[list(carry)].assign(s=np.power(2.0, -(total / feat.shape[0]) / cpsi))
-
-    return z.mapInPandas(score, f"{kept}, s double")
+    n_trees: int
+
+    @property
+    def depth(self) -> int:
+        return max(1, math.ceil(math.log2(max(self.psi, 2))))
+
+
+def _values(cols: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in cols])
+
+
+def draw_samples(df: DataFrame, n_trees: int, psi: int, seed: int, key: str, cols: list[str], rows: int) -> DataFrame:
+    """tree and x (the features) of each tree's ``psi`` rows of the least hashes."""
+    groups = -(-n_trees // PARTS)
+    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit("forest"), F.lit(str(seed)), F.col("_g").cast("string")))
+    spread = df.select(F.col(key), _values(cols).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g")).withColumn("_d", digest)
+    parts = F.array(*[F.struct((F.col("_g") * PARTS + k).alias("tree"), _part(F.col("_d"), k).alias("h")) for k in range(PARTS)])
+    drawn = spread.select(key, "x", F.inline(parts)).where(F.col("tree") < n_trees)
+    # about 3 psi rows a tree pass the first test, which needs no order; only they are ranked
+    most = min(1.0, 3.0 * psi / max(1, rows))
+    if most < 1.0:
+        drawn = drawn.where(F.col("h") < f"{int(most * TWO_POW_32):08x}")
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", key))
+    return drawn.withColumn("_rank", rank).where(F.col("_rank") <= psi).select("tree", "x")
+
+
+def _split(seed: int, width: int) -> list[Column]:
+    """feature (-1: no split) and threshold of the node of a row with its node's n, lo and hi."""
+    digest = F.md5(F.concat_ws("|", F.lit("split"), F.lit(str(seed)), F.col("tree").cast("string"), F.col("node").cast("string")))
+    varying = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get("hi", i) > F.get("lo", i))
+    feature = F.get(varying, (_number(_part(digest, 0)) % F.greatest(F.size(varying), F.lit(1))).cast("int"))
+    feature = F.when(F.col("n") > 1, F.coalesce(feature, F.lit(-1))).otherwise(F.lit(-1))
+    return [feature.alias("feature"), (_number(_part(digest, 1)).cast("double") / TWO_POW_32).alias("u")]
+
+
+def fit_forest(df: DataFrame, n_trees: int = N_TREES, psi: int = PSI, seed: int = SEED, key: str = "Order_ID",
+               cols: list[str] = ANOMALY_NUMERIC) -> Forest:
+    """All trees over their hash-drawn samples, a level at a time."""
+    rows = df.count()
+    forest = Forest(df, max(1, min(psi, rows)), n_trees)
+    at = draw_samples(df, n_trees, forest.psi, seed, key, cols, rows).withColumn("node", F.lit(1).cast("bigint")).withColumn("path", F.array().cast(
+        "array<struct<node:bigint,feature:int,threshold:double,size:bigint,depth:int>>"))
+    node = Window.partitionBy("tree", "node")
+    for depth in range(forest.depth + 1):
+        lo = F.array(*[F.min(F.get("x", F.lit(i))).over(node) for i in range(len(cols))])
+        hi = F.array(*[F.max(F.get("x", F.lit(i))).over(node) for i in range(len(cols))])
+        at = at.select("tree", "node", "x", "path", F.count(F.lit(1)).over(node).alias("n"), lo.alias("lo"), hi.alias("hi"))
+        if depth < forest.depth:
+            at = at.select("*", *_split(seed, len(cols)))
+        else:
+            at = at.select("*", F.lit(-1).alias("feature"), F.lit(0.0).alias("u"))
+        low, high = F.get("lo", F.col("feature")), F.get("hi", F.col("feature"))
+        cut = low + F.col("u") * (high - low)
+        # below the maximum, so that neither child is empty
+        at = at.withColumn("threshold", F.when(F.col("feature") >= 0, F.when(cut >= high, low).otherwise(cut)).otherwise(0.0))
+        here = F.struct(F.col("node"), F.col("feature"), F.col("threshold"), F.col("n").alias("size"), F.lit(depth).alias("depth"))
+        right = F.coalesce(F.get("x", F.col("feature")) <= F.col("threshold"), F.lit(False))
+        child = F.when((F.col("node").isNotNull()) & (F.col("feature") >= 0), F.col("node") * 2 + F.when(right, 0).otherwise(1))
+        at = at.select("tree", child.alias("node"), "x", F.when(F.col("node").isNotNull(), F.concat("path", F.array(here))).otherwise(F.col("path")).alias("path"))
+    nodes = at.select("tree", F.inline("path")).distinct()
+    length = F.when(F.col("feature") < 0, F.round((F.col("depth") + _c_column(F.col("size"))) * GRID)).otherwise(0).cast("bigint")
+    forest.nodes = materialize(nodes.withColumn("length", length), "forest-nodes")   # the fitted model: built once
+    return forest
+
+
+def path_scores(df: DataFrame, forest: Forest, carry: tuple[str, ...] = ("Order_ID",), cols: list[str] = ANOMALY_NUMERIC) -> DataFrame:
+    """U2 (first half): s = 2^(-E[h(x)] / c(psi)) for every row of ``df``, with the ``carry`` columns (the first is the rows' key)."""
+    key = carry[0]
+    place = F.col("tree").cast("bigint") * F.lit(1 << 32)
+    table = F.broadcast(forest.nodes.select(                      # at most trees x (2 psi - 1) rows
+        (place + F.col("node")).alias("_at"), F.col("feature").alias("_f"), F.col("threshold").alias("_t"), F.col("length").alias("_len")))
+    trees = F.sequence(F.lit(0).cast("bigint"), F.lit(forest.n_trees - 1).cast("bigint"))
+    walk = df.select(F.col(key).alias("_key"), _values(cols).alias("x"), F.explode(trees).alias("tree")).withColumn("place", place + 1)
+
+    def step(rows: DataFrame, _) -> DataFrame:
+        base = F.col("tree") * F.lit(1 << 32)
+        goes_left = F.coalesce(F.get("x", F.col("_f")) <= F.col("_t"), F.lit(False))
+        child = base + (F.col("place") - base) * 2 + F.when(goes_left, 0).otherwise(1)
+        return rows.join(table, F.col("place") == F.col("_at")).select("_key", "x", "tree", F.when(F.col("_f") < 0, F.col("place")).otherwise(child).alias("place"))
+
+    leaves = reduce(step, range(forest.depth), walk).join(table, F.col("place") == F.col("_at"))
+    total = leaves.groupBy("_key").agg(F.sum("_len").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    # rows that repeat a key share the mean of their walks
+    mean = F.col("_sum").cast("double") / (F.col("_n").cast("double") * GRID)
+    scored = total.select("_key", F.pow(F.lit(2.0), -mean / F.lit(max(c_factor(forest.psi), 1e-9))).alias("s"))
+    return df.select(*carry).join(scored, F.col(key).eqNullSafe(F.col("_key"))).select(*carry, "s")
 
 
 def anomaly_scores(df: DataFrame, forest: Forest, carry: tuple[str, ...] = ("Order_ID",)) -> DataFrame:
-    """Anomaly_Score = s - p95(s) over the same table; Is_Anomaly = score > 0.
-
-    The ``carry`` columns go through the scorer, so later questions need no join by id."""
-    s = materialize(path_scores(df, forest, carry), "iforest-scores")   # scored once, read twice
+    """Anomaly_Score = s - p95(s) over the same table; Is_Anomaly = score > 0."""
+    s = materialize(path_scores(df, forest, carry), "forest-scores")   # scored once, read twice
     off = exact_percentiles(s, "s", {"_offset": 1.0 - CONTAMINATION})
-    return (s.crossJoin(F.broadcast(off))
+    return (s.crossJoin(F.broadcast(off))   # a 1-row statistic
             .select(*carry, (F.col("s") - F.col("_offset")).alias("Anomaly_Score"),
                     (F.col("s") > F.col("_offset")).alias("Is_Anomaly"), F.col("_offset").alias("anomaly_offset")))
 

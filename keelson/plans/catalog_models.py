@@ -19,9 +19,10 @@ from keelson.operators import portfolio as pf
 from keelson.operators import routes as rt
 from keelson.operators import scoring
 from keelson.plans import scored as sc
-from keelson.plans.catalog import FACETS, _bin_sql, _edges, _legs, shipment_requests
+from keelson.plans.catalog import FACET_SQL, FACETS, REQUESTS_SQL, _bin_sql, _edges, _legs, shipment_requests
 from keelson.plans.materialize import materialize
 from keelson.plans.oracle import with_ctes
+from keelson.plans.oracle_forest import FOREST_CTES, score_sql, walk_sql
 from keelson.plans.registry import register
 
 N_TREES = 200   # G6, G7 and G16
@@ -309,50 +310,78 @@ def _anomalies(spark, sf):
     return sc._memo(spark, sf, "anomalies", lambda: an.anomaly_scores(sc.scored(spark, sf), _forest(spark, sf), carry))
 
 
-@register("anomaly_scores", None)
+@register("anomaly_scores", with_ctes(FOREST_CTES + " SELECT Order_ID, ROUND(Anomaly_Score, 9) AS Anomaly_Score, Is_Anomaly FROM anomalies"))
 def q_anomaly_scores(spark, sf):
     """U1 + U2: score and flag for every shipment (about 5 % flagged)."""
-    return _anomalies(spark, sf).select("Order_ID", "Anomaly_Score", "Is_Anomaly")
+    return _anomalies(spark, sf).select("Order_ID", F.round("Anomaly_Score", 9).alias("Anomaly_Score"), "Is_Anomaly")
 
 
-@register("anomaly_summary", None)
+@register("forest_nodes", with_ctes(
+    FOREST_CTES + " SELECT tree, node, feature, ROUND(threshold, 9) AS threshold, size, depth, length FROM nodes"))
+def q_forest_nodes(spark, sf):
+    """The fitted forest."""
+    n = _forest(spark, sf).nodes
+    return n.select(F.col("tree").cast("bigint").alias("tree"), "node", "feature", F.round("threshold", 9).alias("threshold"), "size", "depth", "length")
+
+
+@register("anomaly_summary", with_ctes(
+    FOREST_CTES + " SELECT COUNT(*) FILTER (WHERE Is_Anomaly) AS anomalies, ROUND(AVG(CAST(Is_Anomaly AS DOUBLE)) * 100, 1) AS anomaly_pct,"
+    f" COUNT(*) FILTER (WHERE Is_Anomaly AND Risk_Tier = 'Low') AS anomaly_low_tier FROM anomalies WHERE {FACET_SQL}"))
 def q_anomaly_summary(spark, sf):
     """U4 on the faceted filter."""
     return an.anomaly_kpis(pf.faceted_filter(_anomalies(spark, sf), **FACETS))
 
 
-@register("top_flagged_anomalies", None)
+_FLAGGED = ("Order_ID, Route, Transportation_Mode, Product_Category, Cost_Per_Kg, Shipment_Risk_Score, Risk_Tier,"
+            " ROUND(Anomaly_Score, 9) AS Anomaly_Score")
+
+
+def _rounded(df):
+    return df.withColumn("Anomaly_Score", F.round("Anomaly_Score", 9))
+
+
+@register("top_flagged_anomalies", with_ctes(
+    FOREST_CTES + f" SELECT {_FLAGGED} FROM anomalies a WHERE Is_Anomaly ORDER BY a.Anomaly_Score DESC, Order_ID LIMIT 50"))
 def q_top_flagged(spark, sf):
     """50 flagged shipments with the highest anomaly score."""
-    return an.top_flagged(_anomalies(spark, sf), 50)
+    return _rounded(an.top_flagged(_anomalies(spark, sf), 50))
 
 
-@register("top_flagged_anomalies_filtered", None)
+@register("top_flagged_anomalies_filtered", with_ctes(
+    FOREST_CTES + f" SELECT {_FLAGGED} FROM anomalies a WHERE Is_Anomaly AND {FACET_SQL} ORDER BY a.Anomaly_Score DESC, Order_ID LIMIT 50"))
 def q_top_flagged_filtered(spark, sf):
     """C3 on the faceted filter."""
-    return an.top_flagged(pf.faceted_filter(_anomalies(spark, sf), **FACETS), 50)
+    return _rounded(an.top_flagged(pf.faceted_filter(_anomalies(spark, sf), **FACETS), 50))
 
 
-@register("flagged_points", None)
+@register("flagged_points", with_ctes(
+    FOREST_CTES + " SELECT Order_ID, Cost_Per_Kg, Shipment_Risk_Score, Risk_Tier, ROUND(Anomaly_Score, 9) AS Anomaly_Score,"
+    f" Route || ', ' || Transportation_Mode || ', ' || Product_Category AS label FROM anomalies WHERE Is_Anomaly AND {FACET_SQL}"))
 def q_flagged_points(spark, sf):
     """The flagged points with labels, on the faceted filter."""
-    return an.flagged_points(pf.faceted_filter(_anomalies(spark, sf), **FACETS))
+    return _rounded(an.flagged_points(pf.faceted_filter(_anomalies(spark, sf), **FACETS)))
 
 
-@register("anomaly_density", None)
+@register("anomaly_density", with_ctes(
+    FOREST_CTES + f", d AS (SELECT * FROM anomalies WHERE NOT Is_Anomaly AND Cost_Per_Kg IS NOT NULL AND Shipment_Risk_Score IS NOT NULL AND {FACET_SQL}),"
+    " mm AS (SELECT MIN(Cost_Per_Kg) AS xlo, MAX(Cost_Per_Kg) AS xhi, MIN(Shipment_Risk_Score) AS ylo, MAX(Shipment_Risk_Score) AS yhi FROM d)"
+    f" SELECT {_bin_sql('Cost_Per_Kg', 'xlo', 'xhi', 25)} AS x_bin, {_bin_sql('Shipment_Risk_Score', 'ylo', 'yhi', 25)} AS y_bin, COUNT(*) AS shipments"
+    " FROM d CROSS JOIN mm GROUP BY 1, 2"))
 def q_anomaly_density(spark, sf):
-    """Density of normal rows on cost/kg x score."""
-    s = _anomalies(spark, sf).where(~F.col("Is_Anomaly"))
+    """Density of normal rows on cost/kg x score, on the faceted filter."""
+    s = pf.faceted_filter(_anomalies(spark, sf), **FACETS).where(~F.col("Is_Anomaly"))
     return pf.density_2d(s, "Cost_Per_Kg", "Shipment_Risk_Score", 25)
 
 
-@register("request_anomalies", None)
+@register("request_anomalies", with_ctes(
+    REQUESTS_SQL + FOREST_CTES + walk_sql("req", "req_features") + ", rs AS (SELECT Order_ID, " + score_sql("len_sum") + " AS s FROM req_total)"
+    " SELECT Order_ID AS request_id, ROUND(s - (SELECT off FROM cutoff), 9) AS anomaly_score, s > (SELECT off FROM cutoff) AS is_anomaly FROM rs"))
 def q_request_anomalies(spark, sf):
     """Hypothetical-shipment requests scored against the fitted forest and offset."""
     forest = _forest(spark, sf)
     offset = _anomalies(spark, sf).select("anomaly_offset").limit(1).collect()[0][0]
     req = request_features(shipment_requests(spark, sf)).withColumnRenamed("Order_ID", "request_id")
-    return an.score_requests(req, forest, offset, key="request_id")
+    return an.score_requests(req, forest, offset, key="request_id").withColumn("anomaly_score", F.round("anomaly_score", 9))
 
 
 # ---------------------------------------------------------------- clusters

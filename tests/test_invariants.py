@@ -78,24 +78,46 @@ def test_zero_days_give_a_null_score(spark):
     assert [r.Shipment_Risk_Score for r in portfolio_score(df).collect()] == [None, None]
 
 
-def test_forest_draws_rows_of_the_whole_table(spark, monkeypatch):
+def test_forest_draws_rows_of_the_whole_table(spark):
     """Above 20,000 rows every tree still draws from all of them."""
     from keelson.operators import anomaly as an
-    seen = {}
-    real = an._build_tree
-
-    def spy(seed, cols):
-        build = real(seed, cols)
-
-        def first(pdf):
-            out = build(pdf)
-            out.loc[0, "threshold"] = float(pdf[cols[0]].max() - pdf[cols[0]].min())
-            out.loc[0, "size"] = len(pdf)
-            return out
-        return first
-    monkeypatch.setattr(an, "_build_tree", spy)
     df = spark.range(30_000).selectExpr("id AS Order_ID", *[f"CAST(id AS DOUBLE) AS {c}" for c in an.ANOMALY_NUMERIC])
-    roots = an.fit_forest(df, n_trees=8).nodes.where("node_id = 0").collect()
-    seen = [(r["size"], r.threshold) for r in roots]
-    assert len(seen) == 8 and all(n == an.PSI for n, _ in seen)
-    assert min(t for _, t in seen) > 3.2   # of sqrt(12) standard deviations, the whole range
+    drawn = an.draw_samples(df, 8, an.PSI, 42, "Order_ID", an.ANOMALY_NUMERIC, 30_000).groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n"), (F.max(F.get("x", F.lit(0))) - F.min(F.get("x", F.lit(0)))).alias("span")).collect()
+    assert len(drawn) == 8 and all(r.n == an.PSI and r.span > 27_000 for r in drawn)
+    nodes = an.fit_forest(df, n_trees=8).nodes
+    leaves = nodes.where("feature < 0").groupBy("tree").agg(F.sum("size").alias("n")).collect()
+    assert [r.n for r in leaves] == [an.PSI] * 8 and nodes.agg(F.max("depth")).first()[0] <= 8
+
+
+def test_forest_on_odd_tables(spark):
+    """Ties, constant features, missing values, repeated keys, one row, no rows; an outlier has the highest score."""
+    from keelson.operators import anomaly as an
+    names = ", ".join(f"{c} double" for c in an.ANOMALY_NUMERIC)
+    rnd = random.Random(3)
+    rows = [(i, 1.0, *[float(rnd.choice([0, 1, 1, 2])) for _ in range(6)], None if i % 9 == 0 else 3.0) for i in range(400)]
+    rows += [(400, 1.0, *[50.0] * 6, 3.0), (7, 1.0, *[1.0] * 6, 3.0)]
+    df = spark.createDataFrame(rows, "Order_ID long, " + names)
+    a = an.anomaly_scores(df, an.fit_forest(df, n_trees=40)).collect()
+    assert len(a) == len(rows) and max(a, key=lambda r: r.Anomaly_Score).Order_ID == 400
+    for few in (rows[:1], []):
+        d = spark.createDataFrame(few, "Order_ID long, " + names)
+        assert an.path_scores(d, an.fit_forest(d, n_trees=5)).count() == len(few)
+
+
+def test_forest_walk_equals_a_plain_walk(spark):
+    """Path lengths by look-ups equal a walk of the node table in Python."""
+    from keelson.operators import anomaly as an
+    from keelson.plans import scored as sc
+    s = sc.scored(spark, SMALL)
+    forest = an.fit_forest(s, n_trees=6, psi=64)
+    table = {(r.tree, r.node): r for r in forest.nodes.collect()}
+    got = {r.Order_ID: r.s for r in an.path_scores(s, forest).collect()}
+    for r in s.limit(200).collect():
+        x, total = [float(r[c]) for c in an.ANOMALY_NUMERIC], 0.0
+        for t in range(6):
+            n = table[t, 1]
+            while n.feature >= 0:
+                n = table[t, 2 * n.node + (0 if x[n.feature] <= n.threshold else 1)]
+            total += n.depth + an.c_factor(n["size"])
+        assert abs(got[r.Order_ID] - 2 ** (-total / 6 / an.c_factor(64))) < 1e-8
