@@ -33,9 +33,8 @@ ROWS = 8
 SEED = 42
 MEMO_TEXTS = 1 << 20
 #: shingles hashed at once
-BLOCK = 4096
+BLOCK = 512
 _RNG = np.random.default_rng(SEED)
-_TURN = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
 _TIMES = (_RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 
 
@@ -45,25 +44,21 @@ def text_node(joined: bytes) -> int:
 
 
 def shingle_hashes(words: list[bytes], memo: WordHashes) -> np.ndarray:
-    """Distinct hashes of the text's shingles; the text must have words."""
+    """Hashes of the text's shingles; the text must have words."""
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - SHINGLE + 1)
     sums = np.zeros(n, np.uint64)
     for j in range(min(SHINGLE, len(h))):
         sums = sums * np.uint64(BASES[0]) + h[j:j + n]
-    return np.unique(_mix(sums))
+    return _mix(sums)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least of the shingles' hashes under each of the BANDS x ROWS hash functions."""
+    """The least of the shingles' hashes, turned by each of BANDS x ROWS odd factors (bijections of 32 bits)."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, np.uint32(0xFFFFFFFF))
     for at in range(0, len(low), BLOCK):
-        x = low[None, at:at + BLOCK] ^ _TURN
-        x *= _TIMES
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        np.minimum(least, x.min(axis=1), out=least)
+        np.minimum(least, (low[None, at:at + BLOCK] * _TIMES).min(axis=1), out=least)
     return least
 
 
