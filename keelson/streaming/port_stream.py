@@ -8,6 +8,7 @@ routes each micro-batch to an alert sink and a failed-reading sink.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,28 +42,63 @@ def windowed_stats(stream: DataFrame, interval: str = "10 minutes", watermark: s
 
 
 def one_per_bucket(stream: DataFrame, bucket: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
-    """Repeat good readings of a port inside one cache bucket are the same reading; a failed
-    reading never takes the bucket."""
+    """P7 at low latency: repeat good readings of a port inside one cache bucket are the same reading; a failed
+    reading never takes the bucket.  The first to arrive stands for it at once; the first by event time
+    takes state until the watermark passes (:mod:`keelson.streaming.hourly_state`)."""
     return (stream.where("ok").withColumn("bucket", F.date_trunc("hour", "obs_ts") if bucket == "1 hour"
                               else F.window("obs_ts", bucket).start)
             .withWatermark("obs_ts", watermark)
             .dropDuplicatesWithinWatermark(["port", "bucket"]))
 
 
-def alert_sink(port_stats: DataFrame, alert_path: str, failed_path: str):
-    """A foreachBatch writer: good readings enriched with port stats (broadcast, 31 rows),
-    failed readings to a side table.  Each batch overwrites its own ``batch_id`` partition, so a
-    batch that is replayed after a failure leaves the same rows."""
-    stats = F.broadcast(port_stats.select("port", "origin_shipments", "origin_delay_pct"))
+STATISTICS = ["origin_shipments", "origin_delay_pct", "destination_shipments", "destination_delay_pct"]
+
+
+def _versions(spark: SparkSession, path: str, column: str) -> list[int]:
+    """Values of a partition column in a folder; none where nothing was written yet."""
+    try:
+        found = spark.read.parquet(path).select(F.col(column).cast("int")).distinct().collect()   # one row a version or batch
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(r[0] for r in found)
+
+
+def publish_statistics(port_stats: DataFrame, path: str) -> int:
+    """Adds a version of the ports' statistics (31 rows) to a slowly changing dimension; older ones stay readable."""
+    version = max(_versions(port_stats.sparkSession, path, "version"), default=0) + 1
+    port_stats.select("port", *STATISTICS).withColumn("version", F.lit(version)).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    return version
+
+
+def version_of_batch(spark: SparkSession, statistics_path: str, ledger_path: str, batch_id: int) -> int:
+    """The statistics' version of a micro-batch: the newest when it first ran, the same whenever it is replayed."""
+    if batch_id in _versions(spark, ledger_path, "batch_id"):
+        return spark.read.parquet(ledger_path).where(F.col("batch_id") == batch_id).first()["version"]
+    version = max(_versions(spark, statistics_path, "version"))
+    spark.createDataFrame([(batch_id, version)], "batch_id int, version int").coalesce(1).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(ledger_path)
+    return version
+
+
+def alert_sink(statistics_path: str, alert_path: str, failed_path: str):
+    """A foreachBatch writer: good readings enriched with the ports' statistics of the batch's version (31 rows,
+    re-read in every batch), failed readings to a side table.  The version is kept beside the alerts before they are written, and
+    each batch overwrites its own ``batch_id`` partition, so a replay leaves the same rows, also after a new version."""
+    ledger_path = alert_path.rstrip("/") + "_versions"
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        version = version_of_batch(spark, statistics_path, ledger_path, batch_id)
+        stats = F.broadcast(spark.read.parquet(statistics_path).where(F.col("version") == version).select("port", *STATISTICS))
         batch.persist()   # read by both sinks
         good = batch.where("ok").join(stats, "port", "left").select(
             "event_id", "port", "obs_ts", "wave_height_m", "wind_speed_kmh",
             condition_level(F.col("wave_height_m"), F.col("wind_speed_kmh")).alias("level"),
             implied_severity(F.col("wave_height_m"), F.col("wind_speed_kmh")).alias("implied_severity"),
-            "origin_shipments", "origin_delay_pct").withColumn("batch_id", F.lit(batch_id))
-        failed = batch.where(~F.col("ok")).select("event_id", "port", "obs_ts").withColumn("batch_id", F.lit(batch_id))
+            *STATISTICS, F.lit(version).alias("statistics_version")).withColumn("batch_id", F.lit(batch_id))
+        failed = batch.where(~F.coalesce("ok", F.lit(False))).select("event_id", "port", "obs_ts").withColumn("batch_id", F.lit(batch_id))
         for rows, path in ((good, alert_path), (failed, failed_path)):
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
         batch.unpersist()

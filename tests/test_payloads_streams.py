@@ -77,7 +77,7 @@ def test_stream_dedupe_and_alert_sinks(spark):
     from keelson.operators import portfolio as pf
     from keelson.plans import scored as sc
     from keelson.sources.landing import port_observations
-    from keelson.streaming.port_stream import alert_sink, one_per_bucket, read_observations
+    from keelson.streaming.port_stream import alert_sink, one_per_bucket, publish_statistics, read_observations
     obs = port_observations(spark, SMALL).select("event_id", "port_idx", "obs_ts", "wave_height_m",
                                                  "wind_speed_kmh", "ok", "port")
     src = tempfile.mkdtemp(prefix="keelson-obs2-")
@@ -92,8 +92,8 @@ def test_stream_dedupe_and_alert_sinks(spark):
     assert got.groupBy("port", "bucket").count().where("count > 1").count() == 0
     out_a, out_f = tempfile.mkdtemp(prefix="keelson-alerts-"), tempfile.mkdtemp(prefix="keelson-failed-")
     ck2 = tempfile.mkdtemp(prefix="keelson-ck3-")
-    stats = pf.port_statistics(sc.scored(spark, SMALL))
-    q2 = (read_observations(spark, src, 1).writeStream.foreachBatch(alert_sink(stats, out_a + "/a", out_f + "/f"))
+    publish_statistics(pf.port_statistics(sc.scored(spark, SMALL)), out_a + "/stats")
+    q2 = (read_observations(spark, src, 1).writeStream.foreachBatch(alert_sink(out_a + "/stats", out_a + "/a", out_f + "/f"))
           .option("checkpointLocation", ck2).trigger(availableNow=True).start())
     q2.awaitTermination(300)
     a = spark.read.parquet(out_a + "/a")
@@ -182,17 +182,29 @@ def test_csv_export_keeps_blanks(spark):
 
 
 def test_replayed_alert_batch_leaves_the_same_rows(spark):
+    """A replay agrees with the first run also after new statistics; later batches take them; rows equal the batch twin."""
     from table_dirs import SMALL
+    from keelson.operators import conditions as cond
     from keelson.operators import portfolio as pf
     from keelson.plans import scored as sc
     from keelson.sources.landing import port_observations
-    from keelson.streaming.port_stream import alert_sink
+    from keelson.streaming.port_stream import STATISTICS, alert_sink, publish_statistics
     obs = port_observations(spark, SMALL)
+    scored = sc.scored(spark, SMALL)
     out = tempfile.mkdtemp(prefix="keelson-alerts-")
-    write = alert_sink(pf.port_statistics(sc.scored(spark, SMALL)), out + "/a", out + "/f")
-    for batch_id in (0, 1, 0):
+    whole, part = pf.port_statistics(scored), pf.port_statistics(pf.faceted_filter(scored, modes=["Sea"]))
+    assert publish_statistics(whole, out + "/stats") == 1
+    write = alert_sink(out + "/stats", out + "/a", out + "/f")
+    write(obs, 0)
+    assert publish_statistics(part, out + "/stats") == 2
+    for batch_id in (1, 0):
         write(obs, batch_id)
-    assert spark.read.parquet(out + "/a").count() == 2 * obs.where("ok").count()
+    cols = ["event_id", "port", "level", "implied_severity", *STATISTICS]
+    for batch_id, stats in ((0, whole), (1, part)):
+        got = spark.read.parquet(out + "/a").where(F.col("batch_id") == batch_id).select(cols)
+        want = cond.alerts(obs, stats)[0].select(cols)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert {tuple(r) for r in spark.read.parquet(out + "/a").select("batch_id", "statistics_version").distinct().collect()} == {(0, 1), (1, 2)}
     assert spark.read.parquet(out + "/f").count() == 2 * obs.where("not ok").count()
 
 
