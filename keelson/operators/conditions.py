@@ -61,6 +61,18 @@ def port_conditions(obs: DataFrame, ports: DataFrame) -> DataFrame:
                     F.when(ok, implied_severity(wave, wind)).alias("implied_severity"))
 
 
+def conditions_of_responses(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """P1-P4 from decoded responses: the ledger's separate current reading (wind, precipitation and first wave
+    height), peaks over the first 72 hourly rows; a failed port has neither."""
+    first = F.col("hour_no") < PEAK_WINDOW_ROWS
+    peaks = rows.where(first).groupBy(F.col("port").alias("_p")).agg(
+        F.max("wave_height_m").alias("peak_wave_72h_m"), F.max("wind_speed_kmh").alias("peak_wind_72h_kmh"))
+    wave, wind = F.col("current_wave_height_m"), F.col("current_wind_kmh")
+    return ledger.join(peaks, F.col("port") == F.col("_p"), "left").select(
+        "port", "ok", wave, wind, "current_precip_mm", "peak_wave_72h_m", "peak_wind_72h_kmh",
+        F.when(F.col("ok"), condition_level(wave, wind)).alias("level"), F.when(F.col("ok"), implied_severity(wave, wind)).alias("implied_severity"))
+
+
 def window_stats(obs: DataFrame, interval: str = "10 minutes") -> DataFrame:
     """P6 (batch twin): per port and tumbling window, count and first/latest/max readings."""
     return (obs.where("ok").groupBy("port", F.window("obs_ts", interval).alias("w"))

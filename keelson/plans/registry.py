@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
 
-CATALOG_MODULES = ("keelson.plans.catalog", "keelson.plans.catalog_landed", "keelson.plans.catalog_facets", "keelson.plans.catalog_models")
+CATALOG_MODULES = ("keelson.plans.catalog", "keelson.plans.catalog_landed", "keelson.plans.catalog_facets", "keelson.plans.catalog_files",
+                   "keelson.plans.catalog_models")
 
 
 def register(name: str, sql: str | None):
