@@ -11,11 +11,13 @@ Three Spark passes over the documents:
 1. In each window of ``WINDOW`` words, the symbol of the last round whose support lies in the window and whose support's
    words have the least hash is the window's anchor (equal windows have equal anchors).  Anchors are counted over the
    corpus; one that occurs once proves its windows to be unique.
-2. Only the other windows are compared, by 95 bits of hash of their words, and the smallest document of each is found.
+2. Only the other windows are compared, by 95 bits of hash of their words, and the smallest document of each is found.  Which windows those
+   are goes along as bits, so the third pass parses nothing again.
 3. A window that starts earlier in its document, or is held by a smaller document, is removed with its words.
 
-All counts and minima are combined before their shuffles and only results that name one document are sent back, so a
-passage that a third of all documents share is one row in each.
+All counts and minima are combined before their shuffles and only results that name one row are sent back, so a
+passage that a third of all documents share is one row in each.  Rows are named by doc_id and text, so what is sent to a row is
+bounded by its text also where many rows share a doc_id (or have none).
 
 Defined cases: null texts have no words; texts of fewer words than a window keep them all; rows that share a doc_id are none
 of them earlier than another (the start decides within a row only); a null doc_id comes after all others; empty tables give no rows;
@@ -24,9 +26,9 @@ other columns are ignored.  A text must fit in a worker's memory several times o
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -119,23 +121,55 @@ def recompress(h: np.ndarray, gap: np.ndarray, rounds: int = ROUNDS):
     return sym, low, high, wall
 
 
-class Parsed:
-    """The windows of a batch of texts: where they start, their anchors and the anchors' places."""
+class Windows:
+    """The windows of a batch of texts: where they start and the hashes of their words."""
 
-    def __init__(self, hashes: list[np.ndarray], window: int, rounds: int):
+    def __init__(self, hashes: list[np.ndarray], window: int):
         none = np.zeros(1, np.uint64)
         self.h = np.concatenate([x for part in hashes for x in (none, part)] + [none])
-        sizes = np.array([len(x) for x in hashes], np.int64)
-        self.begin = np.cumsum(sizes + 1) - sizes  # of each text's words
-        gap = np.ones(len(self.h), bool)
-        for b, n in zip(self.begin, sizes):
-            gap[b:b + n] = False
+        self.sizes = np.array([len(x) for x in hashes], np.int64)
+        self.begin = np.cumsum(self.sizes + 1) - self.sizes  # of each text's words
         self.window = window
-        per = np.maximum(sizes - window + 1, 0)
-        self.owner = np.repeat(np.arange(len(sizes)), per)
-        first = np.cumsum(per) - per
-        self.starts = np.arange(per.sum()) - np.repeat(first, per) + np.repeat(self.begin, per)
+        per = np.maximum(self.sizes - window + 1, 0)
+        self.owner = np.repeat(np.arange(len(per)), per)
+        self.first = np.cumsum(per) - per  # of each text's windows
+        self.place = np.arange(per.sum()) - np.repeat(self.first, per)
+        self.starts = self.place + np.repeat(self.begin, per)
         self.segments = Segments(self.h, BASES[0])
+
+    def window_hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = self.starts[which]
+        second = Segments(self.h, BASES[1]).of(s, s + self.window)
+        return _mix(self.segments.of(s, s + self.window)), (_mix(second) >> np.uint64(33)).astype(np.int32)
+
+    def words_of_bits(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, number and bits of every 64 windows of which ``mask`` holds any."""
+        if not len(mask):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        word = self.place >> 6
+        new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (self.owner[1:] != self.owner[:-1]))))
+        bits = np.add.reduceat(mask.astype(np.uint64) << (self.place & 63).astype(np.uint64), new)
+        some = bits != 0
+        return self.owner[new][some], word[new][some], bits[some]
+
+    def mask_of(self, words: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The mask whose bits are ``words`` (numbers and bits, for each text)."""
+        mask = np.zeros(len(self.starts), bool)
+        for first, (number, bits) in zip(self.first.tolist(), words):
+            for n, b in zip(number.tolist(), bits.view(np.uint64)):
+                at = np.flatnonzero((b >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
+                mask[first + 64 * n + at] = True
+        return mask
+
+
+class Parsed(Windows):
+    """Windows with their anchors and the anchors' places."""
+
+    def __init__(self, hashes: list[np.ndarray], window: int, rounds: int):
+        super().__init__(hashes, window)
+        gap = np.ones(len(self.h), bool)
+        for b, n in zip(self.begin, self.sizes):
+            gap[b:b + n] = False
         name, low, high, wall = recompress(self.h, gap, rounds)
         gaps = np.concatenate(([0], np.cumsum(gap)))
         usable = ~wall & (gaps[high] == gaps[low]) & (high - low <= window)
@@ -163,11 +197,6 @@ class Parsed:
         at = np.minimum(np.searchsorted(unique, self.anchor), len(unique) - 1)
         return (unique[at] != self.anchor) | (self.anchor == NONE)
 
-    def window_hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = self.starts[which]
-        second = Segments(self.h, BASES[1]).of(s, s + self.window)
-        return _mix(self.segments.of(s, s + self.window)), (_mix(second) >> np.uint64(33)).astype(np.int32)
-
 
 def _batches(batches: Iterator[pa.RecordBatch], text_at: int):
     """(rows, their words, their hashes): whole texts, about PARSE_WORDS words at a time."""
@@ -202,10 +231,19 @@ def _list_values(cell) -> np.ndarray:
     return cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else np.empty(0, np.int64)
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of stages whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark deletes the shuffle files of a finished execution
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession):
+    """Stages written here leave no shuffle files behind; what reads them reads the written tables."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, keep_text: bool = False) -> DataFrame:
@@ -213,48 +251,114 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("did"),
                        text_bytes(F.col("text")).alias("text"))
+    rows = rows.withColumn("rk", F.xxhash64("did", "text"))
+    with _shuffles_cleaned(spark):
+        info = materialize(_unique_anchors(rows, window, rounds), "anchors-once")
+        least = _least_windows(rows, info, window, rounds)
+    return _cut(rows, least, window, keep_text)
 
+
+def _unique_anchors(rows: DataFrame, window: int, rounds: int) -> DataFrame:
+    """rk, the row's anchors that occur once in the corpus, and whether other texts share its doc_id."""
     def anchors(batches):
         for got, _, hashes in _batches(batches, 1):
             p = Parsed(hashes, window, rounds)
-            did = np.array([r[0].as_py() for r in got], np.int64)
+            rk = np.array([r[0].as_py() for r in got], np.int64)
             if len(p.keys):
-                yield pa.RecordBatch.from_arrays([pa.array(p.keys.view(np.int64)), pa.array(did[p.key_owner])], names=["k", "did"])
-
-    once = (rows.select("did", "text").mapInArrow(anchors, "k bigint, did bigint").groupBy("k")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("did")).where("n = 1")
-            .groupBy("did").agg(F.collect_list("k").alias("once")))  # a text's own anchors
-    once = materialize(once, "anchors-once").select(F.col("did").alias("once_did"), "once")
-    _release(spark)
-    known = rows.join(once, F.col("did") == F.col("once_did"), "left")
-
-    def compared(got, hashes, at):
-        p = Parsed(hashes, window, rounds)
-        unique = np.sort(np.concatenate([_list_values(r[at]) for r in got]).view(np.uint64))
-        which = np.flatnonzero(p.compared(unique))
-        a, b = p.window_hashes(which)
-        return p, which, a, b
+                yield pa.RecordBatch.from_arrays([pa.array(p.keys.view(np.int64)), pa.array(rk[p.key_owner])], names=["k", "rk"])
+
+    once = rows.select("rk", "text").mapInArrow(anchors, "k bigint, rk bigint").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("rk").alias("rk")).where("n = 1")
+    ids = materialize(rows.select("did", "rk"), "row-keys")
+    shared = ids.groupBy("did").agg(F.min("rk").alias("lo"), F.max("rk").alias("hi")).where("lo < hi").select(F.col("did").alias("of"))
+    marks = ids.join(shared, F.col("did") == F.col("of")).select(F.lit(None).cast("bigint").alias("k"), "rk").distinct()
+    # a text's own anchors
+    return once.select("k", "rk").unionAll(marks).groupBy("rk").agg(F.collect_list("k").alias("once"), F.max(F.col("k").isNull()).alias("many")).withColumnRenamed("rk", "of")
+
+
+def _compared(rows: DataFrame, info: DataFrame, window: int, rounds: int) -> DataFrame:
+    """Rows of two kinds: a window to compare (a, b, did) and, with b < 0, 64 bits of which windows of row ``a`` are compared.
 
+    did is in d1 for rows whose doc_id other texts share, else in d0.
+    """
     def windows(batches):
-        for got, _, hashes in _batches(batches, 1):
-            p, which, a, b = compared(got, hashes, 1)
-            if len(which):
-                own = p.owner[which]
-                first = _firsts(own, a, b)
-                did = np.array([r[0].as_py() for r in got], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first]), pa.array(did[own[first]])], names=["a", "b", "did"])
-
-    least = (known.select("did", "text", "once").mapInArrow(windows, "a bigint, b int, did bigint").groupBy("a", "b").agg(F.min("did").alias("did"))
-             .groupBy("did").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")))  # a text's own windows
-    least = materialize(least, "windows-least").withColumnRenamed("did", "least_did")
-    _release(spark)
+        for got, _, hashes in _batches(batches, 2):
+            p = Parsed(hashes, window, rounds)
+            unique = np.sort(np.concatenate([_list_values(r[2]) for r in got]).view(np.uint64))
+            mask = p.compared(unique)
+            which = np.flatnonzero(mask)
+            a, b = p.window_hashes(which)
+            own = p.owner[which]
+            first = _firsts(own, a, b)
+            did, rk = (np.array([r[k].as_py() for r in got], np.int64) for k in (0, 1))
+            many = np.array([bool(r[3].as_py()) for r in got])
+            owner, word, bits = p.words_of_bits(mask)
+            holder = np.concatenate((own[first], owner))
+            if len(holder):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate((a[first].view(np.int64), rk[owner]))), pa.array(np.concatenate((b[first], -1 - word)).astype(np.int32)),
+                     pa.array(did[holder], mask=many[holder]), pa.array(did[holder], mask=~many[holder]),
+                     pa.array(np.concatenate((np.zeros(int(first.sum()), np.int64), bits.view(np.int64))))], names=["a", "b", "d0", "d1", "w"])
+
+    known = rows.join(info, F.col("rk") == F.col("of"), "left")
+    return known.select("did", "rk", "text", "once", "many").mapInArrow(windows, "a bigint, b int, d0 bigint, d1 bigint, w bigint")
+
+
+def _least_windows(rows: DataFrame, info: DataFrame, window: int, rounds: int) -> DataFrame:
+    """of (a row's rk), its compared windows as bits (word, bits), and those of which its doc_id is the least holder (la, lb)."""
+    least = _compared(rows, info, window, rounds).groupBy("a", "b").agg(F.min("d0").alias("d0"), F.min("d1").alias("d1"), F.max("w").alias("w"))
+    shared = info.where("many").select("of")
+    some_share = not shared.isEmpty()
+    if some_share:
+        least = materialize(least, "windows-all")
+    is_window = F.col("b") >= 0
+    ours = F.col("d1").isNotNull() & (F.col("d0").isNull() | (F.col("d1") < F.col("d0")))   # the least holder shares its doc_id with other texts
+    nothing = F.lit(None)
+    # rows that share a doc_id are grouped by their own key, the others by their doc_id, which names one text
+    row_of = F.when(F.col("d1").isNotNull(), F.col("a")).otherwise(0)
+    parts = least.where(~is_window | ~ours).select(
+        F.coalesce("d0", "d1").alias("did"), F.when(is_window, 0).otherwise(row_of).alias("r"), F.when(~is_window, F.col("a")).alias("rk"),
+        F.when(is_window, F.col("a")).alias("a"), F.when(is_window, F.col("b")).alias("b"),
+        F.when(~is_window, -1 - F.col("b")).alias("word"), F.when(~is_window, F.col("w")).alias("bits"))
+    if some_share:
+        held = rows.join(shared, F.col("rk") == F.col("of"), "left_semi")
+        own = materialize(_held_windows(held, info, window, rounds), "windows-shared").select(F.col("a").alias("ha"), F.col("b").alias("hb"), "did", "rk")
+        found = least.where(is_window & ours).join(own, (F.col("a") == F.col("ha")) & (F.col("b") == F.col("hb")) & (F.col("d1") == F.col("did")))
+        parts = parts.unionAll(found.select("did", F.col("rk").alias("r"), nothing.cast("bigint").alias("rk"), "a", "b",
+                                            nothing.cast("int").alias("word"), nothing.cast("bigint").alias("bits")))
+    # the windows of one text
+    lists = parts.groupBy("did", "r").agg(F.max("rk").alias("of"), F.collect_list("a").alias("la"), F.collect_list("b").alias("lb"),
+                                          F.collect_list("word").alias("word"), F.collect_list("bits").alias("bits"))
+    return materialize(lists.drop("did", "r"), "windows-least")
+
+
+def _held_windows(rows: DataFrame, info: DataFrame, window: int, rounds: int) -> DataFrame:
+    """a, b, did and rk of the compared windows of rows that share their doc_id."""
+    def windows(batches):
+        for got, _, hashes in _batches(batches, 2):
+            p = Parsed(hashes, window, rounds)
+            which = np.flatnonzero(p.compared(np.sort(np.concatenate([_list_values(r[2]) for r in got]).view(np.uint64))))
+            a, b = p.window_hashes(which)
+            own = p.owner[which]
+            first = _firsts(own, a, b)
+            did, rk = (np.array([r[k].as_py() for r in got], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first]), pa.array(did[own[first]]), pa.array(rk[own[first]])],
+                                             names=["a", "b", "did", "rk"])
+
+    known = rows.dropDuplicates(["rk"]).join(info, F.col("rk") == F.col("of"), "left")
+    return known.select("did", "rk", "text", "once").mapInArrow(windows, "a bigint, b int, did bigint, rk bigint")
+
+
+def _cut(rows: DataFrame, least: DataFrame, window: int, keep_text: bool) -> DataFrame:
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else "")
 
     def cut(batches):
         for got, words, hashes in _batches(batches, 1):
-            p, which, a, b = compared(got, hashes, 1)
+            p = Windows(hashes, window)
+            mask = p.mask_of([(_list_values(r[3]), _list_values(r[4])) for r in got])
+            which = np.flatnonzero(mask)
+            a, b = p.window_hashes(which)
             # the windows of which a row's document is the least holder, as (row, a, b)
-            lists = [(_list_values(r[2]), _list_values(r[3])) for r in got]
+            lists = [(_list_values(r[1]), _list_values(r[2])) for r in got]
             size = [len(x) for x, _ in lists]
             own = np.concatenate((np.repeat(np.arange(len(got)), size), p.owner[which]))
             ka = np.concatenate([x for x, _ in lists] + [a.view(np.int64)]).view(np.uint64)
@@ -275,8 +379,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
             types = [pa.int64()] * 3 + [pa.string()] * (len(names) - 3)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    final = known.join(least, F.col("did") == F.col("least_did"), "left")
-    return final.select("doc_id", "text", "once", "a", "b").mapInArrow(cut, schema)
+    final = rows.join(least, F.col("rk") == F.col("of"), "left")
+    return final.select("doc_id", "text", "la", "lb", "word", "bits").mapInArrow(cut, schema)
 
 
 def _listed(owner: np.ndarray, a: np.ndarray, b: np.ndarray, lists: int) -> np.ndarray:

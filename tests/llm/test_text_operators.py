@@ -117,6 +117,44 @@ def test_recompression_edges(spark):
     assert recompression.remove_repeats(doc_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_recompression_of_rows_that_share_an_id(spark):
+    """Rows of one id (or none) are not earlier than one another; what is sent to each is bounded by its own text."""
+    rng = random.Random(61)
+    vocabulary = [f"v{i}" for i in range(400)]
+    passages = [" ".join(rng.choice(vocabulary) for _ in range(25)) for _ in range(6)]
+    rows = []
+    for i in range(300):
+        i_or_none = None if i % 3 == 0 else 50 if i % 3 == 1 else i
+        own = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40)))
+        rows.append((i_or_none, " ".join([rng.choice(passages), own, rng.choice(passages), own])))
+    rows += [rows[0], rows[1], rows[1], (None, None), (50, "")]
+    order = {id(r): (1 << 63) - 1 if r[0] is None else r[0] for r in rows}
+    least, want = {}, []
+    for r in rows:
+        ws = (r[1] or "").split()
+        for k in range(len(ws) - 19):
+            g = tuple(ws[k:k + 20])
+            least[g] = min(least.get(g, 1 << 63), order[id(r)])
+    for r in rows:
+        ws, seen = (r[1] or "").split(), set()
+        gone = [False] * len(ws)
+        for k in range(len(ws) - 19):
+            g = tuple(ws[k:k + 20])
+            if g in seen or least[g] < order[id(r)]:
+                gone[k:k + 20] = [True] * 20
+            seen.add(g)
+        want.append((r[0] is None, r[0] or 0, len(ws), sum(gone), " ".join(w for w, d in zip(ws, gone) if not d)))
+    got = recompression.remove_repeats(doc_frame(spark, rows), keep_text=True).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(want)
+
+
+def test_recompression_of_many_null_ids(spark):
+    rng = random.Random(62)
+    rows = [(None, " ".join(f"{rng.getrandbits(40):x}" for _ in range(60)) + " " + "same passage of words " * 6) for _ in range(2000)]
+    got = recompression.remove_repeats(doc_frame(spark, rows)).groupBy("n_words").agg(F.count(F.lit(1)).alias("n"), F.min("n_removed").alias("least"), F.max("n_removed").alias("most")).first()
+    assert tuple(got) == (84, 2000, 20, 20)   # the passage repeats itself within each row
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
 
