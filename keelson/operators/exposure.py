@@ -20,10 +20,25 @@ ALLOWED_SIMS = (500, 1000, 2000, 5000)
 TWO_POW_32 = 4294967296.0
 
 
-def md5_uniform(*parts: Column) -> Column:
-    """Uniform in [0, 1) from the first 32 bits of md5('a|b|c'); portable to SQL engines."""
-    h = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint").cast("double") / F.lit(TWO_POW_32)
+#: one md5 gives this many uniforms of 32 bits
+PARTS = 4
+
+
+def hex_threshold(p: Column) -> Column:
+    """Eight hex digits t such that a uniform of eight hex digits h is below p exactly if h < t as text."""
+    least = F.ceil(p * F.lit(TWO_POW_32)).cast("bigint")
+    return F.when(least >= 1 << 32, "g").otherwise(F.lpad(F.lower(F.hex(least)), 8, "0"))
+
+
+def md5_hits(df: DataFrame, n_sims: int, seed: int, p: str, key: str) -> DataFrame:
+    """sim_id and _cents of every (row, draw) that hits: draw d takes part d % 4 of md5('key|d div 4|seed').
+
+    Portable to SQL engines; the digits are compared as text, so no number is parsed per draw."""
+    groups = F.sequence(F.lit(0).cast("bigint"), F.lit(n_sims // PARTS - 1).cast("bigint"))
+    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("_g").cast("string"), F.lit(str(seed))))
+    draws = df.select(key, hex_threshold(F.col(p)).alias("_t"), "_cents", F.explode(groups).alias("_g")).withColumn("_d", digest)
+    parts = F.array(*[F.struct((F.col("_g") * PARTS + k).alias("sim_id"), F.substring("_d", 8 * k + 1, 8).alias("_h")) for k in range(PARTS)])
+    return draws.select("_t", "_cents", F.inline(parts)).where(F.col("_h") < F.col("_t")).select("sim_id", "_cents")
 
 
 def xxhash_uniform(*parts: Column) -> Column:
@@ -43,11 +58,13 @@ def simulate(df: DataFrame, n_sims: int = 2000, seed: int = 42, uniform: str = "
     if n_sims not in ALLOWED_SIMS:
         raise ValueError(f"n_sims must be one of {ALLOWED_SIMS}")
     cents = F.round(F.col(cost) * F.lit(100.0)).cast("bigint")
-    draws = df.select(key, p, cents.alias("_cents"),
-                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_sims - 1).cast("bigint"))).alias("sim_id"))
-    u = (md5_uniform if uniform == "md5" else xxhash_uniform)(F.col(key), F.col("sim_id"), F.lit(seed))
-    hits = (draws.where(u < F.col(p))
-            .groupBy("sim_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("_cents").alias("_c")))
+    if uniform == "md5":
+        drawn = md5_hits(df.select(key, p, cents.alias("_cents")), n_sims, seed, p, key)
+    else:
+        draws = df.select(key, p, cents.alias("_cents"),
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_sims - 1).cast("bigint"))).alias("sim_id"))
+        drawn = draws.where(xxhash_uniform(F.col(key), F.col("sim_id"), F.lit(seed)) < F.col(p))
+    hits = drawn.groupBy("sim_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("_cents").alias("_c"))
     sims = spark.range(n_sims).withColumnRenamed("id", "sim_id")
     if df.isEmpty():      # nothing for an empty portfolio
         sims = sims.limit(0)

@@ -9,6 +9,7 @@ from keelson.operators import conditions as cond
 from keelson.operators import exposure as ex
 from keelson.operators import portfolio as pf
 from keelson.operators import weather as wx
+from keelson.operators.count_distribution import delayed_count_summary, probability_groups
 from keelson.plans import scored as sc
 from keelson.plans.catalog import FACET_SQL, FACETS, _bin_sql
 from keelson.plans.oracle import with_ctes
@@ -283,21 +284,28 @@ def q_geocodes(spark, sf):
 
 # ---------------------------------------------------------------- H: exposure
 ORACLE_SIMS = 500
-SIM_SQL = f""",
+def sim_sql(n_sims: int) -> str:
+    """CTEs down to ``simres``: a draw takes a quarter of the md5 of its row and its group of four draws."""
+    return f""",
 simd AS (SELECT Order_ID, Predicted_Delay_Probability AS p, CAST(ROUND(Shipping_Cost_USD * 1e2) AS BIGINT) AS cents
          FROM scored),
-sims AS (SELECT range AS sim_id FROM range({ORACLE_SIMS})),
+sims AS (SELECT range AS sim_id FROM range({n_sims})),
+digests AS (
+  SELECT p, cents, g, md5(CAST(Order_ID AS VARCHAR) || '|' || CAST(g AS VARCHAR) || '|42') AS dg
+  FROM simd CROSS JOIN (SELECT range AS g FROM range({n_sims // ex.PARTS}))),
 draws AS (
-  SELECT sim_id, p, cents,
-    CAST(('0x' || substr(md5(CAST(Order_ID AS VARCHAR) || '|' || CAST(sim_id AS VARCHAR) || '|42'), 1, 8))::BIGINT
-         AS DOUBLE) / 4294967296e0 AS u
-  FROM simd CROSS JOIN sims),
+  SELECT g * {ex.PARTS} + k AS sim_id, p, cents,
+    CAST(('0x' || substr(dg, CAST(8 * k + 1 AS INTEGER), 8))::BIGINT AS DOUBLE) / 4294967296e0 AS u
+  FROM digests CROSS JOIN (SELECT range AS k FROM range({ex.PARTS}))),
 simres AS (
   SELECT s.sim_id, COALESCE(a.n, 0) AS delayed_count, CAST(COALESCE(a.c, 0) AS DOUBLE) / 1e2 AS exposure_usd
   FROM sims s LEFT JOIN (SELECT sim_id, COUNT(*) AS n, CAST(SUM(cents) AS BIGINT) AS c FROM draws WHERE u < p
                          GROUP BY 1) a ON s.sim_id = a.sim_id)"""
 
 
+SIM_SQL = sim_sql(ORACLE_SIMS)
+
+
 def _sims(spark, sf):
     return sc._memo(spark, sf, f"sims{ORACLE_SIMS}", lambda: ex.simulate(sc.scored(spark, sf), ORACLE_SIMS, 42))
 
@@ -364,10 +372,24 @@ def q_tail_filtered(spark, sf):
                     F.round("p99_exposure_usd", 6).alias("p99_exposure_usd"))
 
 
-@register("exposure_simulations_default", None)
+@register("exposure_simulations_default", with_ctes(sim_sql(2000) + " SELECT * FROM simres"))
 def q_sims_default(spark, sf):
-    """H1 at the default 2,000 draws with the JVM-native hash (no SQL twin for that hash)."""
-    return ex.simulate(sc.scored(spark, sf), 2000, 42, uniform="xxhash")
+    """H1 at the default 2,000 draws."""
+    return ex.simulate(sc.scored(spark, sf), 2000, 42)
+
+
+@register("exposure_count_exact", None)
+def q_count_exact(spark, sf):
+    """H3: the delayed count's exact mean, deviation and quantiles beside the simulated p95."""
+    exact = delayed_count_summary(sc.scored(spark, sf), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return exact.crossJoin(ex.tail_summary(_sims(spark, sf)).select(F.col("p95_delayed").alias("simulated_p95")))   # two 1-row results
+
+
+@register("exposure_count_groups", with_ctes(
+    " SELECT ROUND(Predicted_Delay_Probability, 12) AS p, COUNT(*) AS n FROM scored WHERE Predicted_Delay_Probability IS NOT NULL GROUP BY Predicted_Delay_Probability"))
+def q_count_groups(spark, sf):
+    """H3: the groups of equal probability that the exact distribution is made of."""
+    return probability_groups(sc.scored(spark, sf)).select(F.round("p", 12).alias("p"), "n")
 
 
 @register("board_exposure", with_ctes(
