@@ -15,10 +15,7 @@ alike only to its copies; rows that repeat an id or a text are one text; an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,35 +68,27 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys
 
 
-def bands(docs: DataFrame) -> DataFrame:
-    """band (a key) and node, once per task for copies."""
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = WordHashes(), set()
-        for batch in batches:
-            keys, nodes = [], []
-            for text in batch.column(0):
-                ws = text.as_py().split()  # of bytes: \x20 \x09-\x0D
-                if not ws:
-                    continue
-                node = text_node(b" ".join(ws))
-                if node in seen:
-                    continue
-                if len(seen) >= MEMO_TEXTS:
-                    seen.clear()
-                seen.add(node)
-                keys.append(band_keys(signature(shingle_hashes(ws, memo))))
-                nodes.append(node)
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), BANDS))],
-                                                 names=["band", "node"])
-
-    texts = docs.select(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary").alias("text"))
-    return texts.mapInArrow(send, "band bigint, node bigint")
-
-
-def near_classes(docs: DataFrame) -> DataFrame:
-    """(node, root) of the texts that have near copies; root is the least node of the class."""
-    sent = materialize(bands(docs), "near-bands")
+class Bands:
+    """Band keys of a task's texts; none for a text that the task has met before (copies are one text)."""
+
+    def __init__(self):
+        self.memo, self.seen = WordHashes(), set()
+
+    def of(self, words: list[bytes], node: int) -> np.ndarray | None:
+        if node in self.seen:
+            return None
+        if len(self.seen) >= MEMO_TEXTS:
+            self.seen.clear()
+        self.seen.add(node)
+        return band_keys(signature(shingle_hashes(words, self.memo))).view(np.int64)
+
+
+def near_classes(texts: DataFrame) -> DataFrame:
+    """(node, root) of the texts that have near copies; root is the least node of the class.
+
+    ``texts`` is a written table of node and bands (an array of keys, or null), read twice.
+    """
+    sent = texts.where("bands IS NOT NULL").select("node", F.explode("bands").alias("band"))
     least = sent.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     least = materialize(least.select(F.col("band").alias("at"), "least"), "near-least")
     links = sent.join(least, F.col("band") == F.col("at")).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))

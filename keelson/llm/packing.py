@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.common import materialize, parallelism, table
-from keelson.llm.near_copies import near_classes, text_node
+from keelson.llm.near_copies import Bands, near_classes, text_node
 
 CAPACITY = 1024
 BLOCK_ROWS = 4096
@@ -63,20 +63,22 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, source, cluster (of exact copies), node and rid, a row number: one scan, no text kept."""
+    """doc_id, n_words, source, cluster (of exact copies), node, bands and rid, a row number: one scan, no text kept."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands()
         for batch in batches:
             texts = [t.as_py().split() for t in batch.column(0)]  # of bytes: \x20 \x09-\x0D
             joined = [b" ".join(ws) for ws in texts]
+            nodes = [text_node(j) if j else None for j in joined]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([len(ws) for ws in texts], pa.int64()), batch.column(2),
-                 pa.array([hashlib.md5(j, usedforsecurity=False).hexdigest() if j else None for j in joined], pa.string()),
-                 pa.array([text_node(j) if j else None for j in joined], pa.int64()), batch.column(3)],
-                names=["doc_id", "n_words", "source", "cluster", "node", "rid"])
+                 pa.array([hashlib.md5(j, usedforsecurity=False).hexdigest() if j else None for j in joined], pa.string()), pa.array(nodes, pa.int64()),
+                 pa.array([bands.of(ws, n) if ws else None for ws, n in zip(texts, nodes)], pa.list_(pa.int64())), batch.column(3)],
+                names=["doc_id", "n_words", "source", "cluster", "node", "bands", "rid"])
 
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")
     rows = docs.select(text.alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("rid"))
-    return rows.mapInArrow(measure, "doc_id bigint, n_words bigint, source string, cluster string, node bigint, rid bigint")
+    return rows.mapInArrow(measure, "doc_id bigint, n_words bigint, source string, cluster string, node bigint, bands array<bigint>, rid bigint")
 
 
 def with_near_copies(sizes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def with_near_copies(sizes: DataFrame, classes: DataFrame) -> DataFrame:
     named = classes.select(F.col("node").alias("k"), F.lower(F.lpad(F.hex("root"), 16, "0")).alias("near")).hint("shuffle_hash")
     # texts without words are dealt by their row number; they are in no cluster
     rows = sizes.join(named, F.coalesce("node", "rid") == F.col("k"), "left")
-    return rows.withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("near", "cluster"))).drop("k", "near", "node")
+    return rows.withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("near", "cluster"))).drop("k", "near", "node", "bands")
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -127,7 +129,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROW
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sizes = materialize(lengths(docs), "lengths")
-    return pack(materialize(with_near_copies(sizes, near_classes(docs)), "sizes"), capacity)
+    return pack(materialize(with_near_copies(sizes, near_classes(sizes)), "sizes"), capacity)
 
 
 def op4_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
