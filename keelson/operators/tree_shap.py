@@ -7,6 +7,7 @@ phi_i = sum_{S subset D\\{i}} |S|!(|D|-|S|-1)!/|D|! (v(S+i) - v(S)).
 The leaf table is read from the saved model (a fitted model, small); rows are
 scored per Arrow batch in ``mapInPandas`` with numpy.  In log-odds, Spark's GBT
 margin is 2 * sum_t w_t tree_t(x), so contributions and bias are scaled by 2 w_t.
+Categories must be one-hot: a split on a category of more than two values is refused.
 """
 
 from __future__ import annotations

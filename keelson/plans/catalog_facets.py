@@ -3,6 +3,7 @@ facet cube alone, and those that need single shipments on the filtered table."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from keelson.plans.catalog import FACET_SQL, FACETS
 from keelson.plans.catalog_landed import ORACLE_SIMS
 from keelson.plans.oracle import with_ctes
 from keelson.plans.registry import REGISTRY, register
+from keelson.session import ensure_checkpoint_dir
+from keelson.sources import shipments as ship
 
 
 def _chosen(name: str) -> str:
@@ -133,3 +136,31 @@ def q_markers_filtered(spark, sf):
     m = ex.markers(_rows(spark, sf), _sims(spark, sf))
     return m.select("metric", F.when(F.col("metric") == "exposure_usd", F.round("expected", 2)).otherwise(F.round("expected", 6)).alias("expected"),
                     F.round("p95", 6).alias("p95"))
+
+
+# ---------------------------------------------------------------- A6: month-partitioned export
+#: the month that is written anew, and the months that are read back
+REWRITTEN, READ_BACK = "1995-03", ["1995-02", "1995-03"]
+
+
+def _export(spark: SparkSession, sf: str) -> str:
+    """The filtered rows by month, one month of them replaced by the whole table's."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/keelson-export-{uuid.uuid4().hex}"
+    ship.export_scored(_rows(spark, sf), path)
+    ship.replace_months(sc.scored(spark, sf), path, [REWRITTEN])
+    return path
+
+
+@register("scored_export_by_month", with_ctes(
+    f" SELECT Order_ID, Order_YearMonth, Transportation_Mode, Shipment_Risk_Score, Risk_Tier FROM scored WHERE Order_YearMonth = '{REWRITTEN}'"
+    f" OR (Order_YearMonth IN ('{READ_BACK[0]}') AND {FACET_SQL})"))
+def q_export_by_month(spark, sf):
+    """Two months read back from the export after one of them was written anew."""
+    return ship.read_months(spark, _export(spark, sf), READ_BACK).select("Order_ID", "Order_YearMonth", "Transportation_Mode", "Shipment_Risk_Score", "Risk_Tier")
+
+
+@register("scored_export_months", with_ctes(
+    f" SELECT Order_YearMonth, COUNT(*) AS shipments FROM scored WHERE Order_YearMonth = '{REWRITTEN}' OR ({FACET_SQL}) GROUP BY 1"))
+def q_export_months(spark, sf):
+    """The whole export, by month."""
+    return ship.read_months(spark, _export(spark, sf)).groupBy("Order_YearMonth").agg(F.count(F.lit(1)).alias("shipments"))

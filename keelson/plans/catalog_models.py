@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from keelson.functions.features import FEATURES_CATEGORICAL, FEATURES_NUMERIC, request_features
+from keelson.functions.stats import exact_quantiles
 from keelson.operators import anomaly as an
 from keelson.operators import clusters as cl
 from keelson.operators import ml
@@ -646,13 +647,19 @@ def q_prediction_invariants(spark, sf):
 def q_score_rule(spark, sf):
     """D1, D2 on the model-scored table: scores and tiers recomputed from the stored predictions by other means."""
     s = _model_scored(spark, sf)
-    q = s.agg(F.expr("percentile(Predicted_Delay_Days, 0.99)").alias("dq"), F.expr("percentile(External_Risk_Pressure, 0.99)").alias("eq"))
-    d = s.crossJoin(F.broadcast(q))
+    q = exact_quantiles(s, {"dq": ("Predicted_Delay_Days", 0.99), "eq": ("External_Risk_Pressure", 0.99)})
+    d = s.crossJoin(F.broadcast(q))   # a 1-row statistic
     raw = 100 * (0.5 * F.col("Predicted_Delay_Probability") + 0.3 * F.least(F.col("Predicted_Delay_Days") / F.col("dq"), F.lit(1.0))
                  + 0.2 * F.least(F.greatest(F.col("External_Risk_Pressure") / F.col("eq"), F.lit(0.0)), F.lit(1.0)))
     x = F.col("Shipment_Risk_Score")
     tier = F.when(x <= 20, "Low").when(x <= 40, "Medium").when(x <= 65, "High").otherwise("Severe")
-    return d.agg(F.count(F.lit(1)).alias("n_rows"), _holds(F.abs(x - raw) <= 0.0500001).alias("scores_hold"),
+    place = 0.99 * (F.count(F.lit(1)) - 1)
+
+    def in_place(value: str, quantile: str):
+        """As many rows lie below and up to the quantile as its place asks for, by counting."""
+        return (F.count_if(F.col(value) < F.col(quantile)) <= F.ceil(place)) & (F.count_if(F.col(value) <= F.col(quantile)) > F.floor(place))
+    return d.agg(F.count(F.lit(1)).alias("n_rows"),
+                 (_holds(F.abs(x - raw) <= 0.0500001) & in_place("Predicted_Delay_Days", "dq") & in_place("External_Risk_Pressure", "eq")).alias("scores_hold"),
                  _holds(tier == F.col("Risk_Tier")).alias("tiers_hold"))
 
 

@@ -109,3 +109,14 @@ def export_scored(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
         writer.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         writer.partitionBy("Order_YearMonth").parquet(path)
+
+
+def replace_months(df: DataFrame, path: str, months: list[str]) -> None:
+    """The given months of a month-partitioned export are written anew from ``df``; the files of others stay as they are."""
+    df.where(F.col("Order_YearMonth").isin(months)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Order_YearMonth").parquet(path)
+
+
+def read_months(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
+    """A month-partitioned export, only the folders of ``months`` if given."""
+    rows = spark.read.option("basePath", path).parquet(path).withColumn("Order_YearMonth", F.col("Order_YearMonth").cast("string"))
+    return rows if months is None else rows.where(F.col("Order_YearMonth").isin(months))

@@ -181,6 +181,30 @@ def test_csv_export_keeps_blanks(spark):
     assert back.exceptAll(base.select(cols)).count() == 0 and base.select(cols).exceptAll(back).count() == 0
 
 
+def test_export_replaces_one_month_and_prunes(spark):
+    """Other months' files stay as they are; a month filter reads its folder alone."""
+    import os
+
+    from table_dirs import SMALL
+    from keelson.plans import scored as sc
+    from keelson.sources.shipments import export_scored, read_months, replace_months
+    df = sc.scored(spark, SMALL)
+    out = tempfile.mkdtemp(prefix="keelson-export-") + "/pq"
+    export_scored(df, out)
+
+    def files(month):
+        return {f for f in os.listdir(f"{out}/Order_YearMonth={month}") if f.startswith("part")}
+    before = {m: files(m) for m in ("1995-02", "1995-03")}
+    replace_months(df.where("Transportation_Mode = 'Sea'"), out, ["1995-03"])
+    assert files("1995-02") == before["1995-02"] and files("1995-03").isdisjoint(before["1995-03"])
+    got = read_months(spark, out)
+    assert got.count() == df.where("Order_YearMonth <> '1995-03' OR Transportation_Mode = 'Sea'").count()
+    one = read_months(spark, out, ["1995-03"])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    assert one.count() == df.where("Order_YearMonth = '1995-03' AND Transportation_Mode = 'Sea'").count()
+
+
 def test_replayed_alert_batch_leaves_the_same_rows(spark):
     """A replay agrees with the first run also after new statistics; later batches take them; rows equal the batch twin."""
     from table_dirs import SMALL
