@@ -7,12 +7,14 @@ words as long as the longest item lies inside one passage.  A passage is a query
 
 * WAND: the sum of its terms' largest impacts must reach the least threshold of any item;
 * block-max: for each block of items the sum of the terms' largest impacts in that block must reach the block's least threshold;
-* the items of the blocks left are scored exactly through the postings, and all at or above their threshold are candidates.
+* the items of the blocks left are scored exactly through the postings of those blocks alone (the postings of other blocks are
+  skipped), and all at or above their threshold are candidates.
 
 An item's threshold is its own score less its m largest impacts, m being the number of shingles that verification lets be
 missing; a missing word costs at least one shingle, so no pair that would be verified is lost.  Verification asks that
 ``OVERLAP`` of the five-word shingles of both the question (the item without its last sentence) and the answer (its last
-sentence; a single sentence is all question) occur in the passage.
+sentence; a single sentence is all question) occur in the passage, or as many of the item's as one run of words: a changed
+word in a short answer, which leaves none of the answer's shingles, does not hide a copy of the rest.
 
 Words are runs of letters and digits, lower-cased.  Defined cases: null and empty texts match nothing; items of
 fewer than ``MIN_WORDS`` words cannot be verified and match nothing; a question or answer shorter than a shingle counts as one;
@@ -45,7 +47,7 @@ MIN_STRIDE = 64
 TEXT_BLOCK = 1 << 14
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
-SCHEMA = "doc_id bigint, th string, item_id bigint, first_word bigint, score double, question_overlap double, answer_overlap double"
+SCHEMA = "doc_id bigint, th string, item_id bigint, first_word bigint, score double, question_overlap double, answer_overlap double, item_overlap double"
 TYPES = {n: {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[t] for n, t in (c.split() for c in SCHEMA.split(", "))}
 
 
@@ -99,6 +101,7 @@ class Index:
         self.questions = [shingles(q) for _, q, _ in split]
         self.answers = [shingles(a) for _, _, a in split]
         texts = [q + a for _, q, a in split]
+        self.wholes = [shingles(ws) for ws in texts]
         n = len(texts)
         df = Counter(t for ws in texts for t in set(ws))
         if whole is None:
@@ -114,7 +117,8 @@ class Index:
             impacts = {t: idf[t] * c * (K1 + 1) / (c + norm) for t, c in Counter(ws).items()}
             for t, x in impacts.items():
                 postings[self.terms[t]].append((i, x))
-            missing = sum(int((1 - OVERLAP) * len(s) + 1e-9) for s in (self.questions[i], self.answers[i]))
+            spare = [int((1 - OVERLAP) * len(s) + 1e-9) for s in (self.questions[i], self.answers[i], self.wholes[i])]
+            missing = max(spare[0] + spare[1], spare[2])
             self.thresholds[i] = sum(sorted(impacts.values())[:max(0, len(impacts) - missing)]) - 1e-6
         self.per_block = max(1, -(-n // ITEM_BLOCKS))
         blocks = -(-n // self.per_block) if n else 0
@@ -124,7 +128,16 @@ class Index:
                 self.block_max[k, i // self.per_block] = max(self.block_max[k, i // self.per_block], np.float32(x) * np.float32(1 + 1e-6))
         self.term_max = self.block_max.max(axis=1, initial=0)
         self.block_threshold = np.array([self.thresholds[b * self.per_block:(b + 1) * self.per_block].min() for b in range(blocks)])
-        self.postings = [(np.array([i for i, _ in p], np.int64), np.array([x for _, x in p])) for p in postings]
+        # postings of all terms one after another, by item; starts[t, b] is where those of term t from block b on begin
+        self.items = np.array([i for plist in postings for i, _ in plist], np.int64)
+        self.impacts = np.array([x for plist in postings for _, x in plist])
+        sizes = np.zeros((len(df), blocks + 1), np.int64)
+        for k, plist in enumerate(postings):
+            for i, _ in plist:
+                sizes[k, i // self.per_block + 1] += 1
+            sizes[k, 0] = len(postings[k - 1]) if k else 0
+        sizes[:, 0] = np.cumsum(sizes[:, 0])
+        self.starts = np.cumsum(sizes, axis=1)
 
     def candidates(self, known: np.ndarray, at: np.ndarray, passages: int) -> Iterator[tuple[int, int, float]]:
         """(passage, item, score) at or above the items' thresholds; known: term numbers, at: their word positions."""
@@ -146,17 +159,19 @@ class Index:
         ends = np.r_[first[1:], len(term)]
         alive = (bounds >= self.block_threshold[None, :] - 1e-4) & wand[:, None]
         for w in np.flatnonzero(alive.any(axis=1)):
-            scores = np.zeros(len(self.ids))
-            for t in term[first[w]:ends[w]]:
-                i, x = self.postings[t]
-                scores[i] += x
-            blocks = np.repeat(alive[w], self.per_block)[:len(self.ids)]
-            for i in np.flatnonzero(blocks & (scores >= self.thresholds)):
-                yield int(passage[first[w]]), int(i), float(scores[i])
-
-    def matches(self, text: str | None) -> dict[int, tuple[int, float, float, float]]:
-        """Verified items of a whole text: item -> first word of the passage, score, question and answer overlap."""
-        found: dict[int, tuple[int, float, float, float]] = {}
+            mine = term[first[w]:ends[w]]
+            for b in np.flatnonzero(alive[w]):
+                lo = b * self.per_block
+                scores = np.zeros(min(lo + self.per_block, len(self.ids)) - lo)
+                for t in mine[self.block_max[mine, b] > 0]:
+                    part = slice(self.starts[t, b], self.starts[t, b + 1])
+                    scores[self.items[part] - lo] += self.impacts[part]
+                for i in np.flatnonzero(scores >= self.thresholds[lo:lo + len(scores)]):
+                    yield int(passage[first[w]]), int(lo + i), float(scores[i])
+
+    def matches(self, text: str | None) -> dict[int, tuple[int, float, float, float, float]]:
+        """Verified items of a whole text: item -> first word of the passage, score, question, answer and item overlap."""
+        found: dict[int, tuple[int, float, float, float, float]] = {}
         text = (text or "").lower()
         stream = iter(WORD.findall(text)) if len(text) < 4 * TEXT_BLOCK else (m.group() for m in WORD.finditer(text))
         held, base = [], 0
@@ -175,9 +190,9 @@ class Index:
             for p, i, score in self.candidates(ids[at], at, passages):
                 ws = held[p * self.stride:(p + 2) * self.stride]
                 have = shingles(ws)
-                q, a = _covered(self.questions[i], have, ws), _covered(self.answers[i], have, ws)
-                if q >= OVERLAP and a >= OVERLAP and (i not in found or (q + a, score) > (found[i][2] + found[i][3], found[i][1])):
-                    found[i] = (base + p * self.stride, score, q, a)
+                q, a, whole = (_covered(part[i], have, ws) for part in (self.questions, self.answers, self.wholes))
+                if (min(q, a) >= OVERLAP or whole >= OVERLAP) and (i not in found or (q + a + whole, score) > (sum(found[i][2:]), found[i][1])):
+                    found[i] = (base + p * self.stride, score, q, a, whole)
             if last:
                 return found
             held, base = held[passages * self.stride:], base + passages * self.stride
@@ -196,7 +211,7 @@ def _item_terms(items: DataFrame) -> DataFrame:
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """doc_id, th (the text's key), item_id, the passage's first word, its BM25 score and both overlaps: the best passage of each verified pair."""
+    """doc_id, th (the text's key), item_id, the passage's first word, its BM25 score and the overlaps: the best passage of each verified pair."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     shards = max(1, -(-items.count() // shard_items))
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("bigint"))

@@ -54,8 +54,11 @@ def test_decontamination_equals_all_pairs(spark, monkeypatch):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     items += [(None, "One two three. Four five six seven eight nine."), (900, None), (901, ""), (902, "a b"), (900, "Alpha beta gamma delta epsilon zeta eta theta.")]
     filler = " ".join(f"f{i}" for i in range(70_000))
+    # a copy with another word in its last sentence, which is too short to hold a shingle without that word
+    items += [(903, " ".join(f"q{k}" for k in range(30)) + ". The answer is rather seven.")]
+    edited = " ".join(f"q{k}" for k in range(30)) + ". The answer is surely seven."
     docs += [(5000, None), (5001, ""), (5002, filler + " one TWO three, four five six seven eight nine " + filler), (None, "alpha beta gamma delta epsilon zeta eta theta"),
-             (5003, "one two three " + filler[:3000] + " four five six seven eight nine"), (5002, "again: Alpha beta gamma delta epsilon zeta eta")]
+             (5004, "so " + edited + " it goes"), (5003, "one two three " + filler[:3000] + " four five six seven eight nine"), (5002, "again: Alpha beta gamma delta epsilon zeta eta")]
     split = [(i, *decontam.question_answer(t)) for i, t in items]
     want = set()
     for d, t in docs:
@@ -67,12 +70,13 @@ def test_decontamination_equals_all_pairs(spark, monkeypatch):
             for at in range(0, max(1, len(ws)), longest):
                 part = ws[at:at + 2 * longest]
                 have = decontam.shingles(part)
-                if min(decontam._covered(decontam.shingles(x), have, part) for x in (q, a)) >= decontam.OVERLAP:
+                covered = [decontam._covered(decontam.shingles(x), have, part) for x in (q, a, q + a)]
+                if min(covered[:2]) >= decontam.OVERLAP or covered[2] >= decontam.OVERLAP:
                     want.add((d, i))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
     got = decontam.contaminated_pairs(df, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and {(5002, None), (None, 900)} <= want
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and {(5002, None), (None, 900), (5004, 903)} <= want
     # in shards: nothing is lost (a shard with shorter items cuts shorter passages, which hold them whole)
     sharded = {(r.doc_id, r.item_id) for r in decontam.contaminated_pairs(df, bench, shard_items=9).collect()}
     assert {p for p in want if p[0] is None or p[0] < 5000} <= sharded
@@ -173,6 +177,30 @@ def test_near_copies_never_share_a_bin(spark):
     assert len(held) == len(set(held))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_scoring_by_blocks_equals_scoring_all_postings(seed):
+    """The postings of live blocks give the scores that all postings give; every item at its threshold is a candidate."""
+    import numpy as np
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 30)))) for i in range(90)]
+    index = decontam.Index(items)
+    ws = [w for i in rng.sample(range(90), 12) for w in items[i][1].split() + rng.choices(vocabulary, k=20)]
+    ids = np.array([index.terms.get(w, -1) for w in ws])
+    at = np.flatnonzero(ids >= 0)
+    passages = -(-len(ws) // index.stride)
+    got = {(p, i): s for p, i, s in index.candidates(ids[at], at, passages)}
+    want = {}
+    for p in range(passages):
+        terms = set(ids[p * index.stride:(p + 2) * index.stride]) - {-1}
+        scores = np.zeros(len(items))
+        for t in sorted(terms):
+            part = slice(index.starts[t, 0], index.starts[t, -1])
+            scores[index.items[part]] += index.impacts[part]
+        want |= {(p, int(i)): float(scores[i]) for i in np.flatnonzero(scores >= index.thresholds)}
+    assert got == want and want
+
+
 def test_top_k(spark):
     rng = random.Random(6)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)]
