@@ -10,8 +10,9 @@ nearest neighbours in that space.
 3. Bounds, from the summaries alone: for query cell i, theta_i is a distance within which every query of the cell has
    k + 1 candidates (one may be the query itself).  A candidate s of cell j can only matter to cell i if
    |p_i p_j| - U_i - theta_i <= |s p_j| <= |p_i p_j| + U_i + theta_i.
-4. Only those candidates are replicated to the cell, cut into blocks of ``ROWS_PER_TASK`` by hash; a task solves
-   one block of queries against one block of candidates exactly, and the k best per query are kept before the last shuffle.
+4. Only those candidates are replicated to the cell, once per ``QUERY_BLOCK`` of its queries, cut into blocks of ``ROWS_PER_TASK`` by
+   hash; a task solves its queries against one block of candidates exactly, ``QUERY_STEP`` at a time, and the k best per query are
+   kept before the last shuffle.
 
 Equal vectors are stored once with their k + 1 smallest ids (more can't be in a top k), so a vector shared
 by a third of all rows is one candidate.
@@ -38,7 +39,10 @@ QUERY_EVERY = 50
 QUERIES_PER_PIVOT = 128
 MAX_PIVOTS = 256
 BUCKETS = 64
-QUERY_BLOCK = 512
+#: queries of a cell that share one copy of its candidates; a larger cell is split so that a task stays bounded
+QUERY_BLOCK = 8192
+#: queries scored against a block of candidates at once
+QUERY_STEP = 256
 ROWS_PER_TASK = 4096
 #: distances are compared with this relative slack, far above the error of double arithmetic
 SLACK = 1e-9
@@ -150,10 +154,11 @@ def voronoi_top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY
         out = {"query_id": [], "row": [], "vec_id": [], "score": []}
         if len(q) and len(s):
             a, b = _matrix(q["v"], dim), _matrix(s["v"], dim)
-            scores = _scores(a, b)
             first = [list(ids) for ids in s["ids"]]
             for i, own in enumerate(q["vec_id"]):
-                row = scores[i]
+                if i % QUERY_STEP == 0:
+                    scores = _scores(a[i:i + QUERY_STEP], b)
+                row = scores[i % QUERY_STEP]
                 take = min(len(row), k + 1)  # each vector has at least one id; one of them may be the query's own
                 cut = np.partition(row, len(row) - take)[len(row) - take]
                 best = [(-int(row[j]), math.inf if x is None or x != x else int(x)) for j in np.flatnonzero(row >= cut) for x in first[j] if x != own]
