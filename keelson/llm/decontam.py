@@ -159,15 +159,14 @@ class Index:
         ends = np.r_[first[1:], len(term)]
         alive = (bounds >= self.block_threshold[None, :] - 1e-4) & wand[:, None]
         for w in np.flatnonzero(alive.any(axis=1)):
-            mine = term[first[w]:ends[w]]
-            for b in np.flatnonzero(alive[w]):
-                lo = b * self.per_block
-                scores = np.zeros(min(lo + self.per_block, len(self.ids)) - lo)
-                for t in mine[self.block_max[mine, b] > 0]:
-                    part = slice(self.starts[t, b], self.starts[t, b + 1])
-                    scores[self.items[part] - lo] += self.impacts[part]
-                for i in np.flatnonzero(scores >= self.thresholds[lo:lo + len(scores)]):
-                    yield int(passage[first[w]]), int(lo + i), float(scores[i])
+            blocks = np.flatnonzero(alive[w])
+            begin = self.starts[term[first[w]:ends[w], None], blocks].ravel()
+            size = self.starts[term[first[w]:ends[w], None], blocks + 1].ravel() - begin
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())  # term by term, so sums are added in one order
+            scores = np.bincount(self.items[at], self.impacts[at], len(self.ids))
+            live = np.repeat(alive[w], self.per_block)[:len(self.ids)]
+            for i in np.flatnonzero(live & (scores >= self.thresholds)):
+                yield int(passage[first[w]]), int(i), float(scores[i])
 
     def matches(self, text: str | None) -> dict[int, tuple[int, float, float, float, float]]:
         """Verified items of a whole text: item -> first word of the passage, score, question, answer and item overlap."""
