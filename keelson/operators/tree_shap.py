@@ -4,8 +4,10 @@ Path-dependent Shapley values (Lundberg et al. 2018) computed leaf by leaf:
 for a leaf with distinct path features D (|D| <= depth = 4),
 v(S) = value * prod_{i in S} [x meets i's path conditions] * prod_{i in D\\S} cover_i,
 phi_i = sum_{S subset D\\{i}} |S|!(|D|-|S|-1)!/|D|! (v(S+i) - v(S)).
-The leaf table is read from the saved model (a fitted model, small); rows are
-scored per Arrow batch in ``mapInPandas`` with numpy.  In log-odds, Spark's GBT
+The leaf table is read from the saved model (a fitted model, small).  A leaf's contributions
+depend on a row only through which of its conditions are met, so they are tabled once per
+leaf by the bit mask of met conditions (at most 2^depth entries a feature); rows are scored
+per Arrow batch in ``mapInPandas``: a mask per leaf, then one look-up per path feature.  In log-odds, Spark's GBT
 margin is 2 * sum_t w_t tree_t(x), so contributions and bias are scaled by 2 w_t.
 Categories must be one-hot: a split on a category of more than two values is refused.
 """
@@ -72,6 +74,34 @@ def _leaves(model: GBTClassificationModel, spark) -> tuple[list, float]:
     return leaves, bias
 
 
+def mask_table(scaled_value: float, cover: list[float]) -> np.ndarray:
+    """phi[j, mask]: the contribution of a leaf's j-th feature for every set of met conditions (bit i: condition i)."""
+    m = len(cover)
+    met = (np.arange(1 << m)[None, :] >> np.arange(m)[:, None]) & 1
+    table = np.zeros((m, 1 << m))
+    for j in range(m):
+        others = [k for k in range(m) if k != j]
+        for size in range(m):
+            weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
+            for sub in itertools.combinations(others, size):
+                rest = math.prod(cover[k] for k in others if k not in sub)
+                table[j] += weight * rest * np.prod(met[list(sub)], axis=0) * (met[j] - cover[j])
+    return scaled_value * table
+
+
+def leaf_contributions(x: np.ndarray, tables: list) -> np.ndarray:
+    """(rows, features) contributions of rows x; ``tables`` has ([(feature, lo, hi), ...], phi by mask) per leaf."""
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros(columns.shape)
+    for conditions, table in tables:
+        mask = np.zeros(len(x), np.intp)
+        for i, (f, lo, hi) in enumerate(conditions):
+            mask |= ((columns[f] > lo) & (columns[f] <= hi)).astype(np.intp) << i
+        for (f, _, _), by_mask in zip(conditions, table):
+            phi[f] += by_mask.take(mask)
+    return phi.T
+
+
 def vector_names(meta: dict) -> list[str]:
     """Slot names from the assembled vector's ML attributes: num__X and cat__Column_Value."""
     attrs = meta["ml_attr"]
@@ -94,30 +124,16 @@ def tree_contributions(pipeline: PipelineModel, df: DataFrame, key: str = "Order
     leaves, bias = _leaves(gbt, spark)
     prep = PipelineModel(stages=pipeline.stages[:-1]).transform(df)
     names = vector_names(prep.schema["features"].metadata)
-    bc = spark.sparkContext.broadcast((leaves, len(names)))
+    tables = [([(f, lo, hi) for f, lo, hi, _ in feats], mask_table(scale * value, [c for *_, c in feats]))
+              for scale, value, feats in leaves if feats]
+    bc = spark.sparkContext.broadcast((tables, len(names)))   # trees x 2^depth leaves
     vec = prep.select(key, vector_to_array("features").alias("x"))
 
     def contrib(batches):
-        leaf_list, d = bc.value
+        tabs, d = bc.value
         for pdf in batches:
             x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, d))
-            phi = np.zeros((len(x), d))
-            for scale, value, feats in leaf_list:
-                m = len(feats)
-                if m == 0:
-                    continue
-                ind = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in feats], axis=1).astype(float)
-                cov = np.array([c for *_, c in feats])
-                for j in range(m):
-                    others = [k for k in range(m) if k != j]
-                    for size in range(m):
-                        wgt = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
-                        for sub in itertools.combinations(others, size):
-                            rest = [k for k in others if k not in sub]
-                            base = np.prod(ind[:, list(sub)], axis=1) if sub else np.ones(len(x))
-                            base = base * (np.prod(cov[rest]) if rest else 1.0)
-                            phi[:, feats[j][0]] += scale * value * wgt * base * (ind[:, j] - cov[j])
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "x": list(x), "value": list(phi)})
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "x": list(x), "value": list(leaf_contributions(x, tabs))})
 
     out = vec.mapInPandas(contrib, f"{key} long, x array<double>, value array<double>")
     label = F.array(*[F.lit(n) for n in names])   # one per model feature
