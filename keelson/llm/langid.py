@@ -8,8 +8,9 @@ backpropagation on windows of a bounded sample: ``SAMPLE_PER_LANG`` labelled tex
 hash threshold, so any number of rows gives the same sample size) and at most ``WINDOWS_PER_TEXT`` windows of each.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no usable label every text is
-``und``; a null doc_id counts as the empty id in the fold; repeated rows are predicted alike, one row each; an empty table
-gives no rows; lang, source and doc_id are never inputs of a prediction.
+``und``; a null doc_id counts as the empty id in the fold; repeated rows are predicted alike, one row each; of languages with equal
+scores the first by name is taken; a very long text is read in blocks of windows, whole; an empty table gives no rows;
+extra columns, also with the names of result columns, are ignored; lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations

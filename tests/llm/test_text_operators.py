@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -296,3 +297,67 @@ def test_langid_held_out_accuracy(spark):
     assert got.score.between(0, 1).all()
     assert langid.identify(docs, None).where("lang_pred <> 'und'").count() == 0
     assert langid.fit(docs.limit(0)) is None
+
+
+def _forward(net, text):
+    """The network on one text, one byte at a time: class probabilities."""
+    total = [0.0] * len(net.langs)
+    for at in range(0, len(text), langid.WINDOW):
+        part = text[at:at + langid.WINDOW]
+        window = part + bytes(langid.WINDOW - len(part))
+        hidden = []
+        for width, table in net.filters.items():
+            for f in range(langid.FILTERS):
+                best = max(sum(float(table[k][window[i + k]][f]) for k in range(width)) for i in range(langid.WINDOW - width + 1))
+                hidden.append(max(0.0, best + float(net.bias[len(hidden)])))
+        weight = sum(b != 0 for b in window)
+        for c in range(len(net.langs)):
+            total[c] += weight * (float(net.out_bias[c]) + sum(h * float(net.dense[i][c]) for i, h in enumerate(hidden)))
+    logits = [t / len(text) for t in total]
+    top = max(logits)
+    e = [math.exp(z - top) for z in logits]
+    return [x / sum(e) for x in e]
+
+
+def _random_network(seed, langs=("aa", "bb", "cc")):
+    rng = np.random.default_rng(seed)
+    hidden = langid.FILTERS * len(langid.WIDTHS)
+    return langid.Network(list(langs), {w: rng.normal(0, 0.5, (w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS},
+                          rng.normal(-1, 1, hidden).astype(np.float32), rng.normal(0, 0.5, (hidden, len(langs))).astype(np.float32),
+                          rng.normal(0, 0.5, len(langs)).astype(np.float32))
+
+
+def test_langid_predictions_equal_a_walk_over_bytes():
+    rng = np.random.default_rng(3)
+    texts = ["a".encode(), "Grüße, 北京".encode(), bytes(rng.integers(1, 256, langid.WINDOW, np.uint8)), bytes(rng.integers(1, 256, langid.WINDOW + 1, np.uint8)),
+             bytes(rng.integers(0, 256, 3 * langid.WINDOW - 5, np.uint8)), b"\0x\0"]
+    for seed in range(2):
+        net = _random_network(seed)
+        got = langid.predict(net, texts, net.tables())
+        for row, text in zip(got, texts):
+            assert row.tolist() == pytest.approx(_forward(net, text), abs=1e-4)
+
+
+def test_langid_edge_rows(spark):
+    net = _random_network(5)
+    long = "päivää maailma " * 60_000  # more windows than are held at once
+    rows = [(1, None), (2, ""), (3, "123 ...\n"), (4, "word"), (4, "word"), (None, "word"), (5, long), (6, "word " * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang_pred", F.lit("clash")).withColumn("b", F.lit(1)).withColumn("letters", F.lit(0))
+    got = langid.identify(df, net).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "th", "lang_pred", "score"}
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+    assert [by_id[i] for i in (1, 2, 3)] == [[("und", 0.0)]] * 3
+    assert len(set(by_id[4] + by_id[None])) == 1 and len(by_id[4]) == 2
+    for i, text in ((4, "word"), (6, "word " * 2000)):
+        want = _forward(net, text.encode())
+        assert by_id[i][0][0] == net.langs[want.index(max(want))] and by_id[i][0][1] == pytest.approx(max(want), abs=1e-4)
+    whole = langid.predict(net, [long.encode()], net.tables())[0]
+    assert by_id[5] == [(net.langs[int(whole.argmax())], pytest.approx(whole.max(), abs=1e-9))]
+    # equal scores: the first language by name
+    net.dense[:], net.out_bias[:] = 0, 0
+    assert {r.lang_pred for r in langid.identify(df.where("doc_id = 4"), net).collect()} == {"aa"}
+    assert langid.identify(df.limit(0), net).count() == 0
+    clean = langid.keep_identified(df.withColumn("lang", F.lit(None).cast("string")))
+    assert clean.count() == 0 and "lang_pred" in clean.columns  # nothing to learn from: every text is und
