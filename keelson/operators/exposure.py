@@ -1,9 +1,9 @@
 """Portfolio exposure distribution (H1-H4) as a distributed Bernoulli simulation.
 
 The reference draws an (n_sims x n_shipments) matrix in memory.  Here each
-shipment row generates its draws in place (n_sims <= 5,000 by parameter), each
-draw is a hash-derived uniform (retry- and partition-independent, unlike
-``rand``), and hits are summed per simulation with partial aggregation, so no
+task draws for its own rows, a block and a simulation at a time (n_sims <= 5,000 by
+parameter), each draw is a hash-derived uniform (retry- and partition-independent,
+unlike ``rand``), and a task returns its hits summed per simulation, so no
 draw matrix is ever materialised.  Money is summed
 on an integer cent grid so totals do not depend on summation order.
 """
@@ -14,14 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.stats import exact_quantiles
+from keelson.operators.hashed_draws import hits_per_simulation
 from keelson.operators.portfolio import histogram_1d
 
 ALLOWED_SIMS = (500, 1000, 2000, 5000)
+UNIFORMS = ("md5", "md5_each", "xxhash")
 TWO_POW_32 = 4294967296.0
 
 
 #: one md5 gives this many uniforms of 32 bits
 PARTS = 4
+#: draws of a task: the rows are spread anew, as a compact table has few files for so much work
+TASK_DRAWS = 100_000_000
 
 
 def hex_threshold(p: Column) -> Column:
@@ -30,15 +34,17 @@ def hex_threshold(p: Column) -> Column:
     return F.when(least >= 1 << 32, "g").otherwise(F.lpad(F.lower(F.hex(least)), 8, "0"))
 
 
-def md5_hits(df: DataFrame, n_sims: int, seed: int, p: str, key: str) -> DataFrame:
-    """sim_id and _cents of every (row, draw) that hits: draw d takes part d % 4 of md5('key|d div 4|seed').
+def md5_hits(df: DataFrame, n_sims: int, seed: int, p: str, key: str, parts: int, tasks: int) -> DataFrame:
+    """sim_id, _n and _c of every task's rows: draw d takes part d % parts of md5('key|d div parts|seed').
 
-    Portable to SQL engines; the digits are compared as text, so no number is parsed per draw."""
-    groups = F.sequence(F.lit(0).cast("bigint"), F.lit(n_sims // PARTS - 1).cast("bigint"))
-    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("_g").cast("string"), F.lit(str(seed))))
-    draws = df.select(key, hex_threshold(F.col(p)).alias("_t"), "_cents", F.explode(groups).alias("_g")).withColumn("_d", digest)
-    parts = F.array(*[F.struct((F.col("_g") * PARTS + k).alias("sim_id"), F.substring("_d", 8 * k + 1, 8).alias("_h")) for k in range(PARTS)])
-    return draws.select("_t", "_cents", F.inline(parts)).where(F.col("_h") < F.col("_t")).select("sim_id", "_cents")
+    Portable to SQL engines: eight hex digits h are below p exactly if h < ceil(p * 2^32)."""
+    least = F.ceil(F.col(p) * F.lit(TWO_POW_32)).cast("bigint")
+    rows = df.select(F.col(key).cast("string").alias("_key"), (F.when(least > 1 << 32, 1 << 32).otherwise(least) - 1).alias("_most"),
+                     F.coalesce("_cents", F.lit(0)).alias("_cents")).where(F.col("_most") >= 0).repartition(tasks)
+
+    def draw(batches):
+        return hits_per_simulation(batches, n_sims, seed, parts)
+    return rows.mapInPandas(draw, "sim_id long, _n long, _c long")
 
 
 def xxhash_uniform(*parts: Column) -> Column:
@@ -50,23 +56,27 @@ def simulate(df: DataFrame, n_sims: int = 2000, seed: int = 42, uniform: str = "
              p: str = "Predicted_Delay_Probability", cost: str = "Shipping_Cost_USD", key: str = "Order_ID") -> DataFrame:
     """H1: one row per simulation: delayed count and exposed cost.  Empty input -> no rows.
 
-    Each shipment row generates its n_sims draws in place (``explode(sequence)``, no join) and
-    only hits survive; the per-simulation sums are partially aggregated before the shuffle, so
-    every task sends at most n_sims small rows.
+    ``uniform``: "md5_each" takes one md5 for every draw, "md5" one for four draws, "xxhash" Spark's own hash.
+    Every task sends at most n_sims small rows.
     """
     spark = df.sparkSession
     if n_sims not in ALLOWED_SIMS:
         raise ValueError(f"n_sims must be one of {ALLOWED_SIMS}")
+    if uniform not in UNIFORMS:
+        raise ValueError(f"uniform must be one of {UNIFORMS}")
     cents = F.round(F.col(cost) * F.lit(100.0)).cast("bigint")
-    if uniform == "md5":
-        drawn = md5_hits(df.select(key, p, cents.alias("_cents")), n_sims, seed, p, key)
-    else:
+    shipments = df.count()
+    if uniform == "xxhash":
         draws = df.select(key, p, cents.alias("_cents"),
                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_sims - 1).cast("bigint"))).alias("sim_id"))
         drawn = draws.where(xxhash_uniform(F.col(key), F.col("sim_id"), F.lit(seed)) < F.col(p))
-    hits = drawn.groupBy("sim_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("_cents").alias("_c"))
+        hits = drawn.groupBy("sim_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("_cents").alias("_c"))
+    else:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-shipments * n_sims // TASK_DRAWS))
+        drawn = md5_hits(df.select(key, p, cents.alias("_cents")), n_sims, seed, p, key, PARTS if uniform == "md5" else 1, tasks)
+        hits = drawn.groupBy("sim_id").agg(F.sum("_n").alias("_n"), F.sum("_c").alias("_c"))
     sims = spark.range(n_sims).withColumnRenamed("id", "sim_id")
-    if df.isEmpty():      # nothing for an empty portfolio
+    if shipments == 0:      # nothing for an empty portfolio
         sims = sims.limit(0)
     # every simulation exists (count 0 when nothing hit); the hit table has <= n_sims rows
     return (sims.join(F.broadcast(hits), "sim_id", "left")

@@ -15,17 +15,17 @@ from keelson.operators import portfolio as pf
 from keelson.plans import catalog, catalog_landed  # noqa: F401  (their SQL is restated on the filter below)
 from keelson.plans import scored as sc
 from keelson.plans.catalog import FACET_SQL, FACETS
-from keelson.plans.catalog_landed import ORACLE_SIMS
+from keelson.plans.catalog_landed import ORACLE_SIMS, SIM_SQL, markers_sql, simulations_sql
 from keelson.plans.oracle import with_ctes
 from keelson.plans.registry import REGISTRY, register
 from keelson.session import ensure_checkpoint_dir
 from keelson.sources import shipments as ship
 
 
-def _chosen(name: str) -> str:
-    """The registered SQL of a question on the scored table, on the filter's rows."""
+def _chosen(name: str, sql: str | None = None) -> str:
+    """The given or registered SQL of a question on the scored table, on the filter's rows."""
     prefix = with_ctes("")
-    sql = REGISTRY[name][1]
+    sql = sql or REGISTRY[name][1]
     assert sql.startswith(prefix) and "FROM scored" in sql[len(prefix):], name
     return prefix + f", chosen AS (SELECT * FROM scored WHERE {FACET_SQL})" + sql[len(prefix):].replace("FROM scored", "FROM chosen")
 
@@ -110,7 +110,7 @@ def _sims(spark, sf):
     return sc._memo(spark, sf, "sims-filtered", lambda: ex.simulate(_rows(spark, sf), ORACLE_SIMS, 42))
 
 
-@register("exposure_simulations_filtered", _chosen("exposure_simulations"))
+@register("exposure_simulations_filtered", _chosen("exposure_simulations", simulations_sql(SIM_SQL)))
 def q_sims_filtered(spark, sf):
     """H1 on the faceted filter."""
     return _sims(spark, sf)
@@ -130,7 +130,7 @@ def q_hist_filtered(spark, sf):
     return h.select("metric", "bin", "n", F.round("bin_from", 6).alias("bin_from"), F.round("bin_to", 6).alias("bin_to"))
 
 
-@register("exposure_markers_filtered", _chosen("exposure_markers"))
+@register("exposure_markers_filtered", _chosen("exposure_markers", markers_sql(SIM_SQL)))
 def q_markers_filtered(spark, sf):
     """H4: the expected and p95 lines on the faceted filter."""
     m = ex.markers(_rows(spark, sf), _sims(spark, sf))

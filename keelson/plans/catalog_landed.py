@@ -304,15 +304,37 @@ simres AS (
 
 
 SIM_SQL = sim_sql(ORACLE_SIMS)
+#: every draw takes the first eight digits of its own md5
+EACH_SQL = f""",
+simd AS (SELECT Order_ID, Predicted_Delay_Probability AS p, CAST(ROUND(Shipping_Cost_USD * 1e2) AS BIGINT) AS cents
+         FROM scored),
+sims AS (SELECT range AS sim_id FROM range({ORACLE_SIMS})),
+draws AS (
+  SELECT sim_id, p, cents,
+    CAST(('0x' || substr(md5(CAST(Order_ID AS VARCHAR) || '|' || CAST(sim_id AS VARCHAR) || '|42'), 1, 8))::BIGINT
+         AS DOUBLE) / 4294967296e0 AS u
+  FROM simd CROSS JOIN sims),
+simres AS (
+  SELECT s.sim_id, COALESCE(a.n, 0) AS delayed_count, CAST(COALESCE(a.c, 0) AS DOUBLE) / 1e2 AS exposure_usd
+  FROM sims s LEFT JOIN (SELECT sim_id, COUNT(*) AS n, CAST(SUM(cents) AS BIGINT) AS c FROM draws WHERE u < p
+                         GROUP BY 1) a ON s.sim_id = a.sim_id)"""
 
 
 def _sims(spark, sf):
     return sc._memo(spark, sf, f"sims{ORACLE_SIMS}", lambda: ex.simulate(sc.scored(spark, sf), ORACLE_SIMS, 42))
 
 
-@register("exposure_simulations", with_ctes(SIM_SQL + " SELECT * FROM simres"))
+def _sims_each(spark, sf):
+    return sc._memo(spark, sf, f"sims{ORACLE_SIMS}-each", lambda: ex.simulate(sc.scored(spark, sf), ORACLE_SIMS, 42, uniform="md5_each"))
+
+
+def simulations_sql(sims: str) -> str:
+    return with_ctes(sims + " SELECT * FROM simres")
+
+
+@register("exposure_simulations", simulations_sql(EACH_SQL))
 def q_sims(spark, sf):
-    return _sims(spark, sf)
+    return _sims_each(spark, sf)
 
 
 @register("exposure_expectation", with_ctes(
@@ -325,11 +347,11 @@ def q_expect(spark, sf):
 
 
 @register("exposure_tail", with_ctes(
-    SIM_SQL + " SELECT quantile_cont(CAST(delayed_count AS DOUBLE), 0.95) AS p95_delayed,"
+    EACH_SQL + " SELECT quantile_cont(CAST(delayed_count AS DOUBLE), 0.95) AS p95_delayed,"
     " ROUND(quantile_cont(exposure_usd, 0.95), 6) AS p95_exposure_usd,"
     " ROUND(quantile_cont(exposure_usd, 0.99), 6) AS p99_exposure_usd FROM simres"))
 def q_tail(spark, sf):
-    t = ex.tail_summary(_sims(spark, sf))
+    t = ex.tail_summary(_sims_each(spark, sf))
     return t.select("p95_delayed", F.round("p95_exposure_usd", 6).alias("p95_exposure_usd"),
                     F.round("p99_exposure_usd", 6).alias("p99_exposure_usd"))
 
@@ -347,27 +369,31 @@ def q_hist(spark, sf):
     return h.select("metric", "bin", "n", F.round("bin_from", 6).alias("bin_from"), F.round("bin_to", 6).alias("bin_to"))
 
 
-@register("exposure_markers", with_ctes(
-    SIM_SQL + " SELECT 'delayed_count' AS metric, ROUND((SELECT SUM(Predicted_Delay_Probability) FROM scored), 6) AS expected,"
-    " ROUND(quantile_cont(CAST(delayed_count AS DOUBLE), 0.95), 6) AS p95 FROM simres UNION ALL SELECT 'exposure_usd',"
-    " ROUND((SELECT SUM(Predicted_Delay_Probability * Shipping_Cost_USD) FROM scored), 2),"
-    " ROUND(quantile_cont(exposure_usd, 0.95), 6) FROM simres"))
+def markers_sql(sims: str) -> str:
+    return with_ctes(
+        sims + " SELECT 'delayed_count' AS metric, ROUND((SELECT SUM(Predicted_Delay_Probability) FROM scored), 6) AS expected,"
+        " ROUND(quantile_cont(CAST(delayed_count AS DOUBLE), 0.95), 6) AS p95 FROM simres UNION ALL SELECT 'exposure_usd',"
+        " ROUND((SELECT SUM(Predicted_Delay_Probability * Shipping_Cost_USD) FROM scored), 2),"
+        " ROUND(quantile_cont(exposure_usd, 0.95), 6) FROM simres")
+
+
+@register("exposure_markers", markers_sql(EACH_SQL))
 def q_markers(spark, sf):
     """H4: the expected and p95 lines of the histograms."""
-    m = ex.markers(sc.scored(spark, sf), _sims(spark, sf))
+    m = ex.markers(sc.scored(spark, sf), _sims_each(spark, sf))
     return m.select("metric", F.when(F.col("metric") == "exposure_usd", F.round("expected", 2)).otherwise(F.round("expected", 6)).alias("expected"),
                     F.round("p95", 6).alias("p95"))
 
 
 @register("exposure_tail_filtered", with_ctes(
-    SIM_SQL.replace("FROM scored)", f"FROM scored WHERE {FACET_SQL})", 1)
+    EACH_SQL.replace("FROM scored)", f"FROM scored WHERE {FACET_SQL})", 1)
     + " SELECT quantile_cont(CAST(delayed_count AS DOUBLE), 0.95) AS p95_delayed,"
     " ROUND(quantile_cont(exposure_usd, 0.95), 6) AS p95_exposure_usd,"
     " ROUND(quantile_cont(exposure_usd, 0.99), 6) AS p99_exposure_usd FROM simres"))
 def q_tail_filtered(spark, sf):
     """H1 + H3 on the faceted filter."""
     s = pf.faceted_filter(sc.scored(spark, sf), **FACETS)
-    t = ex.tail_summary(sc._memo(spark, sf, "sims-filtered", lambda: ex.simulate(s, ORACLE_SIMS, 42)))
+    t = ex.tail_summary(sc._memo(spark, sf, "sims-filtered-each", lambda: ex.simulate(s, ORACLE_SIMS, 42, uniform="md5_each")))
     return t.select("p95_delayed", F.round("p95_exposure_usd", 6).alias("p95_exposure_usd"),
                     F.round("p99_exposure_usd", 6).alias("p99_exposure_usd"))
 
@@ -393,14 +419,14 @@ def q_count_groups(spark, sf):
 
 
 @register("board_exposure", with_ctes(
-    SIM_SQL + " SELECT ROUND((SELECT SUM(Predicted_Delay_Probability * Shipping_Cost_USD) FROM scored), 2)"
+    EACH_SQL + " SELECT ROUND((SELECT SUM(Predicted_Delay_Probability * Shipping_Cost_USD) FROM scored), 2)"
     " AS exposed_value_usd, ROUND(quantile_cont(exposure_usd, 0.95), 2) AS bad_month_p95_usd,"
     " ROUND(quantile_cont(exposure_usd, 0.99), 2) AS bad_month_p99_usd FROM simres"))
 def q_board_exposure(spark, sf):
     """E1 with H2/H3: the board's 'value exposed to delay risk' and 'worst case in a bad month'
     computed from the portfolio instead of the reference's two literals."""
     e = ex.expectation(sc.scored(spark, sf)).select(F.round("expected_exposure_usd", 2).alias("exposed_value_usd"))
-    t = ex.tail_summary(_sims(spark, sf)).select(F.round("p95_exposure_usd", 2).alias("bad_month_p95_usd"),
+    t = ex.tail_summary(_sims_each(spark, sf)).select(F.round("p95_exposure_usd", 2).alias("bad_month_p95_usd"),
                                                  F.round("p99_exposure_usd", 2).alias("bad_month_p99_usd"))
     return e.crossJoin(t)   # two 1-row results
 
