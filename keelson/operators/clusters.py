@@ -19,9 +19,16 @@ CLUSTER_NUMERIC = [
     "Base_Lead_Time_Days", "Cost_Per_Kg", "Order_Weight_Kg", "Geopolitical_Risk_Index",
     "Weather_Severity_Index", "Shipping_Cost_USD", "Schedule_Buffer_Days",
 ]
+#: rows that the starts running at once may keep in memory together; each keeps a copy of its own
+ROWS_IN_MEMORY = 40_000_000
 RADAR_MEASURES = ["avg_cost_per_kg", "avg_base_lead", "avg_geo_risk", "delay_rate", "avg_risk_score"]
 
 
+def starts_at_once(rows: int) -> int:
+    """Four starts of a small table fill the executors; of a large one a single start does, and more would not stay in memory."""
+    return max(1, min(4, ROWS_IN_MEMORY // max(1, rows)))
+
+
 def fit_clusters(df: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, key: str = "Order_ID") -> DataFrame:
     """U6 + U7: best-of-n_init K-means on standardised features, clusters relabelled by size
     (largest = 0), plus a 2-component PCA of the centred standardised features."""
@@ -35,8 +42,8 @@ def fit_clusters(df: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, ke
         m = KMeans(k=k, seed=seed + i, featuresCol="zvec", predictionCol="raw_cluster", maxIter=50).fit(vec)
         return m.summary.trainingCost, i, m
 
-    # the n_init starts are independent Spark jobs: submit them together so they share the executors
-    with ThreadPoolExecutor(max_workers=min(n_init, 4)) as pool:
+    # the n_init starts are independent Spark jobs: submit some together so they share the executors
+    with ThreadPoolExecutor(max_workers=min(n_init, starts_at_once(vec.count()))) as pool:
         results = list(pool.map(fit, range(n_init)))
     _, _, best = min(results, key=lambda r: (r[0], r[1]))
     assigned = best.transform(vec)
