@@ -7,7 +7,7 @@ Fit: each tree draws its ``PSI`` rows from the whole table (the least hashes), a
 time: minima, maxima and counts of every (tree, node) are one window aggregation over the samples, from which each row of a node
 derives the same split and its own child.  The forest is a node table of at most trees x (2 psi - 1) rows, whatever the table.
 
-Score: each row is exploded to its trees in place and walks down by look-ups in the broadcast node table, inside code generation;
+Score: a batch of rows walks down a tree at a time, a level of all its rows at once, by look-ups in the broadcast node table;
 path lengths are summed on an integer grid, so scores do not depend on the order of the sums.  Splits are uniform between a node's minimum
 and maximum and so do not change when a feature is shifted or scaled: features are not standardised.
 
@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,23 +133,55 @@ def fit_forest(df: DataFrame, n_trees: int = N_TREES, psi: int = PSI, seed: int
     return forest
 
 
+@dataclass
+class NodeArrays:
+    """The nodes of all trees by place; a leaf is its own child, so that a row that has arrived stays."""
+    roots: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    child: np.ndarray         # at 2 place the left one, at 2 place + 1 the right one
+    length: np.ndarray
+
+
+def node_arrays(nodes: DataFrame) -> NodeArrays:
+    rows = nodes.select("tree", "node", "feature", "threshold", "length").collect()   # at most trees x (2 psi - 1) rows
+    place = {(r.tree, r.node): i for i, r in enumerate(rows)}
+    child = [place[r.tree, 2 * r.node + side] if r.feature >= 0 else i for i, r in enumerate(rows) for side in (0, 1)]
+    return NodeArrays(np.array([i for i, r in enumerate(rows) if r.node == 1], np.intp), np.array([max(r.feature, 0) for r in rows], np.intp),
+                      np.array([r.threshold for r in rows], np.float64), np.array(child, np.intp), np.array([r.length for r in rows], np.int64))
+
+
+def walked_lengths(x: np.ndarray, nodes: NodeArrays, depth: int) -> np.ndarray:
+    """Each row's path lengths summed over the trees; x is (features, rows), a missing value is NaN and goes right."""
+    rows = x.shape[1]
+    values, own, total = np.ascontiguousarray(x).ravel(), np.arange(rows), np.zeros(rows, np.int64)
+    for root in nodes.roots:
+        at = np.full(rows, root)
+        for _ in range(depth):
+            goes_left = values.take(nodes.feature.take(at) * rows + own) <= nodes.threshold.take(at)
+            at = nodes.child.take(2 * at + ~goes_left)
+        total += nodes.length.take(at)
+    return total
+
+
 def path_scores(df: DataFrame, forest: Forest, carry: tuple[str, ...] = ("Order_ID",), cols: list[str] = ANOMALY_NUMERIC) -> DataFrame:
     """U2 (first half): s = 2^(-E[h(x)] / c(psi)) for every row of ``df``, with the ``carry`` columns (the first is the rows' key)."""
     key = carry[0]
-    place = F.col("tree").cast("bigint") * F.lit(1 << 32)
-    table = F.broadcast(forest.nodes.select(                      # at most trees x (2 psi - 1) rows
-        (place + F.col("node")).alias("_at"), F.col("feature").alias("_f"), F.col("threshold").alias("_t"), F.col("length").alias("_len")))
-    trees = F.sequence(F.lit(0).cast("bigint"), F.lit(forest.n_trees - 1).cast("bigint"))
-    walk = df.select(F.col(key).alias("_key"), _values(cols).alias("x"), F.explode(trees).alias("tree")).withColumn("place", place + 1)
-
-    def step(rows: DataFrame, _) -> DataFrame:
-        base = F.col("tree") * F.lit(1 << 32)
-        goes_left = F.coalesce(F.get("x", F.col("_f")) <= F.col("_t"), F.lit(False))
-        child = base + (F.col("place") - base) * 2 + F.when(goes_left, 0).otherwise(1)
-        return rows.join(table, F.col("place") == F.col("_at")).select("_key", "x", "tree", F.when(F.col("_f") < 0, F.col("place")).otherwise(child).alias("place"))
-
-    leaves = reduce(step, range(forest.depth), walk).join(table, F.col("place") == F.col("_at"))
-    total = leaves.groupBy("_key").agg(F.sum("_len").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    rows = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    arrays = node_arrays(forest.nodes)
+    if not len(arrays.roots):   # fitted on no rows
+        rows = rows.limit(0)
+    shared, depth, width = df.sparkSession.sparkContext.broadcast(arrays), forest.depth, len(cols)
+
+    def walk(batches):
+        nodes = shared.value
+        for batch in batches:
+            x = np.array([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(width)], np.float64)
+            trees = np.full(batch.num_rows, len(nodes.roots), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(walked_lengths(x, nodes, depth)), pa.array(trees)], ["_key", "_len", "_trees"])
+
+    walked = rows.mapInArrow(walk, f"_key {df.schema[key].dataType.simpleString()}, _len long, _trees long")
+    total = walked.groupBy("_key").agg(F.sum("_len").alias("_sum"), F.sum("_trees").alias("_n"))
     # rows that repeat a key share the mean of their walks
     mean = F.col("_sum").cast("double") / (F.col("_n").cast("double") * GRID)
     scored = total.select("_key", F.pow(F.lit(2.0), -mean / F.lit(max(c_factor(forest.psi), 1e-9))).alias("s"))
