@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.stats import exact_percentiles
+from keelson.operators.hashed_draws import drawn_below
 from keelson.plans.materialize import materialize
 
 # Anomaly feature list, forest size, sub-sample size, contamination.
@@ -81,16 +82,17 @@ def _values(cols: list[str]) -> Column:
 
 def draw_samples(df: DataFrame, n_trees: int, psi: int, seed: int, key: str, cols: list[str], rows: int) -> DataFrame:
     """tree and x (the features) of each tree's ``psi`` rows of the least hashes."""
-    groups = -(-n_trees // PARTS)
-    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit("forest"), F.lit(str(seed)), F.col("_g").cast("string")))
-    spread = df.select(F.col(key), _values(cols).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g")).withColumn("_d", digest)
-    parts = F.array(*[F.struct((F.col("_g") * PARTS + k).alias("tree"), _part(F.col("_d"), k).alias("h")) for k in range(PARTS)])
-    drawn = spread.select(key, "x", F.inline(parts)).where(F.col("tree") < n_trees)
     # about 3 psi rows a tree pass the first test, which needs no order; only they are ranked
-    most = min(1.0, 3.0 * psi / max(1, rows))
-    if most < 1.0:
-        drawn = drawn.where(F.col("h") < f"{int(most * TWO_POW_32):08x}")
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", key))
+    below = min(TWO_POW_32, int(3.0 * psi / max(1, rows) * TWO_POW_32))
+    named = df.select(F.col(key).alias("_key"), F.col(key).cast("string").alias("_text"), _values(cols).alias("x"))
+
+    def draw(batches):
+        for batch in batches:
+            row, tree, h = drawn_below(batch.column(1).to_pylist(), n_trees, PARTS, f"forest|{seed}", below)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), tree, h], ["_key", "x", "tree", "h"])
+
+    drawn = named.mapInArrow(draw, f"_key {df.schema[key].dataType.simpleString()}, x array<double>, tree int, h long")
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", "_key"))
     return drawn.withColumn("_rank", rank).where(F.col("_rank") <= psi).select("tree", "x")
 
 

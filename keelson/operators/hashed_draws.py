@@ -1,7 +1,7 @@
 """Bernoulli draws from md5 for whole Arrow batches: numpy words in place of a text a draw.
 
 A draw's uniform is eight hex digits of the md5 of 'key|number|seed'.  Rows whose keys are of one length share the layout of the
-message, so the 64 steps of one md5 run over a block of rows at once.  Each task returns one row a simulation.
+message, so the 64 steps of one md5 run over a block of rows at once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 TURNS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
 SINES = [int(abs(math.sin(i + 1)) * 2 ** 32) for i in range(64)]
@@ -104,3 +105,23 @@ def hits_per_simulation(batches: Iterator[pd.DataFrame], n_sims: int, seed: int,
     for block in waiting.values():
         draw(*block)
     yield pd.DataFrame({"sim_id": np.arange(n_sims), "_n": count, "_c": cents})
+
+
+def drawn_below(keys: list[str | None], n_trees: int, parts: int, what: str, below: float) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """row, tree and number of every (row, tree) whose number is less than ``below``.
+
+    Tree t takes number t % parts of md5('key|what|t div parts'); a null key is left out of the text."""
+    heads = [b"" if k is None else k.encode() + b"|" for k in keys]
+    of_length: dict[int, list[int]] = {}
+    for i, head in enumerate(heads):
+        of_length.setdefault(len(head), []).append(i)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))]
+    for length, block in of_length.items():
+        own, places = np.frombuffer(b"".join(heads[i] for i in block), np.uint8).reshape(len(block), length), np.array(block, np.int64)
+        for group in range(-(-n_trees // parts)):
+            numbers = digest_numbers(own, f"{what}|{group}".encode())
+            for k in range(min(parts, n_trees - group * parts)):
+                hit = np.flatnonzero(numbers[k] < below)
+                found.append((places[hit], np.full(len(hit), group * parts + k, np.int32), numbers[k][hit].astype(np.int64)))
+    row, tree, number = (np.concatenate(column) for column in zip(*found))
+    return pa.array(row), pa.array(tree), pa.array(number)
