@@ -9,15 +9,15 @@ bucketed prefix sums so no step puts the whole table in one task.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.features import FEATURES_CATEGORICAL, FEATURES_NUMERIC
 from keelson.functions.stats import exact_quantiles
+from keelson.operators import boosting
 from keelson.plans.materialize import materialize
 
 LABEL = "Is_Delayed"
@@ -96,19 +96,16 @@ def with_class_weight(train: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def fit_classifier(train: DataFrame, n_trees: int = 200, depth: int = 4, step: float = 0.05,
-                   seed: int = SEED) -> PipelineModel:
+                   seed: int = SEED, numeric=FEATURES_NUMERIC) -> boosting.BoostedTrees:
     """Boosted trees with class weight."""
-    gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, weightCol="w", maxIter=n_trees, maxDepth=depth,
-                        stepSize=step, seed=seed)
-    return Pipeline(stages=feature_stages() + [gbt]).fit(with_class_weight(train))
+    return boosting.fit(train, feature_stages(numeric=numeric), numeric, FEATURES_CATEGORICAL, LABEL, True, n_trees, depth, step, seed)
 
 
 def fit_regressor(train: DataFrame, n_trees: int = 200, depth: int = 4, step: float = 0.05,
-                  seed: int = SEED) -> PipelineModel:
+                  seed: int = SEED) -> boosting.BoostedTrees:
     """Delay-days regressor (its prediction is clipped at 0 by ``predict_days``)."""
-    gbt = GBTRegressor(featuresCol="features", labelCol="Delay_Days", maxIter=n_trees, maxDepth=depth,
-                       stepSize=step, seed=seed)
-    return Pipeline(stages=feature_stages() + [gbt]).fit(train.where(F.col("Delay_Days").isNotNull()))
+    known = train.where(F.col("Delay_Days").isNotNull())
+    return boosting.fit(known, feature_stages(), FEATURES_NUMERIC, FEATURES_CATEGORICAL, "Delay_Days", False, n_trees, depth, step, seed)
 
 
 def fit_second_model(train: DataFrame, seed: int = SEED) -> PipelineModel:
@@ -121,16 +118,17 @@ def fit_second_model(train: DataFrame, seed: int = SEED) -> PipelineModel:
     return Pipeline(stages=[scale, *stages, lr]).fit(with_class_weight(train))
 
 
-def positive_probability(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
+def positive_probability(model: PipelineModel | boosting.BoostedTrees, df: DataFrame, out: str) -> DataFrame:
+    if isinstance(model, boosting.BoostedTrees):   # the trees' margin is half the log-odds
+        return model.with_margin(df, out).withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col(out))))
     scored = model.transform(df)
     keep = [c for c in df.columns]
     return scored.select(*keep, vector_to_array("probability")[1].alias(out))
 
 
-def predict_days(model: PipelineModel, df: DataFrame, out: str = "Predicted_Delay_Days") -> DataFrame:
+def predict_days(model: boosting.BoostedTrees, df: DataFrame, out: str = "Predicted_Delay_Days") -> DataFrame:
     """G7 inference: clipped at 0."""
-    s = model.transform(df)
-    return s.select(*df.columns, F.greatest(F.col("prediction"), F.lit(0.0)).alias(out))
+    return model.with_margin(df, out).withColumn(out, F.greatest(F.col(out), F.lit(0.0)))
 
 
 def _score_counts(df: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:

@@ -4,73 +4,59 @@ Path-dependent Shapley values (Lundberg et al. 2018) computed leaf by leaf:
 for a leaf with distinct path features D (|D| <= depth = 4),
 v(S) = value * prod_{i in S} [x meets i's path conditions] * prod_{i in D\\S} cover_i,
 phi_i = sum_{S subset D\\{i}} |S|!(|D|-|S|-1)!/|D|! (v(S+i) - v(S)).
-The leaf table is read from the saved model (a fitted model, small).  A leaf's contributions
+The leaf table is taken from the fitted model (small).  A leaf's contributions
 depend on a row only through which of its conditions are met, so they are tabled once per
 leaf by the bit mask of met conditions (at most 2^depth entries a feature); rows are scored
-per Arrow batch in ``mapInPandas``: a mask per leaf, then one look-up per path feature.  In log-odds, Spark's GBT
-margin is 2 * sum_t w_t tree_t(x), so contributions and bias are scaled by 2 w_t.
-Categories must be one-hot: a split on a category of more than two values is refused.
+per Arrow batch in ``mapInPandas``: leaves that share their comparisons are summed by the pattern of these, then one
+look-up per pattern and feature.  The log-odds are twice the margin sum_t w_t tree_t(x), so contributions and bias are scaled by 2 w_t.
+A split takes one category from the others, so its feature is that category's one-hot slot.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.session import ensure_checkpoint_dir
+from keelson.operators.boosting import BoostedTrees
 
 
-def _leaves(model: GBTClassificationModel, spark) -> tuple[list, float]:
+#: comparisons whose outcomes make one pattern: half a tree of depth 4 has eight
+TOGETHER = 8
+
+
+def _leaves(model: BoostedTrees) -> tuple[list, float]:
     """Leaf records: (scale, value, [(feature, lo, hi, cover), ...]) and the bias."""
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/keelson-gbt-{uuid.uuid4().hex}"
-    model.save(path)
-    nodes = spark.read.parquet(path + "/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
-        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
-        "nodeData.split.numCategories").toPandas()   # fitted model: trees x (2^(depth+1) - 1) rows
-    weights = list(model.treeWeights)
+    n_numeric = len(model.numeric)
+    slots = n_numeric + np.concatenate([[0], np.cumsum([size - 1 for size in model.sizes[n_numeric:]])]).astype(int)   # of each column's categories
     leaves, bias = [], 0.0
-    for tid, t in nodes.groupby("treeID"):
-        by_id = {int(r.id): r for r in t.itertuples(index=False)}
-        scale = 2.0 * weights[int(tid)]
+    for tree, rows in zip(model.trees, model.leaf_rows):
+        scale = 2.0 * tree.weight
 
-        def walk(nid: int, conds: dict, cover: dict, depth_cover: float):
+        def walk(node: int, start: int, end: int, conds: dict, cover: dict, depth_cover: float):
+            """``node`` has the leaves from ``start`` to ``end``."""
             nonlocal bias
-            r = by_id[nid]
-            if r.leftChild < 0:
+            if end - start == 1:
                 feats = [(f, lo, hi, cover[f]) for f, (lo, hi) in conds.items()]
-                leaves.append((scale, float(r.prediction), feats))
-                bias += scale * float(r.prediction) * depth_cover
+                leaves.append((scale, float(tree.value[start]), feats))
+                bias += scale * float(tree.value[start]) * depth_cover
                 return
-            f = int(r.featureIndex)
-            if r.numCategories < 0:
-                thr = float(r.leftCategoriesOrThreshold[0])
-                left_iv, right_iv = (-math.inf, thr), (thr, math.inf)
-            elif r.numCategories == 2:   # binary (one-hot) feature: left set {0} or {1}
-                left_is_zero = 0.0 in list(r.leftCategoriesOrThreshold)
-                left_iv, right_iv = ((-math.inf, 0.5), (0.5, math.inf)) if left_is_zero else \
-                    ((0.5, math.inf), (-math.inf, 0.5))
-            else:
-                raise NotImplementedError("multi-valued categorical splits")
-            for child, iv in ((int(r.leftChild), left_iv), (int(r.rightChild), right_iv)):
-                ratio = float(by_id[child].rawCount) / float(r.rawCount)
+            half = (start + end) // 2
+            if not tree.many[node]:   # no split: every row is in the leftmost leaf
+                return walk(2 * node + 1, start, half, conds, cover, depth_cover)
+            column, first = int(tree.column[node]), int(tree.first[node])
+            f, at = (column, float(model.thresholds[column][first - 1])) if column < n_numeric else (int(slots[column - n_numeric]) + first, 0.5)
+            for child, lo, hi, iv in ((2 * node + 1, start, half, (-math.inf, at)), (2 * node + 2, half, end, (at, math.inf))):
+                ratio = float(rows[lo:hi].sum()) / float(rows[start:end].sum())
                 lo0, hi0 = conds.get(f, (-math.inf, math.inf))
-                c2 = dict(conds)
-                c2[f] = (max(lo0, iv[0]), min(hi0, iv[1]))
-                cv2 = dict(cover)
-                cv2[f] = cover.get(f, 1.0) * ratio
-                walk(child, c2, cv2, depth_cover * ratio)
+                walk(child, lo, hi, conds | {f: (max(lo0, iv[0]), min(hi0, iv[1]))}, cover | {f: cover.get(f, 1.0) * ratio}, depth_cover * ratio)
 
-        walk(0, {}, {}, 1.0)
+        walk(0, 0, len(tree.value), {}, {}, 1.0)
     return leaves, bias
 
 
@@ -102,6 +88,51 @@ def leaf_contributions(x: np.ndarray, tables: list) -> np.ndarray:
     return phi.T
 
 
+def pattern_tables(tables: list) -> list:
+    """Leaves in a row of the list that ask for at most ``TOGETHER`` comparisons, summed by the pattern of these:
+    ([(feature, threshold), ...], [(feature, contribution by pattern), ...])."""
+    groups: list[tuple[dict, list]] = []
+    for conditions, table in tables:
+        asked = dict.fromkeys((f, t) for f, lo, hi in conditions for t in (lo, hi) if math.isfinite(t))
+        if groups and len(groups[-1][0] | asked) <= TOGETHER:
+            groups[-1] = (groups[-1][0] | asked, groups[-1][1])
+        else:
+            groups.append((asked, []))
+        groups[-1][1].append((conditions, table))
+    out = []
+    for asked, leaves in groups:
+        patterns = np.arange(1 << len(asked))
+        above = {c: (patterns >> i) & 1 for i, c in enumerate(asked)}
+        phi: dict[int, np.ndarray] = {}
+        for conditions, table in leaves:
+            mask = sum((above.get((f, lo), 1) & (1 - above.get((f, hi), 0))) << i for i, (f, lo, hi) in enumerate(conditions))
+            for (f, _, _), by_mask in zip(conditions, table):
+                phi[f] = phi.get(f, 0.0) + by_mask[mask]
+        out.append((list(asked), list(phi.items())))
+    return out
+
+
+def row_contributions(x: np.ndarray, tables: list, groups: list) -> np.ndarray:
+    """As ``leaf_contributions``, with one look-up per group of leaves and feature; rows with missing values go leaf by leaf."""
+    columns = np.ascontiguousarray(x.T)
+    phi, found = np.zeros(columns.shape), np.empty(len(x))
+    above: dict[tuple, np.ndarray] = {}
+    for asked, by_feature in groups:
+        pattern = np.zeros(len(x), np.uint16)
+        for i, c in enumerate(asked):
+            if c not in above:
+                above[c] = (columns[c[0]] > c[1]).astype(np.uint16)
+            pattern |= above[c] << np.uint16(i)
+        at = pattern.astype(np.intp)
+        for f, by_pattern in by_feature:
+            by_pattern.take(at, out=found, mode="clip")   # every pattern is in the table
+            phi[f] += found
+    missing = np.flatnonzero(np.isnan(x).any(axis=1))
+    if len(missing):
+        phi[:, missing] = leaf_contributions(x[missing], tables).T
+    return phi.T
+
+
 def vector_names(meta: dict) -> list[str]:
     """Slot names from the assembled vector's ML attributes: num__X and cat__Column_Value."""
     attrs = meta["ml_attr"]
@@ -117,23 +148,22 @@ def vector_names(meta: dict) -> list[str]:
     return [n or f"f{i}" for i, n in enumerate(names)]
 
 
-def tree_contributions(pipeline: PipelineModel, df: DataFrame, key: str = "Order_ID") -> tuple[DataFrame, float]:
+def tree_contributions(model: BoostedTrees, df: DataFrame, key: str = "Order_ID") -> tuple[DataFrame, float]:
     """(key, contribs array<struct<feature, value, x>>) of log-odds contributions for every row, and the bias."""
     spark = df.sparkSession
-    gbt = pipeline.stages[-1]
-    leaves, bias = _leaves(gbt, spark)
-    prep = PipelineModel(stages=pipeline.stages[:-1]).transform(df)
+    leaves, bias = _leaves(model)
+    prep = model.stages.transform(df)
     names = vector_names(prep.schema["features"].metadata)
     tables = [([(f, lo, hi) for f, lo, hi, _ in feats], mask_table(scale * value, [c for *_, c in feats]))
               for scale, value, feats in leaves if feats]
-    bc = spark.sparkContext.broadcast((tables, len(names)))   # trees x 2^depth leaves
+    bc = spark.sparkContext.broadcast((tables, pattern_tables(tables), len(names)))   # trees x 2^depth leaves
     vec = prep.select(key, vector_to_array("features").alias("x"))
 
     def contrib(batches):
-        tabs, d = bc.value
+        tabs, groups, d = bc.value
         for pdf in batches:
             x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, d))
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "x": list(x), "value": list(leaf_contributions(x, tabs))})
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "x": list(x), "value": list(row_contributions(x, tabs, groups))})
 
     out = vec.mapInPandas(contrib, f"{key} long, x array<double>, value array<double>")
     label = F.array(*[F.lit(n) for n in names])   # one per model feature

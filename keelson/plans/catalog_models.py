@@ -285,12 +285,9 @@ def q_uplift(spark, sf):
                                      "n_valid long, auc_base double, auc_ext double, uplift double, verdict string")
     d = materialize(ml.with_split(valid), "uplift-split")
     tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    from pyspark.ml.classification import GBTClassifier
     aucs = []
     for numeric in (FEATURES_NUMERIC, FEATURES_NUMERIC + real):
-        gbt = GBTClassifier(featuresCol="features", labelCol="Is_Delayed", weightCol="w", maxIter=N_TREES,
-                            maxDepth=4, stepSize=0.05, seed=42)
-        m = Pipeline(stages=ml.feature_stages(numeric=numeric) + [gbt]).fit(ml.with_class_weight(tr))
+        m = ml.fit_classifier(tr, n_trees=N_TREES, numeric=numeric)
         aucs.append(ml.roc_auc(ml.positive_probability(m, te, "p"), "p").collect()[0][0])
     up = aucs[1] - aucs[0]
     return spark.createDataFrame([(n, aucs[0], aucs[1], up, "uplift" if up > 0.01 else "no meaningful uplift")],
