@@ -1,15 +1,17 @@
 """Boosted regression trees on rows packed into blocks of bin numbers.
 
 The trees are those of Spark ML's ``GBTClassifier`` and ``GBTRegressor``: at most 32 bins a numeric feature, thresholds to try from about
-10,000 rows (all, if fewer), variance gain over every feature, the first tree on the labels and the others on the loss's gradient, no
-early stop.  Every tree level is one Spark job over all training rows: a task sums weights and gradients by node and bin, the driver adds
-these tables (nodes x bins a task) and takes the splits.  A category's one-hot slots are counted from its one column of indices.
-The blocks stay in the executors' storage; after every ``REBUILD`` trees the margins are taken from the rows' blocks anew, so the lineage stays short.
+10,000 rows (all, if fewer), variance gain over every feature, the first tree on the labels and the others on the loss's gradient, early stop.  Every tree level is one Spark job over all training rows: a task counts rows and sums gradients by node and bin, the driver
+adds these tables (at most 4 nodes x bins a task) and takes the splits.  Of two sister nodes only that with fewer rows is counted, the
+other is what remains of their parent; the root's counts are the same for every tree.  A category's one-hot slots are counted from its one
+column of indices.  The blocks are written once and stay in the executors' storage; after every ``REBUILD`` trees the margins are taken
+from the rows' blocks anew, so the lineage stays short: a job's latency grows with it.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -21,11 +23,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.plans.materialize import materialize
+
 BINS = 32
 SAMPLE = 10_000
-REBUILD = 40
+REBUILD = 20
 #: cells of a table that several columns are counted in together
 JOINT = 2048
+#: rows of a block that is counted at once
+BLOCK = 50_000
+#: gains that differ by less of the sums they come from are equal
+TIE = 1e-12
 
 
 @dataclass
@@ -134,85 +142,120 @@ def joint_columns(sizes: list[int]) -> list[list[int]]:
     return [columns for _, columns in groups]
 
 
-def level_tables(blocks, tree: Tree, level: int, sizes: list[int], class_weights: tuple[float, float] | None):
-    """Weights and weighted gradients by node and code, a pair of tables for each column."""
-    groups, nodes = joint_columns(sizes), 1 << level
-    cells = [int(np.prod([sizes[c] for c in g])) for g in groups]
-    total = [np.zeros((2, nodes * n)) for n in cells]
+def level_tables(blocks, tree: Tree, level: int, nodes: list[int] | None, sizes: list[int], class_weights: tuple[float, float] | None, counted: bool):
+    """(kinds, nodes, codes of all columns in a row) over the rows at ``nodes`` (None: all rows, as one): rows, or rows of either class,
+    if ``counted``, and at last the sums of gradients."""
+    classes = class_weights is not None
+    groups, kinds, n_nodes = joint_columns(sizes), (3 if classes else 2) if counted else 1, 1 if nodes is None else len(nodes)
+    cells = [int(np.prod([sizes[c] for c in columns])) for columns in groups]
+    tables = [np.zeros((kinds, n_nodes * n)) for n in cells]
+    number = np.full(256, 255, np.uint8)
+    number[nodes or []] = np.arange(n_nodes if nodes else 0)
     for codes, y, margin in blocks:
-        place = tree.places(codes, level)
-        g = gradient(y, margin, class_weights is not None)
-        w = None
-        if class_weights is not None:
-            w = np.where(y > 0, class_weights[1], class_weights[0])
-            g *= w
-        for columns, n, table in zip(groups, cells, total):
-            at = place.astype(np.uint16 if nodes * n <= 1 << 16 else np.int64)
+        at = None
+        if nodes is not None:
+            place = number[tree.places(codes, level)]
+            rows = np.flatnonzero(place != 255)
+            at, codes, y, margin = place[rows], [column[rows] for column in codes], y[rows], None if margin is None else margin[rows]
+        late = y > 0 if classes else None
+        g = gradient(y, margin, classes)
+        if classes:
+            g *= np.where(late, class_weights[1], class_weights[0])
+        for columns, n, table in zip(groups, cells, tables):
+            kind = np.uint16 if 2 * n_nodes * n <= 1 << 16 else np.int64
+            here = np.zeros(len(y), kind) if nodes is None else at.astype(kind)
             for c in columns:
-                at = at * at.dtype.type(sizes[c]) + codes[c]
-            at = at.astype(np.intp)
-            table[0] += np.bincount(at, w, nodes * n)
-            table[1] += np.bincount(at, g, nodes * n)
+                here = here * kind(sizes[c]) + codes[c]
+            table[-1] += np.bincount(here, g, n_nodes * n)
+            if counted and classes:
+                table[:2] += np.bincount(here * kind(2) + late, minlength=2 * n_nodes * n).reshape(-1, 2).T
+            elif counted:
+                table[0] += np.bincount(here, minlength=n_nodes * n)
     out: list = [None] * len(sizes)
-    for columns, table in zip(groups, total):
-        cube = table.reshape(2, nodes, *[sizes[c] for c in columns])
+    for columns, table in zip(groups, tables):
+        cube = table.reshape(kinds, n_nodes, *[sizes[c] for c in columns])
         for i, c in enumerate(columns):
             out[c] = cube.sum(axis=tuple(2 + k for k in range(len(columns)) if k != i))
-    yield out
-
-
-def best_split(tables: list[np.ndarray], node: int, n_numeric: int):
-    """(column, first, many, weight and gradient of both sides) of the greatest gain, the first of equals; None without gain."""
-    best, found = 0.0, None
-    for c, table in enumerate(tables):
-        w, g = table[0, node], table[1, node]
-        all_w, all_g = w.sum(), g.sum()
+    yield np.concatenate(out, axis=2)
+
+
+def best_split(table: np.ndarray, sizes: list[int], n_numeric: int, class_weights: tuple[float, float] | None):
+    """(column, first, many, weight and gradient of both sides, rows of both sides) of the greatest gain, the first of equals; None without gain."""
+    found, end = [], 0
+    for c, size in enumerate(sizes):
+        here, end = table[:, end:end + size], end + size
+        g, rows = here[-1], here[:-1].sum(axis=0)
+        w = rows if class_weights is None else here[0] * class_weights[0] + here[1] * class_weights[1]
+        weighs = rows if class_weights is None else here[0] * (class_weights[0] > 0) + here[1] * (class_weights[1] > 0)
+        all_w, all_g, all_weigh = w.sum(), g.sum(), weighs.sum()
         if c < n_numeric:      # to the right: the codes above a threshold
-            left_w, left_g = w.cumsum()[:-1], g.cumsum()[:-1]
-            right_w, right_g = all_w - left_w, all_g - left_g
-            there = (w[::-1].cumsum()[::-1][1:] > 0) & (left_w > 0)   # weights of either side, not what rounding leaves
+            left_w, left_g, left = w.cumsum()[:-1], g.cumsum()[:-1], weighs.cumsum()[:-1]
+            right_w, right_g, right = all_w - left_w, all_g - left_g, all_weigh - left
         else:                  # to the right: one category; the last index is for unknown values and has no slot
-            right_w, right_g = w[:-1], g[:-1]
-            left_w, left_g = all_w - right_w, all_g - right_g
-            there = (right_w > 0) & (np.array([np.any(np.delete(w, v) > 0) for v in range(len(w) - 1)], bool))
+            right_w, right_g, right = w[:-1], g[:-1], weighs[:-1]
+            left_w, left_g, left = all_w - right_w, all_g - right_g, all_weigh - right
+        there = (left > 0) & (right > 0)   # counts are whole numbers, without what rounding leaves
         if not there.any():
             continue
         with np.errstate(divide="ignore", invalid="ignore"):
             kept = left_g ** 2 / left_w + right_g ** 2 / right_w
             gain = np.where(there, kept - all_g ** 2 / all_w, -np.inf)
-        i = int(gain.argmax())
-        if gain[i] > best and gain[i] > 1e-14 * kept[i]:
-            best = gain[i]
-            first, many = (i + 1, len(w) - 1 - i) if c < n_numeric else (i, 1)
-            found = (c, first, many, (left_w[i], left_g[i]), (right_w[i], right_g[i]))
-    return found
-
-
-def grow(state, sizes: list[int], n_numeric: int, depth: int, weight: float, class_weights) -> Tree:
-    """One tree on the gradients of all rows, a job a level."""
+        i = int(np.argmax(gain >= gain.max() - TIE * kept[gain.argmax()]))
+        if gain[i] > 1e-14 * kept[i]:
+            first, many = (i + 1, size - 1 - i) if c < n_numeric else (i, 1)
+            goes = rows[first:first + many].sum()
+            found.append((gain[i], kept[i], (c, first, many, ((left_w[i], left_g[i]), (right_w[i], right_g[i])), (rows.sum() - goes, goes))))
+    if not found:
+        return None
+    most, of, _ = max(found, key=lambda f: f[0])
+    return next(split for gain, _, split in found if gain >= most - TIE * of)
+
+
+def grow(state, known: np.ndarray | None, sizes: list[int], n_numeric: int, depth: int, weight: float, class_weights) -> tuple[Tree, np.ndarray]:
+    """One tree on the gradients of all rows, a job a level, and the root's counts, ``known`` from the tree before."""
     tree = Tree.empty(depth, weight)
-    open_nodes: list[int] = [0]
+
+    def tables(level: int, nodes: list[int] | None, counted: bool) -> np.ndarray:
+        return sum(state.mapPartitions(lambda blocks: level_tables(blocks, tree, level, nodes, sizes, class_weights, counted)).collect())   # one table a task
+    root = tables(0, None, True) if known is None else np.concatenate([known, tables(0, None, False)])
+    nodes = {0: root[:, 0]}
+    rows, g = root[:-1, 0, :sizes[0]].sum(axis=1), root[-1, 0, :sizes[0]].sum()
+    w = rows.sum() if class_weights is None else rows @ np.array(class_weights)
+    tree.value[:] = g / w if w > 0 else 0.0
     for level in range(depth):
-        parts = state.mapPartitions(lambda blocks: level_tables(blocks, tree, level, sizes, class_weights)).collect()   # one set of tables a task
-        tables = [sum(part[c] for part in parts) for c in range(len(sizes))]
-        if level == 0:
-            w, g = tables[0][0].sum(), tables[0][1].sum()
-            tree.value[:] = g / w if w > 0 else 0.0
-        following = []
-        for at in open_nodes:
-            split = best_split(tables, at, n_numeric)
+        fewer, rest = [], []   # of the sister nodes
+        for at, table in nodes.items():
+            split = best_split(table, sizes, n_numeric, class_weights)
             if split is None:
                 continue
             node, below = (1 << level) - 1 + at, 1 << (depth - level - 1)   # leaves under either side
             tree.column[node], tree.first[node], tree.many[node] = split[:3]
-            for side, (w, g) in enumerate(split[3:]):
+            for side, (w, g) in enumerate(split[3]):
                 start = (2 * at + side) * below
                 tree.value[start:start + below] = g / w
-            following += [2 * at, 2 * at + 1]
-        open_nodes = following
-        if not open_nodes:
+            less = int(split[4][1] <= split[4][0])
+            fewer.append(2 * at + less)
+            rest.append(2 * at + 1 - less)
+        if not fewer or level + 1 == depth:
             break
-    return tree
+        counted = tables(level + 1, fewer, True)
+        nodes = {k: t for i, (a, b) in enumerate(zip(fewer, rest)) for k, t in ((a, counted[:, i]), (b, nodes[a // 2] - counted[:, i]))}
+    return tree, root[:-1]
+
+
+def unpacked(batches: Iterable):
+    """Blocks of at least ``BLOCK`` rows, as far as there are any: codes, labels and no margins."""
+    def joined(parts):
+        return [np.concatenate(column) for column in zip(*(codes for codes, _ in parts))], np.concatenate([y for _, y in parts]), None
+    parts, held = [], 0
+    for row in batches:
+        parts.append(pickle.loads(row.block))
+        held += len(parts[-1][1])
+        if held >= BLOCK:
+            yield joined(parts)
+            parts, held = [], 0
+    if parts:
+        yield joined(parts)
 
 
 def _advance(blocks, trees: list[Tree], depth: int):
@@ -258,14 +301,15 @@ def fit(train: DataFrame, feature_stages: list, numeric: list[str], categorical:
             if len(pdf):
                 y = pdf.pop("y").to_numpy(float)
                 codes = row_codes([pdf[c] for c in pdf.columns], thresholds, sizes)
-                yield pd.DataFrame({"block": [pickle.dumps((codes, np.where(y == 1, 1, -1).astype(np.int8) if logistic else y, None))]})
+                yield pd.DataFrame({"block": [pickle.dumps((codes, np.where(y == 1, 1, -1).astype(np.int8) if logistic else y))]})
+    blocks = materialize(indexed.mapInPandas(pack, "block binary"), "training-blocks")
     tasks = int(min(spark.sparkContext.defaultParallelism, n // 5000 + 1))
-    packed = indexed.repartition(tasks).mapInPandas(pack, "block binary")
-    base = packed.rdd.map(lambda row: pickle.loads(row.block)).persist(StorageLevel.MEMORY_AND_DISK)
+    base = blocks.repartition(tasks).rdd.mapPartitions(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
 
-    state, spent, trees = base, None, model.trees
+    state, spent, counts, trees = base, None, None, model.trees
     for t in range(n_trees):
-        trees.append(grow(state, sizes, len(numeric), depth, 1.0 if t == 0 else step, class_weights))
+        tree, counts = grow(state, counts, sizes, len(numeric), depth, 1.0 if t == 0 else step, class_weights)
+        trees.append(tree)
         if spent is not None and spent is not base:
             spent.unpersist()   # the margins that came from it are stored by now
         spent = state

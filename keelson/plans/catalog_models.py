@@ -5,6 +5,7 @@ on given scores, profiles on fixed cluster ids) have DuckDB twins."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.ml import Pipeline
@@ -48,6 +49,13 @@ def _model(spark, sf, kind: str, n_trees: int = N_TREES):
     return _MODELS[k]
 
 
+def _models(spark, sf, *kinds: str) -> None:
+    """The models of these kinds, fitted at the same time: a fit is a row of short jobs, whose waits the others fill."""
+    _split(spark, sf)   # written before the fits begin
+    with ThreadPoolExecutor(len(kinds)) as fits:
+        list(fits.map(lambda kind: _model(spark, sf, kind), kinds))
+
+
 # ---------------------------------------------------------------- deterministic model parts (oracle)
 @register("category_indices", with_ctes(
     ", vals AS (" + " UNION ALL ".join(
@@ -200,6 +208,7 @@ def q_days_model(spark, sf):
 
 def _two_models(spark, sf):
     def build():   # the models are chained over the same rows; no join by id
+        _models(spark, sf, "gbt", "lr")
         d = ml.positive_probability(_model(spark, sf, "gbt"), _split(spark, sf), "p_boosted")
         return ml.positive_probability(_model(spark, sf, "lr"), d, "p_logistic")
     return sc._memo(spark, sf, "two_models", build)
@@ -207,7 +216,10 @@ def _two_models(spark, sf):
 
 def _with_days(spark, sf):
     """Both probabilities and the regressor's clipped days for every shipment."""
-    return sc._memo(spark, sf, "with_days", lambda: ml.predict_days(_model(spark, sf, "reg"), _two_models(spark, sf), "days"))
+    def build():
+        _models(spark, sf, "gbt", "lr", "reg")
+        return ml.predict_days(_model(spark, sf, "reg"), _two_models(spark, sf), "days")
+    return sc._memo(spark, sf, "with_days", build)
 
 
 @register("two_model_agreement", None)
@@ -285,10 +297,12 @@ def q_uplift(spark, sf):
                                      "n_valid long, auc_base double, auc_ext double, uplift double, verdict string")
     d = materialize(ml.with_split(valid), "uplift-split")
     tr, te = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    aucs = []
-    for numeric in (FEATURES_NUMERIC, FEATURES_NUMERIC + real):
+
+    def auc(numeric):
         m = ml.fit_classifier(tr, n_trees=N_TREES, numeric=numeric)
-        aucs.append(ml.roc_auc(ml.positive_probability(m, te, "p"), "p").collect()[0][0])
+        return ml.roc_auc(ml.positive_probability(m, te, "p"), "p").collect()[0][0]
+    with ThreadPoolExecutor(2) as fits:   # both at the same time, as in _models
+        aucs = list(fits.map(auc, (FEATURES_NUMERIC, FEATURES_NUMERIC + real)))
     up = aucs[1] - aucs[0]
     return spark.createDataFrame([(n, aucs[0], aucs[1], up, "uplift" if up > 0.01 else "no meaningful uplift")],
                                  "n_valid long, auc_base double, auc_ext double, uplift double, verdict string")
@@ -591,6 +605,7 @@ def q_model_memo(spark, sf):
 def _model_requests(spark, sf):
     def build():
         req = request_features(shipment_requests(spark, sf))
+        _models(spark, sf, "gbt", "lr", "reg")
         d = ml.positive_probability(_model(spark, sf, "gbt"), req, "first_probability")
         d = ml.positive_probability(_model(spark, sf, "lr"), d, "second_probability")
         d = ml.predict_days(_model(spark, sf, "reg"), d, "expected_delay_days").withColumnRenamed("first_probability", "probability")

@@ -1,5 +1,7 @@
 """The block-wise boosted trees against Spark ML's, and the explanations of their leaves."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -96,3 +98,32 @@ def test_thresholds_of_few_and_of_many_values():
 def test_missing_numbers_are_refused(rows):
     with pytest.raises(ValueError, match="38 rows have a missing"):
         ml.fit_classifier(_odd(rows), n_trees=1)
+
+
+def test_a_sister_is_what_remains_of_the_parent():
+    """The tables of two sister nodes add up to their parent's: only one of them is counted."""
+    rng = np.random.default_rng(3)
+    sizes, weights = [7, 5, 4], (1.0, 2.5)
+    codes = [rng.integers(0, size, 400).astype(np.uint8) for size in sizes]
+    blocks = [(codes, rng.choice([-1, 1], 400).astype(np.int8), rng.normal(size=400))]
+    tree = boosting.Tree.empty(2, 1.0)
+    root, = boosting.level_tables(blocks, tree, 0, None, sizes, weights, True)
+    tree.column[0], tree.first[0], tree.many[0] = boosting.best_split(root[:, 0], sizes, 2, weights)[:3]
+    sisters, = boosting.level_tables(blocks, tree, 1, [0, 1], sizes, weights, True)
+    assert (sisters[:2].sum(axis=1) == root[:2, 0]).all() and np.allclose(sisters.sum(axis=1), root[:, 0], atol=1e-9)
+    only, = boosting.level_tables(blocks, tree, 1, [1], sizes, weights, False)
+    assert only.shape == (1, 1, sum(sizes)) and (only[0, 0] == sisters[2, 1]).all()
+
+
+def test_of_equal_gains_the_first_is_taken():
+    """Two columns that say the same, the second with what rounding adds."""
+    table = np.array([[6.0, 4.0, 6.0, 4.0], [3.0, -3.0, 3.0 + 1e-15, -3.0 - 1e-15]])
+    assert boosting.best_split(table, [2, 2], 2, None)[:3] == (0, 1, 1)
+
+
+def test_models_are_fitted_at_the_same_time(spark, monkeypatch):
+    from keelson.plans import catalog_models
+    both = threading.Barrier(2, timeout=30)   # neither goes on before the other has begun
+    monkeypatch.setattr(catalog_models, "_split", lambda *_: None)
+    monkeypatch.setattr(catalog_models, "_model", lambda *_: both.wait())
+    catalog_models._models(spark, "no such folder", "gbt", "reg")
