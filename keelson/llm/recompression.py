@@ -64,6 +64,11 @@ class WordHashes(dict):
         return value
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of words (its digest is big-endian)."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+
+
 class Segments:
     """Hashes of any stretch of a hash sequence, from one prefix sum."""
 
@@ -121,6 +126,39 @@ def recompress(h: np.ndarray, gap: np.ndarray, rounds: int = ROUNDS):
     return sym, low, high, wall
 
 
+def spread_minimum(first: np.ndarray, last: np.ndarray, key: np.ndarray, size: int, longest: int) -> np.ndarray:
+    """At every place the least key of the ranges (``first`` to ``last``, at most ``longest`` places) that hold it, else NONE."""
+    step = _step(last - first + 1)
+    best = np.full(size, NONE)
+    for k in range(int(longest).bit_length() - 1, -1, -1):   # best: of ranges of 2 << k places from there, then of 1 << k
+        half = 1 << k
+        if 2 * half <= size:
+            best[half:] = np.minimum(best[half:], best[:-half])
+        some = np.flatnonzero(step == k)
+        np.minimum.at(best, first[some], key[some])
+        np.minimum.at(best, last[some] - half + 1, key[some])
+    return best
+
+
+def range_maximum(first: np.ndarray, last: np.ndarray, value: np.ndarray, longest: int) -> np.ndarray:
+    """The greatest value of each range (``first`` to ``last``, at most ``longest`` places)."""
+    step = _step(last - first + 1)
+    out, most = np.zeros(len(first), value.dtype), value
+    for k in range(int(longest).bit_length()):   # most: of 1 << k places from there
+        half = 1 << k
+        some = np.flatnonzero(step == k)
+        out[some] = np.maximum(most[first[some]], most[last[some] - half + 1])
+        if 2 * half > len(value):
+            break
+        most = np.maximum(most[:-half], most[half:])
+    return out
+
+
+def _step(length: np.ndarray) -> np.ndarray:
+    """The greatest k with 1 << k places in a range."""
+    return np.frexp(length.astype(np.float64))[1] - 1
+
+
 class Windows:
     """The windows of a batch of texts: where they start and the hashes of their words."""
 
@@ -155,10 +193,12 @@ class Windows:
     def mask_of(self, words: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The mask whose bits are ``words`` (numbers and bits, for each text)."""
         mask = np.zeros(len(self.starts), bool)
-        for first, (number, bits) in zip(self.first.tolist(), words):
-            for n, b in zip(number.tolist(), bits.view(np.uint64)):
-                at = np.flatnonzero((b >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
-                mask[first + 64 * n + at] = True
+        if words:
+            begin = np.repeat(self.first, [len(number) for number, _ in words])
+            number = np.concatenate([number for number, _ in words]).astype(np.int64)
+            bits = np.concatenate([bits for _, bits in words]).astype("<i8")
+            word, bit = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            mask[begin[word] + 64 * number[word] + bit] = True
         return mask
 
 
@@ -176,16 +216,15 @@ class Parsed(Windows):
         low, high = low[usable], high[usable]
         key = _mix(self.segments.of(low, high) ^ _mix(name[usable]))
         key[key == NONE] = 0
-        best = np.full(len(self.h) + 1, NONE)
-        for back in range(window):
-            reach = (high - low + back <= window) & (low >= back)
-            np.minimum.at(best, low[reach] - back, key[reach])
-        chosen = np.zeros(len(key), bool)
-        valid = np.zeros(len(self.h) + 1, bool)
-        valid[self.starts] = True
-        for back in range(window):
-            at = np.maximum(low - back, 0)
-            chosen |= (high - low + back <= window) & (low >= back) & valid[at] & (best[at] == key)
+        first = np.maximum(high - window, 0)   # the windows that hold a support begin there to ``low``
+        best = spread_minimum(first, low, key, len(self.h) + 1, window)
+        starts = np.zeros(len(self.h) + 2, np.int64)
+        starts[self.starts + 1] = 1
+        starts = np.cumsum(starts)
+        at_starts = np.zeros(len(self.h) + 1, np.uint64)
+        at_starts[self.starts] = best[self.starts]
+        # no key of a range is above its own there
+        chosen = (starts[low + 1] > starts[first]) & (range_maximum(first, low, at_starts, window) == key)
         self.anchor = best[self.starts]
         self.keys, at = key[chosen], low[chosen]
         self.key_owner = np.searchsorted(self.begin, at, "right") - 1
@@ -198,17 +237,17 @@ class Parsed(Windows):
         return (unique[at] != self.anchor) | (self.anchor == NONE)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], text_at: int):
-    """(rows, their words, their hashes): whole texts, about PARSE_WORDS words at a time."""
-    memo = WordHashes()
+def _batches(batches: Iterator[pa.RecordBatch], text_at: int, keep_words: bool = False):
+    """(rows, their words if kept, their hashes): whole texts, about PARSE_WORDS words at a time."""
     rows, words, hashes, held = [], [], [], 0
     for batch in batches:
         others = [batch.column(k) for k in range(batch.num_columns) if k != text_at]
         for i, text in enumerate(batch.column(text_at)):
             ws = text.as_py().split()  # of bytes: \x20 \x09-\x0D
             rows.append([c[i] for c in others])
-            words.append(ws)
-            hashes.append(np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws)))
+            if keep_words:
+                words.append(ws)
+            hashes.append(word_hashes(ws))
             held += len(ws)
             if held >= PARSE_WORDS:
                 yield rows, words, hashes
@@ -217,14 +256,29 @@ def _batches(batches: Iterator[pa.RecordBatch], text_at: int):
         yield rows, words, hashes
 
 
+def _least_equal(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first entry that equals each in (owner, a, b); ``a`` alone tells nearly all apart."""
+    order = np.argsort(a)
+    o, x, y = owner[order], a[order], b[order]
+    run = np.concatenate(([True], x[1:] != x[:-1]))[:len(order)]
+    new = run.copy()
+    new[1:] |= (o[1:] != o[:-1]) | (y[1:] != y[:-1])
+    mixed = np.logical_or.reduceat(new & ~run, np.flatnonzero(run))[np.cumsum(run) - 1] if len(order) else run
+    if mixed.any():   # only these are sorted by all three
+        at = np.flatnonzero(mixed)
+        part = np.lexsort((y[at], o[at], x[at]))
+        order[at] = order[at][part]
+        o, x, y = owner[order], a[order], b[order]
+        new[1:] = (x[1:] != x[:-1]) | (o[1:] != o[:-1]) | (y[1:] != y[:-1])
+    least = np.empty(len(order), np.int64)
+    if len(order):
+        least[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
+    return least
+
+
 def _firsts(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which entries are the first of their (owner, a, b)."""
-    order = np.lexsort((b, a, owner))
-    o, x, y = owner[order], a[order], b[order]
-    new = np.concatenate(([True], (o[1:] != o[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[:len(order)]
-    first = np.zeros(len(order), bool)
-    first[order[new]] = True  # lexsort is stable: the earliest start of each group
-    return first
+    return _least_equal(owner, a, b) == np.arange(len(a))
 
 
 def _list_values(cell) -> np.ndarray:
@@ -352,7 +406,7 @@ def _cut(rows: DataFrame, least: DataFrame, window: int, keep_text: bool) -> Dat
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else "")
 
     def cut(batches):
-        for got, words, hashes in _batches(batches, 1):
+        for got, words, hashes in _batches(batches, 1, keep_words=True):
             p = Windows(hashes, window)
             mask = p.mask_of([(_list_values(r[3]), _list_values(r[4])) for r in got])
             which = np.flatnonzero(mask)
@@ -385,14 +439,7 @@ def _cut(rows: DataFrame, least: DataFrame, window: int, keep_text: bool) -> Dat
 
 def _listed(owner: np.ndarray, a: np.ndarray, b: np.ndarray, lists: int) -> np.ndarray:
     """Which entries have an equal (owner, a, b) among the first ``lists`` entries."""
-    order = np.lexsort((np.arange(len(a)) >= lists, b, a, owner))
-    o, x, y = owner[order], a[order], b[order]
-    new = np.concatenate(([True], (o[1:] != o[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[:len(order)]
-    group = np.cumsum(new) - 1
-    head = order[np.flatnonzero(new)] < lists
-    found = np.zeros(len(order), bool)
-    found[order] = head[group] if len(order) else found
-    return found
+    return _least_equal(owner, a, b) < lists
 
 
 def op6_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

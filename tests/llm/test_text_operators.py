@@ -109,6 +109,30 @@ def test_recompression(spark, window, rounds, letters):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_recompression_by_blocks_equals_one_by_one():
+    """Range minima and maxima, equal windows and masks, against plain loops."""
+    rng = np.random.default_rng(3)
+    for size, longest in ((1, 1), (7, 3), (60, 20), (300, 20)):
+        first = rng.integers(0, size, 80)
+        last = np.minimum(first + rng.integers(0, longest, 80), size - 1)
+        key = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+        least = [min([int(k) for f, e, k in zip(first, last, key) if f <= at <= e], default=int(recompression.NONE)) for at in range(size)]
+        assert recompression.spread_minimum(first, last, key, size, longest).tolist() == least
+        value = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        assert recompression.range_maximum(first, last, value, longest).tolist() == [int(value[f:e + 1].max()) for f, e in zip(first, last)]
+    for n, kinds in ((0, 1), (1, 1), (200, 2), (200, 6), (200, 1000)):
+        owner, a, b = (rng.integers(0, kinds, n) for _ in range(3))
+        entries = list(zip(owner.tolist(), a.tolist(), b.tolist()))
+        assert recompression._least_equal(owner, a, b).tolist() == [entries.index(e) for e in entries]
+    windows = recompression.Windows([recompression.word_hashes([b"w%d" % i for i in range(n)]) for n in (100, 3, 0, 200)], 5)
+    mask = rng.random(len(windows.starts)) < 0.3
+    owner, word, bits = windows.words_of_bits(mask)
+    back = windows.mask_of([(word[owner == i].astype(np.int32), bits[owner == i].view(np.int64)) for i in range(4)])
+    assert (back == mask).all()
+    memo = recompression.WordHashes()
+    assert recompression.word_hashes([b"a", b"", b"word" * 9]).tolist() == [memo[w] for w in (b"a", b"", b"word" * 9)]
+
+
 def test_recompression_edges(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(7, text), (7, text), (None, text), (9, text + " more"), (None, "x")]
