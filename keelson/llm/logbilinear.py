@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +59,27 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
-class Lookup(dict):
+class _Outside(dict):
+    """-1 less the class, by a word's last two bytes."""
+
+    def __missing__(self, tail: bytes) -> int:
+        value = self[tail] = -1 - word_class(tail)
+        return value
+
+
+class Lookup:
     """Numbers of the dictionary's words; a word outside has -1 less its class."""
 
-    def __missing__(self, word: bytes) -> int:
-        return -1 - word_class(word)
+    def __init__(self, words: list[bytes]):
+        self.number = dict(zip(words, range(len(words))))
+        self.outside = _Outside()
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
+        missing = np.flatnonzero(found < 0)
+        tails = [words[i][-2:] for i in missing.tolist()]
+        found[missing] = np.fromiter(map(self.outside.__getitem__, tails), np.int32, len(tails))
+        return found
 
 
 @dataclass
@@ -148,7 +165,7 @@ class Trainer:
     @staticmethod
     def _rows(at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Different rows and the sums of their gradients."""
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")   # short numbers are sorted by digits
         at = at[order]
         new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         return at[new], np.add.reduceat(grad[order], new, axis=0)
@@ -205,12 +222,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def hand_on():
             words = list(tally[False].keys() | tally[True].keys())
-            train = [tally[False][w] for w in words]
-            total = [n + tally[True][w] for n, w in zip(train, words)]
+            train, held = (np.fromiter(map(tally[h].get, words, repeat(0)), np.int64, len(words)) for h in (False, True))
             for c in tally.values():
                 c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([word_class(w) for w in words], pa.int32()),
-                                               pa.array(train, pa.int64()), pa.array(total, pa.int64())], names=["w", "k", "train", "total"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(train), pa.array(train + held)], names=["w", "train", "total"])
         for batch in batches:
             for text, held in zip(batch.column(0), batch.column(1).to_pylist()):
                 ws = _words(text)
@@ -219,8 +234,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if len(tally[False]) + len(tally[True]) >= COUNTED_WORDS:
                     yield hand_on()
         yield hand_on()
-    return rows.mapInArrow(count, "w binary, k int, train bigint, total bigint").groupBy("w", "k").agg(
-        F.sum("train").alias("train"), F.sum("total").alias("total"))
+    counts = rows.mapInArrow(count, "w binary, train bigint, total bigint").groupBy("w").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
+    return counts.select("w", (F.crc32(F.substring("w", -2, 2)) % CLASSES).cast("int").alias("k"), "train", "total")   # word_class
 
 
 def learn_vocabulary(counts: DataFrame, symbols: int = SYMBOLS, dictionary: int = DICTIONARY) -> tuple[Vocabulary, DataFrame]:
@@ -256,10 +271,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], lookup: Lookup, at_once: int):
             words += ws
             sizes.append(len(ws))
             if len(words) + len(sizes) >= at_once:
-                yield others, words, np.fromiter(map(lookup.__getitem__, words), np.int32, len(words)), np.cumsum(sizes)
+                yield others, words, lookup.of(words), np.cumsum(sizes)
                 others, words, sizes = [], [], []
     if sizes:
-        yield others, words, np.fromiter(map(lookup.__getitem__, words), np.int32, len(words)), np.cumsum(sizes)
+        yield others, words, lookup.of(words), np.cumsum(sizes)
 
 
 def _with_ends(numbers: np.ndarray, ends: np.ndarray, symbol_of: np.ndarray):
@@ -282,7 +297,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, slices: int = SLICES) -> Mode
     blocks = parallelism(spark)
     for r in range(slices):
         def learn(batches: Iterator[pa.RecordBatch], r=r, model=model) -> Iterator[pa.RecordBatch]:
-            lookup = Lookup((w, i) for i, w in enumerate(shared.value))
+            lookup = Lookup(shared.value)
             trainer = Trainer(model, noise, [SEED, r])
             for _, _, numbers, ends in _encoded(batches, lookup, TRAIN_TOKENS):
                 target, first, _ = _with_ends(numbers, ends, symbol_of)
@@ -322,7 +337,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, rest: DataFrame, model: Model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, after_last, after_before, log_sums = shared.value
-        lookup = Lookup((w, i) for i, w in enumerate(words))
+        lookup = Lookup(words)
         # by a word's number; of words outside the dictionary the counts come later
         count_part = np.concatenate((np.log10(counts + HALF), np.zeros(CLASSES)))
         in_class = np.where(symbol_of <= CLASSES, count_part - class_total[np.minimum(symbol_of, CLASSES) - 1], 0.0)
@@ -337,14 +352,22 @@ def score(docs: DataFrame, vocabulary: Vocabulary, rest: DataFrame, model: Model
             is_known = np.full(len(target), ends_count > 0)
             is_known[at_word] = known[numbers]
             n = np.diff(np.append(first, len(target)))
-            rare: list[Counter] = [Counter() for _ in others]
-            for at, owner in zip(np.flatnonzero(numbers < 0).tolist(), np.searchsorted(ends, np.flatnonzero(numbers < 0), "right").tolist()):
-                rare[owner][texts[at]] += 1
+            outside = np.flatnonzero(numbers < 0)
+            outside_words = [texts[i] for i in outside.tolist()]
+            upto = np.concatenate(([0], np.searchsorted(outside, ends)))   # the words outside in a text and those before
+            rare_words, rare_counts, rare_ends = [], [], [0]
+            for lo, hi in zip(upto.tolist(), upto[1:].tolist()):
+                if hi > lo:
+                    c = Counter(outside_words[lo:hi])
+                    rare_words += c.keys()
+                    rare_counts += c.values()
+                rare_ends.append(len(rare_words))
+            rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["w", "n"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in others], pa.int64()), pa.array([o[1] for o in others], pa.int64()), pa.array([o[2] for o in others], pa.bool_()),
                  pa.array(n), pa.array(np.add.reduceat(is_known.astype(np.int64), first)), pa.array(np.add.reduceat(base_part, first)),
-                 pa.array(np.add.reduceat(model_part, first)), pa.array([c.total() for c in rare], pa.int64()),
-                 pa.array([[{"w": w, "n": k} for w, k in c.items()] for c in rare], pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))],
+                 pa.array(np.add.reduceat(model_part, first)), pa.array(np.diff(upto)),
+                 pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), rare)],
                 names=["doc_id", "rid", "held_out", "n_tokens", "n_known", "base_score", "score", "n_rare", "rare"])
 
     rows = docs.select(text_bytes(F.col("text")).alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("rid"),

@@ -260,6 +260,22 @@ def test_logbilinear_scores_equal_a_softmax_per_token(spark):
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
+def test_logbilinear_words_are_numbered_and_counted_in_one_go(spark):
+    words = [b"the", b"cat", "É".encode()]
+    asked = [b"cat", b"x", b"", b"concat", "É".encode(), b"the", b"\xff\xfe\xfd", b"at"]
+    assert logbilinear.Lookup(words).of(asked).tolist() == [words.index(w) if w in words else -1 - logbilinear.word_class(w) for w in asked]
+    assert logbilinear.Lookup([]).of([]).tolist() == []
+    rows = [(i, t) for i, t in enumerate(["The the x", None, "É é cat\tx", "sat. sat. sat. the", "", "ab b"] * 3)]
+    want = {}
+    for i, t in rows:
+        for w in lower_words(t) + [b""]:
+            train, total = want.get(w, (0, 0))
+            want[w] = train + (zlib.crc32(str(i).encode()) % 5 != 1), total + 1
+    got = logbilinear.word_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {bytes(r.w): (r.train, r.total) for r in got} == want and len(got) == len(want)
+    assert all(r.k == logbilinear.word_class(bytes(r.w)) for r in got)
+
+
 def test_logbilinear_edges(spark):
     vocabulary, _ = check_scores(spark, [(i, "only held out") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1], 140, 1 << 18)
     assert vocabulary.tokens == 0
