@@ -4,14 +4,15 @@ The trees are those of Spark ML's ``GBTClassifier`` and ``GBTRegressor``: at mos
 10,000 rows (all, if fewer), variance gain over every feature, the first tree on the labels and the others on the loss's gradient, early stop.  Every tree level is one Spark job over all training rows: a task counts rows and sums gradients by node and bin, the driver
 adds these tables (at most 4 nodes x bins a task) and takes the splits.  Of two sister nodes only that with fewer rows is counted, the
 other is what remains of their parent; the root's counts are the same for every tree.  A category's one-hot slots are counted from its one
-column of indices.  The blocks are written once and stay in the executors' storage; after every ``REBUILD`` trees the margins are taken
-from the rows' blocks anew, so the lineage stays short: a job's latency grows with it.
+column of indices.  The blocks are written once and stay in the executors' storage.  Margins are stored with them after every ``STORED``
+trees (storing costs more than a level); those of the trees since are added where a level counts a row.  After every ``REBUILD`` trees they are
+taken from the rows' blocks anew, so the lineage stays short: a job's latency grows with it.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -27,6 +28,7 @@ from keelson.plans.materialize import materialize
 
 BINS = 32
 SAMPLE = 10_000
+STORED = 4
 REBUILD = 20
 #: cells of a table that several columns are counted in together
 JOINT = 2048
@@ -65,7 +67,7 @@ class Tree:
         return place
 
     def margins(self, codes: list[np.ndarray], depth: int) -> np.ndarray:
-        return self.weight * self.value[self.places(codes, depth)]
+        return (self.weight * self.value)[self.places(codes, depth)]
 
 
 @dataclass
@@ -142,9 +144,17 @@ def joint_columns(sizes: list[int]) -> list[list[int]]:
     return [columns for _, columns in groups]
 
 
-def level_tables(blocks, tree: Tree, level: int, nodes: list[int] | None, sizes: list[int], class_weights: tuple[float, float] | None, counted: bool):
+def added_margins(codes: list[np.ndarray], margin: np.ndarray | None, trees: Sequence[Tree], depth: int) -> np.ndarray | None:
+    """The margins after ``trees`` too, added one by one."""
+    for tree in trees:
+        margin = tree.margins(codes, depth) + (0.0 if margin is None else margin)
+    return margin
+
+
+def level_tables(blocks, tree: Tree, level: int, nodes: list[int] | None, sizes: list[int], class_weights: tuple[float, float] | None, counted: bool,
+                 since: Sequence[Tree] = (), depth: int = 0):
     """(kinds, nodes, codes of all columns in a row) over the rows at ``nodes`` (None: all rows, as one): rows, or rows of either class,
-    if ``counted``, and at last the sums of gradients."""
+    if ``counted``, and at last the sums of gradients.  The blocks' margins lack those of the trees ``since``."""
     classes = class_weights is not None
     groups, kinds, n_nodes = joint_columns(sizes), (3 if classes else 2) if counted else 1, 1 if nodes is None else len(nodes)
     cells = [int(np.prod([sizes[c] for c in columns])) for columns in groups]
@@ -158,7 +168,7 @@ def level_tables(blocks, tree: Tree, level: int, nodes: list[int] | None, sizes:
             rows = np.flatnonzero(place != 255)
             at, codes, y, margin = place[rows], [column[rows] for column in codes], y[rows], None if margin is None else margin[rows]
         late = y > 0 if classes else None
-        g = gradient(y, margin, classes)
+        g = gradient(y, added_margins(codes, margin, since, depth), classes)
         if classes:
             g *= np.where(late, class_weights[1], class_weights[0])
         for columns, n, table in zip(groups, cells, tables):
@@ -211,12 +221,14 @@ def best_split(table: np.ndarray, sizes: list[int], n_numeric: int, class_weight
     return next(split for gain, _, split in found if gain >= most - TIE * of)
 
 
-def grow(state, known: np.ndarray | None, sizes: list[int], n_numeric: int, depth: int, weight: float, class_weights) -> tuple[Tree, np.ndarray]:
-    """One tree on the gradients of all rows, a job a level, and the root's counts, ``known`` from the tree before."""
+def grow(state, since: list[Tree], known: np.ndarray | None, sizes: list[int], n_numeric: int, depth: int, weight: float, class_weights) -> tuple[Tree, np.ndarray]:
+    """One tree on the gradients of all rows, a job a level, and the root's counts, ``known`` from the tree before.
+
+    ``state`` has the margins before the trees ``since``."""
     tree = Tree.empty(depth, weight)
 
     def tables(level: int, nodes: list[int] | None, counted: bool) -> np.ndarray:
-        return sum(state.mapPartitions(lambda blocks: level_tables(blocks, tree, level, nodes, sizes, class_weights, counted)).collect())   # one table a task
+        return sum(state.mapPartitions(lambda blocks: level_tables(blocks, tree, level, nodes, sizes, class_weights, counted, since, depth)).collect())   # one table a task
     root = tables(0, None, True) if known is None else np.concatenate([known, tables(0, None, False)])
     nodes = {0: root[:, 0]}
     rows, g = root[:-1, 0, :sizes[0]].sum(axis=1), root[-1, 0, :sizes[0]].sum()
@@ -260,8 +272,7 @@ def unpacked(batches: Iterable):
 
 def _advance(blocks, trees: list[Tree], depth: int):
     for codes, y, margin in blocks:
-        margin = np.zeros(len(y)) if margin is None else margin
-        yield codes, y, margin + sum(tree.margins(codes, depth) for tree in trees)
+        yield codes, y, added_margins(codes, margin, trees, depth)
 
 
 def _leaf_rows(blocks, trees: list[Tree], depth: int):
@@ -306,15 +317,17 @@ def fit(train: DataFrame, feature_stages: list, numeric: list[str], categorical:
     tasks = int(min(spark.sparkContext.defaultParallelism, n // 5000 + 1))
     base = blocks.repartition(tasks).rdd.mapPartitions(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
 
-    state, spent, counts, trees = base, None, None, model.trees
+    state, spent, counts, trees, stored = base, None, None, model.trees, 0
     for t in range(n_trees):
-        tree, counts = grow(state, counts, sizes, len(numeric), depth, 1.0 if t == 0 else step, class_weights)
+        tree, counts = grow(state, trees[stored:], counts, sizes, len(numeric), depth, 1.0 if t == 0 else step, class_weights)
         trees.append(tree)
+        if (t + 1) % STORED or t + 1 == n_trees:
+            continue
         if spent is not None and spent is not base:
             spent.unpersist()   # the margins that came from it are stored by now
         spent = state
-        source, new = (base, list(trees)) if (t + 1) % REBUILD == 0 else (state, trees[-1:])
-        state = source.mapPartitions(lambda blocks, new=new: _advance(blocks, new, depth)).persist(StorageLevel.MEMORY_AND_DISK)
+        source, new = (base, list(trees)) if (t + 1) % REBUILD == 0 else (state, trees[stored:])
+        state, stored = source.mapPartitions(lambda blocks, new=new: _advance(blocks, new, depth)).persist(StorageLevel.MEMORY_AND_DISK), t + 1
     model.leaf_rows = sum(base.mapPartitions(lambda blocks: _leaf_rows(blocks, trees, depth)).collect())   # trees x leaves a task
     for rows in (spent, state, base):
         rows.unpersist()

@@ -127,3 +127,24 @@ def test_models_are_fitted_at_the_same_time(spark, monkeypatch):
     monkeypatch.setattr(catalog_models, "_split", lambda *_: None)
     monkeypatch.setattr(catalog_models, "_model", lambda *_: both.wait())
     catalog_models._models(spark, "no such folder", "gbt", "reg")
+
+
+def test_margins_not_yet_stored_count_in_a_level(rows, monkeypatch):
+    """Trees since the stored margins are added row by row: the tables and the trees are those of margins stored after every tree."""
+    rng = np.random.default_rng(4)
+    sizes, weights = [5, 3], (1.0, 2.0)
+    codes, y, margin = [rng.integers(0, n, 300).astype(np.uint8) for n in sizes], np.where(rng.random(300) < 0.4, 1, -1).astype(np.int8), rng.normal(size=300)
+    trees = [boosting.Tree(rng.integers(0, 2, 3), np.ones(3, np.int64), np.ones(3, np.int64), rng.normal(size=4), 0.5) for _ in range(3)]
+    for before in (margin, None):
+        stored, = boosting._advance([(codes, y, before)], trees, 2)
+        for level, nodes in ((0, None), (1, [0, 1]), (1, [1])):
+            want, = boosting.level_tables([stored], trees[0], level, nodes, sizes, weights, True)
+            got, = boosting.level_tables([(codes, y, before)], trees[0], level, nodes, sizes, weights, True, trees, 2)
+            assert (got == want).all()
+    found = []
+    for stored, rebuild in ((1, 100), (2, 4)):
+        monkeypatch.setattr(boosting, "STORED", stored)
+        monkeypatch.setattr(boosting, "REBUILD", rebuild)
+        model = ml.fit_regressor(rows, n_trees=TREES)
+        found.append([(t.column.tolist(), t.first.tolist(), t.many.tolist(), t.value.tolist()) for t in model.trees])
+    assert found[0] == found[1] and len(found[0]) == TREES
