@@ -4,22 +4,29 @@ The trees are those of Spark ML's ``GBTClassifier`` and ``GBTRegressor``: at mos
 10,000 rows (all, if fewer), variance gain over every feature, the first tree on the labels and the others on the loss's gradient, early stop.  Every tree level is one Spark job over all training rows: a task counts rows and sums gradients by node and bin, the driver
 adds these tables (at most 4 nodes x bins a task) and takes the splits.  Of two sister nodes only that with fewer rows is counted, the
 other is what remains of their parent; the root's counts are the same for every tree.  A category's one-hot slots are counted from its one
-column of indices.  The blocks are written once and stay in the executors' storage.  Margins are stored with them after every ``STORED``
-trees (storing costs more than a level); those of the trees since are added where a level counts a row.  After every ``REBUILD`` trees they are
-taken from the rows' blocks anew, so the lineage stays short: a job's latency grows with it.
+column of indices.  The blocks are written once; every partition of them lies as plain arrays in the scratch folder of the executor that reads it
+(:class:`Shelf`), where a level's task maps them into its memory, so no rows pass between the JVM and Python in a level.  Margins are stored
+beside them after every ``STORED`` trees; those of the trees since are added where a level counts a row.  A task that does not find its
+arrays, since it runs on another executor, says so: its partition is read from the blocks again.
 """
 
 from __future__ import annotations
 
+import mmap
+import os
 import pickle
-from collections.abc import Iterable, Sequence
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +35,9 @@ from keelson.plans.materialize import materialize
 
 BINS = 32
 SAMPLE = 10_000
-STORED = 4
-REBUILD = 20
+STORED = 1
+#: trees after which the margins are added up from all trees anew
+REBUILD = 1000
 #: cells of a table that several columns are counted in together
 JOINT = 2048
 #: rows of a block that is counted at once
@@ -144,6 +152,30 @@ def joint_columns(sizes: list[int]) -> list[list[int]]:
     return [columns for _, columns in groups]
 
 
+def joint_type(cells: int) -> type:
+    return np.uint16 if cells <= 1 << 16 else np.uint32
+
+
+def joint_codes(codes: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
+    """One code for every row and group of ``joint_columns``: its cell in the group's table."""
+    out = []
+    for columns in joint_columns(sizes):
+        kind = joint_type(int(np.prod([sizes[c] for c in columns])))
+        cell = codes[columns[0]].astype(kind)
+        for c in columns[1:]:
+            cell = cell * kind(sizes[c]) + codes[c]
+        out.append(cell)
+    return out
+
+
+class Codes(list):
+    """The columns' codes of a block of rows, with those of its groups of columns."""
+
+    def __init__(self, columns: Iterable[np.ndarray], joint: list[np.ndarray]):
+        super().__init__(columns)
+        self.joint = joint
+
+
 def added_margins(codes: list[np.ndarray], margin: np.ndarray | None, trees: Sequence[Tree], depth: int) -> np.ndarray | None:
     """The margins after ``trees`` too, added one by one."""
     for tree in trees:
@@ -162,23 +194,23 @@ def level_tables(blocks, tree: Tree, level: int, nodes: list[int] | None, sizes:
     number = np.full(256, 255, np.uint8)
     number[nodes or []] = np.arange(n_nodes if nodes else 0)
     for codes, y, margin in blocks:
+        joint = codes.joint if isinstance(codes, Codes) else joint_codes(codes, sizes)
         at = None
         if nodes is not None:
             place = number[tree.places(codes, level)]
             rows = np.flatnonzero(place != 255)
-            at, codes, y, margin = place[rows], [column[rows] for column in codes], y[rows], None if margin is None else margin[rows]
+            at, joint, y, margin = place[rows], [column[rows] for column in joint], y[rows], None if margin is None else margin[rows]
+            codes = [column[rows] for column in codes] if since else codes
         late = y > 0 if classes else None
         g = gradient(y, added_margins(codes, margin, since, depth), classes)
         if classes:
             g *= np.where(late, class_weights[1], class_weights[0])
-        for columns, n, table in zip(groups, cells, tables):
+        for column, n, table in zip(joint, cells, tables):
             kind = np.uint16 if 2 * n_nodes * n <= 1 << 16 else np.int64
-            here = np.zeros(len(y), kind) if nodes is None else at.astype(kind)
-            for c in columns:
-                here = here * kind(sizes[c]) + codes[c]
+            here = column if nodes is None else at.astype(kind) * kind(n) + column
             table[-1] += np.bincount(here, g, n_nodes * n)
             if counted and classes:
-                table[:2] += np.bincount(here * kind(2) + late, minlength=2 * n_nodes * n).reshape(-1, 2).T
+                table[:2] += np.bincount(here.astype(kind) * kind(2) + late, minlength=2 * n_nodes * n).reshape(-1, 2).T
             elif counted:
                 table[0] += np.bincount(here, minlength=n_nodes * n)
     out: list = [None] * len(sizes)
@@ -221,18 +253,18 @@ def best_split(table: np.ndarray, sizes: list[int], n_numeric: int, class_weight
     return next(split for gain, _, split in found if gain >= most - TIE * of)
 
 
-def grow(state, since: list[Tree], known: np.ndarray | None, sizes: list[int], n_numeric: int, depth: int, weight: float, class_weights) -> tuple[Tree, np.ndarray]:
-    """One tree on the gradients of all rows, a job a level, and the root's counts, ``known`` from the tree before.
-
-    ``state`` has the margins before the trees ``since``."""
+def grow(rows: Rows, trees: list[Tree], known: np.ndarray | None, sizes: list[int], n_numeric: int, depth: int, weight: float, class_weights) -> tuple[Tree, np.ndarray]:
+    """The tree after ``trees``, on the gradients of all rows, a job a level, and the root's counts, ``known`` from the tree before."""
     tree = Tree.empty(depth, weight)
 
     def tables(level: int, nodes: list[int] | None, counted: bool) -> np.ndarray:
-        return sum(state.mapPartitions(lambda blocks: level_tables(blocks, tree, level, nodes, sizes, class_weights, counted, since, depth)).collect())   # one table a task
+        def count(blocks, since):
+            return next(level_tables(blocks, tree, level, nodes, sizes, class_weights, counted, since, depth))
+        return sum(rows.run(count, trees))   # one table a task
     root = tables(0, None, True) if known is None else np.concatenate([known, tables(0, None, False)])
     nodes = {0: root[:, 0]}
-    rows, g = root[:-1, 0, :sizes[0]].sum(axis=1), root[-1, 0, :sizes[0]].sum()
-    w = rows.sum() if class_weights is None else rows @ np.array(class_weights)
+    n, g = root[:-1, 0, :sizes[0]].sum(axis=1), root[-1, 0, :sizes[0]].sum()
+    w = n.sum() if class_weights is None else n @ np.array(class_weights)
     tree.value[:] = g / w if w > 0 else 0.0
     for level in range(depth):
         fewer, rest = [], []   # of the sister nodes
@@ -275,12 +307,140 @@ def _advance(blocks, trees: list[Tree], depth: int):
         yield codes, y, added_margins(codes, margin, trees, depth)
 
 
-def _leaf_rows(blocks, trees: list[Tree], depth: int):
+def _leaf_rows(blocks, trees: list[Tree], depth: int) -> np.ndarray:
     counts = np.zeros((len(trees), 1 << depth), np.int64)
     for codes, _, _ in blocks:
         for t, tree in enumerate(trees):
             counts[t] += np.bincount(tree.places(codes, depth), minlength=1 << depth)
-    yield counts
+    return counts
+
+
+class Shelf:
+    """The arrays of one partition in the executor's own scratch folder, which Spark names to its Python workers and deletes with the executor.
+
+    A file is written under another name and then renamed, so it is whole where it is there, also when a task runs twice."""
+
+    def __init__(self, fit: str, part: int):
+        folders = os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")
+        self.folder = os.path.join(folders[part % len(folders)], f"boosting-{fit}", str(part))
+
+    @contextmanager
+    def writing(self, name: str):
+        os.makedirs(self.folder, exist_ok=True)
+        number, path = tempfile.mkstemp(dir=self.folder)
+        with os.fdopen(number, "wb") as file:
+            yield file
+        os.replace(path, os.path.join(self.folder, name))
+
+    def mapped(self, name: str) -> memoryview | mmap.mmap:
+        with open(os.path.join(self.folder, name), "rb") as file:
+            return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(file.fileno()).st_size else memoryview(b"")
+
+    def fill(self, blocks, sizes: list[int]) -> None:
+        """Keeps the rows: a block's codes by column and by group of columns and its labels, each from a multiple of 64 bytes."""
+        index, end = [], 0
+        with self.writing("rows") as file:
+            for codes, y, _ in blocks:
+                index.append((len(y), []))
+                for array in (*codes, *joint_codes(codes, sizes), y):
+                    index[-1][1].append((array.dtype, end))
+                    end += file.write(array.tobytes()) + file.write(bytes(-array.nbytes % 64))
+        with self.writing("index") as file:
+            pickle.dump((index, len(sizes)), file)
+
+    def blocks(self, stored: int) -> Iterator[tuple[Codes, np.ndarray, np.ndarray | None]]:
+        """Codes, labels and the margins after ``stored`` trees; FileNotFoundError if they are not here."""
+        with open(os.path.join(self.folder, "index"), "rb") as file:
+            index, columns = pickle.load(file)
+        rows, margins = self.mapped("rows"), self.mapped(f"margins-{stored}") if stored else None
+
+        def found():
+            before = 0
+            for n, places in index:
+                *codes, y = (np.frombuffer(rows, kind, n, at) for kind, at in places)
+                yield Codes(codes[:columns], codes[columns:]), y, None if margins is None else np.frombuffer(margins, float, n, 8 * before)
+                before += n
+        return found()
+
+    def storing(self, trees: int, blocks):
+        """The blocks as they are; their margins, after so many trees, are stored."""
+        with self.writing(f"margins-{trees}") as file:
+            for codes, y, margin in blocks:
+                file.write(margin)
+                yield codes, y, margin
+
+    def drop(self, trees: int) -> None:
+        with suppress(FileNotFoundError):
+            os.remove(os.path.join(self.folder, f"margins-{trees}"))
+
+    def clear(self) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
+        with suppress(OSError):
+            os.rmdir(os.path.dirname(self.folder))
+
+
+class Rows:
+    """All training rows: blocks that can be read again (``parts``), their arrays on the executors' shelves, and how far the margins are stored."""
+
+    def __init__(self, parts: RDD, sizes: list[int], depth: int):
+        self.parts, self.sizes, self.depth, self.fit = parts, sizes, depth, uuid.uuid4().hex
+        self.stored = self.older = 0
+        fit = self.fit
+
+        def load(part, rows):
+            Shelf(fit, part).fill(unpacked(rows), sizes)
+            yield part
+        self.held = parts.mapPartitionsWithIndex(load).persist(StorageLevel.MEMORY_AND_DISK)   # a number a partition: tasks go where it was loaded
+
+    def run(self, task: Callable, trees: list[Tree]) -> list:
+        """``task(blocks, since)`` for every partition; the blocks' margins lack those of the last trees, ``since``."""
+        fit, sizes, depth, stored, older, n = self.fit, self.sizes, self.depth, self.stored, self.older, len(trees)
+        store = n > stored and n % STORED == 0
+        known = 0 if store and n % REBUILD == 0 else stored
+        since = trees[known:]
+
+        def result(shelf: Shelf, blocks, since):
+            if store:
+                blocks, since = shelf.storing(n, _advance(blocks, since, depth)), ()
+                shelf.drop(older)
+            return task(blocks, since)
+
+        def there(_, held):
+            part, = held   # read to its end: Spark ends a Python worker that leaves rows unread
+            shelf = Shelf(fit, part)
+            try:
+                blocks = shelf.blocks(known)
+            except FileNotFoundError:
+                blocks = None
+            yield part, None if blocks is None else result(shelf, blocks, since)
+
+        def from_all_trees(part, held):
+            """As ``there`` on the executor that has the rows, or with the rows loaded again."""
+            shelf = Shelf(fit, part)
+            try:
+                blocks = shelf.blocks(0)
+            except FileNotFoundError:
+                if not reload:
+                    yield part, None
+                    return
+                shelf.fill(unpacked(held), sizes)
+                blocks = shelf.blocks(0)
+            if stored:
+                blocks = shelf.storing(stored, _advance(blocks, trees[:stored], depth))
+            yield part, result(shelf, blocks, trees[stored:])
+        found = dict(self.held.mapPartitionsWithIndex(there).collect())   # one result a partition
+        for reload, source in ((False, self.held), (True, self.parts)):
+            lost = [part for part, one in found.items() if one is None]
+            if lost:
+                found |= dict(source.context.runJob(source.mapPartitionsWithIndex(from_all_trees), list, lost))
+        if store:
+            self.stored, self.older = n, stored
+        return [found[part] for part in sorted(found)]
+
+    def clear(self) -> None:
+        fit = self.fit
+        self.held.foreachPartition(lambda parts: [Shelf(fit, part).clear() for part in parts])
+        self.held.unpersist()
 
 
 def fit(train: DataFrame, feature_stages: list, numeric: list[str], categorical: list[str], label: str, logistic: bool,
@@ -315,20 +475,12 @@ def fit(train: DataFrame, feature_stages: list, numeric: list[str], categorical:
                 yield pd.DataFrame({"block": [pickle.dumps((codes, np.where(y == 1, 1, -1).astype(np.int8) if logistic else y))]})
     blocks = materialize(indexed.mapInPandas(pack, "block binary"), "training-blocks")
     tasks = int(min(spark.sparkContext.defaultParallelism, n // 5000 + 1))
-    base = blocks.repartition(tasks).rdd.mapPartitions(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
-
-    state, spent, counts, trees, stored = base, None, None, model.trees, 0
-    for t in range(n_trees):
-        tree, counts = grow(state, trees[stored:], counts, sizes, len(numeric), depth, 1.0 if t == 0 else step, class_weights)
-        trees.append(tree)
-        if (t + 1) % STORED or t + 1 == n_trees:
-            continue
-        if spent is not None and spent is not base:
-            spent.unpersist()   # the margins that came from it are stored by now
-        spent = state
-        source, new = (base, list(trees)) if (t + 1) % REBUILD == 0 else (state, trees[stored:])
-        state, stored = source.mapPartitions(lambda blocks, new=new: _advance(blocks, new, depth)).persist(StorageLevel.MEMORY_AND_DISK), t + 1
-    model.leaf_rows = sum(base.mapPartitions(lambda blocks: _leaf_rows(blocks, trees, depth)).collect())   # trees x leaves a task
-    for rows in (spent, state, base):
-        rows.unpersist()
+    rows, counts, trees = Rows(blocks.repartition(tasks).rdd, sizes, depth), None, model.trees
+    try:
+        for t in range(n_trees):
+            tree, counts = grow(rows, trees, counts, sizes, len(numeric), depth, 1.0 if t == 0 else step, class_weights)
+            trees.append(tree)
+        model.leaf_rows = sum(rows.run(lambda blocks, _: _leaf_rows(blocks, trees, depth), trees))   # trees x leaves a task
+    finally:
+        rows.clear()
     return model

@@ -95,10 +95,20 @@ REC_HIGH = ("Recommendation: apply a risk-adjusted collateral haircut or margin
             "finance against this shipment, and consider requiring proof of alternate routing contingency.")
 REC_MEDIUM = "Recommendation: standard terms with routine monitoring are likely adequate."
 REC_LOW = "Recommendation: standard underwriting terms are appropriate; no additional haircut indicated."
+MEMO_DRIVERS = 3
+
+
+def one_decimal(x: Column) -> Column:
+    """``format_string('%.1f', round_half_even(x, 1))``, which is slow, from whole tenths where these are exact."""
+    tenths = F.rint(x * F.lit(10.0))
+    whole = tenths.cast("bigint")
+    plain = F.concat(F.floor(whole / F.lit(10)).cast("string"), F.lit("."), (whole % F.lit(10)).cast("string"))
+    return (F.when((x > 0) & (tenths < 1e14), plain).when(x == 0, x.cast("double").cast("string"))
+            .otherwise(F.format_string("%.1f", round_half_even(x, 1))))
 
 
 def underwriting_memo(desc: Column, tier: Column, prob: Column, days: Column, hist_rate_pct: Column,
-                      contributions: Column, top_n: int = 3) -> Column:
+                      contributions: Column, top_n: int = MEMO_DRIVERS) -> Column:
     """Memo text per row.
 
     ``contributions`` is an array<struct<feature string, value double>>; the top
@@ -110,17 +120,15 @@ def underwriting_memo(desc: Column, tier: Column, prob: Column, days: Column, hi
     top = F.slice(ranked, 1, top_n)
     up = F.transform(F.filter(top, lambda s: s["value"] > 0), lambda s: clean_feature_label(s["feature"]))
     down = F.transform(F.filter(top, lambda s: s["value"] < 0), lambda s: clean_feature_label(s["feature"]))
-    rate_txt = F.when(hist_rate_pct.isNull(), F.lit("n/a")).otherwise(
-        F.concat(F.format_string("%.1f", round_half_even(hist_rate_pct, 1)), F.lit("%")))
-    head = F.format_string(
-        "Shipment (%s) is scored in the **%s** risk tier, with a predicted delay probability of %s%% and an "
-        "expected delay of %s day(s). Historically, shipments in the %s tier were delayed %s of the time.",
-        desc, F.upper(tier), F.format_string("%.1f", round_half_even(prob * 100, 1)),
-        F.format_string("%.1f", round_half_even(days, 1)), tier, rate_txt)
-    up_txt = F.when(F.size(up) > 0, F.concat(F.lit("Risk is primarily driven up by: "),
-                                             F.array_join(up, ", "), F.lit(".")))
-    down_txt = F.when(F.size(down) > 0, F.concat(F.lit("Risk is partially offset by: "),
-                                                 F.array_join(down, ", "), F.lit(".")))
+    rate_txt = F.when(hist_rate_pct.isNull(), F.lit("n/a")).otherwise(F.concat(one_decimal(hist_rate_pct), F.lit("%")))
+    null = F.lit("null")
+    head = F.concat(F.lit("Shipment ("), F.coalesce(desc, null), F.lit(") is scored in the **"), F.coalesce(F.upper(tier), null),
+                    F.lit("** risk tier, with a predicted delay probability of "), one_decimal(prob * 100),
+                    F.lit("% and an expected delay of "), one_decimal(days),
+                    F.lit(" day(s). Historically, shipments in the "), F.coalesce(tier, null), F.lit(" tier were delayed "), rate_txt, F.lit(" of the time."))
+    # no drivers: an empty join is null, and so is its sentence; asking for the size would sort every row's array again
+    up_txt = F.concat(F.lit("Risk is primarily driven up by: "), F.nullif(F.array_join(up, ", "), F.lit("")), F.lit("."))
+    down_txt = F.concat(F.lit("Risk is partially offset by: "), F.nullif(F.array_join(down, ", "), F.lit("")), F.lit("."))
     rec = F.when(tier.isin("High", "Severe"), F.lit(REC_HIGH)).when(tier == "Medium", F.lit(REC_MEDIUM)) \
         .otherwise(F.lit(REC_LOW))
     return F.concat_ws(" ", head, up_txt, down_txt, rec)

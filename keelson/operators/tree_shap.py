@@ -20,7 +20,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators.boosting import BoostedTrees
@@ -114,11 +114,15 @@ def pattern_tables(tables: list) -> list:
 
 def row_contributions(x: np.ndarray, tables: list, groups: list) -> np.ndarray:
     """As ``leaf_contributions``, with one look-up per group of leaves and feature; rows with missing values go leaf by leaf."""
-    columns = np.ascontiguousarray(x.T)
-    phi, found = np.zeros(columns.shape), np.empty(len(x))
+    return column_contributions(np.ascontiguousarray(x.T), tables, groups).T
+
+
+def column_contributions(columns: np.ndarray, tables: list, groups: list) -> np.ndarray:
+    """(features, rows) contributions of rows given by their columns."""
+    phi, found = np.zeros(columns.shape), np.empty(columns.shape[1])
     above: dict[tuple, np.ndarray] = {}
     for asked, by_feature in groups:
-        pattern = np.zeros(len(x), np.uint16)
+        pattern = np.zeros(columns.shape[1], np.uint16)
         for i, c in enumerate(asked):
             if c not in above:
                 above[c] = (columns[c[0]] > c[1]).astype(np.uint16)
@@ -127,10 +131,10 @@ def row_contributions(x: np.ndarray, tables: list, groups: list) -> np.ndarray:
         for f, by_pattern in by_feature:
             by_pattern.take(at, out=found, mode="clip")   # every pattern is in the table
             phi[f] += found
-    missing = np.flatnonzero(np.isnan(x).any(axis=1))
+    missing = np.flatnonzero(np.isnan(columns).any(axis=0))
     if len(missing):
-        phi[:, missing] = leaf_contributions(x[missing], tables).T
-    return phi.T
+        phi[:, missing] = leaf_contributions(columns[:, missing].T, tables).T
+    return phi
 
 
 def vector_names(meta: dict) -> list[str]:
@@ -148,14 +152,19 @@ def vector_names(meta: dict) -> list[str]:
     return [n or f"f{i}" for i, n in enumerate(names)]
 
 
+def _leaf_tables(model: BoostedTrees) -> tuple[list, float]:
+    """([(feature, lo, hi), ...], phi by mask) of every leaf with a condition, and the bias."""
+    leaves, bias = _leaves(model)
+    return [([(f, lo, hi) for f, lo, hi, _ in feats], mask_table(scale * value, [c for *_, c in feats]))
+            for scale, value, feats in leaves if feats], bias
+
+
 def tree_contributions(model: BoostedTrees, df: DataFrame, key: str = "Order_ID") -> tuple[DataFrame, float]:
     """(key, contribs array<struct<feature, value, x>>) of log-odds contributions for every row, and the bias."""
     spark = df.sparkSession
-    leaves, bias = _leaves(model)
+    tables, bias = _leaf_tables(model)
     prep = model.stages.transform(df)
     names = vector_names(prep.schema["features"].metadata)
-    tables = [([(f, lo, hi) for f, lo, hi, _ in feats], mask_table(scale * value, [c for *_, c in feats]))
-              for scale, value, feats in leaves if feats]
     bc = spark.sparkContext.broadcast((tables, pattern_tables(tables), len(names)))   # trees x 2^depth leaves
     vec = prep.select(key, vector_to_array("features").alias("x"))
 
@@ -170,3 +179,41 @@ def tree_contributions(model: BoostedTrees, df: DataFrame, key: str = "Order_ID"
     zipped = F.transform(F.arrays_zip(label.alias("feature"), F.col("value"), F.col("x")),
                          lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value"), s["x"].alias("x")))
     return out.select(key, zipped.alias("contribs")), bias
+
+
+def strongest(phi: np.ndarray, order: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The k features of greatest |contribution| of every row and these contributions; of equal ones the first in ``order`` comes first."""
+    size = np.ascontiguousarray(np.abs(phi[order]).T)
+    rows, features, values = np.arange(phi.shape[1]), [], []
+    for _ in range(k):
+        at = size.argmax(axis=1)
+        features.append(order[at])
+        values.append(phi[features[-1], rows])
+        size[rows, at] = -1.0
+    return features, values
+
+
+def strongest_contributions(model: BoostedTrees, df: DataFrame, k: int, key: str = "Order_ID") -> tuple[DataFrame, Column]:
+    """The k strongest contributions of every row, by |contribution| and then by name, out of the same contributions as ``tree_contributions``:
+    (key, f0, v0, f1, v1, ...) with the features' numbers, and the column that makes ``contribs`` array<struct<feature, value>> of them.
+    All contributions of a row are computed but only these leave the task, so that a join or shuffle by the key is a small one."""
+    tables, _ = _leaf_tables(model)
+    names = vector_names(model.stages.transform(df).schema["features"].metadata)
+    order = np.array(sorted(range(len(names)), key=lambda i: names[i].encode()))   # as Spark compares texts
+    k = min(k, len(names))
+    bc = df.sparkSession.sparkContext.broadcast((tables, pattern_tables(tables), order))
+    slots = [size - 1 for size in model.sizes[len(model.numeric):]]   # the last index is for unknown values and has no slot
+    n_numeric = len(model.numeric)
+
+    def contrib(batches):
+        tabs, groups, by_name = bc.value
+        for pdf in batches:
+            given = [pdf.iloc[:, 1 + i].to_numpy(float, na_value=np.nan) for i in range(n_numeric + len(slots))]
+            hot = [(index == slot).astype(float) for index, n in zip(given[n_numeric:], slots) for slot in range(n)]
+            features, values = strongest(column_contributions(np.array(given[:n_numeric] + hot), tabs, groups), by_name, k)
+            yield pd.DataFrame({key: pdf[key].to_numpy()} | {f"{c}{i}": column for i in range(k) for c, column in (("f", features[i].astype(np.int32)), ("v", values[i]))})
+
+    indexed = model.stages.stages[0].transform(df).select(key, *[c.alias(f"x{i}") for i, c in enumerate(model.inputs())])
+    out = indexed.mapInPandas(contrib, f"{key} long, " + ", ".join(f"f{i} int, v{i} double" for i in range(k)))
+    label = F.array(*[F.lit(n) for n in names])
+    return out, F.array(*[F.struct(label[F.col(f"f{i}")].alias("feature"), F.col(f"v{i}").alias("value")) for i in range(k)])

@@ -206,19 +206,32 @@ def q_days_model(spark, sf):
     return _with_days(spark, sf).select("Order_ID", "Delay_Days", F.col("days").alias("Predicted_Delay_Days"))
 
 
+def _both_probabilities(spark, sf):
+    """The models are chained over the same rows; no join by id."""
+    d = ml.positive_probability(_model(spark, sf, "gbt"), _split(spark, sf), "p_boosted")
+    return ml.positive_probability(_model(spark, sf, "lr"), d, "p_logistic")
+
+
 def _two_models(spark, sf):
-    def build():   # the models are chained over the same rows; no join by id
+    """Both probabilities, at least with the columns ``CARRIED``."""
+    def build():
         _models(spark, sf, "gbt", "lr")
-        d = ml.positive_probability(_model(spark, sf, "gbt"), _split(spark, sf), "p_boosted")
-        return ml.positive_probability(_model(spark, sf, "lr"), d, "p_logistic")
+        return _both_probabilities(spark, sf)
+    if sc._written(spark, sf, "with_days"):   # it has these columns too
+        return _with_days(spark, sf).drop("days")
     return sc._memo(spark, sf, "two_models", build)
 
 
+#: what the queries on the predictions need of a shipment beside them; the features stay in the split
+CARRIED = ["Order_ID", "Route", "Transportation_Mode", "Product_Category", "External_Risk_Pressure", "Is_Delayed", "Delay_Days", "is_test"]
+
+
 def _with_days(spark, sf):
-    """Both probabilities and the regressor's clipped days for every shipment."""
+    """Both probabilities and the regressor's clipped days for every shipment, written in one pass."""
     def build():
         _models(spark, sf, "gbt", "lr", "reg")
-        return ml.predict_days(_model(spark, sf, "reg"), _two_models(spark, sf), "days")
+        d = _two_models(spark, sf) if sc._written(spark, sf, "two_models") else _both_probabilities(spark, sf)
+        return ml.predict_days(_model(spark, sf, "reg"), d, "days").select(*CARRIED, "p_boosted", "p_logistic", "days")
     return sc._memo(spark, sf, "with_days", build)
 
 
@@ -597,8 +610,9 @@ def q_model_calibration(spark, sf):
 def q_model_memo(spark, sf):
     """D7 on the model: its prediction, its tier and its own drivers."""
     s = _model_scored(spark, sf)
+    top, contribs = tree_shap.strongest_contributions(_model(spark, sf, "gbt"), _split(spark, sf), scoring.MEMO_DRIVERS)
     rows = s.select("Order_ID", "Route", "Transportation_Mode", "Product_Category", "Risk_Tier", "Predicted_Delay_Probability",
-                    "Predicted_Delay_Days").join(_tree_contrib(spark, sf)[0], "Order_ID")
+                    "Predicted_Delay_Days").join(top, "Order_ID").withColumn("contribs", contribs)
     return xp.memos(rows, pf.tier_calibration(s))
 
 

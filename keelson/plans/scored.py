@@ -37,6 +37,11 @@ def _memo(spark: SparkSession, sf_dir: str, key: str, build) -> DataFrame:
     return df
 
 
+def _written(spark: SparkSession, sf_dir: str, key: str) -> bool:
+    """Whether the frame of this key is there already."""
+    return (spark.sparkContext.applicationId, sf_dir, key) in _MEMO
+
+
 def _lazy(spark: SparkSession, sf_dir: str, key: str, build) -> DataFrame:
     """A frame that is built (its small statistics computed) once but not written."""
     k = (spark.sparkContext.applicationId, sf_dir, key)

@@ -1,5 +1,6 @@
 """The block-wise boosted trees against Spark ML's, and the explanations of their leaves."""
 
+import os
 import threading
 
 import numpy as np
@@ -148,3 +149,43 @@ def test_margins_not_yet_stored_count_in_a_level(rows, monkeypatch):
         model = ml.fit_regressor(rows, n_trees=TREES)
         found.append([(t.column.tolist(), t.first.tolist(), t.many.tolist(), t.value.tolist()) for t in model.trees])
     assert found[0] == found[1] and len(found[0]) == TREES
+
+
+def test_the_strongest_contributions_are_those_of_the_whole_arrays(rows, classifier):
+    """The memo's drivers, taken in the task, are what sorting every row's whole array gives: rows that repeat an id, missing and unknown values, ties at 0."""
+    odd = _odd(rows).where("Order_ID < 400").unionAll(rows.where("Order_ID < 5"))
+    whole, _ = tree_shap.tree_contributions(classifier, odd)
+    for k in (3, 60):   # there are fewer than 60 features
+        ranked = "sort_array(transform(contribs, c -> struct(-abs(c.value) AS k, c.feature AS feature, c.value AS value)))"
+        want = whole.selectExpr("Order_ID", f"transform(slice({ranked}, 1, {k}), c -> struct(c.feature, c.value)) AS contribs")
+        top, contribs = tree_shap.strongest_contributions(classifier, odd, k)
+        assert sorted(map(str, top.select("Order_ID", contribs.alias("contribs")).collect())) == sorted(map(str, want.collect()))
+
+
+def test_rows_that_are_not_where_a_task_runs_are_read_again(rows, classifier, monkeypatch):
+    """A lost folder, lost margins or lost rows of an executor cost time, not results; nothing is left behind."""
+    grow, fits = boosting.grow, []
+
+    def losing(kept, trees, *rest):
+        fit, at, stored = kept.fit, len(trees), kept.stored
+
+        def lose(parts):
+            for part in parts:
+                shelf = boosting.Shelf(fit, part)
+                if at == 2:
+                    shelf.clear()
+                elif at == 3:
+                    shelf.drop(stored)
+                elif at == 4 and part == 0:
+                    os.remove(f"{shelf.folder}/index")
+        fits.append(kept)
+        kept.held.foreachPartition(lose)
+        return grow(kept, trees, *rest)
+    monkeypatch.setattr(boosting, "grow", losing)
+    again = ml.fit_classifier(rows, n_trees=TREES)
+    for a, b in zip(classifier.trees, again.trees, strict=True):
+        assert a.column.tolist() == b.column.tolist() and a.first.tolist() == b.first.tolist() and np.allclose(a.value, b.value, atol=1e-12)
+    assert (classifier.leaf_rows == again.leaf_rows).all() and len(fits) == TREES
+    fit = fits[0].fit
+    left = fits[0].parts.mapPartitionsWithIndex(lambda part, found: [os.path.exists(boosting.Shelf(fit, part).folder) for _ in [list(found)]]).collect()
+    assert left and not any(left)
